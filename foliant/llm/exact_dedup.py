@@ -13,6 +13,8 @@ from foliant.llm._common import cut
 HOT_DIGESTS = 128
 #: Counters that each Misra-Gries summary holds.
 COUNTERS = 2048
+#: Groups of tasks whose counters are merged.
+GROUPS = 32
 
 
 def normalised(text: Column) -> Column:
@@ -25,18 +27,18 @@ def normalised(text: Column) -> Column:
 
 
 def frequent(rows: DataFrame, key: str, hot: int = HOT_DIGESTS, counters: int = COUNTERS) -> DataFrame:
-    """Candidates for the most frequent values of ``key``, at most ``hot`` rows.
+    """Candidates for the most frequent values of ``key``, at most ``GROUPS * hot`` rows.
 
-    A bounded frequent-items summary (Misra-Gries counters) is built in every
-    task, merged in 64 groups, then once more, so no task merges more than its
-    share.  A value with more than ``rows / counters`` occurrences is tracked.
+    Misra-Gries counters run in every task and are merged in ``GROUPS`` groups of
+    tasks.  A value with a share of the rows has at least that share of some
+    group, so the leaders of the groups hold all values above ``1 / hot``.
     """
     return (
         rows.where(F.col(key).isNotNull())
-        .groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("g"))
-        .agg(F.expr(f"approx_top_k_accumulate({key}, {counters})").alias("s"))
-        .agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {counters}), {hot})").alias("top"))
+        .groupBy(F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("g"))
+        .agg(F.expr(f"approx_top_k({key}, {hot}, {counters})").alias("top"))
         .select(F.explode("top.item").alias(key))
+        .distinct()
     )
 
 
@@ -45,9 +47,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are equal when identical after lower-casing A-Z only; the row with
     the largest id of a group stays.  Candidates from :func:`frequent` are
-    counted exactly; these winners, ``HOT_DIGESTS`` rows at most, are broadcast
-    and settle the members of large groups where they are read.  The rest has
-    no group of more than about ``rows / HOT_DIGESTS`` and is shuffled by digest.
+    counted exactly; the ``HOT_DIGESTS`` largest win, are broadcast and settle
+    the members of large groups where they are read.  The rest has no group of
+    more than ``rows / HOT_DIGESTS`` and is shuffled by digest.
 
     A null text counts as empty.  A null id never wins over another; if a group
     holds only null ids its ``keep_id`` is null and all its rows are kept.
@@ -59,6 +61,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     facts = [F.max("id").alias("keep_id"), F.count("*").alias("group_size")]
     winners = cut(
         base.join(F.broadcast(frequent(base, "digest")), "digest", "left_semi").groupBy("digest").agg(*facts)
+        .orderBy(F.desc("group_size"), "digest").limit(HOT_DIGESTS)
     )
     hot = base.join(F.broadcast(winners), "digest")
     cold = base.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
