@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foliant.llm import bpe
 from foliant.llm.embed_dedup import embedding_dedup
 from foliant.llm.exact_dedup import exact_dedup
+from foliant.llm.minhash import near_dedup
 from foliant.llm.sharding import shard
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -54,10 +55,15 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(read(spark, sf_dir, "embeddings"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_byte_bpe": op4_byte_bpe,
         "op5_sharding": op5_sharding,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_embedding_dedup": op10_embedding_dedup,
     }
