@@ -1,0 +1,255 @@
+"""Main text of web pages by text-to-tag ratios over parser events."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Lines on either side that smooth a ratio, and the width of the Gaussian.
+RADIUS, SIGMA = 2, 1.0
+#: Lines are content where the smoothed ratio exceeds this many standard deviations.
+LAMBDA = 1.0
+#: Regions with this share of the largest region's content are kept too.
+SHARE = 1 / 3
+#: A region grows to the ancestor that holds this share of all content.
+COVER = 0.8
+
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
+    "strike strong sub sup time tt u var".split()
+)
+#: Inside these nothing is main text.
+OUTSIDE = frozenset(
+    "head nav footer aside form script style noscript template button select option textarea iframe svg canvas "
+    "object audio video map menu dialog title fieldset".split()
+)
+#: Words in class, id or role that name such a part.
+PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent "
+    "gdpr notice notices alert popup modal overlay toast sidebar menu nav navbar navigation breadcrumb breadcrumbs toolbar topbar "
+    "footer copyright share sharing social related recommended recommendations newsletter subscribe subscription signup login "
+    "search widget widgets pagination pager masthead contentinfo complementary".split()
+)
+#: Words that name reader comments; an article in them is a comment.
+READERS = frozenset("comment comments commentlist respond disqus replies reply responses discussion reviews".split())
+#: Names of page headers; in an article they hold its heading.
+HEADERS = frozenset("header pageheader siteheader".split())
+_WORDS = re.compile(r"[a-z]+").findall
+
+
+class _Open:
+    """An open element: whether it is outside the main text, its region, its parent."""
+
+    __slots__ = ("firm", "inside", "outside", "parent", "region", "tag")
+
+    def __init__(self, tag, parent, outside, firm, inside, region):
+        self.tag, self.parent, self.outside, self.firm, self.inside, self.region = tag, parent, outside, firm, inside, region
+
+
+class Lines(HTMLParser):
+    """Lines of a page, one for each run of text between block tags.
+
+    A line is (text, text characters, tags, link characters, outside, element).
+    """
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = _Open("", None, False, False, False, None)
+        self.stack, self.open = [self.root], Counter()
+        self.lines: list[tuple] = []
+        self.parts: list[str] = []
+        self.tags = self.links = self.linked = 0
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
+            self.parts = []
+            if text:
+                top = self.stack[-1]
+                self.lines.append((text, len(text), self.tags, self.linked, top.outside, top))
+                self.tags = self.linked = 0
+
+    def _pop(self) -> None:
+        self.open[self.stack.pop().tag] -= 1
+
+    def handle_starttag(self, tag, attrs):
+        self.tags += 1
+        if tag in INLINE:
+            self.links += tag == "a"
+            hidden = [v for k, v in attrs if k in ("class", "id", "role") and v]
+            if not hidden or tag == "a":
+                return
+            words = set(_WORDS(" ".join(hidden).lower()))
+            if not words & PARTS:
+                return
+        elif tag in VOID:
+            if tag == "br":
+                self.parts.append(" ")
+            elif tag == "hr":
+                self.flush()
+            return
+        if tag in ("td", "th"):
+            self.parts.append(" ")
+        elif tag not in INLINE:
+            self.flush()
+        if tag not in INLINE and self.stack[-1].tag == "p":
+            self._pop()
+        if tag in ("li", "tr", "td", "th", "dt", "dd", "option") and self.stack[-1].tag == tag:
+            self._pop()
+        top = self.stack[-1]
+        names, hidden = set(), False
+        for k, v in attrs:
+            if k in ("class", "id", "role") and v:
+                names.update(_WORDS(v.lower()))
+            elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower():
+                hidden = True
+        article = tag in ("article", "main") or ("role", "main") in attrs
+        firm = top.firm or tag in OUTSIDE or hidden or tag not in ("html", "body", "main") and bool(names & READERS)
+        named = tag not in ("html", "body", "article", "main") and (
+            bool(names & PARTS) or not top.inside and (tag == "header" or bool(names & HEADERS))
+        )
+        # an article is main text also in a wrapper whose name only mentions a sidebar or the like
+        outside = firm or named or top.outside and not article
+        own = _Open(tag, top, outside, firm, top.inside or article, top.region)
+        if article and not outside and not top.inside:
+            own.region = own
+        self.stack.append(own)
+        self.open[tag] += 1
+
+    def handle_startendtag(self, tag, attrs):
+        if tag in VOID:
+            self.handle_starttag(tag, attrs)
+        else:
+            self.handle_starttag(tag, attrs)
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        self.tags += 1
+        if tag == "a":
+            self.links = max(0, self.links - 1)
+        if tag in VOID or tag in INLINE and not self.open[tag]:
+            return
+        if tag in ("td", "th"):
+            self.parts.append(" ")
+        elif tag not in INLINE:
+            self.flush()
+        if self.open[tag]:
+            if tag in INLINE and self.stack[-1].tag != tag:
+                return
+            while self.stack[-1].tag != tag:
+                self._pop()
+            self._pop()
+
+    def handle_data(self, data):
+        if self.stack[-1].outside and self.stack[-1].tag in ("script", "style"):
+            return
+        self.parts.append(data)
+        if self.links:
+            self.linked += len(data)
+
+
+def smooth(ratios: np.ndarray) -> np.ndarray:
+    """Gaussian means over neighbouring lines; at the ends over those that exist."""
+    x = np.arange(-RADIUS, RADIUS + 1)
+    kernel = np.exp(-(x**2) / (2 * SIGMA**2))
+    weight = np.convolve(np.ones(len(ratios)), kernel)[RADIUS:-RADIUS]
+    return np.convolve(ratios, kernel)[RADIUS:-RADIUS] / weight
+
+
+def content_lines(lines: list[tuple]) -> np.ndarray:
+    """Lines whose smoothed text-to-tag ratio is above the threshold."""
+    ratios = np.array([n / max(1, tags) for _, n, tags, *_ in lines], dtype=float)
+    smoothed = smooth(ratios)
+    return smoothed > min(LAMBDA * smoothed.std(), smoothed.max() / 2)
+
+
+def main_blocks(html: str) -> list[str]:
+    """Blocks of the main text, in page order."""
+    parser = Lines()
+    parser.feed(html)
+    parser.close()
+    parser.flush()
+    lines = parser.lines
+    if not lines:
+        return []
+    content = content_lines(lines)
+    inside = [k for k, x in enumerate(lines) if not x[4]]
+    if not inside:
+        return []
+    chosen = [k for k in inside if content[k]] or inside
+    # regions: articles that hold content lines, or else the element with most of the content
+    mass: dict[int, int] = {}
+    region: dict[int, _Open] = {}
+    for k in chosen:
+        own = lines[k][5].region
+        if own is not None:
+            mass[id(own)] = mass.get(id(own), 0) + lines[k][1]
+            region[id(own)] = own
+    if mass:
+        most = max(mass.values())
+        keep = {r for r, n in mass.items() if n >= SHARE * most}
+        return [x[0] for k, x in enumerate(lines) if not x[4] and x[5].region is not None and id(x[5].region) in keep and not _menu(x, content[k])]
+    total = sum(lines[k][1] for k in chosen)
+    held: dict[int, int] = {}
+    nodes: dict[int, tuple[_Open, int]] = {}
+    for k in chosen:
+        at, chain = lines[k][5], []
+        while at is not None:
+            chain.append(at)
+            at = at.parent
+        for depth, at in enumerate(reversed(chain)):
+            held[id(at)] = held.get(id(at), 0) + lines[k][1]
+            nodes[id(at)] = (at, depth)
+    best = max((nodes[i][1], i) for i, n in held.items() if n >= COVER * total)[1]
+    out = []
+    for k, x in enumerate(lines):
+        at = x[5]
+        while at is not None and id(at) != best:
+            at = at.parent
+        if at is not None and not x[4] and not _menu(x, content[k]):
+            out.append(x[0])
+    return out
+
+
+def _menu(line: tuple, content: bool) -> bool:
+    """A line of links only, outside the content cluster, in a list."""
+    return not content and line[3] >= line[1] > 0 and line[5].tag == "li"
+
+
+def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+    """One row per page: the columns ``keep``, ``text`` and ``n_chars`` (its code points).
+
+    The standard library's parser streams its events; a line is the text
+    between block tags, with its text-to-tag ratio.  Ratios are smoothed with a
+    Gaussian over neighbouring lines, and lines above the threshold (a multiple
+    of the standard deviation) form the content cluster.  The regions that hold
+    the cluster, articles or else the deepest element with most of it, give the
+    text: all their lines in page order but menus, adverts, notices, forms,
+    comments of readers and other parts named as such.  References are decoded,
+    white space in a block becomes one space, blocks are joined by an empty line.
+
+    A null or empty page, or one without text, gives an empty text.  Nulls and
+    repeated rows are kept as they are; an empty table gives an empty result;
+    columns besides ``keep`` are ignored.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    source = pages.select(*keep, html_col)
+    out = pages.select(*keep).schema.add("text", "string").add("n_chars", "long")
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = ["\n\n".join(main_blocks(h.as_py() or "")) for h in b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=arrow
+            )
+
+    return source.mapInArrow(run, out)

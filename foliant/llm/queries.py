@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from foliant.llm import bpe
 from foliant.llm.embed_dedup import embedding_dedup
 from foliant.llm.exact_dedup import exact_dedup
+from foliant.llm.html_extract import extract_main_text
 from foliant.llm.minhash import near_dedup
+from foliant.llm.pii import find_personal_data
 from foliant.llm.sharding import shard
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -39,6 +41,14 @@ def tokenizer_digests(docs: DataFrame) -> DataFrame:
     return decoded.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read(spark, sf_dir, "pages"))
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(read(spark, sf_dir, "documents")).drop("base")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_digests(read(spark, sf_dir, "documents"))
 
@@ -61,6 +71,8 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
+        "op2_personal_data": op2_personal_data,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_sharding": op5_sharding,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
