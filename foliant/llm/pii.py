@@ -18,6 +18,8 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 #: A pattern needs so many different seeds of a kind.
 SUPPORT = 3
+#: An unknown instance that nothing speaks for counts against a pattern with this weight, a failed match with 1.
+DOUBT = 0.1
 #: A pattern is used, and an instance found, from this confidence on.
 CONFIDENCE = 0.8
 
@@ -159,8 +161,8 @@ def discover(mentions: DataFrame) -> DataFrame:
     ``mentions`` has ``label, instance, pattern``.  Seeds score 1 for their
     kind, failed matches 0, unknown tokens what the patterns lend them.  In
     each round a pattern's confidence for a kind is the mean score of its
-    different instances, if at least ``SUPPORT`` of them are seeds of the kind;
-    confident patterns then give each unknown instance 1 - prod(1 - confidence).
+    different instances (those unknown weigh ``DOUBT`` until scored), if at
+    least ``SUPPORT`` of them are seeds of the kind; confident patterns then give each unknown instance 1 - prod(1 - confidence).
     """
     edges = cut(mentions.distinct())
     seeds = edges.where(F.col("label").isin(*KINDS)).groupBy("pattern", F.col("label").alias("kind")).agg(F.count("*").alias("seeds"))
@@ -173,8 +175,9 @@ def discover(mentions: DataFrame) -> DataFrame:
         else:
             known = use.join(scores.withColumn("label", F.lit("maybe")), ["label", "instance", "kind"], "left").fillna(0.0, ["score"])
         value = F.when(F.col("label") == F.col("kind"), 1.0).otherwise(F.col("score"))
+        weight = F.when(F.col("label") == "maybe", value + DOUBT * (1 - value)).otherwise(1.0)
         patterns = cut(
-            known.groupBy("pattern", "kind").agg((F.sum(value) / F.count("*")).alias("confidence")).where(F.col("confidence") >= CONFIDENCE)
+            known.groupBy("pattern", "kind").agg((F.sum(value) / F.sum(weight)).alias("confidence")).where(F.col("confidence") >= CONFIDENCE)
         )
         scores = cut(
             use.where("label = 'maybe'").join(patterns, ["pattern", "kind"])
