@@ -12,8 +12,10 @@ columns, a few bytes for a word in place of a row.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +61,7 @@ class Splitter:
         import regex
 
         self.find = regex.compile(pattern).findall
-        self.odd = regex.compile(r" (?=\s|\Z)").search
+        self.odd = re.compile(r" (?:\s|\Z)").search
         self.blank = regex.compile(r"\s").match
         self.start()
 
@@ -71,6 +73,15 @@ class Splitter:
         codes = self.codes
         return tuple([codes.setdefault(w, len(codes)) for w in self.find(text)])
 
+    def _piece(self, p: str) -> tuple[int, ...]:
+        """Numbers of a space and a piece; letters, and letters with a mark at their end, need no pattern."""
+        codes = self.codes
+        if p.isalpha():
+            return (codes.setdefault(" " + p, len(codes)),)
+        if p[-1] in ".,;:!?" and p[:-1].isalpha():
+            return codes.setdefault(" " + p[:-1], len(codes)), codes.setdefault(p[-1], len(codes))
+        return self._find(" " + p)
+
     def __call__(self, text: str) -> np.ndarray:
         pieces = text.split(" ")
         if self.odd(text):
@@ -86,7 +97,7 @@ class Splitter:
         for p in pieces[1:]:
             got = memo.get(p)
             if got is None:
-                got = self._find(" " + p)
+                got = self._piece(p)
                 if len(memo) < MEMO:
                     memo[p] = got
             extend(got)
@@ -102,9 +113,7 @@ def _blocks(kind: str, pattern: str, schema: pa.Schema):
 
     def finish(block, held, split):
         words = list(split.codes)
-        n = np.zeros(len(words), dtype=np.int64)
-        for _, codes in held:
-            n += np.bincount(codes, minlength=len(words))
+        n = np.bincount(np.concatenate([codes for _, codes in held]), minlength=len(words))
         order = sorted(sorted(range(len(words)), key=words.__getitem__), key=(-n).tolist().__getitem__)
         if kind == "docs":
             rank = np.empty(len(words), dtype=np.uint32)
@@ -177,7 +186,7 @@ def _encode_words(ranks, pattern: str, schema: pa.Schema):
                     ids.append(got)
                 rows.append({
                     "block": x["block"], "part": 0, "id": None, "codes": x["codes"],
-                    "sizes": _pack([len(g) for g in ids]), "ids": _pack(np.concatenate(ids)),
+                    "sizes": _pack([len(g) for g in ids]), "ids": _pack(np.fromiter(chain.from_iterable(ids), dtype=np.uint32)),
                 })
                 if len(rows) == 500:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -272,17 +281,29 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = encoded.sparkSession
-    table = spark.sparkContext.broadcast({i: t for t, i in read_ranks(ranks_path).items()})
+    ranks = read_ranks(ranks_path)
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for t, i in ranks.items():
+        tokens[i] = t
+    table = spark.sparkContext.broadcast(tokens)
     base = encoded.drop(out_col) if out_col in encoded.columns else encoded
     schema = base.withColumn(out_col, F.lit(None).cast("binary")).schema
     arrow, at = to_arrow_schema(schema), base.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = table.value.__getitem__
+        flat, lens = np.frombuffer(b"".join(table.value), np.uint8), np.array([len(t) for t in table.value])
+        starts = np.cumsum(lens) - lens
+
+        def join(ids: np.ndarray) -> bytes:
+            n = lens[ids]
+            if not n.all() or len(ids) and ids.min() < 0:
+                raise ValueError("an id is not in the token table")
+            return flat[np.repeat(starts[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
+
         for batch in batches:
             rows, begin, size = [], 0, 0
             for k, x in enumerate(batch.column(at)):
-                rows.append(b"".join(map(get, x.values.to_pylist())) if x.is_valid else None)
+                rows.append(join(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None)
                 size += len(x.values) if x.is_valid else 0
                 if size >= CHUNK or k == batch.num_rows - 1:
                     part = batch.slice(begin, k + 1 - begin)
