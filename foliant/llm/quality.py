@@ -1,0 +1,243 @@
+"""Quality classifier by co-training of a text view and a metadata view."""
+
+from __future__ import annotations
+
+import math
+import operator
+import zlib
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from foliant.llm._common import cut
+
+#: The classifiers are fitted on at most so many labelled documents.
+LABELLED = 20_000
+#: Rounds of exchange, and pseudo-labels that a view gives the other in a round for each class.
+ROUNDS, EXCHANGED = 3, 1_000
+#: A pseudo-label needs this calibrated confidence.
+CONFIDENT = 0.98
+#: One labelled document in so many is held out for calibration.
+HELD_OUT = 4
+#: Columns of the metadata view by hash of language and source.
+LANGS, SOURCES = 16, 64
+
+_SYMBOLS = "#$%&*^~<>{}[]\\"
+
+
+def text_view(text: str | None) -> list[float]:
+    """Shares that tell prose from noise, fragments, shouting and repetition, over the whole text."""
+    # a line that recurs, such as a heading, is no repetition of words
+    words = "\n".join(dict.fromkeys((text or "").split("\n"))).split()
+    n, m = len(words), max(1, len(words))
+    share = lambda x: min(1.0, x / m)
+    return [
+        math.log1p(n) / 10,
+        share(sum(map((text or "").count, _SYMBOLS))),
+        share((text or "").count("|")),
+        share((text or "").count("!!")),
+        share(sum(len(w) > 2 and w.isupper() for w in words)),
+        share(sum(map(operator.eq, words, words[1:]))),
+        1 - len(set(words)) / m,
+    ]
+
+
+def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
+    """Length, and language and source by hash; a null has a column of its own."""
+    out = [0.0] * (3 + LANGS + SOURCES)
+    ok = n_chars is not None and n_chars == n_chars
+    out[0], out[1] = (math.log1p(max(0, n_chars)) / 10, 0.0) if ok else (0.0, 1.0)
+    out[2] = float(lang is None) + float(source is None)
+    if lang is not None:
+        out[3 + zlib.crc32(lang.encode()) % LANGS] = 1.0
+    if source is not None:
+        out[3 + LANGS + zlib.crc32(source.encode()) % SOURCES] = 1.0
+    return out
+
+
+@dataclass
+class View:
+    """A logistic model on standardised columns, then Platt's two parameters."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+    a: float = 1.0
+    b: float = 0.0
+
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.mean) / self.scale
+        raw = z @ self.weights[:-1] + self.weights[-1]
+        return self.a * raw + self.b
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:
+    x = np.column_stack([x, np.ones(len(x))])
+    w, reg = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    reg[-1] = 1e-6
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (p - y) + reg * w
+        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(reg)
+        step = np.linalg.solve(hess, grad)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def _fit(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> View:
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale < 1e-9] = 1.0
+    view = View(mean, scale, np.zeros(x.shape[1] + 1))
+    view.weights = _logistic((x - mean) / scale, y, 1.0)
+    if len(set(cy.tolist())) == 2:
+        raw = view.logit(cx)
+        # Platt's targets keep the slope finite where the classes part cleanly
+        n1, n0 = cy.sum(), len(cy) - cy.sum()
+        target = np.where(cy > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+        a, b = _logistic(raw[:, None], target, 1e-3)
+        if a > 0:
+            view.a, view.b = float(a), float(b)
+        else:  # a view that ranks held-out documents no better than chance says nothing
+            view.a, view.b = 0.0, float(np.log((n1 + 1) / (n0 + 1)))
+    return view
+
+
+@dataclass
+class Model:
+    text: View
+    meta: View
+    mix: np.ndarray  # weights of the two calibrated logits, and a constant
+
+
+def _dot(features: Column, view: View) -> Column:
+    """The calibrated logit of a feature array as one column expression."""
+    w = view.a * view.weights[:-1] / view.scale
+    const = view.a * (view.weights[-1] - float((view.weights[:-1] * view.mean / view.scale).sum())) + view.b
+    out = F.lit(float(const))
+    for k, x in enumerate(w.tolist()):
+        if x:
+            out = out + features[k] * x
+    return out
+
+
+def _views(*columns) -> Column:
+    @F.pandas_udf("text array<double>, meta array<double>")
+    def run(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({
+            "text": [text_view(t) for t in text],
+            "meta": [meta_view(*x) for x in zip(_none(lang), _none(source), _none(n_chars), strict=True)],
+        })
+
+    return run(*columns)
+
+
+def _none(s: pd.Series) -> list:
+    return [None if x is None or x != x else x for x in s.tolist()]
+
+
+def _meta(docs: DataFrame) -> list[Column]:
+    kinds = {"lang": "string", "source": "string", "n_chars": "double"}
+    return [(F.col(c) if c in docs.columns else F.lit(None)).cast(k) for c, k in kinds.items()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
+    """Co-train on labelled and unlabelled documents; None if the labels lack a class.
+
+    At most ``LABELLED`` labelled documents are used, those of lowest hash of
+    their id; a quarter of them is held out to calibrate both views.  In each
+    round both views are fitted and score all unlabelled documents in Spark;
+    each hands the other its most confident ones with the label it gives, up to
+    ``EXCHANGED`` of a class.  A logistic model on the calibrated logits combines
+    the views.  Only these bounded sets reach the driver.
+    """
+    spark = docs.sparkSession
+    known = (
+        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+        .groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
+    )
+    features = cut(
+        docs.where(F.col(id_col).isNotNull())
+        .select(F.col(id_col).alias("id"), F.xxhash64(id_col, F.lit(11)).alias("h"), _views(text_col, *_meta(docs)).alias("v"))
+        .select("id", "h", F.col("v.text").alias("t"), F.col("v.meta").alias("m"))
+    )
+    own = features.join(known, "id", "left")
+    sample = own.where("y is not null").orderBy("h", "id").limit(LABELLED).select("h", "t", "m", "y").toPandas()
+    if sample["y"].nunique() < 2:
+        return None
+    xt, xm, y = np.array(sample["t"].tolist()), np.array(sample["m"].tolist()), sample["y"].to_numpy(float)
+    held = np.arange(len(y)) % HELD_OUT == 0
+    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:  # too few to hold any out
+        held = np.zeros(len(y), dtype=bool)
+    cal = held if held.any() else ~held
+    # of each view: features and labels of its training set
+    sets = [[xt[~held], y[~held]], [xm[~held], y[~held]]]
+    pool, given = own.where("y is null").select("id", "t", "m"), []
+    for turn in range(ROUNDS + 1):
+        views = [_fit(*sets[0], xt[cal], y[cal]), _fit(*sets[1], xm[cal], y[cal])]
+        if turn == ROUNDS:
+            break
+        least = math.log(CONFIDENT / (1 - CONFIDENT))
+        scored = pool.select("id", "t", "m", _dot(F.col("t"), views[0]).alias("l0"), _dot(F.col("m"), views[1]).alias("l1"))
+        if given:
+            old = spark.createDataFrame(pd.DataFrame({"id": given}), features.select("id").schema)
+            scored = scored.join(F.broadcast(old), "id", "left_anti")  # at most 4 * EXCHANGED a round
+        fresh = []
+        for k, other in ((0, 1), (1, 0)):
+            for label, sign in ((1.0, 1), (0.0, -1)):
+                logit = F.col(f"l{k}") * sign
+                top = scored.where(logit >= least).orderBy(logit.desc(), "id").limit(EXCHANGED)
+                got = top.select("id", F.col("m" if other else "t").alias("x")).collect()
+                if got:
+                    sets[other][0] = np.vstack([sets[other][0], np.array([r.x for r in got])])
+                    sets[other][1] = np.concatenate([sets[other][1], np.full(len(got), label)])
+                    fresh += [r.id for r in got]
+        if not fresh:
+            break
+        given = sorted(set(given) | set(fresh))
+    logits = np.column_stack([views[0].logit(xt[cal]), views[1].logit(xm[cal])])
+    mix = _logistic(np.clip(logits, -20, 20), y[cal], 0.05)
+    return Model(*views, mix)
+
+
+def score(docs: DataFrame, model: Model | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``p_text, p_meta, p_quality, kept`` (replaced where they exist).
+
+    All rows are scored on their whole text; a null text counts as empty and
+    null metadata as unknown.  Without a model (labels of one class or none)
+    nothing can be told, so the scores are null and all documents are kept.
+    """
+    if model is None:
+        none = F.lit(None).cast("double")
+        return docs.withColumns({"p_text": none, "p_meta": none, "p_quality": none, "kept": F.lit(True)})
+
+    @F.pandas_udf("p_text double, p_meta double, p_quality double")
+    def run(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+        if not len(text):
+            return pd.DataFrame({"p_text": [], "p_meta": [], "p_quality": []}, dtype=float)
+        t = np.clip(model.text.logit(np.array([text_view(x) for x in text])), -20, 20)
+        m = np.clip(model.meta.logit(np.array([meta_view(*x) for x in zip(_none(lang), _none(source), _none(n_chars), strict=True)])), -20, 20)
+        both = t * model.mix[0] + m * model.mix[1] + model.mix[2]
+        return pd.DataFrame({k: 1 / (1 + np.exp(-v)) for k, v in (("p_text", t), ("p_meta", m), ("p_quality", both))})
+
+    base = docs.drop(*[c for c in ("p_text", "p_meta", "p_quality", "kept") if c in docs.columns])
+    return (
+        base.withColumn("_score", run(text_col, *_meta(docs)))
+        .withColumns({c: F.col(f"_score.{c}") for c in ("p_text", "p_meta", "p_quality")})
+        .withColumn("kept", F.col("p_quality") >= threshold)
+        .drop("_score")
+    )
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``id_col, p_text, p_meta, p_quality, kept``.
+
+    Null ids are scored too but not used for fitting; rows that repeat an id
+    are scored each by their own text; labels that disagree are averaged; an
+    empty table gives an empty result; other columns are ignored.
+    """
+    return score(docs, fit(docs, labels, id_col, text_col), text_col=text_col).select(id_col, "p_text", "p_meta", "p_quality", "kept")

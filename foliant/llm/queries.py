@@ -14,6 +14,7 @@ from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.html_extract import extract_main_text
 from foliant.llm.minhash import near_dedup
 from foliant.llm.pii import find_personal_data
+from foliant.llm.quality import classify
 from foliant.llm.sharding import shard
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -65,6 +66,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(read(spark, sf_dir, "embeddings"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_personal_data": op2_personal_data,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_sharding": op5_sharding,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_embedding_dedup": op10_embedding_dedup,
