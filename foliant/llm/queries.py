@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import bpe
+from foliant.llm import bpe, mixing
 from foliant.llm.embed_dedup import embedding_dedup
 from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.html_extract import extract_main_text
@@ -58,6 +58,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sharding": op5_sharding,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op8_mixing": op8_mixing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_embedding_dedup": op10_embedding_dedup,
     }
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_mixing": mixing.oracle(),
         "op9_exact_dedup": """
             WITH d AS (
               SELECT doc_id, sha256(translate(coalesce(text, ''),
