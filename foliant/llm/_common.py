@@ -43,6 +43,11 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _digest(edges: DataFrame):
+    """Number and order-free hash of the edges."""
+    return edges.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: ``node, component`` (smallest node).
 
@@ -58,6 +63,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .distinct()
     )
+    before = _digest(cur)
     while True:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large-star: link every larger neighbour to the smallest one
@@ -73,14 +79,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .union(moved.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        same = (
-            new.select(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-            == cur.select(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        )
+        after = _digest(new)
         for old in (low, star, low2, cur):
             drop_cut(old)
         cur = new
-        if same:
+        if after == before:
             break
+        before = after
     root = cur.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(root)
