@@ -31,7 +31,10 @@ def word_counts(docs: DataFrame, least: int = 2) -> DataFrame:
 
 def phrase_counts(docs: DataFrame, least: int = 2) -> DataFrame:
     """``phrase, ngram_len, frequency, context_window``; the context is the first line by document and line."""
-    each = [F.transform(ngrams(F.col("words"), n), lambda p, n=n: F.struct(p.alias("phrase"), F.lit(n).alias("ngram_len"))) for n in PHRASES]
+    def sized(n: int) -> Column:
+        return F.transform(ngrams(F.col("words"), n), lambda p: F.struct(p.alias("phrase"), F.lit(n).alias("ngram_len")))
+
+    each = [sized(n) for n in PHRASES]
     rows = line_words(docs).select("doc_id", "line_no", F.substring("line", 1, 120).alias("line"), F.explode(F.concat(*each)).alias("g"))
     counted = rows.groupBy("g.phrase", "g.ngram_len").agg(
         F.count("*").alias("frequency"), F.min_by("line", F.struct("doc_id", "line_no")).alias("context_window")

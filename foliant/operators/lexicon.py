@@ -90,9 +90,9 @@ def spell_check(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     own = words.select("word").distinct().where(F.length("word") >= 2)
     bare = F.regexp_replace("word", TASHKEEL, "")
     keys = F.array(
-        F.struct(F.lit(1).alias("step"), F.col("word").alias("key")), F.struct(F.lit(2), bare),
-        F.struct(F.lit(3), F.when(bare.startswith("ال") & (F.length(bare) > 3), F.substring(bare, 3, 1 << 20))),
-        F.struct(F.lit(4), F.when(F.col("word").rlike("^[A-Za-z]+$"), F.lower("word"))),
+        F.struct(F.lit(1).alias("step"), F.col("word").alias("key")), F.struct(F.lit(2).alias("step"), bare.alias("key")),
+        F.struct(F.lit(3).alias("step"), F.when(bare.startswith("ال") & (F.length(bare) > 3), F.substring(bare, 3, 1 << 20)).alias("key")),
+        F.struct(F.lit(4).alias("step"), F.when(F.col("word").rlike("^[A-Za-z]+$"), F.lower("word")).alias("key")),
     )
     probes = own.select("word", F.explode(keys).alias("k")).select("word", "k.step", "k.key").where("key is not null")
     terms = lexicon.select("term").distinct()

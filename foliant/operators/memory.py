@@ -114,7 +114,7 @@ def human_edits(before: DataFrame, after: DataFrame) -> DataFrame:
     b = after.select("doc_id", blanks("text").alias("b"))
     n = F.least(F.size("a"), F.size("b"))
     zipped = F.arrays_zip(F.slice("a", F.lit(1), n).alias("original"), F.slice("b", F.lit(1), n).alias("edited"))
-    rows = a.join(b, "doc_id").select("doc_id", F.posexplode(F.transform(zipped, lambda z: F.struct(z["0"].alias("original"), z["1"].alias("edited")))).alias("pos", "z"))
+    rows = a.join(b, "doc_id").select("doc_id", F.posexplode(zipped).alias("pos", "z"))
     return rows.select("doc_id", "pos", "z.original", "z.edited").where("original <> edited")
 
 

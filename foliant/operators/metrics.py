@@ -79,7 +79,7 @@ def rated_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     own = words.select("word").distinct()
     bare = F.regexp_replace("word", TASHKEEL, "")
     stem = F.when(bare.startswith("ال") & (F.length(bare) > 3), F.substring(bare, 3, 1 << 20))
-    keys = own.select("word", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("word").alias("term")), F.struct(F.lit(1), bare), F.struct(F.lit(2), stem))).alias("x"))
+    keys = own.select("word", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("word").alias("term")), F.struct(F.lit(1).alias("k"), bare.alias("term")), F.struct(F.lit(2).alias("k"), stem.alias("term")))).alias("x"))
     hits = keys.select("word", "x.k", "x.term").join(lexicon.select("term").distinct(), "term", "left_semi").groupBy("word").agg(F.collect_set("k").alias("hit"))
     has = lambda k: F.coalesce(F.array_contains("hit", k), F.lit(False))
     return own.join(hits, "word", "left").select("word", F.bround(word_confidence(F.col("word"), has(0), has(1), has(2), F.lit(False)), 4).alias("confidence"))

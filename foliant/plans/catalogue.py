@@ -72,7 +72,7 @@ def line_dedup(spark, sf_dir):
 
 
 @query(LINES + """, e AS (SELECT *, s = '' OR regexp_matches(s, '^(#|---|\\[|\\*\\*|>|- )') AS x, lag(s) OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM l),
-  r AS (SELECT *, sum(CASE WHEN p = s AND NOT x THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM e)
+  r AS (SELECT *, sum(CASE WHEN p = s AND NOT x THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS run FROM e)
   SELECT doc_id, line_no, line AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY line_no) AS n FROM r) WHERE x OR n <= 2""")
 def line_run_dedup(spark, sf_dir):
     return layout.limit_runs(table(spark, sf_dir, "documents"))
@@ -106,7 +106,7 @@ def doc_stats(spark, sf_dir):
     )
 
 
-@query("SELECT source, count(*) AS files, sum(strlen(text)) AS bytes FROM documents GROUP BY source")
+@query("SELECT source, count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source")
 def library_stats(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"))
 
@@ -119,7 +119,7 @@ def digital_detector(spark, sf_dir):
 
 @query(LINES + """, a AS (SELECT *, s = '' OR regexp_matches(s, '^(---|📌|#|-|\\*|\\()') AS alone FROM l),
   b AS (SELECT *, lag(alone) OVER d AS pa, lag(s) OVER d AS ps FROM a WINDOW d AS (PARTITION BY doc_id ORDER BY line_no)),
-  c AS (SELECT *, sum(CASE WHEN NOT alone AND NOT pa AND NOT regexp_matches(ps, '[.؟!:؛"»]$') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS par_no FROM b)
+  c AS (SELECT *, sum(CASE WHEN NOT alone AND NOT pa AND NOT regexp_matches(ps, '[.؟!:؛"»]$') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS par_no FROM b)
   SELECT doc_id, par_no, min(line_no) AS line_no, string_agg(s, ' ' ORDER BY line_no) AS text FROM c GROUP BY doc_id, par_no""")
 def join_broken_lines(spark, sf_dir):
     return layout.paragraphs(table(spark, sf_dir, "documents"))
@@ -129,7 +129,7 @@ def join_broken_lines(spark, sf_dir):
   c AS (SELECT *, coalesce(s <> '' AND NOT regexp_matches(s, '^(#|---|\\[|\\(|>|\\*\\*|- |س)|^\\d+[.\\-)]') AND length(s) < 80 AND NOT regexp_matches(s, '[.؟!:؛"»]$')
     AND nx <> '' AND NOT regexp_matches(nx, '^(#|---|\\[|\\(|>)'), false) AS can FROM n),
   p AS (SELECT *, lag(can) OVER (PARTITION BY doc_id ORDER BY line_no) AS pc FROM c),
-  r AS (SELECT *, sum(CASE WHEN pc THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM p),
+  r AS (SELECT *, sum(CASE WHEN pc THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS run FROM p),
   t AS (SELECT *, can AND (row_number() OVER (PARTITION BY doc_id, run ORDER BY line_no) - 1) % 2 = 0 AS takes FROM r),
   u AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS taken FROM t)
   SELECT doc_id, line_no, CASE WHEN takes THEN s || ' ' || nx ELSE s END AS text FROM u WHERE NOT taken""")
@@ -139,7 +139,7 @@ def merge_line_pairs(spark, sf_dir):
 
 @query(LINES + """, r AS (SELECT *, contains(line, '|') OR len(regexp_extract_all(line, '\\s{3,}')) >= 2 AS row FROM l),
   p AS (SELECT *, lag(row) OVER (PARTITION BY doc_id ORDER BY line_no) AS pr FROM r),
-  t AS (SELECT *, sum(CASE WHEN row AND pr THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS table_no FROM p),
+  t AS (SELECT *, sum(CASE WHEN row AND pr THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS table_no FROM p),
   c AS (SELECT doc_id, table_no, line_no, list_filter(list_transform(CASE WHEN contains(line, '|') THEN string_split(line, '|') ELSE string_split_regex(line, '\\s{3,}') END, lambda x: trim(x, ' ')), lambda x: x <> '') AS cells FROM t WHERE row),
   g AS (SELECT doc_id, table_no, count(*) AS n_rows, max(len(cells)) AS n_cols, list(cells ORDER BY line_no) AS grid FROM c GROUP BY doc_id, table_no HAVING count(*) > 1)
   SELECT doc_id, table_no, n_rows, n_cols, array_to_string(list_concat(
