@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from foliant.functions.classify import is_table_row, line_class
 from foliant.functions.unicode import strip
 from foliant.operators.corpus import lines
 
-ORDER = Window.partitionBy("doc_id").orderBy("line_no")
-SO_FAR = ORDER.rowsBetween(Window.unboundedPreceding, 0)
 #: A line that ends so is complete.
 ENDS = r"[.؟!:؛\"»]$"
 
@@ -22,6 +20,14 @@ def joined(rows: DataFrame, order: str = "line_no", text: str = "text") -> DataF
     )
 
 
+def _order() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("line_no")
+
+
+def _so_far() -> WindowSpec:
+    return _order().rowsBetween(Window.unboundedPreceding, 0)
+
+
 def drop_repeated_lines(docs: DataFrame, short: int = 20) -> DataFrame:
     """Lines without later copies (white space aside) in their document; lines shorter than ``short`` stay."""
     key = F.md5(F.regexp_replace("stripped", r"\s+", " "))
@@ -31,14 +37,14 @@ def drop_repeated_lines(docs: DataFrame, short: int = 20) -> DataFrame:
 
 def _run(same: Column) -> Column:
     """Number of the run a row is in, a run starting where ``same`` is not true."""
-    return F.sum(F.when(same, 0).otherwise(1)).over(SO_FAR)
+    return F.sum(F.when(same, 0).otherwise(1)).over(_so_far())
 
 
 def limit_runs(docs: DataFrame, most: int = 2) -> DataFrame:
     """At most ``most`` equal lines in a row; blank and marked lines stay and end a run."""
     rows = lines(docs)
     exempt = (F.col("stripped") == "") | F.col("stripped").rlike(r"^(?:#|---|\[|\*\*|>|- )")
-    rows = rows.withColumn("exempt", exempt).withColumn("run", _run((F.lag("stripped").over(ORDER) == F.col("stripped")) & ~F.col("exempt")))
+    rows = rows.withColumn("exempt", exempt).withColumn("run", _run((F.lag("stripped").over(_order()) == F.col("stripped")) & ~F.col("exempt")))
     nth = F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("line_no"))
     return rows.withColumn("nth", nth).where(F.col("exempt") | (F.col("nth") <= most)).select("doc_id", "line_no", "text")
 
@@ -51,8 +57,8 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     s = F.col("stripped")
     alone = (s == "") | s.rlike(r"^(?:---|📌|#|-|\*|\()") | F.contains(s, F.lit("تنويه"))
     rows = lines(docs).withColumn("alone", alone)
-    ended = F.lag("stripped").over(ORDER).rlike(ENDS)
-    rows = rows.withColumn("par_no", _run(~F.col("alone") & ~F.lag("alone").over(ORDER) & ~ended))
+    ended = F.lag("stripped").over(_order()).rlike(ENDS)
+    rows = rows.withColumn("par_no", _run(~F.col("alone") & ~F.lag("alone").over(_order()) & ~ended))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "stripped"))), lambda x: x["stripped"]), " ")
     return rows.groupBy("doc_id", "par_no").agg(F.min("line_no").alias("line_no"), text.alias("text"))
 
@@ -65,13 +71,13 @@ def merge_pairs(docs: DataFrame, short: int = 80) -> DataFrame:
     """
     s = F.col("stripped")
     special = s.rlike(r"^(?:#|---|\[|\(|>|\*\*|- |س)") | s.rlike(r"^\d+[.\-)]")
-    following = F.lead("stripped").over(ORDER)
+    following = F.lead("stripped").over(_order())
     can = (s != "") & ~special & (F.length(s) < short) & ~s.rlike(ENDS) & F.coalesce((following != "") & ~following.rlike(r"^(?:#|---|\[|\(|>)"), F.lit(False))
     rows = lines(docs).withColumn("can", can).withColumn("next_line", following)
     # a run of lines that can take the next: it starts after each line that cannot
-    rows = rows.withColumn("run", F.sum(F.when(F.lag("can").over(ORDER), 0).otherwise(1)).over(SO_FAR))
+    rows = rows.withColumn("run", F.sum(F.when(F.lag("can").over(_order()), 0).otherwise(1)).over(_so_far()))
     place = F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("line_no")) - 1
-    rows = rows.withColumn("takes", F.col("can") & (place % 2 == 0)).withColumn("taken", F.coalesce(F.lag("takes").over(ORDER), F.lit(False)))
+    rows = rows.withColumn("takes", F.col("can") & (place % 2 == 0)).withColumn("taken", F.coalesce(F.lag("takes").over(_order()), F.lit(False)))
     return rows.where(~F.col("taken")).select(
         "doc_id", "line_no", F.when(F.col("takes"), F.concat_ws(" ", "stripped", "next_line")).otherwise(F.col("stripped")).alias("text")
     )
@@ -82,7 +88,7 @@ def tables(docs: DataFrame) -> DataFrame:
     row = F.col("text")
     cells = F.when(F.contains(row, F.lit("|")), F.split(row, r"\|")).when(F.contains(row, F.lit("\t")), F.split(row, "\t")).otherwise(F.split(row, r"\s{3,}"))
     rows = lines(docs).withColumn("row", is_table_row(row))
-    rows = rows.withColumn("table_no", _run(F.col("row") & F.lag("row").over(ORDER))).where("row")
+    rows = rows.withColumn("table_no", _run(F.col("row") & F.lag("row").over(_order()))).where("row")
     rows = rows.withColumn("cells", F.filter(F.transform(cells, strip), lambda c: c != ""))
     grouped = rows.groupBy("doc_id", "table_no").agg(
         F.count("*").alias("n_rows"), F.max(F.size("cells")).alias("n_cols"),
@@ -112,7 +118,7 @@ def questions_in_order(docs: DataFrame) -> DataFrame:
 def markdown(docs: DataFrame) -> DataFrame:
     """``doc_id, text``: each line by its class; paragraphs that go on are joined, blank runs kept to two."""
     rows = lines(docs).withColumn("kind", line_class(F.col("text")))
-    go_on = (F.col("kind") == "paragraph") & (F.lag("kind").over(ORDER) == "paragraph") & (F.col("stripped") != "") & (F.lag("stripped").over(ORDER) != "") & ~F.lag("stripped").over(ORDER).rlike(ENDS)
+    go_on = (F.col("kind") == "paragraph") & (F.lag("kind").over(_order()) == "paragraph") & (F.col("stripped") != "") & (F.lag("stripped").over(_order()) != "") & ~F.lag("stripped").over(_order()).rlike(ENDS)
     rows = rows.withColumn("run", _run(go_on))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "stripped"))), lambda x: x["stripped"]), " ")
     block = rows.groupBy("doc_id", "run").agg(F.first("kind").alias("kind"), text.alias("t"))
