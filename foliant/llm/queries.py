@@ -12,6 +12,7 @@ from foliant.llm import bpe, mixing
 from foliant.llm.embed_dedup import embedding_dedup
 from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.html_extract import extract_main_text
+from foliant.llm.line_dedup import dedup_lines
 from foliant.llm.minhash import near_dedup
 from foliant.llm.pii import find_personal_data
 from foliant.llm.quality import classify
@@ -50,6 +51,10 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(read(spark, sf_dir, "documents")).drop("base")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read(spark, sf_dir, "documents")).drop("text")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_digests(read(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
         "op2_personal_data": op2_personal_data,
+        "op3_line_dedup": op3_line_dedup,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_sharding": op5_sharding,
         "op6_quality_classifier": op6_quality_classifier,
