@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm._common import cut
 
-#: The classifiers are fitted on at most so many labelled documents.
+#: The classifiers are fitted on about so many labelled documents, or all if there are fewer.
 LABELLED = 20_000
 #: Rounds of exchange, and pseudo-labels that a view gives the other in a round for each class.
 ROUNDS, EXCHANGED = 3, 1_000
@@ -148,8 +148,8 @@ def _meta(docs: DataFrame) -> list[Column]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
     """Co-train on labelled and unlabelled documents; None if the labels lack a class.
 
-    At most ``LABELLED`` labelled documents are used, those of lowest hash of
-    their id; a quarter of them is held out to calibrate both views.  In each
+    About ``LABELLED`` labelled documents are used, those whose hash of the id is
+    below a bound; a quarter of them is held out to calibrate both views.  In each
     round both views are fitted and score all unlabelled documents in Spark;
     each hands the other its most confident ones with the label it gives, up to
     ``EXCHANGED`` of a class.  A logistic model on the calibrated logits combines
@@ -163,10 +163,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     features = cut(
         docs.where(F.col(id_col).isNotNull())
         .select(F.col(id_col).alias("id"), F.xxhash64(id_col, F.lit(11)).alias("h"), _views(text_col, *_meta(docs)).alias("v"))
-        .select("id", "h", F.col("v.text").alias("t"), F.col("v.meta").alias("m"))
+        .select("id", "h", F.col("v.text").cast("array<float>").alias("t"), F.col("v.meta").cast("array<float>").alias("m"))
     )
     own = features.join(known, "id", "left")
-    sample = own.where("y is not null").orderBy("h", "id").limit(LABELLED).select("h", "t", "m", "y").toPandas()
+    labelled = own.where("y is not null")
+    bound = LABELLED / max(LABELLED, labelled.count())
+    sample = labelled.where(F.shiftrightunsigned("h", 11) / float(1 << 53) <= bound).select("h", "t", "m", "y").toPandas()
+    sample = sample.sort_values(["h"], kind="stable", ignore_index=True)
     if sample["y"].nunique() < 2:
         return None
     xt, xm, y = np.array(sample["t"].tolist()), np.array(sample["m"].tolist()), sample["y"].to_numpy(float)
