@@ -55,17 +55,26 @@ def _keys(line: Column, levels: list[int]) -> Column:
 
 
 def _prefix(reps: DataFrame) -> DataFrame:
-    """The first words of each line, of which two lines that match share one."""
+    """The first words of each line, of which two lines that match share one, with a map of all its words."""
     n = F.size("keys")
     length = n - F.ceil(n * NUM / DEN).cast("int") + 1
-    return reps.select("k", "p", n.alias("n"), F.posexplode(F.slice("keys", F.lit(1), length)).alias("i", "token"))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda b, k: b.bitwiseOR(bit(k)))
+    return reps.select("k", "p", n.alias("n"), bits.alias("bits"), F.posexplode(F.slice("keys", F.lit(1), length)).alias("i", "token"))
 
 
 def _may_match(a: str, b: str) -> Column:
-    """Length filter, and the positional filter at a shared prefix word."""
+    """Length filter, positional filter at a shared prefix word, and a bound from 64-bit maps of the words.
+
+    Each bit in which the maps differ stands for a word that only one line has.
+    """
     na, nb, ia, ib = (F.col(f"{x}.{c}") for c in "ni" for x in (a, b))
     most = 1 + F.least(na - ia - 1, nb - ib - 1)
-    return (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & ((NUM + DEN) * most >= NUM * (na + nb))
+    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    return (
+        (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & ((NUM + DEN) * most >= NUM * (na + nb))
+        & ((NUM + DEN) * (na + nb - apart) >= 2 * NUM * (na + nb))
+    )
 
 
 def _matching(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -106,8 +115,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prefix = _prefix(keyed_reps)
 
     leads = cut(
-        prefix.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("p", "k", "n", "i")).alias("m")).where(F.col("c") > CROWD)
-        .select("token", F.col("m.k").alias("k"), F.col("m.n").alias("n"), F.col("m.i").alias("i"))
+        prefix.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("p", "k", "n", "i", "bits")).alias("m")).where(F.col("c") > CROWD)
+        .select("token", F.col("m.k").alias("k"), F.col("m.n").alias("n"), F.col("m.i").alias("i"), F.col("m.bits").alias("bits"))
     )
     crowd = cut(
         prefix.alias("a").join(leads.alias("b"), F.col("a.token") == F.col("b.token"))
