@@ -24,6 +24,8 @@ COUNTERS = 1 << 19
 TRIPLES = 1 << 16
 #: Elements that are sampled at a time.
 CHUNK = 1 << 16
+#: Members of a bucket that a task compares with those outside its main component.
+SALTED = 512
 
 _STEP = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
@@ -134,7 +136,8 @@ def _signatures(levels, kind: pa.DataType):
             for k, text in enumerate(b.column(2)):
                 h, n = shingles(text.as_py() or "")
                 if len(h):
-                    held.append((k, h, weigh(h, n)))
+                    w = weigh(h, n)
+                    held.append((k, h, w, w.sum()))
                     size += len(h)
                 if held and (size >= CHUNK or k == b.num_rows - 1):
                     rows = pa.array([x[0] for x in held])
@@ -142,21 +145,22 @@ def _signatures(levels, kind: pa.DataType):
                     sig = sample(np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]), starts)
                     ends = pa.array(np.arange(len(held) + 1, dtype=np.int32) * (BANDS * ROWS))
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(rows), b.column(1).take(rows), pa.ListArray.from_arrays(ends, pa.array(sig.ravel()))], names=["id", "key", "sig"]
+                        [b.column(0).take(rows), b.column(1).take(rows), pa.ListArray.from_arrays(ends, pa.array(sig.ravel())), pa.array([x[3] for x in held])],
+                        names=["id", "key", "sig", "weight"],
                     )
                     held, size = [], 0
 
     return run
 
 
-def _similar(levels, threshold: float):
-    """Weighted Jaccard similarity of the two texts of each row, where it reaches the threshold."""
+def _similar(levels):
+    """Weighted Jaccard similarity of the two texts of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, weigh = Shingler(), _Weights(levels.value)
         last, own = None, None
         for b in batches:
-            ok = []
+            likeness = []
             for a, s, t in zip(b.column("a"), b.column("text_a"), b.column("text_b"), strict=True):
                 if last != a:
                     h, n = shingles(s.as_py())
@@ -165,13 +169,39 @@ def _similar(levels, threshold: float):
                 w = weigh(h, n)
                 _, i, j = np.intersect1d(own[0], h, assume_unique=True, return_indices=True)
                 both = np.minimum(own[1][i], w[j]).sum()
-                ok.append(bool(both >= threshold * (own[1].sum() + w.sum() - both) - 1e-9))
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+                likeness.append(both / (own[1].sum() + w.sum() - both))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(likeness, pa.float64())], names=["a", "b", "likeness"])
 
     return run
 
 
+def _across(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` of a bucket that no link connects yet and that can be similar.
+
+    ``members`` has ``odd, bucket, node, weight, likeness, component``, where
+    ``likeness`` is the similarity with the bucket's first leader.  The members
+    outside the main component of their bucket meet all that are in another
+    component, settled ones too.  Only pairs that cannot reach the threshold are
+    left out: 1 - similarity is a metric, so both are about as like the leader,
+    and the lighter one has at least ``threshold`` of the weight of the other.
+    """
+    parts = members.groupBy("odd", "bucket", "component").agg(F.count("*").alias("n"))
+    mixed = cut(
+        parts.groupBy("odd", "bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("main"))
+        .where("parts > 1").select("odd", "bucket", "main", F.ceil(F.col("n") / SALTED).cast("int").alias("salts"))
+    )
+    inside = cut(members.join(mixed, ["odd", "bucket"]))
+    x = inside.where("component != main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("x")
+    y = inside.withColumn("salt", F.pmod(F.xxhash64("node", "bucket"), "salts").cast("int")).alias("y")
+    near = (
+        (F.col("x.odd") == F.col("y.odd")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.salt") == F.col("y.salt"))
+        & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+        & (F.abs(F.col("x.likeness") - F.col("y.likeness")) <= 1 - threshold + 1e-6)
+        & (F.least("x.weight", "y.weight") >= (threshold - 1e-6) * F.greatest("x.weight", "y.weight"))
+    )
+    return x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col, class_id, class_size, kept``.
 
@@ -181,9 +211,11 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     and compared once.  The members of a bucket are verified against one leader
     (the smallest id in even bands, the largest in odd ones), never all against
     all; those not similar to it are dealt anew by one more sample and get
-    leaders of their own, until no bucket holds two.  So the work follows the
-    number of members, also in a bucket that holds a third of all documents,
-    and no member is dropped unverified.
+    leaders of their own, until no bucket holds two.  That settles most members
+    at a cost that follows their number.  Then the members of each bucket that
+    are not in its main component are verified against all members of other
+    components, so two documents that share a bucket of any band are in one
+    class, are compared, or are excluded by an exact bound.
 
     A null or empty text, or one without words, is like no other and stays.
     Rows with a null id are not returned.  An id stands for one document: rows
@@ -199,14 +231,23 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     )
     levels = spark.sparkContext.broadcast(shingle_levels(rows).astype(np.uint8))
     name = kind.simpleString()
-    signed = cut(rows.mapInArrow(_signatures(levels, to_arrow_type(kind)), f"id {name}, key string, sig array<int>"))
+    signed = cut(rows.mapInArrow(_signatures(levels, to_arrow_type(kind)), f"id {name}, key string, sig array<int>, weight double"))
     nodes = cut(signed.groupBy("key").agg(F.min("id").alias("node")))
     member = signed.select("id", "key").join(nodes, "key").select("id", "node").distinct()
-    sigs = cut(signed.join(nodes, "key").where("id = node").select("node", "sig").dropDuplicates(["node"]))
+    sigs = cut(signed.join(nodes, "key").where("id = node").select("node", "sig", "weight").dropDuplicates(["node"]))
 
     band = F.posexplode(F.array(*[F.xxhash64(F.lit(k), *[F.col("sig")[k * ROWS + r] for r in range(ROWS)]) for k in range(BANDS)]))
     dealt = sigs.select("node", band.alias("band", "bucket")).select((F.col("band") % 2).alias("odd"), "bucket", "node")
+    verify, linked = _similar(levels), F.col("likeness") >= threshold - 1e-9
     seen, edges, turn, used = [], [], 0, None
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return cut(
+            pairs.join(used.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+            .join(used.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+            .mapInArrow(verify, f"a {name}, b {name}, likeness double")
+        )
+
     while True:
         lead = cut(
             dealt.groupBy("odd", "bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
@@ -228,12 +269,10 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
             used = cut(
                 rows.join(involved.withColumnRenamed("node", "id"), ["id", "key"]).select(F.col("id").alias("node"), "text").dropDuplicates(["node"])
             )
-        found = cut(
-            pairs.join(used.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(used.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-            .mapInArrow(_similar(levels, threshold), f"a {name}, b {name}")
-        )
-        edges.append(found)
+        found = compared(pairs)
+        if not edges:
+            first = led.join(found, ["a", "b"]).select("odd", "bucket", "node", "likeness").union(lead.select("odd", "bucket", "leader", F.lit(1.0)))
+        edges.append(found.where(linked).select("a", "b"))
         left = led.join(_all(edges), ["a", "b"], "left_anti").select("odd", "bucket", "node")
         turn += 1
         again = F.xxhash64("bucket", F.col("sig")[(turn * 5 + 1) % (BANDS * ROWS)])
@@ -241,6 +280,15 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     out = member
     if edges:
         comp = cut(components(_all(edges)))
+        members = first.join(sigs.select("node", "weight"), "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        pairs = cut(_across(members, threshold).join(_all(seen), ["a", "b"], "left_anti"))
+        found = compared(pairs).where(linked)
+        if not found.isEmpty():  # links between components
+            of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+            ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            merged = cut(components(ends)).select(F.col("node").alias("component"), F.col("component").alias("root"))
+            alone = merged.select(F.col("component").alias("node"), "component").join(comp, "node", "left_anti")
+            comp = cut(comp.unionByName(alone).join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
         out = member.join(comp, "node", "left").select("id", F.coalesce("component", "node").alias("class_id"))
     else:
         out = member.select("id", F.col("node").alias("class_id"))

@@ -87,6 +87,48 @@ def test_near_copies(spark):
     assert got == {i: find(i) for i, _ in rows}
 
 
+def test_all_pairs_of_a_bucket_in_a_large_group(spark):
+    """Near copies with differing edits, and drifting ones: classes are the components of all links within buckets."""
+    rng = random.Random(8)
+    new = lambda: f"n{rng.randrange(10**9)}"
+    base, texts = [f"w{k}" for k in range(220)], []
+    for _ in range(350):
+        w = list(base)
+        for _ in range(rng.randint(0, 12)):
+            w[rng.randrange(len(w))] = new()
+        texts.append(w)
+    drift = list(base)
+    for _ in range(50):
+        drift = list(drift)
+        drift[rng.randrange(len(drift))] = new()
+        texts.append(drift)
+    rng.shuffle(texts)
+    texts = [" ".join(w) for w in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weigh, shingles, sample = minhash._Weights(minhash.shingle_levels(docs)), Shingler(), minhash._Sampler()
+    held = [(h, weigh(h, n)) for h, n in map(shingles, texts)]
+    parent, buckets = list(range(len(texts))), {}
+    for k, (h, w) in enumerate(held):
+        sig = sample(h, w, np.array([0]))[0].tolist()
+        for band in range(minhash.BANDS):
+            buckets.setdefault((band, *sig[band * minhash.ROWS :][: minhash.ROWS]), []).append(k)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in {(a, b) for ks in buckets.values() for a in ks for b in ks if a < b}:
+        (h, w), (g, v) = held[a], held[b]
+        _, p, q = np.intersect1d(h, g, assume_unique=True, return_indices=True)
+        both = np.minimum(w[p], v[q]).sum()
+        if both >= 0.8 * (w.sum() + v.sum() - both) - 1e-9:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.class_id for r in minhash.near_dedup(docs).collect()}
+    assert got == {k: find(k) for k in range(len(texts))}
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     rng = np.random.default_rng(0)
     sample, n = minhash._Sampler(), 0
