@@ -18,7 +18,7 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 #: A pattern needs so many different seeds of a kind.
 SUPPORT = 3
-#: An unknown instance that nothing speaks for counts against a pattern with this weight, a failed match with 1.
+#: An unknown instance that nothing speaks for counts against a pattern with this weight, a failed match too short for an identifier with 1.
 DOUBT = 0.1
 #: A pattern is used, and an instance found, from this confidence on.
 CONFIDENCE = 0.8
@@ -30,6 +30,7 @@ _IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}").match
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+").match
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").match
 _DIGIT = re.compile(r"[0-9]").findall
+_MARK = re.compile(r"[0-9@]").search
 _TOKEN = re.compile(r"[^\s\"'<>()\[\]{},;|]+").finditer
 _EDGE = re.compile(r"^[^\w@]+|[^\w@:]+$")
 
@@ -109,25 +110,57 @@ def _context(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def _unknown(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """Tokens of the shape of an identifier (four digits or an at sign) that no base match touches."""
-    if not _DIGIT(text) and "@" not in text:
+def _unknown(text: str, good: list[tuple[str, int, int]], bad: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans of the shape of an identifier (four digits or an at sign) that no valid match touches.
+
+    They are tokens, and matches that fail their check grown to the tokens in
+    which they begin and end, spaces between included.  Of a token that a valid
+    match touches, only what lies beside it and holds a failed match counts.
+    """
+    if not _MARK(text):
         return
-    spans = sorted((a, b) for _, a, b in taken)
+    valid = sorted((a, z) for _, a, z in good)
+    failed = []
     k = 0
-    for m in _TOKEN(text):
-        word = m.group()
-        if "@" not in word and len(_DIGIT(word)) < 4:
-            continue
-        start, end = m.start(), m.end()
-        while end > start and not (text[end - 1].isalnum()):
-            end -= 1
-        while start < end and not (text[start].isalnum() or text[start] in "+@"):
-            start += 1
-        while k < len(spans) and spans[k][1] <= start:
+    for a, z in sorted((a, z) for _, a, z in bad):
+        while k < len(valid) and valid[k][1] <= a:
+            k += 1
+        if not (k < len(valid) and valid[k][0] < z):
+            failed.append((a, z))
+    tokens = [m.span() for m in _TOKEN(text) if _MARK(m.group())]
+    spans: list[list[int]] = []
+    for a, z in sorted(tokens + failed):
+        if spans and a < spans[-1][1]:
+            spans[-1][1] = max(z, spans[-1][1])
+        else:
+            spans.append([a, z])
+    k = f = 0
+    for start, end in spans:
+        while k < len(valid) and valid[k][1] <= start:
             k += 1
-        if end - start >= 4 and not any(a < end for a, b in spans[k : k + 4] if b > start):
-            yield start, end
+        pieces, at, touched, v = [], start, False, k
+        while v < len(valid) and valid[v][0] < end:
+            touched = True
+            pieces.append((at, valid[v][0]))
+            at = max(at, valid[v][1])
+            v += 1
+        pieces.append((at, end))
+        for a, z in pieces:
+            while f < len(failed) and failed[f][0] < a:
+                f += 1
+            if touched and not (f < len(failed) and failed[f][1] <= z):
+                continue
+            while z > a and not text[z - 1].isalnum():
+                z -= 1
+            while a < z and not (text[a].isalnum() or text[a] in "+@"):
+                a += 1
+            if z - a >= 4 and (text.find("@", a, z) >= 0 or len(_DIGIT(text[a:z])) >= 4):
+                yield a, z
+
+
+def _key(instance: str) -> str:
+    """Stands for a whole instance, however long."""
+    return hashlib.blake2b(instance.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 _MENTION = T.ArrayType(
@@ -143,11 +176,20 @@ def _mentions(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[
             text = text.as_py() or ""
             good, bad = base_spans(text)
             mentions = []
-            for label, spans in (("", good), ("no", bad), ("maybe", [("", a, z) for a, z in _unknown(text, good + bad)])):
+            maybe = [("", a, z) for a, z in _unknown(text, good, bad)]
+            taken = sorted((a, z) for _, a, z in good + maybe)
+            no, last, k = [], 0, 0
+            for kind, start, end in sorted(bad, key=lambda x: x[1:]):  # too short for an identifier: these speak against a context
+                while k < len(taken) and taken[k][0] < end:
+                    last = max(last, taken[k][1])
+                    k += 1
+                if last <= start:
+                    no.append((kind, start, end))
+            for label, spans in (("", good), ("no", no), ("maybe", maybe)):
                 for kind, start, end in spans:
                     patterns = _context(text, start, end)
-                    if patterns and (label != "no" or not any(a < end and start < z for _, a, z in good)):
-                        mentions.append({"label": label or kind, "instance": text[start:end][:200], "start": start, "stop": end, "patterns": patterns})
+                    if patterns:
+                        mentions.append({"label": label or kind, "instance": _key(text[start:end]), "start": start, "stop": end, "patterns": patterns})
             base = joined(good)
             counts = [sum(k == kind for k, _, _ in good) for kind in KINDS]
             rows.append((*counts, hashlib.sha256(base.encode()).hexdigest(), base, mentions))
@@ -159,7 +201,7 @@ def discover(mentions: DataFrame) -> DataFrame:
     """Found instances: ``instance, kind``.
 
     ``mentions`` has ``label, instance, pattern``.  Seeds score 1 for their
-    kind, failed matches 0, unknown tokens what the patterns lend them.  In
+    kind, failed matches too short for an identifier 0, unknown ones what the patterns lend them.  In
     each round a pattern's confidence for a kind is the mean score of its
     different instances (those unknown weigh ``DOUBT`` until scored), if at
     least ``SUPPORT`` of them are seeds of the kind; confident patterns then give each unknown instance 1 - prod(1 - confidence).
@@ -192,14 +234,15 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Base spans are the leftmost non-overlapping matches of each kind over the
     whole text that pass its check; ``spans`` holds them and, as ``found_<kind>``,
-    what :func:`discover` adds: unknown tokens of the shape of an identifier in
-    contexts that almost only seeds of the kind have.  Positions are code
+    what :func:`discover` adds: unknown tokens of the shape of an identifier, and
+    failed matches grown to whole tokens, in contexts that almost only seeds of
+    the kind have.  Positions are code
     points, ends exclusive; spans go by kind, then start.
 
     A null text counts as empty and has no spans.  Null and repeated ids are
     kept, one row each, with the spans of their own text; an empty table gives
-    an empty result; other columns are ignored.  Instances are compared by
-    their first 200 characters.
+    an empty result; other columns are ignored.  Instances are compared by a
+    hash of the whole span.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 

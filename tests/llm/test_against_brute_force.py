@@ -186,6 +186,24 @@ def test_contexts_discover(spark):
     assert got[99] == "found_email:33:46" and got[98] == "" and got[3].startswith("email:33:")
 
 
+def test_contexts_discover_numbers(spark):
+    rows = [(i, f"for help call by phone: +49 30 12345{i:02d} any day") for i in range(40)]
+    rows += [(100 + i, f"for help call by phone: 030 76543{i:02d} any day") for i in range(20)]
+    rows += [(200 + i, f"to pay use my card: {n} for this") for i, n in enumerate(("4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "6011 0000 0000 0004"))]
+    rows += [(300, "to pay use my card: DE89 3704 0044 0532 0130 00 for this"), (301, "write to user12@localhost 2020 or 12 of 1999")]
+    got = {r.doc_id: r.spans for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(20):
+        assert got[100 + i] == f"found_phone:24:{24 + len('030 7654300')}"
+    assert got[3] == "phone:24:38" and got[200] == "card:20:39"
+    assert got[300] == f"found_card:20:{20 + len('DE89 3704 0044 0532 0130 00')}" and got[301] == ""
+
+
+def test_long_instances_differ_past_200_characters(spark):
+    from foliant.llm.pii import _key
+
+    assert _key("1" * 200 + "a") != _key("1" * 200 + "b")
+
+
 def test_shards_are_near_equal(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = shard(docs).toPandas()
