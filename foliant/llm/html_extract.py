@@ -15,16 +15,14 @@ from pyspark.sql import DataFrame
 RADIUS, SIGMA = 2, 1.0
 #: Lines are content where the smoothed ratio exceeds this many standard deviations.
 LAMBDA = 1.0
-#: Regions with this share of the largest region's content are kept too.
-SHARE = 1 / 3
-#: A region grows to the ancestor that holds this share of all content.
-COVER = 0.8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var".split()
 )
+#: Parts of a text; the region of a page is never one of them alone.
+TEXTUAL = frozenset("p li dt dd td th tr h1 h2 h3 h4 h5 h6 hgroup header blockquote pre caption figcaption figure address summary".split())
 #: Inside these nothing is main text.
 OUTSIDE = frozenset(
     "head nav footer aside form script style noscript template button select option textarea iframe svg canvas "
@@ -184,38 +182,38 @@ def main_blocks(html: str) -> list[str]:
     if not inside:
         return []
     chosen = [k for k in inside if content[k]] or inside
-    # regions: articles that hold content lines, or else the element with most of the content
-    mass: dict[int, int] = {}
-    region: dict[int, _Open] = {}
-    for k in chosen:
-        own = lines[k][5].region
-        if own is not None:
-            mass[id(own)] = mass.get(id(own), 0) + lines[k][1]
-            region[id(own)] = own
-    if mass:
-        most = max(mass.values())
-        keep = {r for r, n in mass.items() if n >= SHARE * most}
+    # regions: all articles that hold content lines, or else the lowest element that holds all of them
+    keep = {id(lines[k][5].region) for k in chosen if lines[k][5].region is not None}
+    if keep:
         return [x[0] for k, x in enumerate(lines) if not x[4] and x[5].region is not None and id(x[5].region) in keep and not _menu(x, content[k])]
-    total = sum(lines[k][1] for k in chosen)
-    held: dict[int, int] = {}
-    nodes: dict[int, tuple[_Open, int]] = {}
+    shared: list[_Open] = []
     for k in chosen:
-        at, chain = lines[k][5], []
-        while at is not None:
-            chain.append(at)
+        chain = _chain(lines[k][5])
+        shared = [a for a, b in zip(shared, chain, strict=False) if a is b] if shared else chain
+    while len(shared) > 1 and (shared[-1].tag in TEXTUAL or shared[-1].tag in INLINE):
+        shared.pop()
+    best = shared[-1]
+    inner: dict[int, bool] = {id(best): True}
+
+    def within(at: _Open | None) -> bool:
+        path = []
+        while at is not None and id(at) not in inner:
+            path.append(id(at))
             at = at.parent
-        for depth, at in enumerate(reversed(chain)):
-            held[id(at)] = held.get(id(at), 0) + lines[k][1]
-            nodes[id(at)] = (at, depth)
-    best = max((nodes[i][1], i) for i, n in held.items() if n >= COVER * total)[1]
+        answer = at is not None and inner[id(at)]
+        inner.update(dict.fromkeys(path, answer))
+        return answer
+
+    return [x[0] for k, x in enumerate(lines) if not x[4] and within(x[5]) and not _menu(x, content[k])]
+
+
+def _chain(at: _Open | None) -> list[_Open]:
+    """The element and those around it, from the root on."""
     out = []
-    for k, x in enumerate(lines):
-        at = x[5]
-        while at is not None and id(at) != best:
-            at = at.parent
-        if at is not None and not x[4] and not _menu(x, content[k]):
-            out.append(x[0])
-    return out
+    while at is not None:
+        out.append(at)
+        at = at.parent
+    return out[::-1]
 
 
 def _menu(line: tuple, content: bool) -> bool:
@@ -230,8 +228,8 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str,
     between block tags, with its text-to-tag ratio.  Ratios are smoothed with a
     Gaussian over neighbouring lines, and lines above the threshold (a multiple
     of the standard deviation) form the content cluster.  The regions that hold
-    the cluster, articles or else the deepest element with most of it, give the
-    text: all their lines in page order but menus, adverts, notices, forms,
+    the cluster, all articles with lines of it or else the lowest element (never
+    a paragraph, list item or heading) around all of it, give the text: all their lines in page order but menus, adverts, notices, forms,
     comments of readers and other parts named as such.  References are decoded,
     white space in a block becomes one space, blocks are joined by an empty line.
 

@@ -229,6 +229,16 @@ def test_pages_give_their_articles(spark):
     assert main_blocks(page) == ["Story & more", "First with a link and words that go on for a while yes.", "Short."]
 
 
+def test_pages_keep_heading_lead_and_short_paragraphs():
+    long, short = "word " * 180, "short words " * 8
+    one = f"<body><nav><a href=/>Home</a></nav><div><h1>A heading of words</h1><p>{long}</p><p>{short}1</p><p>{short}2</p></div><footer>(c)</footer></body>"
+    assert main_blocks(one) == ["A heading of words", long.strip(), f"{short}1", f"{short}2"]
+    lead = f"<body><div class=top><h1>A heading of words</h1><p>{short}lead</p></div><div class=text><p>{long}</p><p>{short}1</p></div></body>"
+    assert main_blocks(lead) == ["A heading of words", f"{short}lead", long.strip(), f"{short}1"]
+    articles = f"<body><article><p>{long}</p><p>{long}</p></article><article><p>{short * 4}</p></article></body>"
+    assert main_blocks(articles) == [long.strip()] * 2 + [(short * 4).strip()]
+
+
 def test_lines_match_all_pairs(spark):
     rng = random.Random(6)
     words = [f"w{k}" for k in range(60)]
