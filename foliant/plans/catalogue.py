@@ -289,8 +289,7 @@ def fuzzy_candidates(spark, sf_dir):
 
 @query()
 def weighted_candidates(spark, sf_dir):
-    words = table(spark, sf_dir, "benchmark").select(F.explode(blanks(F.lower("text"))).alias("word"))
-    return lexicon.candidates(words, _terms(spark))
+    return lexicon.candidates(_words(spark, sf_dir), _terms(spark))
 
 
 RATED = WORDS + f""", x(term) AS (VALUES {TERM_VALUES}), d AS (SELECT DISTINCT unnest(words) AS word FROM w), c AS (SELECT word, length(word) AS n, len(regexp_extract_all(word, '[A-Za-z]')) AS latin,
@@ -311,7 +310,7 @@ def confidence_histogram(spark, sf_dir):
 
 @query()
 def confidence_by_kind(spark, sf_dir):
-    words = table(spark, sf_dir, "benchmark").select(F.explode(blanks(F.lower("text"))).alias("word"))
+    words = _words(spark, sf_dir)
     return metrics.confidence_summary(words.select(F.col("word").alias("token")), metrics.corrected_words(words, _terms(spark)))
 
 

@@ -1,7 +1,12 @@
 """Queries without SQL against brute force on small tables."""
 
+import inspect
+import re
+from collections import defaultdict
+
 import pytest
 
+from foliant.operators import lexicon
 from foliant.plans import catalogue
 
 
@@ -21,3 +26,50 @@ def test_word_errors_of_whole_texts(spark, tmp_path):
     for k, t in enumerate(texts):
         read, true = t.replace("th", "t").replace("e ", " ").split(), t.split()
         assert got[k] == pytest.approx(distance(read, true) / len(true), abs=1e-4) and got[k] > 0
+
+
+TEXTS = ["the thc Erin erin ab aab x 77 1234", "hand hond under\nundar THE tion t1on ttt ttttt", "zz the and"]
+LIKE = lexicon.confusion_table()
+
+
+def documents(spark, path):
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return [w for t in TEXTS for w in re.findall(r"\w+", t)]
+
+
+def near(word, reach, least):
+    """Terms by falling similarity."""
+    if len(word) < 3:
+        return []
+    found = [(1 - lexicon.weighted_distance(word, t, LIKE) / max(len(word), len(t)), t) for t in catalogue.TERMS if abs(len(word) - len(t)) <= reach]
+    return sorted(((s, t) for s, t in found if s >= least), key=lambda x: (-x[0], x[1]))
+
+
+def test_candidates_of_all_document_words(spark, tmp_path):
+    words = set(documents(spark, tmp_path))
+    reach, least = (inspect.signature(lexicon.candidates).parameters[k].default for k in ("distance", "least"))
+    want = {(w, t): round(s, 6) for w in words for s, t in near(w, reach, least)}
+    got = catalogue.queries()["weighted_candidates"](spark, str(tmp_path)).collect()
+    assert {(r.word, r.term): round(r.similarity, 6) for r in got} == want and want
+
+
+def test_kinds_of_all_document_words(spark, tmp_path):
+    found = defaultdict(list)
+    for w in documents(spark, tmp_path):
+        n, most, known = len(w), max(map(w.count, w)), [t for t in catalogue.TERMS if t.lower() == w.lower()] if len(w) > 1 else []
+        sure = 1 - (0.5 if n <= 1 else 0.2 if n == 2 else 0) - 0.3 * (most > n * 0.6) - 0.3 * (most > n * 0.8) + 0.25 * (w in catalogue.TERMS)
+        sure = round(max(0.05, min(1.0, sure)), 4) if re.search("[A-Za-z]", w) else 0.3
+        close, far = near(w, 1, 0.7), [x for x in near(w, 2, 0.3) if x[0] >= 0.5]
+        if n < 2:
+            kind, sure = "low", 0.5
+        elif sure >= 0.9:
+            kind = "exact"
+        elif known:
+            kind, sure = ("lexicon", 0.95) if w in known else ("dictionary", 0.9)
+        elif sure >= 0.7 and close:
+            kind, sure = "confusion", close[0][0]
+        else:
+            kind, sure = "low_confidence", far[0][0] if sure < 0.7 and far else sure
+        found[kind].append(sure)
+    got = {r.kind: (r.n, r.avg_confidence) for r in catalogue.queries()["confidence_by_kind"](spark, str(tmp_path)).collect()}
+    assert got == {k: (len(v), pytest.approx(sum(v) / len(v), abs=1e-4)) for k, v in found.items()}
