@@ -5,17 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a map that tells which keys surely do not occur; it travels with the plan.
+MARKS = 1 << 22
+
 _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a local one only where it is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that ``spark.checkpoint.dir`` names, or the one set on the context.
+
+    Only a local session without either gets a temporary folder of its own; on
+    a cluster that would be invisible to the executors, so it is an error there.
+    """
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="foliant-")
     return _LOCAL["dir"]
@@ -33,14 +43,45 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind a frame that :func:`cut` returned, once nothing reads them."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/cut-" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_cut(*frames: DataFrame) -> None:
+    """Delete the files behind frames that :func:`cut` returned, once nothing reads them."""
+    for df in frames:
+        spark = df.sparkSession
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/cut-" in parent:
+                path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    They stay until the driver happens to collect its garbage, which may be
+    never on a large heap; what has been cut does not need them any more.
+    """
+    spark._jvm.System.gc()
+
+
+def _mark(*keys: str) -> Column:
+    return F.xxhash64(*keys).bitwiseAND(F.lit(MARKS - 1))
+
+
+def marks(rows: DataFrame, *keys: str) -> list[int]:
+    """A map of ``MARKS`` bits, as 64-bit words, of the hashes of ``keys``; its size is fixed whatever the input."""
+    parts = rows.select(_mark(*keys).alias("v")).groupBy(F.shiftright("v", 15).alias("part")).agg(
+        F.bitmap_construct_agg(F.col("v").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")
+    )
+    out = np.zeros(MARKS // 64, dtype="<i8")
+    for part, bits in parts.collect():
+        out[part * 512 : (part + 1) * 512] = np.frombuffer(bytes(bits), dtype="<i8")
+    return out.tolist()
+
+
+def marked(rows: DataFrame, bits: list[int], *keys: str) -> DataFrame:
+    """The rows whose ``keys`` may be among those that :func:`marks` saw: all of these, and a few more."""
+    table = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<long>")  # folded to a literal once
+    v = _mark(*keys)
+    return rows.where(F.getbit(F.get(table, F.shiftright(v, 6).cast("int")), v.bitwiseAND(F.lit(63)).cast("int")) == 1)
 
 
 def _digest(edges: DataFrame):

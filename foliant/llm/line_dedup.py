@@ -1,4 +1,4 @@
-"""Line de-duplication by an exact set-similarity join, in DataFrame functions only."""
+"""Line de-duplication by a prefix-filtered set-similarity join, in DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._common import cut
+from foliant.llm._common import cut, drop_cut, marked, marks, release
 
 #: Similarity from which lines match, as a fraction, so that tests on counts are exact.
 NUM, DEN = 4, 5
@@ -15,17 +15,24 @@ NUM, DEN = 4, 5
 COUNTERS = 1 << 16
 #: Groups of more lines than this meet their earliest line first.
 CROWD = 16
+#: A word of this level (twice the binary logarithm of its count) is a key only with the next word that two lines share.
+COMMON = 26
+#: A table of up to so many leading lines is broadcast, a longer one is shuffled.
+SHIPPED = 100_000
+
+_LOW = (1 << 31) - 1
 
 
 def line_tokens(line: Column) -> Column:
-    """Distinct words of a line in lower case; words are what blanks part."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.translate(line, "\t\r\x0b\x0c", "    ")), " "), lambda w: w != ""))
+    """Words of a line in lower case; words are what blanks part."""
+    return F.split(F.lower(F.translate(line, "\t\r\x0b\x0c", "    ")), " ")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``d, h, l, line``: document id, hash of the row, number and text of each line."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("d"), F.xxhash64(id_col, text).alias("h"), F.posexplode(F.split(text, "\n")).alias("l", "line"))
+    rows = docs.select(F.col(id_col).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select("d", F.xxhash64("d", "text").alias("h"), F.split("text", "\n").alias("lines"))
+    return rows.select("d", "h", F.posexplode("lines").alias("l", "line"))
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
@@ -35,58 +42,73 @@ def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
     is the same for all lines even where words share a counter, so the join
     stays exact; only its speed depends on how well the levels tell words apart.
     """
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[ \n]")).alias("w"))
+    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "\n", " ")
+    words = docs.select(F.explode(line_tokens(text)).alias("w"))
     levels = [0] * COUNTERS
-    for bucket, n in words.groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).alias("b")).agg(F.count("*").alias("n")).collect():
+    for bucket, n in words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("b")).agg(F.count("*").alias("n")).collect():
         levels[bucket] = min(62, int(2 * math.log2(n)))
     return levels
 
 
 def _keys(line: Column, levels: list[int]) -> Column:
-    """Words of a line as numbers, rarest first: six bits of level, then 57 of hash."""
-    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")  # folded to a literal once
-
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        level = F.get(table, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long")
-        return F.shiftleft(level, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+    """Distinct words of a line as numbers, rarest first: six bits of level, then 57 of hash."""
+    table = F.split(F.lit(",".join(str(x << 57) for x in levels)), ",").cast("array<long>")  # folded to a literal once
+    hashes = F.array_remove(F.array_distinct(F.transform(line_tokens(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    at = lambda h: F.get(table, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int"))
+    return F.sort_array(F.transform(hashes, lambda h: at(h).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
-    return F.sort_array(F.transform(line_tokens(line), key))
 
+def _signature(common: int) -> Column:
+    """Keys of which two lines that match share one, with the overlap that is possible from there.
 
-def _prefix(reps: DataFrame) -> DataFrame:
-    """The first words of each line, of which two lines that match share one, with a map of all its words."""
+    Two lines that match share a word of their prefixes.  A word from the level
+    ``common`` on, found last in a prefix, is replaced by its pairs with the words
+    after it up to one beyond the prefix, where the next shared word must be.  An
+    entry holds 31 bits of the key's hash and, above them, the largest overlap.
+    Lines of fewer words than ``NUM / (DEN - NUM)`` match only equal sets.
+    """
     n = F.size("keys")
     length = n - F.ceil(n * NUM / DEN).cast("int") + 1
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda b, k: b.bitwiseOR(bit(k)))
-    return reps.select("k", "p", n.alias("n"), bits.alias("bits"), F.posexplode(F.slice("keys", F.lit(1), length)).alias("i", "token"))
+    entry = lambda h, most: F.shiftleft(most.cast("long"), 31).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
+    rare = F.size(F.filter(F.slice("keys", F.lit(1), length), lambda k: k < F.lit(common << 57)))
+    single = F.transform(F.slice("keys", F.lit(1), rare), lambda k, i: entry(k, n - i))
+    paired = F.flatten(F.transform(
+        F.sequence(rare, length - 1),
+        lambda i: F.transform(F.slice("keys", i + 2, length - i), lambda q, j: entry(F.xxhash64(F.get("keys", i), q), n - i - j)),
+    ))
+    none = F.array().cast("array<long>")
+    return F.when(n * (DEN - NUM) < NUM, none).when(rare == length, single).otherwise(F.concat(single, paired))
 
 
-def _may_match(a: str, b: str) -> Column:
-    """Length filter, positional filter at a shared prefix word, and a bound from 64-bit maps of the words.
+def _prefix(reps: DataFrame) -> DataFrame:
+    """A row for each key of a line: ``token, r, n, m, bits``."""
+    rows = reps.select("r", "n", "bits", F.explode("signature").alias("s"))
+    return rows.select(F.col("s").bitwiseAND(F.lit(_LOW)).cast("int").alias("token"), "r", "n", F.shiftright("s", 31).cast("int").alias("m"), "bits")
 
-    Each bit in which the maps differ stands for a word that only one line has.
-    """
-    na, nb, ia, ib = (F.col(f"{x}.{c}") for c in "ni" for x in (a, b))
-    most = 1 + F.least(na - ia - 1, nb - ib - 1)
+
+def _may_match(a: str, b: str) -> Column:
+    """Length filter, and a bound from 64-bit maps of the words: each bit in which they differ stands for a word of one line only."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    return (
-        (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & ((NUM + DEN) * most >= NUM * (na + nb))
-        & ((NUM + DEN) * (na + nb - apart) >= 2 * NUM * (na + nb))
-    )
+    return (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & ((NUM + DEN) * apart <= (DEN - NUM) * (na + nb))
 
 
-def _matching(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``k``: the later lines of the candidate pairs (k, other) whose Jaccard similarity reaches the threshold."""
-    involved = pairs.select(F.explode(F.array("k", "other")).alias("k")).distinct()
-    used = cut(reps.select("k", "keys").join(involved, "k", "left_semi"))
-    both = pairs.join(used.withColumnRenamed("keys", "x"), "k").join(used.select(F.col("k").alias("other"), F.col("keys").alias("y")), "other")
+def _matching(pairs: DataFrame, reps: DataFrame, lines: DataFrame, levels: list[int]) -> DataFrame:
+    """``r``: the later lines of the candidate pairs (r, other) whose Jaccard similarity reaches the threshold."""
+    involved = cut(pairs.select(F.explode(F.array("r", "other")).alias("r")).distinct().join(reps.select("r", "d", "h", "l"), "r"))
+    near = marked(lines, marks(involved, "h", "l"), "h", "l")  # lines that are surely not involved go before the shuffle
+    used = cut(
+        near.alias("x").join(involved.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.l") == F.col("y.l")) & F.col("x.d").eqNullSafe(F.col("y.d")))
+        .select("r", "line").dropDuplicates(["r"]).select("r", _keys(F.col("line"), levels).alias("keys"))
+    )
+    both = pairs.join(used.withColumnRenamed("keys", "x"), "r").join(used.select(F.col("r").alias("other"), F.col("keys").alias("y")), "other")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where((NUM + DEN) * shared >= NUM * (F.size("x") + F.size("y"))).select("k").distinct()
+    found = cut(both.where((NUM + DEN) * shared >= NUM * (F.size("x") + F.size("y"))).select("r").distinct())
+    drop_cut(used, involved)
+    return found
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON, shipped: int = SHIPPED) -> DataFrame:
     """One row per input row: ``id_col, n_lines, n_removed, removed, text``.
 
     Lines are ordered by document id (null first), then by a hash of the row,
@@ -95,50 +117,69 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lower-case words.  ``removed`` lists the numbers of removed lines from 0, and
     ``text`` is what is left.  Lines without words always stay.
 
-    Lines of equal word sets form a class whose first line stands for it.
-    Words are ordered by rarity; lines that share a word of their prefixes and
-    pass the length and positional filters are candidates.  Where a word brings
-    more than ``CROWD`` lines together, each meets the earliest first, and what
-    that removes is not compared again, so a group of near copies costs a pair
-    for each member and not for each two; the others are compared in full.
+    Lines of equal word sets form a class whose first line stands for it; these
+    are numbered in order.  Words are ordered by rarity; lines that share a key
+    of their prefixes (see :func:`_signature`) and pass the length and positional
+    filters are candidates.  Where a key brings more than ``CROWD`` lines
+    together, each meets the earliest first, and what that removes is not
+    compared again, so a group of near copies costs a pair for each member and
+    not for each two; the others are compared in full.
 
     A null text counts as empty.  Rows that repeat id and text are one document
     and share its fate.  An empty table gives an empty result; other columns are
-    ignored.  Words and sets are compared by 64-bit hashes.
+    ignored.  Words are compared by 57 bits of their hash, sets by 96.
     """
     levels = rarity(docs, text_col)
     lines = _lines(docs, id_col, text_col)
-    keyed = lines.withColumn("keys", _keys(F.col("line"), levels)).where(F.size("keys") > 0)
-    first = F.min(F.struct(F.struct("d", "h", "l").alias("p"), F.col("line").alias("line")))
-    reps = cut(keyed.select("d", "h", "l", "line", F.xxhash64("keys").alias("k")).groupBy("k").agg(first.alias("m")).select("k", "m.p", "m.line"))
-    keyed_reps = reps.select("k", "p", _keys(F.col("line"), levels).alias("keys"))
-    prefix = _prefix(keyed_reps)
-
-    leads = cut(
-        prefix.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("p", "k", "n", "i", "bits")).alias("m")).where(F.col("c") > CROWD)
-        .select("token", F.col("m.k").alias("k"), F.col("m.n").alias("n"), F.col("m.i").alias("i"), F.col("m.bits").alias("bits"))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    sets = cut(
+        lines.select("d", "h", "l", _keys(F.col("line"), levels).alias("keys")).select(
+            "d", "h", "l", F.xxhash64("keys").alias("k"), F.hash("keys").alias("k2"), F.size("keys").alias("n"),
+            F.aggregate("keys", F.lit(0).cast("long"), lambda b, k: b.bitwiseXOR(bit(k))).alias("bits"), _signature(common).alias("signature"),
+        )
+    )
+    some = sets.where("n > 0")
+    reps = cut(
+        some.groupBy("k", "k2").agg(F.min(F.struct("d", "h", "l", "n", "bits", "signature")).alias("m")).select("k", "k2", "m.*")
+        .orderBy(F.col("d").asc_nulls_first(), "h", "l").withColumn("r", F.monotonically_increasing_id())
     )
+    first = reps.select("k", "k2", F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("l").alias("l0"))
+    again = cut(
+        some.select("k", "k2", "d", "h", "l").join(first, ["k", "k2"])
+        .where(~(F.col("d").eqNullSafe(F.col("d0")) & (F.col("h") == F.col("h0")) & (F.col("l") == F.col("l0")))).select("d", "h", "l")
+    )
+    drop_cut(sets)
+    release(docs.sparkSession)
+
+    prefix = _prefix(reps)
+    crowded = prefix.groupBy("token").agg(F.count("*").alias("c"), F.min("r").alias("r")).where(F.col("c") > CROWD)
+    leads = cut(crowded.join(reps.select("r", "n", "bits"), "r").select("token", "r", "n", "bits"))
+    small = leads.count() <= shipped
     crowd = cut(
-        prefix.alias("a").join(leads.alias("b"), F.col("a.token") == F.col("b.token"))
-        .where((F.col("a.k") != F.col("b.k")) & _may_match("a", "b")).select(F.col("a.k").alias("k"), F.col("b.k").alias("other")).distinct()
+        prefix.alias("a").join((F.broadcast(leads) if small else leads).alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.r") > F.col("b.r")) & _may_match("a", "b"))
+        .select(F.col("a.r").alias("r"), F.col("b.r").alias("other")).distinct()
     )
-    done = cut(_matching(crowd, keyed_reps))
-    later = _prefix(keyed_reps.join(done, "k", "left_anti"))
+    done = _matching(crowd, reps, lines, levels)
+    release(docs.sparkSession)
+    later = _prefix(reps.join(done, "r", "left_anti"))
+    fits = (NUM + DEN) * F.least("a.m", "b.m") >= NUM * (F.col("a.n") + F.col("b.n"))
     pairs = cut(
-        later.alias("a").join(prefix.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("b.p") < F.col("a.p")) & _may_match("a", "b"))
-        .select(F.col("a.k").alias("k"), F.col("b.k").alias("other")).distinct()
+        later.alias("a").join(prefix.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("b.r") < F.col("a.r")) & fits & _may_match("a", "b"))
+        .select(F.col("a.r").alias("r"), F.col("b.r").alias("other")).distinct()
     )
-    gone = done.union(_matching(pairs, keyed_reps))
-
-    fate = cut(reps.select("k", "p").join(gone.withColumn("gone", F.lit(True)), "k", "left"))
-    place = keyed.select("h", "l", F.struct("d", "h", "l").alias("own"), F.xxhash64("keys").alias("k"))
-    dropped = place.join(fate, "k").where(F.col("gone").isNotNull() | ~F.col("own").eqNullSafe(F.col("p")))
-    by_row = cut(dropped.groupBy("h").agg(F.sort_array(F.collect_set("l")).alias("removed")))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.select(F.col(id_col).alias("d"), F.xxhash64(id_col, text).alias("h"), F.split(text, "\n").alias("lines")).join(by_row, "h", "left")
+    release(docs.sparkSession)
+    gone = done.union(_matching(pairs, reps, lines, levels))
+
+    dropped = again.union(reps.join(gone, "r", "left_semi").select("d", "h", "l"))
+    by_row = cut(dropped.groupBy("d", "h").agg(F.sort_array(F.collect_set("l")).alias("removed")))
+    drop_cut(again, reps, leads, crowd, pairs)
+    release(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select("d", F.xxhash64("d", "text").alias("h"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"), "text").alias("x")
+    out = rows.join(by_row.alias("y"), (F.col("x.h") == F.col("y.h")) & F.col("x.d").eqNullSafe(F.col("y.d")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    left = F.filter("lines", lambda x, i: ~F.array_contains(removed, i))
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(removed, i))
     return out.select(
-        F.col("d").alias(id_col), F.size("lines").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"),
+        F.col("x.d").alias(id_col), "n_lines", F.size(removed).cast("long").alias("n_removed"),
         removed.alias("removed"), F.array_join(left, "\n").alias("text"),
     )

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import public_tokenizers
 import regex
 
@@ -239,7 +240,8 @@ def test_pages_keep_heading_lead_and_short_paragraphs():
     assert main_blocks(articles) == [long.strip()] * 2 + [(short * 4).strip()]
 
 
-def test_lines_match_all_pairs(spark):
+@pytest.mark.parametrize(("common", "shipped"), [(26, 100_000), (0, 0), (12, 0)])
+def test_lines_match_all_pairs(spark, common, shipped):
     rng = random.Random(6)
     words = [f"w{k}" for k in range(60)]
     base = [" ".join(rng.sample(words, rng.randint(1, 14))) for _ in range(40)]
@@ -252,7 +254,7 @@ def test_lines_match_all_pairs(spark):
     texts = ["\n".join(rng.choice([rng.choice(base), edit(rng.choice(base)), ""]) for _ in range(rng.randint(1, 8))) for _ in range(60)]
     lines = [(d, k, set(x.split())) for d, t in enumerate(texts) for k, x in enumerate(t.split("\n"))]
     gone = {(d, k) for i, (d, k, s) in enumerate(lines) if s and any(len(s & r) >= 0.8 * len(s | r) - 1e-9 for _, _, r in lines[:i] if r)}
-    got = dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), common=common, shipped=shipped).collect()
     assert {(r.doc_id, k) for r in got for k in r.removed} == gone
     for r in got:
         kept = [x for k, x in enumerate(texts[r.doc_id].split("\n")) if (r.doc_id, k) not in gone]
