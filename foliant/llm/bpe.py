@@ -1,18 +1,20 @@
 """Byte-level BPE: every distinct word is encoded once for the whole corpus.
 
-Documents are read in blocks.  A block numbers its distinct words (pre-tokens),
-and a document becomes the sequence of these numbers, whose order holds the
-positions.  The word lists are shuffled by word hash over all blocks; each
-distinct word is encoded once there, and its ids go back to the blocks that
-hold it.  The blocks join them to the sequences and so put the ids of each
-document together by position.  Sequences and lists travel as packed binary
-columns, a few bytes for a word in place of a row.
+One pass reads the documents in blocks.  A block numbers its distinct words
+(pre-tokens), and a document becomes the sequence of these numbers, whose order
+holds the positions.  Sequences and word lists are written once, in a table
+bucketed by block, so that both come from the same reading of the input.  The
+word lists are shuffled by word hash over all blocks; each distinct word is
+encoded once there, and its ids go back to the blocks that hold it, where they
+meet the sequences, which stay where they are, and put the ids of each document
+together by position.  Sequences and lists travel as packed binary columns.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -21,15 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from foliant.llm._common import shared_dir
 
 #: A block of documents with one word list ends at so many characters.
-BLOCK_CHARS = 10_000_000
-#: Words are dealt by hash to so many buckets.
+BLOCK_CHARS = 8_000_000
+#: Words are dealt by hash to so many buckets at most.
 BUCKETS = 1024
-#: A worker's memo of pieces takes no more entries than this.
-MEMO = 400_000
+#: A worker's memo of pieces takes no more entries than this; it is emptied with the block.
+MEMO = 100_000
 #: A worker hands on so many ids or words at a time.
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,14 +46,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def _pack(values) -> bytes:
     """Unsigned 32-bit values as four compressed byte planes."""
     v = np.ascontiguousarray(values, dtype="<u4")
-    return zlib.compress(np.ascontiguousarray(v.view(np.uint8).reshape(-1, 4).T), 1)
+    return _squeeze(np.ascontiguousarray(v.view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
+    planes = np.frombuffer(_expand(data), dtype=np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _squeeze(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _expand(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 class Splitter:
     """Numbers of the pre-tokens of a text, in order, with a memo by the pieces between spaces.
 
@@ -104,61 +121,66 @@ class Splitter:
         return np.array(out, dtype=np.uint32)
 
 
-def _blocks(kind: str, pattern: str, schema: pa.Schema):
-    """Blocks of a partition's documents: their sequences (kind "docs") or word lists ("words").
+def _blocks(pattern: str, buckets: int, schema: pa.Schema):
+    """Blocks of a partition's documents: packed sequences of some documents each, and word lists by bucket.
 
-    Numbers follow falling frequency, then the word, so that they depend on the
-    set of documents in a block and not on their order.
+    Numbers follow falling frequency, then the word.
     """
+    none = dict.fromkeys(schema.names)
 
-    def finish(block, held, split):
+    def finish(block, ids, held, split):
         words = list(split.codes)
-        n = np.bincount(np.concatenate([codes for _, codes in held]), minlength=len(words))
+        n = np.bincount(np.concatenate(held), minlength=len(words))
         order = sorted(sorted(range(len(words)), key=words.__getitem__), key=(-n).tolist().__getitem__)
-        if kind == "docs":
-            rank = np.empty(len(words), dtype=np.uint32)
-            rank[order] = np.arange(len(words), dtype=np.uint32)
-            for row, codes in held:
-                yield {"block": block, "part": 1, "id": row, "codes": _pack(rank[codes])}
-            return
+        rank = np.empty(len(words), dtype=np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
+        first, size = 0, 0
+        for k, codes in enumerate(held):
+            size += len(codes)
+            if size >= CHUNK or k == len(held) - 1:
+                some = held[first : k + 1]
+                yield none | {"block": block, "ids": ids[first : k + 1], "lens": _pack([len(x) for x in some]), "seq": _pack(rank[np.concatenate(some)])}
+                first, size = k + 1, 0
         dealt: dict[int, tuple[list, list]] = {}
         for number, k in enumerate(order):
             data = words[k].encode()
-            numbers, names = dealt.setdefault(zlib.crc32(data) % BUCKETS, ([], []))
+            numbers, names = dealt.setdefault(zlib.crc32(data) % buckets, ([], []))
             numbers.append(number)
             names.append(data)
         for bucket, (numbers, names) in sorted(dealt.items()):
-            yield {
+            yield none | {
                 "block": block, "bucket": bucket, "codes": _pack(np.diff(np.array(numbers), prepend=0)),
-                "sizes": _pack([len(x) for x in names]), "words": zlib.compress(b"".join(names), 1),
+                "sizes": _pack([len(x) for x in names]), "words": _squeeze(b"".join(names)),
             }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, chars, held, seq = Splitter(pattern), 0, [], 0
-        first = 0
+        split, chars, ids, held, block = Splitter(pattern), 0, [], [], None
 
         def out():
             rows = []
-            for x in finish(first + seq, held, split):
+            for x in finish(block, ids, held, split):
                 rows.append(x)
-                if len(rows) == 500:
+                if len(rows) == 50:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows = []
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
         for batch in batches:
-            if batch.num_rows:
-                first = batch.column(2)[0].as_py() << 24
             for row, text in zip(batch.column(0), batch.column(1), strict=True):
+                block = block or uuid.uuid4().hex
                 text = text.as_py() or ""
-                held.append((row.as_py(), split(text)))
+                ids.append(row.as_py())
+                held.append(split(text))
                 chars += len(text) + 50
                 if chars >= BLOCK_CHARS:
                     yield from out()
                     split.start()
-                    chars, held, seq = 0, [], seq + 1
+                    chars, ids, held, block = 0, [], [], None
         if held:
             yield from out()
+        split.start()
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -176,7 +198,7 @@ def _encode_words(ranks, pattern: str, schema: pa.Schema):
             for x in batch.to_pylist():
                 if x["bucket"] != at:
                     at, memo = x["bucket"], {}
-                data, ends, ids, begin = zlib.decompress(x["words"]), np.cumsum(_unpack(x["sizes"])).tolist(), [], 0
+                data, ends, ids, begin = _expand(x["words"]), np.cumsum(_unpack(x["sizes"])).tolist(), [], 0
                 for end in ends:
                     word = data[begin:end]
                     begin = end
@@ -185,57 +207,91 @@ def _encode_words(ranks, pattern: str, schema: pa.Schema):
                         got = memo[word] = encode(word)
                     ids.append(got)
                 rows.append({
-                    "block": x["block"], "part": 0, "id": None, "codes": x["codes"],
-                    "sizes": _pack([len(g) for g in ids]), "ids": _pack(np.fromiter(chain.from_iterable(ids), dtype=np.uint32)),
+                    "block": x["block"], "codes": x["codes"],
+                    "sizes": _pack([len(g) for g in ids]), "tokens": _pack(np.fromiter(chain.from_iterable(ids), dtype=np.uint32)),
                 })
-                if len(rows) == 500:
+                if len(rows) == 50:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows = []
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
 
 
-def _assemble(schema: pa.Schema):
-    """Join the ids of a block's words to its sequences, by position."""
+class _Tokens:
+    """The token-byte table, for joins by id."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.flat, self.lens = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens])
+        self.starts = np.cumsum(self.lens) - self.lens
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lens)):
+            raise ValueError("an id is not in the token table")
+        n = self.lens[ids]
+        if not n.all():
+            raise ValueError("an id is not in the token table")
+        return self.flat[np.repeat(self.starts[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
+
+
+def _assemble(schema: pa.Schema, table=None):
+    """Join the ids of a block's words to its sequences, by position; with a token-byte table, decode them too."""
+
+    def run(lists: pa.Table, seqs: pa.Table) -> pa.Table:
+        parts = [(np.cumsum(_unpack(x["codes"])), _unpack(x["sizes"]), _unpack(x["tokens"])) for x in lists.to_pylist()]
+        if parts:
+            numbers, sizes, flat = (np.concatenate(y) for y in zip(*parts, strict=True))
+            starts, lens = np.empty(len(numbers), np.int64), np.empty(len(numbers), np.int64)
+            starts[numbers], lens[numbers] = np.cumsum(sizes, dtype=np.int64) - sizes, sizes
+        tokens = _Tokens(table.value) if table else None
+        batches = []
+        for k in range(seqs.num_rows):
+            x = seqs.slice(k, 1)
+            names, counts, codes = x.column("ids")[0].values, _unpack(x.column("lens")[0].as_py()).astype(np.int64), _unpack(x.column("seq")[0].as_py())
+            if len(codes):
+                n = lens[codes]
+                ids = flat[np.repeat(starts[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
+            else:
+                ids, ends = np.zeros(0, np.uint32), np.zeros(len(counts) + 1, np.int64)
+            if tokens:
+                each = [ids[a:b].astype("<u4") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                cols = [names, pa.array([e.tobytes() for e in each], pa.binary()), pa.array([tokens(e) for e in each], pa.binary())]
+            else:
+                cols = [names, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))).cast(schema.field(1).type)]
+            batches.append(pa.RecordBatch.from_arrays(cols, schema=schema))
+        return pa.Table.from_batches(batches, schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, lists, table, done, size = None, [], None, [], 0
+    return run
 
-        def out():
-            ends = np.cumsum([0, *(len(i) for _, i in done)]).astype(np.int32)
-            flat = np.concatenate([i for _, i in done]) if done else np.zeros(0)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
-            return pa.RecordBatch.from_arrays([pa.array([d for d, _ in done], type=schema.field(0).type), ids.cast(schema.field(1).type)], schema=schema)
 
-        for batch in batches:
-            for x in batch.to_pylist():
-                if x["block"] != block:
-                    block, lists, table = x["block"], [], None
-                if x["part"] == 0:
-                    lists.append((np.cumsum(_unpack(x["codes"])), _unpack(x["sizes"]), _unpack(x["ids"])))
-                    continue
-                if table is None and lists:
-                    numbers, sizes, flat = (np.concatenate(y) for y in zip(*lists, strict=True))
-                    starts, lens = np.empty(len(numbers), np.int64), np.empty(len(numbers), np.int64)
-                    starts[numbers], lens[numbers] = np.cumsum(sizes, dtype=np.int64) - sizes, sizes
-                    table, lists = (starts, lens, flat), []
-                codes = _unpack(x["codes"])
-                if len(codes):
-                    starts, lens, flat = table
-                    n = lens[codes]
-                    ids = flat[np.repeat(starts[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                else:
-                    ids = np.zeros(0, np.uint32)
-                done.append((x["id"], ids))
-                size += len(ids)
-                if size >= CHUNK or len(done) >= 5000:
-                    yield out()
-                    done, size = [], 0
-        if done:
-            yield out()
+def _encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, both: bool) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return run
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType
+    ranks = read_ranks(ranks_path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ddl = T.StructType.fromDDL
+    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("ids", T.ArrayType(kind)), *ddl("lens binary, seq binary, bucket int, codes binary, sizes binary, words binary")])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    name = f"cut_{uuid.uuid4().hex}"
+    (
+        rows.mapInArrow(_blocks(pattern, min(n, BUCKETS), to_arrow_schema(schema)), schema)
+        .write.bucketBy(n, "block").option("path", f"{shared_dir(spark)}/{name}").option("compression", "none").saveAsTable(name)
+    )
+    written = spark.table(name)
+    lists = ddl("block string, codes binary, sizes binary, tokens binary")
+    coded = (
+        written.where("bucket is not null").select("block", "bucket", "codes", "sizes", "words")
+        .repartition(n, "bucket").sortWithinPartitions("bucket")
+        .mapInArrow(_encode_words(spark.sparkContext.broadcast(ranks), pattern, to_arrow_schema(lists)), lists)
+    )
+    out = T.StructType([T.StructField(id_col, kind), *ddl("ids binary, decoded binary" if both else "ids array<int>")])
+    table = spark.sparkContext.broadcast(_token_bytes(ranks)) if both else None
+    seqs = written.where("seq is not null").select("block", "ids", "lens", "seq")
+    return coded.groupBy("block").cogroup(seqs.groupBy("block")).applyInArrow(_assemble(to_arrow_schema(out), table), out)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,31 +300,27 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     A null or empty text has no ids.  Null and repeated ids are kept as they
     are, one row each; an empty table gives an empty result; other columns are
     ignored.  Blocks end at ``BLOCK_CHARS``, so a worker's memory is bounded but
-    for one text that is longer by itself.
+    for one text that is longer by itself.  The input is read once, when this is
+    called; the bucketed table it is written to stays in the session's catalogue.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
+    return _encoded(docs, ranks_path, pattern, id_col, text_col, False)
+
+
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one task: ``id_col, ids binary, decoded binary``.
+
+    ``ids`` holds little-endian unsigned 32-bit integers; they are joined to the
+    token-byte table where they have been put together, so a worker passes each
+    document once.
+    """
+    return _encoded(docs, ranks_path, pattern, id_col, text_col, True)
 
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType
-    ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    # the index of the partition in its own input, the same in both plans that read the rows
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("at"))
-    name, arrow = kind.simpleString(), to_arrow_type(kind)
-    f = pa.field
-    common = [f("block", pa.int64()), f("part", pa.int32()), f("id", arrow), f("codes", pa.binary())]
-    lists = [f("block", pa.int64()), f("bucket", pa.int32()), f("codes", pa.binary()), f("sizes", pa.binary()), f("words", pa.binary())]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = rows.mapInArrow(_blocks("words", pattern, pa.schema(lists)), "block long, bucket int, codes binary, sizes binary, words binary")
-    coded = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        _encode_words(ranks, pattern, pa.schema([*common, f("sizes", pa.binary()), f("ids", pa.binary())])),
-        f"block long, part int, id {name}, codes binary, sizes binary, ids binary",
-    )
-    seqs = rows.mapInArrow(_blocks("docs", pattern, pa.schema(common)), f"block long, part int, id {name}, codes binary")
-    both = coded.unionByName(seqs, allowMissingColumns=True)
-    out = pa.schema([f(id_col, arrow), f("ids", pa.list_(f("element", pa.int32())))])
-    return both.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(
-        _assemble(out), f"{id_col} {name}, ids array<int>"
-    )
+
+def _token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for t, i in ranks.items():
+        tokens[i] = t
+    return tokens
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -281,29 +333,17 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = encoded.sparkSession
-    ranks = read_ranks(ranks_path)
-    tokens = [b""] * (max(ranks.values()) + 1)
-    for t, i in ranks.items():
-        tokens[i] = t
-    table = spark.sparkContext.broadcast(tokens)
+    table = spark.sparkContext.broadcast(_token_bytes(read_ranks(ranks_path)))
     base = encoded.drop(out_col) if out_col in encoded.columns else encoded
     schema = base.withColumn(out_col, F.lit(None).cast("binary")).schema
     arrow, at = to_arrow_schema(schema), base.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, lens = np.frombuffer(b"".join(table.value), np.uint8), np.array([len(t) for t in table.value])
-        starts = np.cumsum(lens) - lens
-
-        def join(ids: np.ndarray) -> bytes:
-            n = lens[ids]
-            if not n.all() or len(ids) and ids.min() < 0:
-                raise ValueError("an id is not in the token table")
-            return flat[np.repeat(starts[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
-
+        tokens = _Tokens(table.value)
         for batch in batches:
             rows, begin, size = [], 0, 0
             for k, x in enumerate(batch.column(at)):
-                rows.append(join(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None)
+                rows.append(tokens(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None)
                 size += len(x.values) if x.is_valid else 0
                 if size >= CHUNK or k == batch.num_rows - 1:
                     part = batch.slice(begin, k + 1 - begin)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.llm import bpe, mixing
 from foliant.llm.embed_dedup import embedding_dedup
@@ -29,18 +28,10 @@ def tokenizer_digests(docs: DataFrame) -> DataFrame:
     """Per document: id, number of ids, digest of the ids, digest of the bytes they decode to."""
     import public_tokenizers
 
-    path = public_tokenizers.path(TOKENIZER)
-    decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc, ids, data in zip(b.column("doc_id"), b.column("ids"), b.column("decoded"), strict=True):
-                raw = ids.values.to_numpy().astype("<u4").tobytes()
-                rows.append((doc.as_py(), len(ids.values), hashlib.sha256(raw).hexdigest(), hashlib.sha256(data.as_py()).hexdigest()))
-            yield pa.RecordBatch.from_pydict(dict(zip(("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), zip(*rows, strict=True) if rows else [[]] * 4, strict=True)), schema=pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
-
-    return decoded.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    coded = bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,9 @@ def test_tokens_match_the_library(spark):
     for r in docs.collect():
         assert got[r.doc_id].ids == library.encode_ordinary(r.text or "")
         assert bytes(got[r.doc_id].decoded) == (r.text or "").encode()
+    both = {r.doc_id: r for r in bpe.encode_decode(docs, path, public_tokenizers.PATTERN).collect()}
+    assert {k: np.frombuffer(v.ids, "<u4").tolist() for k, v in both.items()} == {k: v.ids for k, v in got.items()}
+    assert all(both[k].decoded == v.decoded for k, v in got.items())
 
 
 def test_near_copies(spark):
@@ -130,16 +133,19 @@ def test_all_pairs_of_a_bucket_in_a_large_group(spark):
     assert got == {k: find(k) for k in range(len(texts))}
 
 
-def test_samples_agree_as_often_as_texts_are_alike():
+@pytest.mark.parametrize(("shared", "own", "trials", "bound"), [(300, 50, 600, 0.01), (3000, 500, 150, 0.02), (20_000, 3_500, 60, 0.03)])
+def test_samples_agree_as_often_as_texts_are_alike(shared, own, trials, bound):
+    """48 samples of each of ``trials`` independent pairs; the bounds are over four standard errors of the trials taken as whole."""
     rng = np.random.default_rng(0)
-    sample, n = minhash._Sampler(), 0
-    common = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
-    for _ in range(60):
-        a, b = (np.sort(np.concatenate([common, rng.integers(0, 1 << 63, 50, dtype=np.uint64)])) for _ in range(2))
-        w = lambda x: np.where(np.isin(x, common[:100]), 3.0, 1.0)
-        s = sample(np.concatenate([a, b]), np.concatenate([w(a), w(b)]), np.array([0, 350]))
+    sample, n, third = minhash._Sampler(), 0, shared // 3
+    for _ in range(trials):
+        common = rng.integers(0, 1 << 63, shared, dtype=np.uint64)
+        a, b = (np.sort(np.concatenate([common, rng.integers(0, 1 << 63, own, dtype=np.uint64)])) for _ in range(2))
+        w = lambda x: np.where(np.isin(x, common[:third]), 3.0, 1.0)
+        s = sample(np.concatenate([a, b]), np.concatenate([w(a), w(b)]), np.array([0, shared + own]))
         n += (s[0] == s[1]).mean()
-    assert abs(n / 60 - 500 / 600) < 0.02
+    both = 3 * third + shared - third
+    assert abs(n / trials - both / (both + 2 * own)) < bound
 
 
 def test_vectors_match_all_pairs(spark):
