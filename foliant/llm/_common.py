@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,7 +60,9 @@ def release(spark: SparkSession) -> None:
     They stay until the driver happens to collect its garbage, which may be
     never on a large heap; what has been cut does not need them any more.
     """
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first pass finds holds more
+        gc.collect()  # Python's frames hold those of the JVM, and one another in cycles
+        spark._jvm.System.gc()
 
 
 def _mark(*keys: str) -> Column:

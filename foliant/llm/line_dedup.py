@@ -25,7 +25,9 @@ _LOW = (1 << 31) - 1
 
 def line_tokens(line: Column) -> Column:
     """Words of a line in lower case; words are what blanks part."""
-    return F.split(F.lower(F.translate(line, "\t\r\x0b\x0c", "    ")), " ")
+    low = F.lower(line)
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
+    return F.split(F.when(odd, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low), " ")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -42,7 +44,7 @@ def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
     is the same for all lines even where words share a counter, so the join
     stays exact; only its speed depends on how well the levels tell words apart.
     """
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "\n", " ")
+    text = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"), F.lit(" "))
     words = docs.select(F.explode(line_tokens(text)).alias("w"))
     levels = [0] * COUNTERS
     for bucket, n in words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("b")).agg(F.count("*").alias("n")).collect():
@@ -159,6 +161,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         prefix.alias("a").join((F.broadcast(leads) if small else leads).alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.r") > F.col("b.r")) & _may_match("a", "b"))
         .select(F.col("a.r").alias("r"), F.col("b.r").alias("other")).distinct()
     )
+    release(docs.sparkSession)
     done = _matching(crowd, reps, lines, levels)
     release(docs.sparkSession)
     later = _prefix(reps.join(done, "r", "left_anti"))
