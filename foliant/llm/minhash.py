@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._common import components, cut
+from foliant.llm._common import components, cut, drop_cut, marked, marks, release
 from foliant.llm.shingles import Shingler, mix
 
 #: A signature has BANDS bands of ROWS samples.  At a similarity of 0.8 a pair misses all bands with probability 0.002.
@@ -20,6 +22,8 @@ LEVELS = 6
 DAMPING = 0.25
 #: Counters of document frequencies by hash.
 COUNTERS = 1 << 19
+#: Rows in which a task sends its counters.
+PARTS = 64
 #: Triples (r, c, beta) of the sampling table.
 TRIPLES = 1 << 16
 #: Elements that are sampled at a time.
@@ -76,7 +80,7 @@ class _Sampler:
 
     def _rows(self, weights: np.ndarray) -> np.ndarray:
         kinds, back = np.unique(weights, return_inverse=True)
-        if len(self.known) > 200:
+        if len(self.known) > 64:
             self.known, self.table = {}, self.table[:0]
         for w in kinds.tolist():
             if w not in self.known:
@@ -98,16 +102,25 @@ class _Sampler:
 
 
 def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many documents of the partition have a shingle for each counter's hash (with collisions)."""
-    shingles, n = Shingler(), np.zeros(COUNTERS, dtype=np.int64)
+    """How many documents of the partition have a shingle for each counter's hash, packed in ``PARTS`` rows."""
+    shingles, n = Shingler(), np.zeros(COUNTERS, dtype="<u4")
     for b in batches:
         for text in b.column(0):
             h, _ = shingles(text.as_py() or "")
             np.add.at(n, (h % np.uint64(COUNTERS)).astype(np.int64), 1)
-    at = np.nonzero(n)[0]
-    for k in range(0, len(at), CHUNK):
-        part = at[k : k + CHUNK]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(n[part])], names=["k", "n"])
+    packed = [zlib.compress(np.ascontiguousarray(part.view(np.uint8).reshape(-1, 4).T), 1) for part in np.split(n, PARTS)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the packed counters of each part; a task holds those of its parts only."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
+            sums[part] = sums.get(part, 0) + np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    for part, n in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)) + part * len(n), pa.int32()), pa.array(n)], names=["k", "n"])
 
 
 def shingle_levels(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -115,16 +128,17 @@ def shingle_levels(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     A counter holds the documents that have a shingle of its hash, so it is the
     frequency of a frequent shingle plus that of the few that share its place.
-    Only counters of at least 1 / 2 ** LEVELS of the documents reach the driver,
-    ``COUNTERS`` of them at most.  In fewer than 2 ** LEVELS documents a shingle
-    is never frequent.
+    A task sends its counters packed, a part for each of ``PARTS`` sums, so what
+    is shuffled follows the number of tasks by a megabyte each at most.  Only
+    counters of at least 1 / 2 ** LEVELS of the documents reach the driver,
+    ``COUNTERS`` of them at most.
     """
     total = docs.count()
     levels = np.full(COUNTERS, LEVELS, dtype=np.int64)
-    if total > 2**LEVELS:
-        counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_counters, "k int, n long").groupBy("k").agg(F.sum("n").alias("n"))
-        for k, n in counted.where(F.col("n") >= total / 2**LEVELS).collect():
-            levels[k] = min(LEVELS, max(0, int(np.floor(np.log2(total / n)))))
+    packed = docs.select(F.col(text_col).alias("text")).mapInArrow(_counters, "part int, counts binary")
+    counted = packed.repartition(PARTS, "part").mapInArrow(_summed, "k int, n long")
+    for k, n in counted.where((F.col("n") > 0) & (F.col("n") >= total / 2**LEVELS)).collect():
+        levels[k] = min(LEVELS, max(0, int(np.floor(np.log2(total / n)))))
     return levels
 
 
@@ -217,8 +231,9 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     components, so two documents that share a bucket of any band are in one
     class, are compared, or are excluded by an exact bound.
 
-    A null or empty text, or one without words, is like no other and stays.
-    Rows with a null id are not returned.  An id stands for one document: rows
+    A null or empty text, or one without words, is like no other and stays.  So
+    does a row with a null id: it takes no part, its ``class_id`` is null and its
+    ``class_size`` 1.  An id stands for one document: rows
     that repeat it share a class.  An empty table gives an empty result; other
     columns are ignored.
     """
@@ -239,15 +254,26 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     band = F.posexplode(F.array(*[F.xxhash64(F.lit(k), *[F.col("sig")[k * ROWS + r] for r in range(ROWS)]) for k in range(BANDS)]))
     dealt = sigs.select("node", band.alias("band", "bucket")).select((F.col("band") % 2).alias("odd"), "bucket", "node")
     verify, linked = _similar(levels), F.col("likeness") >= threshold - 1e-9
-    seen, edges, turn, used = [], [], 0, None
+    seen = edges = first = used = None
+    turn = 0
+    release(spark)
 
     def compared(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        texts = marked(used, marks(ends, "node"), "node")  # those of no pair go before the shuffle
         return cut(
-            pairs.join(used.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(used.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+            pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
             .mapInArrow(verify, f"a {name}, b {name}, likeness double")
         )
 
+    def more(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        if old is None:
+            return cut(new)
+        both = cut(old.unionByName(new))
+        drop_cut(old)
+        return both
+
     while True:
         lead = cut(
             dealt.groupBy("odd", "bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
@@ -260,28 +286,32 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
             .select("odd", "bucket", "node", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         )
         pairs = led.select("a", "b").distinct()
-        if seen:
-            pairs = pairs.join(_all(seen), ["a", "b"], "left_anti")
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        seen.append(pairs)
         if used is None:  # texts of all documents that share a bucket; later rounds need no others
-            involved = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
-            used = cut(
-                rows.join(involved.withColumnRenamed("node", "id"), ["id", "key"]).select(F.col("id").alias("node"), "text").dropDuplicates(["node"])
-            )
+            involved = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select(F.col("node").alias("id"), "key"))
+            near = marked(rows, marks(involved, "id", "key"), "id", "key")
+            used = cut(near.join(involved, ["id", "key"]).select(F.col("id").alias("node"), "text").dropDuplicates(["node"]))
+            drop_cut(involved)
+        release(spark)
         found = compared(pairs)
-        if not edges:
-            first = led.join(found, ["a", "b"]).select("odd", "bucket", "node", "likeness").union(lead.select("odd", "bucket", "leader", F.lit(1.0)))
-        edges.append(found.where(linked).select("a", "b"))
-        left = led.join(_all(edges), ["a", "b"], "left_anti").select("odd", "bucket", "node")
+        if first is None:
+            first = cut(led.join(found, ["a", "b"]).select("odd", "bucket", "node", "likeness").union(lead.select("odd", "bucket", "leader", F.lit(1.0))))
+        seen = more(seen, pairs)
+        edges = more(edges, found.where(linked).select("a", "b"))
+        left = led.join(edges, ["a", "b"], "left_anti").select("odd", "bucket", "node")
         turn += 1
         again = F.xxhash64("bucket", F.col("sig")[(turn * 5 + 1) % (BANDS * ROWS)])
         dealt = cut(left.join(sigs, "node").select("odd", again.alias("bucket"), "node"))
+        drop_cut(led, lead, pairs, found)
+        release(spark)
     out = member
-    if edges:
-        comp = cut(components(_all(edges)))
+    if edges is not None:
+        comp = cut(components(edges))
         members = first.join(sigs.select("node", "weight"), "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = cut(_across(members, threshold).join(_all(seen), ["a", "b"], "left_anti"))
+        pairs = cut(_across(members, threshold).join(seen, ["a", "b"], "left_anti"))
+        release(spark)
         found = compared(pairs).where(linked)
         if not found.isEmpty():  # links between components
             of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
@@ -296,19 +326,17 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     out = cut(out.groupBy("id").agg(F.min("class_id").alias("class_id")))
     every = rows.select("id").join(out, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     sizes = cut(every.groupBy("class_id").agg(F.count("*").alias("class_size")))
-    return every.join(sizes, "class_id").select(
+    release(spark)
+    whole = every.join(sizes, "class_id").select(
         F.col("id").alias(id_col), "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept")
     )
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    none = F.lit(None).cast(kind)
+    nameless = docs.where(F.col(id_col).isNull()).select(none.alias(id_col), none.alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    return whole.unionByName(nameless)
 
 
 def keep_near(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one document of each class, with their columns unchanged; null ids stay."""
-    gone = near_dedup(docs, threshold, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    own = f"gone_{uuid.uuid4().hex}"  # a name that no column of the input has
+    gone = near_dedup(docs, threshold, id_col, text_col).where("not kept").select(F.col(id_col).alias(own)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(own), "left_anti")
