@@ -10,18 +10,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import quality
 from foliant.llm._common import shared_dir
 from foliant.llm.exact_dedup import keep_exact
 from foliant.llm.minhash import keep_near
 from foliant.llm.mixing import keep_mixed
+from foliant.llm.quality import keep_good
 from foliant.llm.queries import read, tokenizer_digests
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on this input and the labels, does not reject."""
-    model = quality.fit(docs, read(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("kept").select(*docs.columns)
+    return keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

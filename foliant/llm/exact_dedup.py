@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm._common import cut
 
-#: At most so many frequent digests are broadcast, whatever the input.
-HOT_DIGESTS = 128
-#: Counters that each Misra-Gries summary holds.
-COUNTERS = 2048
+#: As many frequent digests are broadcast as there are shuffle partitions, but within these bounds, whatever the input.
+HOT_DIGESTS, MOST_DIGESTS = 128, 2048
+#: Counters that each Misra-Gries summary holds for each of them.
+COUNTERS = 16
 #: Groups of tasks whose counters are merged.
 GROUPS = 32
 
@@ -26,7 +27,7 @@ def normalised(text: Column) -> Column:
     )
 
 
-def frequent(rows: DataFrame, key: str, hot: int = HOT_DIGESTS, counters: int = COUNTERS) -> DataFrame:
+def frequent(rows: DataFrame, key: str, hot: int = HOT_DIGESTS) -> DataFrame:
     """Candidates for the most frequent values of ``key``, at most ``GROUPS * hot`` rows.
 
     Misra-Gries counters run in every task and are merged in ``GROUPS`` groups of
@@ -36,7 +37,7 @@ def frequent(rows: DataFrame, key: str, hot: int = HOT_DIGESTS, counters: int =
     return (
         rows.where(F.col(key).isNotNull())
         .groupBy(F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("g"))
-        .agg(F.expr(f"approx_top_k({key}, {hot}, {counters})").alias("top"))
+        .agg(F.expr(f"approx_top_k({key}, {hot}, {hot * COUNTERS})").alias("top"))
         .select(F.explode("top.item").alias(key))
         .distinct()
     )
@@ -47,9 +48,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are equal when identical after lower-casing A-Z only; the row with
     the largest id of a group stays.  Candidates from :func:`frequent` are
-    counted exactly; the ``HOT_DIGESTS`` largest win, are broadcast and settle
-    the members of large groups where they are read.  The rest has no group of
-    more than ``rows / HOT_DIGESTS`` and is shuffled by digest.
+    counted exactly; the largest, one for each shuffle partition within
+    ``HOT_DIGESTS`` and ``MOST_DIGESTS``, win, are broadcast and settle the members
+    of large groups where they are read.  The rest has no group above the mean
+    of a partition (or ``rows / MOST_DIGESTS``) and is shuffled by digest.
 
     A null text counts as empty.  A null id never wins over another; if a group
     holds only null ids its ``keep_id`` is null and all its rows are kept.
@@ -58,15 +60,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are ignored.
     """
     base = cut(docs.select(F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("digest")))
+    hot = min(MOST_DIGESTS, max(HOT_DIGESTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     facts = [F.max("id").alias("keep_id"), F.count("*").alias("group_size")]
     winners = cut(
-        base.join(F.broadcast(frequent(base, "digest")), "digest", "left_semi").groupBy("digest").agg(*facts)
-        .orderBy(F.desc("group_size"), "digest").limit(HOT_DIGESTS)
+        base.join(F.broadcast(frequent(base, "digest", hot)), "digest", "left_semi").groupBy("digest").agg(*facts)
+        .orderBy(F.desc("group_size"), "digest").limit(hot)
     )
-    hot = base.join(F.broadcast(winners), "digest")
+    settled = base.join(F.broadcast(winners), "digest")
     cold = base.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
     cold = cold.join(cold.groupBy("digest").agg(*facts), "digest")
-    return hot.unionByName(cold).select(
+    return settled.unionByName(cold).select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
@@ -76,6 +79,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns unchanged."""
-    stay = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
+    """The rows of ``docs`` that stay, by id and text, with their columns unchanged."""
+    own, text = (f"{x}_{uuid.uuid4().hex}" for x in ("stay", "digest"))  # names that no column of the input has
+    stay = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(own), F.col("text_sha256").alias(text)).distinct()
+    same = docs[id_col].eqNullSafe(F.col(own)) & (F.sha2(normalised(docs[text_col]), 256) == F.col(text))
+    return docs.join(stay, same, "left_semi")

@@ -294,7 +294,7 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
             near = marked(rows, marks(involved, "id", "key"), "id", "key")
             used = cut(near.join(involved, ["id", "key"]).select(F.col("id").alias("node"), "text").dropDuplicates(["node"]))
             drop_cut(involved)
-        release(spark)
+            release(spark)
         found = compared(pairs)
         if first is None:
             first = cut(led.join(found, ["a", "b"]).select("odd", "bucket", "node", "likeness").union(lead.select("odd", "bucket", "leader", F.lit(1.0))))

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from foliant.llm._common import cut
+from foliant.llm._common import cut, drop_cut
 
-#: Rounds of raking.
-ROUNDS = 12
-#: Targets are the shares of the data to this power, made to sum to 1 again: 1 keeps the mix, 0 makes it even.
-TEMPER = 0.7
-#: Share of all tokens to be sampled, in expectation.
+#: Rounds of raking at most; raking ends when no factor moves by more than SETTLED of itself.
+ROUNDS, SETTLED = 24, 1e-9
+#: Default targets are the shares of the data to this power, made to sum to 1 again: 1 keeps the mix, 0 makes it even.
+TEMPER = {"source": 0.7, "lang": 0.7, "topic": 1.0}
+#: Share of all tokens to be sampled, in expectation, if the targets allow it.
 RATE = 0.7
-#: Steps that fit the scale of the probabilities to RATE.
-SCALING = 12
+#: No source, language or topic is asked for more than this share of its own tokens.
+SLACK = 0.9
+#: A marginal further from its target than this is reported.
+TOLERANCE = 0.01
+#: Languages, and topics, of which the driver holds the sums; more are an error.
+FEW = 2_000
 #: Stands for a null source, language or topic.
 NONE = "(none)"
-#: A topic is the first of these whose mark occurs in the text in lower case, or else OTHER.
+#: Without a column of topics, a topic is the first of these whose mark occurs in the text in lower case, or else OTHER.
 TOPICS, OTHER = (("legal", "license"), ("contact", "@"), ("secret", "token ="), ("table", " | ")), "prose"
 
+Targets = dict[str, dict[str, float]]
+
 
 def topic_of(text: Column) -> Column:
     """Topic of a text by marks in it."""
@@ -30,110 +38,136 @@ def topic_of(text: Column) -> Column:
     return out.otherwise(OTHER)
 
 
-def _tempered(totals: dict[str, float], temper: float) -> dict[str, float]:
-    powers = {k: v**temper for k, v in totals.items() if v > 0}
-    total = sum(powers.values())
-    return {k: v / total for k, v in powers.items()}
+def _goals(name: str, sums: dict[str, float], targets: Targets | None) -> dict[str, float]:
+    """Target shares of the languages or topics that have tokens."""
+    wanted = (targets or {}).get(name)
+    raw = {k: v ** TEMPER[name] for k, v in sums.items()} if wanted is None else {k: wanted.get(k, 0.0) for k in sums}
+    total = sum(raw.values())
+    if total <= 0:
+        raise ValueError(f"no {name} of the data has a target")
+    return {k: v / total for k, v in raw.items()}
+
+
+def _looked_up(name: str, values: dict[str, float]) -> Column:
+    """The value of a language or topic as an expression over a literal map."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in sorted(values.items()) for x in kv]), F.col(name))
 
 
-def rake(cells: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """``cells`` (source, lang, topic, w) with the factor that rakes w to the marginal targets.
+def rake(cells: DataFrame, rate: float = RATE, targets: Targets | None = None, strict: bool = False) -> DataFrame:
+    """``cells`` (source, lang, topic, w) with the probability ``p`` of each.
 
-    A round scales by source, then language, then topic.  The scale of a source
-    follows from the other two in a window over its cells, so the driver holds
-    only sums by language and topic.  ``targets`` may give shares for ``lang``
-    and ``topic``, which must cover all that occur; by default they are tempered
-    shares of the data, as they are for sources.
+    The sums of ``w * p`` by source, by language and by topic are the target
+    shares of one total.  A round scales by source, then language, then topic;
+    since probabilities end at 1, the sums that it scales by are those of
+    ``w * min(1, factors)``, so what a full cell cannot give, others of its source,
+    language or topic do.  The total is ``rate`` of all tokens or, if some value has
+    too few for its target, as much as leaves it ``SLACK`` of its own.
+
+    ``targets`` may give shares by ``source``, ``lang`` or ``topic``; values that are
+    not named get nothing, and named ones without tokens leave their share to the
+    others.  By default targets are tempered shares of the data.  Sources are
+    rows of a table throughout; of languages and topics there are ``FEW`` at most.
+    If a marginal stays over ``TOLERANCE`` from its target, as where too few cells
+    hold any tokens, there is a warning, or an error if ``strict``.
     """
-    spark = cells.sparkSession
-    by = {k: {r[0]: r[1] for r in cells.groupBy(k).agg(F.sum("w")).collect()} for k in ("lang", "topic")}
-    goal = {k: (targets or {}).get(k) or _tempered(v, temper) for k, v in by.items()}
-    share = {k: dict.fromkeys(v, 1.0) for k, v in goal.items()}
-    sources = cells.groupBy("source").agg(F.sum("w").alias("w"))
-    norm = sources.agg(F.sum(F.pow("w", F.lit(temper)))).first()[0]
-    of_source = Window.partitionBy("source")
-
-    def scaled() -> DataFrame:
-        small = [spark.createDataFrame(sorted(share[k].items()), T.StructType().add(k, "string").add(f"f_{k}", "double")) for k in ("lang", "topic")]
-        x = cells
-        for k, s in zip(("lang", "topic"), small, strict=True):
-            x = x.join(F.broadcast(s), k)  # one row for each language or topic
-        x = x.withColumn("goal", F.pow(F.sum("w").over(of_source), F.lit(temper)) / F.lit(norm))
-        x = x.withColumn("v", F.col("w") * F.col("f_lang") * F.col("f_topic"))
-        return x.withColumn("f_source", F.col("goal") / F.sum("v").over(of_source))
-
-    for _ in range(rounds):
-        sums = scaled().groupBy("lang", "topic").agg(F.sum(F.col("v") * F.col("f_source")).alias("x")).collect()
-        for k, at in (("lang", 0), ("topic", 1)):
-            have = dict.fromkeys(share[k], 0.0)
-            for r in sums:
-                have[r[at]] += r[2]
-            scale = {g: goal[k][g] / have[g] for g in have if have[g] > 0}
-            share[k] = {g: f * scale.get(g, 1.0) for g, f in share[k].items()}
-            sums = [(r[0], r[1], r[2] * scale.get(r[at], 1.0)) for r in sums]
-    return scaled().select("source", "lang", "topic", "w", (F.col("f_source") * F.col("f_lang") * F.col("f_topic")).alias("f"))
+    by = {}
+    for name in ("lang", "topic"):
+        sums = cells.groupBy(name).agg(F.sum("w").alias("w")).limit(FEW + 1).collect()
+        if len(sums) > FEW:
+            raise ValueError(f"more than {FEW} values of {name}; mix by coarser ones")
+        by[name] = {r[0]: r[1] for r in sums}
+    goal = {name: _goals(name, sums, targets) for name, sums in by.items()}
+    wanted = (targets or {}).get("source")
+    own = F.sum("w").over(Window.partitionBy("source"))
+    if wanted is None:
+        raw = F.pow(own, F.lit(TEMPER["source"]))
+    else:
+        raw = F.coalesce(_looked_up("source", wanted), F.lit(0.0)) if wanted else F.lit(0.0)
+    state = cut(cells.withColumns({"own": own, "raw": raw, "fs": F.lit(1.0)}))
+    sources = state.groupBy("source").agg(F.max("own").alias("own"), F.max("raw").alias("raw"))
+    total, norm, least = sources.agg(F.sum("own"), F.sum("raw"), F.min(F.when(F.col("raw") > 0, F.col("own") / F.col("raw")))).first()
+    if not norm:
+        raise ValueError("no source of the data has a target")
+    bound = min([least * norm / total, *(by[k][v] / total / g for k, goals in goal.items() for v, g in goals.items() if g > 0)])
+    amount = total * min(rate, SLACK * bound)
+    share = {name: dict.fromkeys(goals, 1.0) for name, goals in goal.items()}
+    share["lang"] = dict.fromkeys(goal["lang"], amount / total)
+
+    def factor() -> Column:
+        return F.col("fs") * _looked_up("lang", share["lang"]) * _looked_up("topic", share["topic"])
+
+    given = lambda: F.col("w") * F.least(F.lit(1.0), factor())
+    for _ in range(ROUNDS):
+        have = F.sum(given()).over(Window.partitionBy("source"))
+        ratio = F.when(have > 0, F.col("raw") / norm * amount / have).otherwise(0.0)
+        new = cut(state.withColumn("ratio", ratio).withColumn("fs", F.col("fs") * F.col("ratio")))
+        drop_cut(state)
+        moved, state = new.where("raw > 0").agg(F.max(F.abs(F.col("ratio") - 1))).first()[0] or 0.0, new.drop("ratio")
+        for name in ("lang", "topic"):
+            have = dict(state.groupBy(name).agg(F.sum(given())).collect())
+            scale = {v: goal[name][v] * amount / x if x > 0 else 0.0 for v, x in have.items()}
+            moved = max([moved, *(abs(x - 1) for v, x in scale.items() if goal[name][v] > 0)])
+            share[name] = {v: f * scale.get(v, 1.0) for v, f in share[name].items()}
+        if moved <= SETTLED:
+            break
+    if moved > TOLERANCE:
+        said = f"after {ROUNDS} rounds some source, language or topic is {moved:.1%} from its target: too few cells hold tokens for all targets at once"
+        if strict:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
+    return state.select("source", "lang", "topic", "w", F.least(F.lit(1.0), factor()).alias("p"))
 
 
 def mix(
     docs: DataFrame,
     rate: float = RATE,
-    temper: float = TEMPER,
     id_col: str = "doc_id",
     text_col: str = "text",
     seed: int = 17,
-    targets: dict[str, dict[str, float]] | None = None,
+    targets: Targets | None = None,
+    topic_col: str | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """``id_col, source, lang, topic, n_tokens, probability, sampled``, one row per input row.
 
     Token weights of the cells (source, language, topic) are raked to the
-    targets.  A document is sampled with probability min(1, scale * factor of
-    its cell), the scale being such that ``rate`` of all tokens is expected; a
-    hash of the id decides, so a repeated run samples the same documents.
+    targets, see :func:`rake`.  A document is sampled with the probability of its
+    cell; a hash of the id decides, so a repeated run samples the same documents.
 
-    Tokens are runs of characters other than blanks.  A null source or language
-    is a value of its own; a null text is empty, has no tokens and takes its
+    Tokens are runs of characters other than blanks.  A null source, language or
+    topic is a value of its own; a null text is empty, has no tokens and takes its
     cell's probability, a cell without tokens the probability ``rate``.  Rows
     that repeat an id share its hash; a null id has one too.  An empty table
     gives an empty result; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = lambda c: F.coalesce(F.col(c), F.lit(NONE)).alias(c)
+    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
     unit = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
     rows = cut(
         docs.select(
-            F.col(id_col).alias("id"), none("source"), none("lang"), topic_of(F.col(text_col)).alias("topic"),
+            F.col(id_col).alias("id"), none("source").alias("source"), none("lang").alias("lang"), (none(topic_col) if topic_col else topic_of(F.col(text_col))).alias("topic"),
             F.regexp_count(text, F.lit(r"[^ \t\n\r\f]+")).cast("long").alias("n_tokens"), unit.alias("u"),
         )
     )
     cells = cut(rows.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").cast("double").alias("w")).where("w > 0"))
-    total = cells.agg(F.sum("w")).first()[0]
-    if total is None:
+    if cells.isEmpty():
         probability = rows.withColumn("probability", F.lit(float(rate)))
     else:
-        raked = cut(rake(cells, temper, targets=targets))
-        scale = rate * total / raked.agg(F.sum(F.col("w") * F.col("f"))).first()[0]
-        for _ in range(SCALING):
-            full = F.col("f") * scale >= 1
-            kept, free = raked.agg(
-                F.sum(F.when(full, F.col("w")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w") * F.col("f")))
-            ).first()
-            if free <= 0:
-                break
-            scale = (rate * total - kept) / free
-        known = raked.select("source", "lang", "topic", F.round(F.least(F.lit(1.0), F.col("f") * scale), 6).alias("p"))
+        known = cut(rake(cells, rate, targets, strict).select("source", "lang", "topic", F.round("p", 6).alias("p")))
         probability = rows.join(known, ["source", "lang", "topic"], "left").withColumn("probability", F.coalesce("p", F.lit(float(rate))))
     return probability.select(
         F.col("id").alias(id_col), "source", "lang", "topic", "n_tokens", "probability", (F.col("u") < F.col("probability")).alias("sampled")
     )
 
 
-def keep_mixed(docs: DataFrame, rate: float = RATE, temper: float = TEMPER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_mixed(docs: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", targets: Targets | None = None) -> DataFrame:
     """The sampled rows of ``docs`` with their columns unchanged; rows that repeat an id stay or go by their cells."""
-    stay = mix(docs, rate, temper, id_col, text_col).where("sampled").select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
+    own = f"stay_{uuid.uuid4().hex}"  # a name that no column of the input has
+    stay = mix(docs, rate, id_col, text_col, targets=targets).where("sampled").select(F.col(id_col).alias(own)).distinct()
+    return docs.join(stay, F.col(id_col).eqNullSafe(F.col(own)), "left_semi")
 
 
-def oracle(rate: float = RATE, temper: float = TEMPER, seed: int = 17) -> str:
+def oracle(rate: float = RATE, seed: int = 17) -> str:
     """The same in DuckDB's SQL over the table ``documents``, its rounds written out."""
     cases = " ".join(f"WHEN contains(lower(coalesce(text, '')), '{mark}') THEN '{name}'" for name, mark in TOPICS)
     sql = [
@@ -143,28 +177,21 @@ def oracle(rate: float = RATE, temper: float = TEMPER, seed: int = 17) -> str:
         ('0x' || substr(md5('{seed}:' || doc_id::VARCHAR), 1, 12))::BIGINT / 281474976710656.0 AS u FROM documents)""",
         "w AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS w FROM r GROUP BY ALL HAVING w > 0)",
     ]
-    for k in ("source", "lang", "topic"):
-        sql.append(f"t_{k} AS MATERIALIZED (SELECT {k}, pow(x, {temper}) / sum(pow(x, {temper})) OVER () AS t FROM (SELECT {k}, sum(w) AS x FROM w GROUP BY {k}))")
-    sql.append("x0 AS MATERIALIZED (SELECT source, lang, topic, w, 1.0::DOUBLE AS fs, 1.0::DOUBLE AS fl, 1.0::DOUBLE AS ft FROM w)")
-    step = "x{n} AS MATERIALIZED (SELECT x.source, x.lang, x.topic, w, {fs} AS fs, {fl} AS fl, {ft} AS ft FROM x{m} x JOIN t_{k} USING ({k}))"
+    for k, power in TEMPER.items():
+        sql.append(f"g_{k} AS MATERIALIZED (SELECT {k}, x, pow(x, {power}) / sum(pow(x, {power})) OVER () AS g FROM (SELECT {k}, sum(w) AS x FROM w GROUP BY {k}))")
+    bounds = " UNION ALL ".join(f"SELECT x / (SELECT sum(w) FROM w) / g AS b FROM g_{k}" for k in TEMPER)
+    sql.append(f"n AS MATERIALIZED (SELECT (SELECT sum(w) FROM w) * least({rate}, {SLACK} * min(b)) AS amount FROM ({bounds}))")
+    for k in TEMPER:
+        sql.append(f"t_{k} AS MATERIALIZED (SELECT {k}, g * amount AS t FROM g_{k}, n)")
+    sql.append("x0 AS MATERIALIZED (SELECT source, lang, topic, w, amount / (SELECT sum(w) FROM w) AS f FROM w, n)")
     n = 0
     for _ in range(ROUNDS):
-        for k, f in (
-            ("source", {"fs": "t / sum(w * fl * ft) OVER (PARTITION BY x.source)", "fl": "fl", "ft": "ft"}),
-            ("lang", {"fs": "fs", "fl": "fl * t / sum(w * fs * fl * ft) OVER (PARTITION BY x.lang)", "ft": "ft"}),
-            ("topic", {"fs": "fs", "fl": "fl", "ft": "ft * t / sum(w * fs * fl * ft) OVER (PARTITION BY x.topic)"}),
-        ):
-            sql.append(step.format(n=n + 1, m=n, k=k, **f))
+        for k in TEMPER:
+            sql.append(
+                f"x{n + 1} AS MATERIALIZED (SELECT x.source, x.lang, x.topic, w, f * t / sum(w * least(1.0, f)) OVER (PARTITION BY x.{k}) AS f FROM x{n} x JOIN t_{k} USING ({k}))"
+            )
             n += 1
-    sql.append(step.format(n=n + 1, m=n, k="source", fs="t / sum(w * fl * ft) OVER (PARTITION BY x.source)", fl="fl", ft="ft"))
-    sql.append(f"f AS MATERIALIZED (SELECT source, lang, topic, w, fs * fl * ft AS f FROM x{n + 1})")
-    sql.append(f"s0 AS MATERIALIZED (SELECT {rate} * sum(w) / sum(w * f) AS s FROM f)")
-    for k in range(SCALING):
-        sql.append(
-            f"s{k + 1} AS MATERIALIZED (SELECT CASE WHEN sum(CASE WHEN f * s >= 1 THEN 0 ELSE w * f END) > 0 THEN ({rate} * sum(w) - sum(CASE WHEN f * s >= 1 "
-            f"THEN w ELSE 0 END)) / sum(CASE WHEN f * s >= 1 THEN 0 ELSE w * f END) ELSE min(s) END AS s FROM f, s{k})"
-        )
-    sql.append(f"p AS (SELECT source, lang, topic, round(least(1.0, f * s), 6) AS p FROM f, s{SCALING})")
+    sql.append(f"p AS (SELECT source, lang, topic, round(least(1.0, f), 6) AS p FROM x{n})")
     return ",\n".join(sql) + (
         f"\nSELECT doc_id, r.source, r.lang, r.topic, n_tokens, coalesce(p, {rate}) AS probability, u < coalesce(p, {rate}) AS sampled "
         "FROM r LEFT JOIN p ON r.source = p.source AND r.lang = p.lang AND r.topic = p.topic"

@@ -3,6 +3,7 @@
 import corpus_pipeline
 import pytest
 import public_tokenizers
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from foliant.llm import bpe, mixing, quality
@@ -10,7 +11,7 @@ from foliant.llm.embed_dedup import embedding_dedup
 from foliant.llm.exact_dedup import exact_dedup, keep_exact
 from foliant.llm.html_extract import extract_main_text
 from foliant.llm.line_dedup import dedup_lines
-from foliant.llm.minhash import near_dedup
+from foliant.llm.minhash import keep_near, near_dedup
 from foliant.llm.pii import find_personal_data
 from foliant.llm.sharding import shard
 
@@ -62,6 +63,19 @@ def test_exact_fate(spark):
     assert (1, False, 3, 2) in got and (2, True, 3, 2) in got and (4, True, 2, 4) in got and (3, False, 2, 4) in got and (None, True, 1, None) in got
     kept = keep_exact(nasty(spark))
     assert kept.columns == nasty(spark).columns and kept.count() == 9  # both rows of id 2 share its fate
+    rows = spark.createDataFrame([(1, "a"), (2, "A"), (1, "b"), (None, "c"), (None, "c")], "doc_id long, text string")
+    assert sorted(keep_exact(rows).collect(), key=str) == sorted([(2, "A"), (1, "b"), (None, "c"), (None, "c")], key=lambda r: str(Row(doc_id=r[0], text=r[1])))
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_keep_whole_rows(spark, empty):
+    """Nulls, repeats, clashing names and empty tables through every filtering stage; the last one gives a row each."""
+    docs = nasty(spark, empty).withColumns({c: F.lit("x") for c in ("stay", "gone", "score", "digest")})
+    seen = set(map(str, docs.collect()))
+    for keep in (keep_exact, keep_near, mixing.keep_mixed, lambda d: quality.keep_good(d, labels(spark, [(1, 1, 0), (4, 0, 0)]))):
+        got = keep(docs)
+        assert got.columns == docs.columns and set(map(str, got.collect())) <= seen
+    assert corpus_pipeline.token_stage(spark, docs, "").count() == docs.count()
 
 
 def test_near_fate(spark):
@@ -82,6 +96,33 @@ def test_quality_without_classes(spark):
     assert all(r.kept and r.p_quality is None for r in got)
 
 
+def test_mixing_hits_its_targets(spark):
+    """Expected shares of tokens are the targets, by default and as given, for every source, language and topic."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    wanted = {"source": {f"src{k}": 1.0 + k % 3 for k in range(20)}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}}
+    for targets in (None, wanted):
+        rows = mixing.mix(docs, targets=targets, strict=True).toPandas()
+        rows["given"] = rows.n_tokens * rows.probability
+        assert rows.probability.max() <= 1
+        for name, power in mixing.TEMPER.items():
+            have = rows.groupby(name)[["n_tokens", "given"]].sum()
+            goal = (targets or {}).get(name) or (have.n_tokens.astype(float) ** power).to_dict()
+            for value, x in (have.given / have.given.sum()).items():
+                assert abs(x / (goal[value] / sum(goal.values())) - 1) < 0.01
+    with pytest.raises(ValueError, match="no lang"):
+        mixing.mix(docs, targets={"lang": {"xx": 1.0}})
+
+
+def test_mixing_says_what_it_misses(spark):
+    rows = [(k, "w " * 50, "ab"[k % 2], "xy"[k % 2]) for k in range(10)]  # sources and languages coincide, so they cannot have unlike targets
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.7, "y": 0.3}}
+    with pytest.raises(ValueError, match="from its target"):
+        mixing.mix(docs, targets=targets, strict=True)
+    with pytest.warns(UserWarning, match="from its target"):
+        assert mixing.mix(docs, targets=targets).count() == 10
+
+
 def test_mixing_is_repeatable(spark):
     a, b = (sorted(map(str, mixing.mix(nasty(spark)).collect())) for _ in range(2))
     assert a == b
