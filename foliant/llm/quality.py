@@ -25,7 +25,7 @@ CONFIDENT = 0.98
 #: One labelled document in so many is held out for calibration.
 HELD_OUT = 4
 #: Columns of the text view by hash of words, and of three letters in a row.
-WORDS, LETTERS = 512, 512
+WORDS, LETTERS = 256, 256
 #: Columns of the metadata view by hash of language and source.
 LANGS, SOURCES = 16, 64
 #: A worker's memo of words is emptied at so many entries.
@@ -104,26 +104,25 @@ class View:
         return self.a * (z @ self.weights[:-1] + self.weights[-1]).astype(float) + self.b
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 300) -> np.ndarray:
-    """Weights and a constant that minimise the penalised logistic loss, by accelerated gradient steps."""
-    x = np.column_stack([x, np.ones(len(x), dtype=x.dtype)])
-    reg = np.full(x.shape[1], ridge)
-    reg[-1] = 1e-6
-    power = np.ones(x.shape[1])  # the largest curvature, by power iteration
-    for _ in range(20):
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 150) -> np.ndarray:
+    """Weights and a constant that minimise the penalised logistic loss, by accelerated gradient steps in single precision."""
+    y = y.astype(np.float32)
+    power = np.ones(x.shape[1], dtype=np.float32)  # the largest curvature, by power iteration
+    for _ in range(15):
         power = x.T @ (x @ power)
-        largest = np.linalg.norm(power)
-        power /= largest
-    rate = 1 / (largest / 4 + ridge + 1e-9)
-    w = look = np.zeros(x.shape[1])
+        largest = float(np.linalg.norm(power))
+        power /= np.float32(largest)
+    rate = np.float32(1 / (1.1 * max(largest, len(x)) / 4 + ridge))
+    w = look = np.zeros(x.shape[1] + 1, dtype=np.float32)
     t = 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ look, -30, 30)))
-        new = look - rate * (x.T @ (p - y) + reg * look)
+        p = 1 / (1 + np.exp(-np.clip(x @ look[:-1] + look[-1], -30, 30)))
+        grad = np.append(x.T @ (p - y) + np.float32(ridge) * look[:-1], (p - y).sum())
+        new = look - rate * grad
         if (look - new) @ (new - w) > 0:  # past the valley: start anew from here
             t = 1.0
         ahead = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        look, w, t = new + (t - 1) / ahead * (new - w), new, ahead
+        look, w, t = new + np.float32((t - 1) / ahead) * (new - w), new, ahead
     return w
 
 
@@ -144,8 +143,11 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 30) -> np.n
 def _fit(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> View:
     mean, scale = x.mean(axis=0, dtype=np.float64).astype(np.float32), x.std(axis=0, dtype=np.float64).astype(np.float32)
     scale = np.maximum(scale, 2.0)  # columns that hardly vary are not blown up
-    view = View(mean, scale, np.zeros(x.shape[1] + 1))
-    view.weights = _logistic((x.astype(np.float32) - mean) / scale, y, 3.0)
+    z = x.astype(np.float32)
+    z -= mean
+    z /= scale
+    view = View(mean, scale, _logistic(z, y, 3.0))
+    del z
     if len(set(cy.tolist())) == 2:
         raw = view.logit(cx)
         # Platt's targets keep the slope finite where the classes part cleanly
@@ -226,9 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(id_col, F.lit(11)).alias("h"), F.col(text_col).alias("text"), *_meta(docs))
     features = cut(named.mapInArrow(_views(to_arrow_type(kind)), f"id {kind.simpleString()}, h long, t binary, m binary"))
-    labelled = features.join(known, "id")
-    bound = LABELLED / max(LABELLED, labelled.count())
-    sample = labelled.where(_below(F.col("h"), bound)).select("h", "t", "m", "y").toArrow().sort_by([("h", "ascending"), ("t", "ascending")])
+    bound = LABELLED / max(LABELLED, features.select("id").join(known, "id").count())
+    sample = features.where(_below(F.col("h"), bound)).join(known, "id").select("h", "t", "m", "y").toArrow().sort_by([("h", "ascending"), ("t", "ascending")])
     y = sample.column("y").to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         drop_cut(features)
@@ -240,20 +241,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     cal = held if held.any() else ~held
     # of each view: features and labels of its training set
     sets = [[xt[~held], y[~held]], [xm[~held], y[~held]]]
-    pool, given = features.join(known, "id", "left_anti"), []
+    given: list[int] = []
     least = math.log(CONFIDENT / (1 - CONFIDENT))
     for turn in range(ROUNDS + 1):
         views = [_fit(*sets[0], xt[cal], y[cal]), _fit(*sets[1], xm[cal], y[cal])]
         if turn == ROUNDS:
             break
-        scored = cut(pool.mapInArrow(_logits(views), f"id {kind.simpleString()}, h long, l0 double, l1 double"))
+        scored = cut(features.mapInArrow(_logits(views), f"id {kind.simpleString()}, h long, l0 double, l1 double").join(known.select("id"), "id", "left_anti"))
         draw = F.xxhash64("h", F.lit(turn))
         new = F.lit(True) if not given else ~F.array_contains(F.array(*map(F.lit, given)), F.col("h"))  # about 4 * EXCHANGED a round
         sure = {f"{k}{label}": (F.col(f"l{k}") * (2 * label - 1) >= least) & new for k in (0, 1) for label in (0, 1)}
         counts = scored.agg(*[F.count_if(c).alias(name) for name, c in sure.items()]).first()
         picked = [F.when(c & _below(draw, min(1.0, EXCHANGED / max(1, counts[name]))), name) for name, c in sure.items()]
         picks = scored.select("id", "h", F.explode(F.array_compact(F.array(*picked))).alias("pick"))
-        got = pool.join(F.broadcast(picks), ["id", "h"]).select("h", "pick", "t", "m").toArrow().sort_by([("h", "ascending"), ("pick", "ascending"), ("t", "ascending")])
+        got = features.join(F.broadcast(picks), ["id", "h"]).select("h", "pick", "t", "m").toArrow().sort_by([("h", "ascending"), ("pick", "ascending"), ("t", "ascending")])
         drop_cut(scored)
         if not got.num_rows:
             break
