@@ -6,11 +6,10 @@ import gc
 import tempfile
 import uuid
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a map that tells which keys surely do not occur; it travels with the plan.
+#: Bits of a map that tells which keys surely do not occur; its 512 kB are broadcast.
 MARKS = 1 << 22
 
 _LOCAL: dict[str, str] = {}
@@ -69,22 +68,19 @@ def _mark(*keys: str) -> Column:
     return F.xxhash64(*keys).bitwiseAND(F.lit(MARKS - 1))
 
 
-def marks(rows: DataFrame, *keys: str) -> list[int]:
-    """A map of ``MARKS`` bits, as 64-bit words, of the hashes of ``keys``; its size is fixed whatever the input."""
-    parts = rows.select(_mark(*keys).alias("v")).groupBy(F.shiftright("v", 15).alias("part")).agg(
-        F.bitmap_construct_agg(F.col("v").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")
+def marks(rows: DataFrame, *keys: str) -> DataFrame:
+    """A map of ``MARKS`` bits of the hashes of ``keys``, in 128 rows of 4 kB at most, whatever the input."""
+    return rows.select(_mark(*keys).alias("_mark")).groupBy(F.shiftright("_mark", 15).alias("_part")).agg(
+        F.bitmap_construct_agg(F.col("_mark").bitwiseAND(F.lit((1 << 15) - 1))).alias("_bits")
     )
-    out = np.zeros(MARKS // 64, dtype="<i8")
-    for part, bits in parts.collect():
-        out[part * 512 : (part + 1) * 512] = np.frombuffer(bytes(bits), dtype="<i8")
-    return out.tolist()
 
 
-def marked(rows: DataFrame, bits: list[int], *keys: str) -> DataFrame:
+def marked(rows: DataFrame, bits: DataFrame, *keys: str) -> DataFrame:
     """The rows whose ``keys`` may be among those that :func:`marks` saw: all of these, and a few more."""
-    table = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<long>")  # folded to a literal once
-    v = _mark(*keys)
-    return rows.where(F.getbit(F.get(table, F.shiftright(v, 6).cast("int")), v.bitwiseAND(F.lit(63)).cast("int")) == 1)
+    at = F.col("_mark").bitwiseAND(F.lit((1 << 15) - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    own = rows.withColumn("_mark", _mark(*keys)).withColumn("_part", F.shiftright("_mark", 15))
+    return own.join(F.broadcast(bits), "_part").where(F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1).select(*rows.columns)
 
 
 def _digest(edges: DataFrame):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm._common import cut
+from foliant.llm._common import cut, drop_cut
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds in which patterns and instances score one another.
@@ -32,6 +32,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").match
 _DIGIT = re.compile(r"[0-9]").findall
 _MARK = re.compile(r"[0-9@]").search
 _TOKEN = re.compile(r"[^\s\"'<>()\[\]{},;|]+").finditer
+_WORD = re.compile(r"\s*(\S+)").match
+_DIGIT_RUN = re.compile(r"[0-9]")
 _EDGE = re.compile(r"^[^\w@]+|[^\w@:]+$")
 
 
@@ -97,16 +99,31 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def _words_before(text: str, at: int, n: int) -> list[str]:
+    """The last ``n`` words that end before ``at``, whole, however long."""
+    out = []
+    while len(out) < n:
+        while at and text[at - 1].isspace():
+            at -= 1
+        end = at
+        while at and not text[at - 1].isspace():
+            at -= 1
+        if at == end:
+            break
+        out.append(text[at:end])
+    return out[::-1]
+
+
 def _context(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span: two words before; one before and one after."""
-    left = [w for w in (_EDGE.sub("", x).lower() for x in text[max(0, start - 80) : start].split()[-2:]) if w]
-    right = [w for w in (_EDGE.sub("", x).lower() for x in text[end : end + 40].split()[:1]) if w]
-    shape = [re.sub(r"[0-9]", "0", w) for w in left]
+    """Lexical patterns around a span: two words before; one before and one after; long words stand by their hash."""
+    after = _WORD(text, end)
+    left, right = ([_DIGIT_RUN.sub("0", w) for x in words if (w := _EDGE.sub("", x).lower())] for words in (_words_before(text, start, 2), [after.group(1)] if after else []))
+    short = lambda w: w if len(w) <= 40 else _key(w)
     out = []
     if len(left) == 2:
-        out.append(" ".join(shape) + " _")
+        out.append(" ".join(map(short, left)) + " _")
     if left and right:
-        out.append(f"{shape[-1]} _ " + re.sub(r"[0-9]", "0", right[0]))
+        out.append(f"{short(left[-1])} _ {short(right[0])}")
     return out
 
 
@@ -201,31 +218,33 @@ def discover(mentions: DataFrame) -> DataFrame:
     """Found instances: ``instance, kind``.
 
     ``mentions`` has ``label, instance, pattern``.  Seeds score 1 for their
-    kind, failed matches too short for an identifier 0, unknown ones what the patterns lend them.  In
-    each round a pattern's confidence for a kind is the mean score of its
-    different instances (those unknown weigh ``DOUBT`` until scored), if at
-    least ``SUPPORT`` of them are seeds of the kind; confident patterns then give each unknown instance 1 - prod(1 - confidence).
+    kind, failed matches too short for an identifier 0, unknown ones what the
+    patterns lend them.  In each round the instances known so far, seeds and those
+    found in earlier rounds, induce patterns: every one that at least ``SUPPORT``
+    of them have.  A pattern's confidence for a kind is the mean score of its
+    different instances (those unknown weigh ``DOUBT`` until scored); confident
+    patterns then give each unknown instance 1 - prod(1 - confidence), and those
+    that reach ``CONFIDENCE`` are known in the next round.
     """
     edges = cut(mentions.distinct())
-    seeds = edges.where(F.col("label").isin(*KINDS)).groupBy("pattern", F.col("label").alias("kind")).agg(F.count("*").alias("seeds"))
-    kinds = cut(seeds.where(F.col("seeds") >= SUPPORT))
-    use = cut(edges.join(kinds, "pattern"))
+    unknown = edges.where("label = 'maybe'").select("instance", "pattern")
+    seeds = edges.where(F.col("label").isin(*KINDS)).select("instance", "pattern", F.col("label").alias("kind"), F.lit(1.0).alias("score"))
     scores = None
     for _ in range(ROUNDS):
-        if scores is None:
-            known = use.withColumn("score", F.lit(0.0))
-        else:
-            known = use.join(scores.withColumn("label", F.lit("maybe")), ["label", "instance", "kind"], "left").fillna(0.0, ["score"])
-        value = F.when(F.col("label") == F.col("kind"), 1.0).otherwise(F.col("score"))
-        weight = F.when(F.col("label") == "maybe", value + DOUBT * (1 - value)).otherwise(1.0)
-        patterns = cut(
-            known.groupBy("pattern", "kind").agg((F.sum(value) / F.sum(weight)).alias("confidence")).where(F.col("confidence") >= CONFIDENCE)
-        )
+        known = seeds if scores is None else seeds.unionByName(unknown.join(scores, "instance").select("instance", "pattern", "kind", "score"))
+        induced = known.groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.sum("score").alias("value")).where(F.col("n") >= SUPPORT)
+        all_of = edges.groupBy("pattern").agg(F.count("*").alias("all"), F.count_if(F.col("label") == "maybe").alias("maybe"))
+        scored = known.join(unknown, ["instance", "pattern"], "left_semi").groupBy("pattern", "kind").agg(F.sum("score").alias("told"))
+        joined = induced.join(all_of, "pattern").join(scored, ["pattern", "kind"], "left").fillna(0.0, ["told"])
+        # unknown instances weigh their score, and DOUBT for what it lacks; all others 1
+        weight = F.col("all") - F.col("maybe") + F.col("told") + DOUBT * (F.col("maybe") - F.col("told"))
+        patterns = cut(joined.select("pattern", "kind", (F.col("value") / weight).alias("confidence")).where(F.col("confidence") >= CONFIDENCE))
+        old = scores
         scores = cut(
-            use.where("label = 'maybe'").join(patterns, ["pattern", "kind"])
-            .groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("score"))
-            .where(F.col("score") >= CONFIDENCE)
+            unknown.join(patterns, "pattern").groupBy("instance", "kind")
+            .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("score")).where(F.col("score") >= CONFIDENCE)
         )
+        drop_cut(patterns, *[old] * (old is not None))
     return scores.groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
 
 

@@ -205,6 +205,85 @@ def test_contexts_discover_numbers(spark):
     assert got[300] == f"found_card:20:{20 + len('DE89 3704 0044 0532 0130 00')}" and got[301] == ""
 
 
+def _discover(mentions):
+    """The same scores one pattern and one instance after the other."""
+    from foliant.llm.pii import CONFIDENCE, DOUBT, KINDS, ROUNDS, SUPPORT
+
+    edges, found = set(mentions), {}
+    for _ in range(ROUNDS):
+        confidence = {}
+        for pattern in {p for _, _, p in edges}:
+            own = [(label, x) for label, x, p in edges if p == pattern]
+            for kind in KINDS:
+                score = lambda label, x: 1.0 if label == kind else found.get((x, kind), 0.0) if label == "maybe" else 0.0  # noqa: B023, E731
+                values = [(label, score(label, x)) for label, x in own]
+                if sum(v > 0 for _, v in values) >= SUPPORT:
+                    c = sum(v for _, v in values) / sum(v + DOUBT * (1 - v) if label == "maybe" else 1.0 for label, v in values)
+                    if c >= CONFIDENCE - 1e-12:
+                        confidence[pattern, kind] = c
+        found = {}
+        for kind in KINDS:
+            for x in {x for label, x, _ in edges if label == "maybe"}:
+                miss = 1.0
+                for label, y, p in edges:
+                    if label == "maybe" and y == x and (p, kind) in confidence:
+                        miss *= max(1e-9, 1 - confidence[p, kind])
+                if 1 - miss >= CONFIDENCE - 1e-12:
+                    found[x, kind] = 1 - miss
+    return {x: max((s, k) for (y, k), s in found.items() if y == x)[1] for x, _ in found}
+
+
+def test_discovery_is_the_scoring(spark):
+    from foliant.llm.pii import discover
+
+    rng = random.Random(12)
+    for _ in range(3):
+        mentions = [(rng.choice(["email", "email", "phone", "maybe", "maybe", "no"]), f"x{rng.randrange(40)}", f"p{min(rng.randrange(14), rng.randrange(14))}") for _ in range(150)]
+        mentions += [("email", f"s{k}", f"q{k % 3}") for k in range(12)] + [("maybe", f"y{k % 5}", f"q{k % 3}") for k in range(8)] + [("maybe", f"y{k % 5}", f"r{k % 2}") for k in range(10)] + [("maybe", f"z{k}", "r0") for k in range(3)]
+        kinds = {}
+        mentions = [(kinds.setdefault(x, label), x, p) for label, x, p in mentions]
+        got = {r.instance: r.kind for r in discover(spark.createDataFrame(mentions, "label string, instance string, pattern string")).collect()}
+        assert got == _discover(mentions) and got
+
+
+def test_found_instances_induce_patterns(spark):
+    """Numbers found by the context of seeds teach another context, in which no seed occurs."""
+    rows = [(i, f"for help call by phone: +49 30 12345{i:02d} any day") for i in range(12)]
+    rows += [(100 + i, f"for help call by phone: 030 76543{i:02d} any day") for i in range(6)]
+    rows += [(200 + i, f"the office line is 030 76543{i:02d} until noon") for i in range(6)]
+    rows += [(300, "the office line is 040 5550001 until noon"), (301, "the year of 2020 was 12345 days")]
+    got = {r.doc_id: r.spans for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[300] == "found_phone:19:30" and got[301] == "" and got[203].startswith("found_phone:19:")
+
+
+def test_held_out_identifiers_are_found(spark):
+    """Identifiers whose form the base patterns lack, in contexts that seeds teach: recall and precision."""
+    from foliant.llm.pii import _is_card
+
+    rng = random.Random(5)
+    contexts = {"phone": "please ring our desk at {} before noon", "email": "kindly send mail to {} about it", "card": "he paid with visa {} in full"}
+    seeds = {
+        "phone": lambda: f"+49 30 {rng.randrange(10**6, 10**7)}", "email": lambda: f"a{rng.randrange(10**6)}@mail.org",
+        "card": lambda: next(c for c in iter(lambda: f"4{rng.randrange(10**14, 10**15)}", "") if _is_card(c)),
+    }
+    masked = {"phone": lambda: f"0{rng.randrange(10**8, 10**9)}", "email": lambda: f"b{rng.randrange(10**6)}@intranet", "card": lambda: f"41{rng.randrange(10**5, 10**6)}xx{rng.randrange(10**3, 10**4)}"}
+    rows, want, k = [], {}, 0
+    for kind, context in contexts.items():
+        for n, make in ((40, seeds[kind]), (20, masked[kind])):
+            for _ in range(n):
+                rows.append((k, context.format(make())))
+                if make is masked[kind]:
+                    want[k] = f"found_{kind}"
+                k += 1
+    for _ in range(60):
+        rows.append((k, f"there were {rng.randrange(10**4, 10**6)} people in the year {rng.randrange(1000, 2024)} of it"))
+        k += 1
+    got = {r.doc_id: r.spans for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {i: s for i, s in got.items() if "found_" in s}
+    right = sum(s.startswith(want.get(i, "none")) for i, s in found.items())
+    assert right >= 0.9 * len(want) and right >= 0.95 * len(found)
+
+
 def test_long_instances_differ_past_200_characters(spark):
     from foliant.llm.pii import _key
 
