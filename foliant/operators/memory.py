@@ -36,11 +36,16 @@ def is_useful(phrase: Column) -> Column:
 
 
 def phrases(books: DataFrame, useful=is_useful, id_col: str = "doc_id") -> DataFrame:
-    """``subject, phrase, words, frequency, sources`` of 2- to 4-word phrases across lines."""
+    """``subject, phrase, words, frequency, n_sources`` of 2- to 4-word phrases across lines.
+
+    Sources are counted by a first aggregation by source, so no row gathers the sources of a common phrase.
+    """
     each = books.select("subject", F.col(id_col).alias("source"), blanks("text").alias("w"))
     all_ = F.concat(*[ngrams(F.col("w"), n) for n in (2, 3, 4)])
     rows = each.select("subject", "source", F.explode(all_).alias("phrase")).where(useful(F.col("phrase")))
-    return rows.groupBy("subject", "phrase").agg(F.count("*").alias("frequency"), F.array_sort(F.collect_set("source")).alias("sources")).withColumn("words", F.split("phrase", " "))
+    each_source = rows.groupBy("subject", "phrase", "source").agg(F.count("*").alias("n"))
+    counted = each_source.groupBy("subject", "phrase").agg(F.sum("n").alias("frequency"), F.count("source").alias("n_sources"))
+    return counted.withColumn("words", F.split("phrase", " "))
 
 
 def context_pairs(docs: DataFrame, reach: int = 3) -> DataFrame:

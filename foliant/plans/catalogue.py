@@ -169,7 +169,7 @@ def context_topk(spark, sf_dir):
 def phrase_memory(spark, sf_dir):
     books = table(spark, sf_dir, "documents").withColumn("subject", F.col("lang"))
     found = memory.phrases(books, useful=lambda p: F.length(p) >= 6).where("frequency > 1")
-    return found.select("subject", "phrase", "frequency", F.size("sources").cast("long").alias("n_sources"))
+    return found.select("subject", "phrase", "frequency", "n_sources")
 
 
 LOG = """WITH log AS (SELECT event_id, ts, event_type AS subject, 'w' || (user_id % 50) AS original, 'c' || (event_id % 3) AS edited, (event_id % 7)::INT AS page,
@@ -226,21 +226,17 @@ def ensemble_vote(spark, sf_dir):
 
 
 # error rates compare passages with themselves less some letters; DuckDB's levenshtein counts bytes, so only ASCII there
-READ = "regexp_replace(left(text, 300), '[^ -~]', '', 'g')"
+READ = "regexp_replace(text, '[^ -~]', '', 'g')"
 
 
 @query(f"""WITH p AS (SELECT item_id AS doc_id, {READ} AS t, replace(replace({READ}, 'th', 't'), 'e ', ' ') AS o FROM benchmark)
   SELECT doc_id, CASE WHEN length(t) = 0 AND length(o) = 0 THEN 0 WHEN length(t) = 0 OR length(o) = 0 THEN 1 ELSE round_even(levenshtein(o, t) / length(t), 4) END AS cer, length(o) AS chars_ocr, length(t) AS chars_ref FROM p""")
 def cer_by_doc(spark, sf_dir):
-    return _page_pairs(spark, sf_dir, SQL_CHARS).select("doc_id", "cer", F.col("chars_ocr").cast("long").alias("chars_ocr"), F.col("chars_ref").cast("long").alias("chars_ref"))
+    return _page_pairs(spark, sf_dir).select("doc_id", "cer", F.col("chars_ocr").cast("long").alias("chars_ocr"), F.col("chars_ref").cast("long").alias("chars_ref"))
 
 
-#: The SQL of cer_by_doc and quality_rollup compares so many characters of a text.
-SQL_CHARS = 300
-
-
-def _page_pairs(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFrame:
-    t = F.regexp_replace(F.substring("text", 1, chars) if chars else F.col("text"), "[^ -~]", "")
+def _page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.regexp_replace("text", "[^ -~]", "")
     o = F.replace(F.replace(t, F.lit("th"), F.lit("t")), F.lit("e "), F.lit(" "))
     return metrics.page_metrics(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(1).alias("page"), o.alias("ocr_text"), t.alias("reference_text")))
 
@@ -254,7 +250,7 @@ def wer_by_doc(spark, sf_dir):
   e AS (SELECT doc_id, floor(CASE WHEN length(t) = 0 AND length(o) = 0 THEN 0 WHEN length(t) = 0 OR length(o) = 0 THEN 1 ELSE round_even(levenshtein(o, t) / length(t), 4) END * length(t)) AS x, length(t) AS n FROM p)
   SELECT doc_id, count(*) AS pages, round_even(sum(x) / greatest(sum(n), 1), 4) AS cer, round_even(1 - sum(x) / greatest(sum(n), 1), 4) AS car FROM e GROUP BY doc_id""")
 def quality_rollup(spark, sf_dir):
-    pages = _page_pairs(spark, sf_dir, SQL_CHARS).withColumn("doc_id", F.col("doc_id") % 10)
+    pages = _page_pairs(spark, sf_dir).withColumn("doc_id", F.col("doc_id") % 10)
     return metrics.document_metrics(pages).select("doc_id", "pages", "cer", "car")
 
 

@@ -6,7 +6,7 @@ or blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.unicode import AR, strip
@@ -16,7 +16,7 @@ from foliant.schema import CORRECTIONS, LEXICON
 def text_folder(spark: SparkSession, path: str) -> DataFrame:
     """``file, text`` of the .txt files of a folder; bytes that are no UTF-8 are replaced."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    return raw.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"))
+    return raw.select(F.col("path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def library_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -67,8 +67,9 @@ def digital_pages(blocks: DataFrame) -> DataFrame:
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
     """Pages whose whole content was not seen before, by document and page."""
-    nth = F.row_number().over(Window.partitionBy(F.sha2("text", 256)).orderBy("doc_id", "page_no"))
-    return pages.withColumn("_n", nth).where("_n = 1").drop("_n")
+    first = pages.groupBy(F.sha2("text", 256).alias("_of")).agg(F.min(F.struct("doc_id", "page_no")).alias("_first"))
+    seen = pages.withColumn("_of", F.sha2("text", 256)).join(first, "_of")
+    return seen.where(F.struct("doc_id", "page_no") == F.col("_first")).select(*pages.columns)
 
 
 def safe_name(name):

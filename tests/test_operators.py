@@ -170,3 +170,10 @@ def test_qa_runs_and_scores(spark):
 def test_tokens_and_neighbours(spark):
     t = metrics.neighbours(corpus.tokens(docs(spark, "a b c d e"))).orderBy("pos").collect()
     assert t[0].context == ["b", "c", "d"] and t[4].context == ["b", "c", "d"]
+
+
+def test_text_folder_and_distinct_pages(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"good \xff bytes")
+    assert sources.text_folder(spark, str(tmp_path)).first().text == "good \ufffd bytes"
+    pages = spark.createDataFrame([(2, 1, ""), (1, 2, ""), (1, 3, "x"), (3, 1, "x"), (3, 2, "y")], "doc_id long, page_no int, text string")
+    assert sorted((r.doc_id, r.page_no) for r in sources.distinct_pages(pages).collect()) == [(1, 2), (1, 3), (3, 2)]

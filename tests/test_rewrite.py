@@ -56,3 +56,9 @@ def test_rewrites_keep_null_and_empty(spark):
     for rule in {r for r, _, _ in CASES}:
         got = [r[0] for r in d.select(rule(F.col("t"))).collect()]
         assert got == [None, ""]
+
+
+def test_split_words_are_joined_to_the_right_word(spark):
+    rows = ["في د ارسة له", "من مص ادر و", "مق ارنه"]
+    got = [r.t for r in spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, x string").orderBy("k").select(rewrite.join_split_words(F.col("x")).alias("t")).collect()]
+    assert got == ["في دراسة له", "من مصادر و", "مقارنة"]
