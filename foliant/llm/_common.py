@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,11 @@ from pyspark.sql import functions as F
 #: Bits of a map that tells which keys surely do not occur; its 512 kB are broadcast.
 MARKS = 1 << 22
 
+#: Seconds between two collections of the driver's garbage at least.
+BRIEF = 4.0
+
 _LOCAL: dict[str, str] = {}
+_LAST: dict[str, float] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,11 +62,15 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now.
 
     They stay until the driver happens to collect its garbage, which may be
-    never on a large heap; what has been cut does not need them any more.
+    never on a large heap; what has been cut does not need them any more.  Steps
+    that took less than ``BRIEF`` seconds leave little and wait for the next call.
     """
+    if time.monotonic() - _LAST.get("release", -BRIEF) < BRIEF:
+        return
     for _ in range(2):  # what the first pass finds holds more
         gc.collect()  # Python's frames hold those of the JVM, and one another in cycles
         spark._jvm.System.gc()
+    _LAST["release"] = time.monotonic()
 
 
 def _mark(*keys: str) -> Column:
