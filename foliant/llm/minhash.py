@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,10 @@ PARTS = 64
 TRIPLES = 1 << 16
 #: Elements that are sampled at a time.
 CHUNK = 1 << 16
+#: Share of the pairs right at the threshold that samples alone may exclude, a fortieth of what the bands miss.
+MISSED = 5e-5
+#: Leaders are tried while at least this share of a round's pairs links; what is left is compared across components.
+FRUITFUL = 0.05
 #: Members of a bucket that a task compares with those outside its main component.
 SALTED = 512
 
@@ -189,15 +196,27 @@ def _similar(levels):
     return run
 
 
+def _least_shared(threshold: float) -> int:
+    """The most samples that all but a share of ``MISSED`` of the pairs at ``threshold`` have in common at least."""
+    n, p, below = BANDS * ROWS, min(threshold, 1.0), 0.0
+    for k in range(n):
+        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if below > MISSED:
+            return k
+    return n
+
+
 def _across(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``a, b`` of a bucket that no link connects yet and that can be similar.
 
-    ``members`` has ``odd, bucket, node, weight, likeness, component``, where
+    Returns ``a, b``, their components ``ca, cb`` and ``same``, how many samples they share.
+    ``members`` has ``odd, bucket, node, sig, weight, likeness, component``, where
     ``likeness`` is the similarity with the bucket's first leader.  The members
     outside the main component of their bucket meet all that are in another
     component, settled ones too.  Only pairs that cannot reach the threshold are
     left out: 1 - similarity is a metric, so both are about as like the leader,
-    and the lighter one has at least ``threshold`` of the weight of the other.
+    the lighter one has at least ``threshold`` of the weight of the other, and
+    they share :func:`_least_shared` samples.
     """
     parts = members.groupBy("odd", "bucket", "component").agg(F.count("*").alias("n"))
     mixed = cut(
@@ -205,6 +224,7 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
         .where("parts > 1").select("odd", "bucket", "main", F.ceil(F.col("n") / SALTED).cast("int").alias("salts"))
     )
     inside = cut(members.join(mixed, ["odd", "bucket"]))
+    same = reduce(add, [(F.col("x.sig")[k] == F.col("y.sig")[k]).cast("int") for k in range(BANDS * ROWS)])
     x = inside.where("component != main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("x")
     y = inside.withColumn("salt", F.pmod(F.xxhash64("node", "bucket"), "salts").cast("int")).alias("y")
     near = (
@@ -212,8 +232,25 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
         & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
         & (F.abs(F.col("x.likeness") - F.col("y.likeness")) <= 1 - threshold + 1e-6)
         & (F.least("x.weight", "y.weight") >= (threshold - 1e-6) * F.greatest("x.weight", "y.weight"))
+        & (same >= _least_shared(threshold))
     )
-    return x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    turned = F.col("x.node") > F.col("y.node")
+    end = lambda c, k: F.when(turned == k, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}"))
+    return x.join(y, near).select(
+        end("node", True).alias("a"), end("node", False).alias("b"), end("component", True).alias("ca"), end("component", False).alias("cb"), same.alias("same")
+    ).distinct()
+
+
+def _merged(comp: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``comp`` (node, component) with the components that ``links`` (a, b) touch made one, and the ``root`` of each such component."""
+    if links.isEmpty():
+        return comp, None
+    of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    roots = cut(components(ends)).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    alone = roots.select(F.col("component").alias("node"), "component").join(comp, "node", "left_anti")
+    both = comp.unionByName(alone).join(roots, "component", "left")
+    return cut(both.select("node", F.coalesce("root", "component").alias("component"))), roots
 
 
 def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,11 +262,13 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     and compared once.  The members of a bucket are verified against one leader
     (the smallest id in even bands, the largest in odd ones), never all against
     all; those not similar to it are dealt anew by one more sample and get
-    leaders of their own, until no bucket holds two.  That settles most members
-    at a cost that follows their number.  Then the members of each bucket that
-    are not in its main component are verified against all members of other
-    components, so two documents that share a bucket of any band are in one
-    class, are compared, or are excluded by an exact bound.
+    leaders of their own, until no bucket holds two or a round finds few links.
+    That settles most members at a cost that follows their number.  Then each
+    component is compared with the others it meets in buckets, first by the pair
+    that shares most samples, and where that does not join them by all pairs.
+    So two documents that share a bucket of any band are in one class, are
+    compared, or are excluded by an exact bound or by their samples, which
+    excludes ``MISSED`` of the pairs at the threshold.
 
     A null or empty text, or one without words, is like no other and stays.  So
     does a row with a null id: it takes no part, its ``class_id`` is null and its
@@ -299,6 +338,7 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
         if first is None:
             first = cut(led.join(found, ["a", "b"]).select("odd", "bucket", "node", "likeness").union(lead.select("odd", "bucket", "leader", F.lit(1.0))))
         seen = more(seen, pairs)
+        n_pairs, n_linked = found.agg(F.count("*"), F.count_if(linked)).first()
         edges = more(edges, found.where(linked).select("a", "b"))
         left = led.join(edges, ["a", "b"], "left_anti").select("odd", "bucket", "node")
         turn += 1
@@ -306,19 +346,26 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
         dealt = cut(left.join(sigs, "node").select("odd", again.alias("bucket"), "node"))
         drop_cut(led, lead, pairs, found)
         release(spark)
+        if n_linked < FRUITFUL * n_pairs:
+            break
     out = member
     if edges is not None:
         comp = cut(components(edges))
-        members = first.join(sigs.select("node", "weight"), "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        members = first.join(sigs, "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         pairs = cut(_across(members, threshold).join(seen, ["a", "b"], "left_anti"))
         release(spark)
-        found = compared(pairs).where(linked)
-        if not found.isEmpty():  # links between components
-            of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-            ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            merged = cut(components(ends)).select(F.col("node").alias("component"), F.col("component").alias("root"))
-            alone = merged.select(F.col("component").alias("node"), "component").join(comp, "node", "left_anti")
-            comp = cut(comp.unionByName(alone).join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+        # one link joins two components, so first the pair of each component that shares most samples, then all pairs still apart
+        ends = pairs.select("a", "b", "same", F.explode(F.array("ca", "cb")).alias("component"))
+        best = cut(ends.groupBy("component").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("p")).select("p.*").distinct())
+        comp, roots = _merged(comp, cut(compared(best).where(linked)))
+        rest = pairs.join(best, ["a", "b"], "left_anti")
+        if roots is not None:
+            of = lambda end: roots.select(F.col("component").alias(f"c{end}"), F.col("root").alias(f"r{end}"))
+            rest = rest.join(of("a"), "ca", "left").join(of("b"), "cb", "left").where(F.coalesce("ra", "ca") != F.coalesce("rb", "cb"))
+        rest = cut(rest.select("a", "b").distinct())
+        drop_cut(pairs)
+        release(spark)
+        comp, _ = _merged(comp, cut(compared(rest).where(linked)))
         out = member.join(comp, "node", "left").select("id", F.coalesce("component", "node").alias("class_id"))
     else:
         out = member.select("id", F.col("node").alias("class_id"))
