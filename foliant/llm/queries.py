@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, mixing
+from foliant.llm import bpe, collocations, mixing
 from foliant.llm.embed_dedup import embedding_dedup
 from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.html_extract import extract_main_text
@@ -74,6 +74,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -86,12 +90,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op11_collocations": op11_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_mixing": mixing.oracle(),
+        "op11_collocations": collocations.oracle(),
         "op9_exact_dedup": """
             WITH d AS (
               SELECT doc_id, sha256(translate(coalesce(text, ''),
