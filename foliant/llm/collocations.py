@@ -102,21 +102,22 @@ class _Map:
         return out
 
 
-def _levels(codes: np.ndarray, one: np.ndarray, known) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple]]:
-    """For each length the places of the phrases that have both parts in ``known``, their keys, and the keys of the parts."""
-    at, keys = np.flatnonzero(codes), None
-    keys = one[at]
-    yield 1, at, keys, ()
+def _levels(codes: np.ndarray, one: np.ndarray, known, before=None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length the places of the phrases that have both parts in ``known``, their keys, and whether a pass with ``before`` met them."""
+    at = np.flatnonzero(codes)
+    keys, met = one[at], np.full(len(at), before is not None)
+    yield 1, at, keys, met
     for k in range(2, LONGEST + 1):
         inside = known(keys)
-        at, keys = at[inside], keys[inside]
+        at, keys, met = at[inside], keys[inside], met[inside]
+        if before is not None:
+            met[met] = before(keys[met])
         near = np.flatnonzero(at[1:] == at[:-1] + 1)  # both parts are known and the pieces do not end between
-        parts = keys[near], keys[near + 1]
-        at = at[near]
-        keys = mix(parts[0] * _ODD + one[at + (k - 1)] + np.uint64(k))
-        if not len(at):
+        if not len(near):
             return
-        yield k, at, keys, parts
+        met = met[near] & met[near + 1]
+        at, keys = at[near], mix(keys[near] * _ODD + one[at[near] + (k - 1)] + np.uint64(k))
+        yield k, at, keys, met
 
 
 def _each_block(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
@@ -133,16 +134,11 @@ def _each_block(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBa
 
 
 def _count(known, before):
-    """Keys of phrases whose parts are in ``known``, less those that the pass with ``before`` counted; with their counts."""
+    """Keys of phrases whose parts are in ``known``, less those that the pass with ``before`` met; with their counts."""
 
     def work(block: _Block) -> Iterator[pa.RecordBatch]:
-        old = before.value if before else None
-        for k, _, keys, parts in _levels(*block.keys(), known.value):
-            if old is not None:
-                new = np.zeros(len(keys), bool) if k == 1 else ~(old(parts[0]) & old(parts[1]))
-                counted, n = np.unique(keys[new], return_counts=True)
-            else:
-                counted, n = np.unique(keys, return_counts=True)
+        for _, _, keys, met in _levels(*block.keys(), known.value, before.value if before else None):
+            counted, n = np.unique(keys[~met] if before else keys, return_counts=True)
             for x in range(0, len(counted), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(counted[x : x + 200_000].view(np.int64)), pa.array(n[x : x + 200_000])], names=["key", "n"])
 
