@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, collocations, mixing
+from foliant.llm import bpe, collocations, filter_audit, mixing
 from foliant.llm.embed_dedup import embedding_dedup
 from foliant.llm.exact_dedup import exact_dedup
 from foliant.llm.html_extract import extract_main_text
+from foliant.llm.license_scan import scan_licenses
 from foliant.llm.line_dedup import dedup_lines
 from foliant.llm.minhash import near_dedup
 from foliant.llm.pii import find_personal_data
@@ -78,6 +79,21 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
 
 
+def license_digest(found: DataFrame) -> DataFrame:
+    """Counts, places, labels and score of scanned documents; labels as strings."""
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score"
+    )
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(scan_licenses(read(spark, sf_dir, "documents")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -91,6 +107,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": op9_exact_dedup,
         "op10_embedding_dedup": op10_embedding_dedup,
         "op11_collocations": op11_collocations,
+        "op12_license_scan": op12_license_scan,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -98,6 +116,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op8_mixing": mixing.oracle(),
         "op11_collocations": collocations.oracle(),
+        "op13_filter_audit": filter_audit.oracle(),
         "op9_exact_dedup": """
             WITH d AS (
               SELECT doc_id, sha256(translate(coalesce(text, ''),
