@@ -1,16 +1,17 @@
 """Phrase collocations by Toivonen's sampling: a sample proposes, full passes count exactly until closed.
 
 A phrase can only be frequent if the phrases without its last and without its
-first word are.  So what is counted is all that have both parts in the set of
-proposed phrases: the proposed ones and their negative border.  Border phrases
-that prove frequent join the set, and a further pass counts what has become
-border by that, until none is.  The sample's phrases are found in the same way
-from the empty set, under a lower threshold.
-
-Phrases travel as 64-bit keys, counted in blocks before the shuffle; the set of
-proposed ones reaches the tasks as a bit map of bounded size, which may let a
-few more phrases be counted but none less.  A last pass counts the frequent
-phrases by their text, so that the results do not rest on keys.
+first word are.  So what the full pass counts is all that have both parts in the
+set of proposed phrases: the proposed ones and their negative border.  Where
+border phrases prove frequent, an expansion pass counts every longer phrase that
+holds one of them and whose other parts are known or of the same kind, to the
+full length, and with that the result is closed.  The sample's phrases are found
+length by length under a lower threshold.
+
+Phrases travel as 96-bit keys, counted in blocks before the shuffle; the set of
+known ones reaches the tasks as a bit map of bounded size, which may let a few
+more phrases be counted but none less.  Each frequent phrase is then named once,
+by the block that the counting has remembered for it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm._common import cut, drop_cut, release
@@ -35,7 +36,9 @@ SAMPLE, LOWERED = 8, 0.5
 #: Phrases of a language that are returned.
 TOP = 2000
 #: Words that a worker counts before it hands on.
-BLOCK = 3_000_000
+BLOCK = 1_500_000
+#: Numbers of blocks in a partition that are told apart.
+PLACES = 64
 #: Bits of the map of proposed phrases: so many for each, within these bounds (16 MB at most).
 BITS_EACH, FEWEST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
 #: Bits in a row of the map.
@@ -71,19 +74,20 @@ class _Block:
             end = data.find(_STOP, begin + 8 * BLOCK) + 1 or len(data)
             words = data[begin:end].replace(_STOP, b" \xff ").split()
             words.append(_STOP)
-            self.parts.append(np.array([self.codes[w] for w in words], dtype=np.int32))
+            self.parts.append(np.fromiter(map(self.codes.__getitem__, words), dtype=np.int32, count=len(words)))
             self.langs.append(lang)
             self.size += len(words)
             begin = end
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all words, 0 where a piece ends, and the key of each as a phrase of one word."""
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of all words, 0 where a piece ends; the key of each as a phrase of one word; a second hash of it."""
         import xxhash
 
         each = np.array([xxhash.xxh3_64_intdigest(w) for w in self.codes], dtype=np.uint64)
         seeds = np.array([xxhash.xxh3_64_intdigest(x.encode(), 1) for x in self.langs], dtype=np.uint64)
         codes = np.concatenate(self.parts)
-        return codes, mix(each[codes] ^ np.repeat(seeds, [len(p) for p in self.parts]))
+        own = each[codes]
+        return codes, mix(own ^ np.repeat(seeds, [len(p) for p in self.parts])), own * _ODD
 
 
 class _Map:
@@ -102,92 +106,115 @@ class _Map:
         return out
 
 
-def _levels(codes: np.ndarray, one: np.ndarray, known, before=None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length the places of the phrases that have both parts in ``known``, their keys, and whether a pass with ``before`` met them."""
+def _levels(block: _Block, known, before=None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By length: places, keys and second hashes of the phrases with both parts in ``known``, and whether a pass with ``before`` met them.
+
+    After such a pass, those that it did not meet count as parts too, known or not.
+    """
+    codes, one, second = block.keys()
     at = np.flatnonzero(codes)
-    keys, met = one[at], np.full(len(at), before is not None)
-    yield 1, at, keys, met
+    keys, checks, met = one[at], second[at], np.full(len(at), before is not None)
+    yield 1, at, keys, checks, met
     for k in range(2, LONGEST + 1):
         inside = known(keys)
-        at, keys, met = at[inside], keys[inside], met[inside]
         if before is not None:
+            inside |= ~met
             met[met] = before(keys[met])
-        near = np.flatnonzero(at[1:] == at[:-1] + 1)  # both parts are known and the pieces do not end between
+        at, keys, checks, met = at[inside], keys[inside], checks[inside], met[inside]
+        near = np.flatnonzero(at[1:] == at[:-1] + 1)  # both parts are there and the pieces do not end between
         if not len(near):
             return
         met = met[near] & met[near + 1]
-        at, keys = at[near], mix(keys[near] * _ODD + one[at[near] + (k - 1)] + np.uint64(k))
-        yield k, at, keys, met
+        at, last = at[near], at[near] + (k - 1)
+        keys, checks = mix(keys[near] * _ODD + one[last] + np.uint64(k)), (checks[near] ^ (checks[near] >> np.uint64(29))) * _ODD + second[last]
+        yield k, at, keys, checks, met
 
 
 def _each_block(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
-    block = _Block()
+    """``work(block, place)`` for the blocks of a partition; the place is that of the partition and the block in it."""
+    from pyspark import TaskContext
+
+    block, place = _Block(), TaskContext.get().partitionId() * PLACES
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1), strict=True):
             block.add(lang.as_py(), text.as_py())
             if block.size >= BLOCK:
-                yield from work(block)
-                block = _Block()
+                yield from work(block, place)
+                block, place = _Block(), place + 1  # a partition of more than PLACES blocks shares places, which names some phrases twice
         pa.default_memory_pool().release_unused()
     if block.parts:
-        yield from work(block)
+        yield from work(block, place)
 
 
-def _count(known, before):
-    """Keys of phrases whose parts are in ``known``, less those that the pass with ``before`` met; with their counts."""
+def _at(keys: np.ndarray, place: int) -> np.ndarray:
+    """Keys of pairs of a phrase and a place; :func:`_pairs` in numpy."""
+    return keys ^ np.uint64(place ^ place << 32)
+
+
+def _pairs() -> Column:
+    return F.col("key").bitwiseXOR(F.col("place")).bitwiseXOR(F.shiftleft("place", 32))
+
+
+def _runs(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the phrases, and where each run of equal ones begins in it."""
+    order = np.argsort(keys)
+    k, c = keys[order], checks[order] >> np.uint64(32)
+    return order, np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])) if len(k) else order
 
-    def work(block: _Block) -> Iterator[pa.RecordBatch]:
-        for _, _, keys, met in _levels(*block.keys(), known.value, before.value if before else None):
-            counted, n = np.unique(keys[~met] if before else keys, return_counts=True)
-            for x in range(0, len(counted), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(counted[x : x + 200_000].view(np.int64)), pa.array(n[x : x + 200_000])], names=["key", "n"])
+
+def _count(known, before):
+    """Keys of phrases whose parts are in ``known``, less those that the pass with ``before`` met; with their counts and place."""
+
+    def work(block: _Block, place: int) -> Iterator[pa.RecordBatch]:
+        for _, _, keys, checks, met in _levels(block, known.value, before.value if before else None):
+            if before:
+                keys, checks = keys[~met], checks[~met]
+            order, begins = _runs(keys, checks)
+            lead, n = order[begins], np.diff(np.append(begins, len(order)))
+            cols = keys[lead].view(np.int64), (checks[lead] >> np.uint64(32)).astype(np.uint32).view(np.int32), n, np.full(len(n), place, np.int64)
+            for x in range(0, len(n), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[x : x + 200_000]) for c in cols], names=["key", "check", "n", "place"])
 
     return lambda batches: _each_block(batches, work)
 
 
-def _name(frequent, schema: pa.Schema):
-    """Text and count of the phrases in ``frequent`` by language; the empty phrase counts all words."""
+def _name(wanted, schema: pa.Schema, everywhere: bool):
+    """Language and words of the phrases in ``wanted``, at their place or everywhere; the empty phrase counts a language's words."""
 
-    def work(block: _Block) -> Iterator[pa.RecordBatch]:
-        codes, one = block.keys()
-        words, known = list(block.codes), frequent.value
+    def work(block: _Block, place: int) -> Iterator[pa.RecordBatch]:
+        words, known = list(block.codes), wanted.value
+        codes = np.concatenate(block.parts)
         ends = np.cumsum([len(p) for p in block.parts])
-        lang_of = lambda at: block.langs[int(np.searchsorted(ends, at, side="right"))]
-        rows: dict[tuple[str, bytes], int] = {}
-        for lang, part in zip(block.langs, block.parts, strict=True):
-            rows[lang, b""] = rows.get((lang, b""), 0) + int(np.count_nonzero(part))
-        for k, at, keys, _ in _levels(codes, one, known):
-            inside = known(keys)
-            at, keys = at[inside], keys[inside]
-            _, first, group = np.unique(keys, return_index=True, return_inverse=True)
-            # phrases that share a key are told apart by their words
-            lead = at[first][group]
-            same = np.ones(len(at), bool)
-            for j in range(k):
-                same &= codes[at + j] == codes[lead + j]
-            for x, n in zip(at[first].tolist(), np.bincount(group[same], minlength=len(first)).tolist(), strict=True):
-                named = lang_of(x), b" ".join([words[c] for c in codes[x : x + k]])
-                rows[named] = rows.get(named, 0) + n
-            for x in at[~same].tolist():
-                named = lang_of(x), b" ".join([words[c] for c in codes[x : x + k]])
-                rows[named] = rows.get(named, 0) + 1
-            if len(rows) > 200_000:
-                yield from out(rows)
-                rows = {}
-        yield from out(rows)
-
-    def out(rows) -> Iterator[pa.RecordBatch]:
+        rows = []
+        if not everywhere:
+            total: dict[str, int] = {}
+            for lang, part in zip(block.langs, block.parts, strict=True):
+                total[lang] = total.get(lang, 0) + int(np.count_nonzero(part))
+            rows = [(None, None, lang, "", n) for lang, n in total.items()]
+        for k, at, keys, checks, _ in _levels(block, known[0]):
+            inside = known[1](keys if everywhere else _at(keys, place))
+            at, keys, checks = at[inside], keys[inside], checks[inside]
+            order, begins = _runs(keys, checks)
+            lead = order[begins]
+            langs = np.searchsorted(ends, at[lead], side="right").tolist()
+            marks = keys[lead].view(np.int64).tolist(), (checks[lead] >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
+            for x, lang, key, check in zip(at[lead].tolist(), langs, *marks, strict=True):
+                rows.append((key, check, block.langs[lang], b" ".join([words[c] for c in codes[x : x + k]]).decode(), None))
+                if len(rows) == 100_000:
+                    yield out(rows)
+                    rows = []
         if rows:
-            langs, phrases = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([p.decode() for p in phrases], pa.string()), pa.array(list(rows.values()), pa.int64())], schema=schema)
+            yield out(rows)
+
+    def out(rows) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return lambda batches: _each_block(batches, work)
 
 
-def _map_of(keys: DataFrame, size: int):
-    """The keys as a bit map for the tasks; its bits follow their number up to ``MOST_BITS``."""
-    spark = keys.sparkSession
-    bits = FEWEST_BITS
+def _map_of(keys: DataFrame) -> _Map:
+    """The keys as a bit map; its bits follow their number up to ``MOST_BITS``."""
+    size, bits = keys.count(), FEWEST_BITS
     while bits < min(BITS_EACH * size, MOST_BITS):
         bits *= 2
     own = np.zeros(bits // 8, np.uint8)
@@ -200,35 +227,31 @@ def _map_of(keys: DataFrame, size: int):
         for row in rows.toLocalIterator():  # at most MOST_BITS / ROW_BITS rows of 4 kB
             begin = row["row"] * ROW_BITS // 8
             own[begin : begin + ROW_BITS // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)[: ROW_BITS // 8]
-    return spark.sparkContext.broadcast(_Map(own))
+    return _Map(own)
+
 
+def _frequent(rows: DataFrame, least: int, known, before=None) -> DataFrame:
+    """``key, check, n, place`` of the phrases that one pass finds ``least`` times."""
+    counts = rows.mapInArrow(_count(known, before), "key long, check int, n long, place long")
+    out = cut(counts.groupBy("key", "check").agg(F.sum("n").alias("n"), F.min("place").alias("place")).where(F.col("n") >= least))
+    release(rows.sparkSession)
+    return out
 
-def _closed(rows: DataFrame, proposed: DataFrame | None, least: int) -> DataFrame:
-    """``key``: all phrases that occur ``least`` times in ``rows``, starting from what ``proposed`` holds.
 
-    Each pass counts the phrases that have become proposed or border since the
-    last one.  The set grows by border phrases that prove frequent; it is closed
-    when there are none, after as many passes more than the longest phrase has
-    words at most.
-    """
-    spark = rows.sparkSession
-    known = cut(proposed.select("key") if proposed is not None else rows.select(F.lit(0).cast("long").alias("key")).limit(0))
-    found, before = [], None
-    while True:
-        current = _map_of(known, known.count())
-        counts = rows.mapInArrow(_count(current, before), "key long, n long")
-        frequent = cut(counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"))
-        found.append(frequent)
-        fresh = cut(frequent.join(known, "key", "left_anti"))
-        release(spark)
-        if before is not None:
-            before.unpersist()
-        if not fresh.count():
+def _proposed(sample: DataFrame, least: int) -> DataFrame:
+    """``key`` of the phrases that occur ``least`` times in the sample, a pass for each length."""
+    send = sample.sparkSession.sparkContext.broadcast
+    known, before, size = cut(sample.select(F.lit(0).cast("long").alias("key")).limit(0)), None, 0
+    for _ in range(LONGEST):
+        current = send(_map_of(known))
+        found = _frequent(sample, least, current)
+        more = cut(known.unionByName(found.select("key")).distinct())
+        drop_cut(known, found)
+        known, grown = more, more.count()
+        if grown == size:
             break
-        known, before = known.unionByName(fresh), current
-    out = cut(reduce(DataFrame.unionByName, found))
-    drop_cut(known, *found)
-    return out
+        size = grown
+    return known
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -238,18 +261,37 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", l
     in A-Z, split into pieces at stops and line ends, and those into words at
     blanks; phrases do not reach over the end of a piece.
     """
+    from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chosen = F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns if c in ("doc_id", lang_col, text_col)]), F.lit(SAMPLE)) == 0
-    sample = cut(docs.where(chosen).select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    proposed = _closed(sample, None, max(1, int(least / SAMPLE * LOWERED)))
-    frequent = _closed(rows, proposed, least)
-    known = _map_of(frequent, frequent.count())
-    drop_cut(sample, proposed, frequent)
-    schema = docs.sparkSession.createDataFrame([], "lang string, phrase string, n long").schema
-    named = rows.mapInArrow(_name(known, to_arrow_schema(schema)), schema)
-    return named.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == ""))
+    send = docs.sparkSession.sparkContext.broadcast
+    own = [F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
+    rows = docs.select(*own)
+    chosen = F.pmod(F.xxhash64(*[c for c in docs.columns if c in ("doc_id", lang_col, text_col)]), F.lit(SAMPLE)) == 0
+    sample = cut(docs.where(chosen).select(*own))
+    proposed = _proposed(sample, max(1, int(least / SAMPLE * LOWERED)))
+    first = send(_map_of(proposed))
+    found = _frequent(rows, least, first)
+    failed = cut(found.join(proposed, "key", "left_anti").select("key"))
+    if failed.count():
+        second = send(_map_of(proposed.unionByName(failed)))
+        more = _frequent(rows, least, second, first)
+        both = cut(found.unionByName(more).groupBy("key", "check").agg(F.max("n").alias("n"), F.min("place").alias("place")))
+        drop_cut(found, more)
+        found = both
+    drop_cut(sample, proposed, failed)
+
+    schema = T.StructType.fromDDL("key long, check int, lang string, phrase string, n long")
+    at_home = found.select(_pairs().alias("key"))
+    known = _map_of(found)
+    named = cut(rows.mapInArrow(_name(send((known, _map_of(at_home))), to_arrow_schema(schema), False), schema))
+    lost = cut(found.join(named, ["key", "check"], "left_anti").select("key"))
+    names = named.where("key is not null")
+    if lost.count():  # the input was not dealt as before, so these are named wherever they occur
+        names = names.unionByName(rows.mapInArrow(_name(send((known, _map_of(lost))), to_arrow_schema(schema), True), schema))
+    each = names.groupBy("key", "check").agg(F.min(F.struct("lang", "phrase")).alias("p"))
+    totals = named.where("key is null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    return found.join(each, ["key", "check"]).select("p.lang", "p.phrase", F.col("n").alias("f")).unionByName(totals)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
