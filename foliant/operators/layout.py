@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from foliant.functions.classify import is_table_row, line_class
+from foliant.functions.rewrite import each_match
 from foliant.functions.unicode import strip
 from foliant.operators.corpus import lines
+from foliant.operators.wordwise import bound
 
 #: A line that ends so is complete.
 ENDS = r"[.؟!:؛\"»]$"
@@ -101,6 +103,74 @@ def tables(docs: DataFrame) -> DataFrame:
     return grouped.select("doc_id", "table_no", "n_rows", "n_cols", F.array_join(F.concat(head, body), "\n").alias("markdown"))
 
 
+# The same rules on a whole text, as array functions: the lines of a document never leave their row.
+
+
+def _text_lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def merged_pairs(text: Column, short: int = 80) -> Column:
+    """:func:`merge_pairs` within the text: lines are stripped, and a short unfinished one takes the next.
+
+    The lines become a string of flags, in which each flag that can takes the one
+    after it, from left to right.
+    """
+
+    def use(s: Column) -> Column:
+        special = lambda x: x.rlike(r"^(?:#|---|\[|\(|>|\*\*|- |س)") | x.rlike(r"^\d+[.\-)]")
+        joins = lambda x: F.coalesce((x != "") & ~x.rlike(r"^(?:#|---|\[|\(|>)"), F.lit(False))
+        can = lambda x, i: (x != "") & ~special(x) & (F.length(x) < short) & ~x.rlike(ENDS) & joins(F.get(s, i + 1))
+        flags = F.array_join(F.transform(s, lambda x, i: F.when(can(x, i), "1").otherwise("0")), "")
+        marks = F.split(F.regexp_replace(flags, "1.", "TS"), "")
+
+        def line(m: Column) -> Column:
+            each = F.transform(s, lambda x, i: F.when(F.get(m, i) == "T", F.concat_ws(" ", x, F.get(s, i + 1))).when(F.get(m, i) == "0", x))
+            return F.array_join(F.filter(each, lambda x: x.isNotNull()), "\n")
+
+        return bound(marks, line)
+
+    return bound(F.transform(_text_lines(text), strip), use)
+
+
+def limited_runs(text: Column) -> Column:
+    """:func:`limit_runs` within the text: of equal lines in a row two stay."""
+
+    def use(x: Column) -> Column:
+        rows, s = x["l"], x["s"]
+        exempt = lambda i: (F.get(s, i) == "") | F.get(s, i).rlike(r"^(?:#|---|\[|\*\*|>|- )")
+        again = lambda i: F.coalesce((F.get(s, i) == F.get(s, i - 1)) & (F.get(s, i) == F.get(s, i - 2)), F.lit(False))
+        return F.array_join(F.filter(rows, lambda _, i: exempt(i) | ~again(i)), "\n")
+
+    return bound(F.struct(_text_lines(text).alias("l"), F.transform(_text_lines(text), strip).alias("s")), use)
+
+
+#: Stands before rows of cells while they are gathered; Unicode keeps it out of texts, and it is removed from them.
+_ROW_MARK = "\ufffe"
+
+
+def tables_in(text: Column) -> Column:
+    """The text with runs of two or more rows of cells as Markdown tables, an empty line after each; a single row's cells by tabs."""
+    own = F.replace(text, F.lit(_ROW_MARK), F.lit(""))
+    marked = F.array_join(F.transform(_text_lines(own), lambda x: F.when(is_table_row(x), F.concat(F.lit(_ROW_MARK), x)).otherwise(x)), "\n")
+
+    def cells(row: Column) -> Column:
+        parts = F.when(F.contains(row, F.lit("|")), F.split(row, r"\|")).when(F.contains(row, F.lit("\t")), F.split(row, "\t")).otherwise(F.split(row, r"\s{3,}"))
+        return F.filter(F.transform(parts, strip), lambda c: c != "")
+
+    def table(run: Column) -> Column:
+        def shown(grid: Column) -> Column:
+            width = F.array_max(F.transform(grid, F.size))
+            line = lambda c: F.concat(F.lit("| "), F.array_join(c, " | "), F.lit(" |"))
+            full = lambda w: F.transform(grid, lambda r: line(F.concat(r, F.array_repeat(F.lit(""), w - F.size(r)))))
+            rows = bound(width, lambda w: F.concat(F.slice(full(w), 1, 1), F.array(line(F.array_repeat(F.lit("---"), w))), F.slice(full(w), F.lit(2), F.size(grid)), F.array(F.lit(""))))
+            return F.when(F.size(grid) > 1, F.array_join(rows, "\n")).otherwise(F.array_join(F.get(grid, F.lit(0)), "\t"))
+
+        return bound(F.transform(F.split(F.replace(run, F.lit(_ROW_MARK), F.lit("")), "\n", -1), cells), shown)
+
+    return each_match(marked, rf"{_ROW_MARK}[^\n]*+(?:\n{_ROW_MARK}[^\n]*+)*+", table)
+
+
 def questions_in_order(docs: DataFrame) -> DataFrame:
     """``doc_id, q_ord, q_num, text``: numbered blocks of a document by number; equal numbers keep their order.
 

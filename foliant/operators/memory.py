@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.unicode import AR, blanks
+from foliant.functions.unicode import AR, SPACE, blanks
+from foliant.operators import wordwise
 from foliant.operators.corpus import ngrams, tokens
 
 # First words of phrases too common to learn; subjects and their key words.
@@ -123,17 +124,40 @@ def human_edits(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pos", "z.original", "z.edited").where("original <> edited")
 
 
-def correct(docs: DataFrame, memory: DataFrame) -> DataFrame:
-    """``doc_id, text``: trusted corrections applied word by word, white space as it was.
+def correct(docs: DataFrame, memory: DataFrame, known: DataFrame | None = None, least: int = 2) -> DataFrame:
+    """``doc_id, text`` of ``docs`` (doc_id, subject, text) as :func:`corrected` leaves them."""
+    return corrected(docs.select("doc_id", "subject", "text"), memory, known, least).select("doc_id", "text")
 
-    The memory is that of an earlier epoch, so a document never corrects itself.
+
+def corrected(docs: DataFrame, memory: DataFrame, known: DataFrame | None = None, least: int = 2, count_col: str | None = None) -> DataFrame:
+    """``docs`` with trusted corrections applied word by word, white space as it was; ``count_col`` gets their number.
+
+    Words of a phrase in ``known`` (subject, phrase, frequency) that occurs
+    ``least`` times in its subject are protected: of the phrases in a text the
+    leftmost count, the longest of those that begin at the same word, none in
+    another.  White space inside a phrase is one blank.  A null text stays null,
+    and a row without a subject has no corrections.  The memory is that of an
+    earlier epoch, so a document never corrects itself.
     """
-    known = trusted(memory).select("original", "corrected", "subject")
-    parts = docs.select("doc_id", "subject", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+|\s+"), F.lit(0))).alias("pos", "part"))
-    done = parts.join(known.withColumnRenamed("original", "part"), ["subject", "part"], "left")
-    return done.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("corrected", "part").alias("w")))), lambda x: x["w"]), "").alias("text")
-    )
+    pieces = wordwise.blank_pieces(F.col("text"))
+    named = lambda term: F.concat_ws("\n", F.col("subject"), term)
+    word = lambda p: F.when(F.col("subject").isNotNull() & ~p.rlike(f"^{SPACE}"), named(p))
+    table = trusted(memory).select(named(F.col("original")).alias("term"), F.col("corrected").alias("answer")).where("term is not null and answer is not null")
+    questions = wordwise.at_words(pieces, word)
+    if known is not None:
+        # n words are 2 n - 1 pieces, and the blanks between them single
+        def phrases_of(p: Column) -> Column:
+            each = lambda n: F.transform(p, lambda x, i: F.when(~x.rlike(f"^{SPACE}"), F.struct(i.alias("pos"), F.lit(2 * n - 1).alias("n"), named(F.array_join(F.slice(p, i + 1, 2 * n - 1), "")).alias("term"))))
+            return F.filter(F.concat(*[each(n) for n in (2, 3, 4)]), lambda q: q.isNotNull() & (q["pos"] + q["n"] <= F.size(p)) & F.col("subject").isNotNull())
+
+        questions = F.concat(questions, wordwise.bound(pieces, phrases_of))
+        safe = known.where((F.col("frequency") >= least) & F.contains("phrase", F.lit(" ")))
+        table = table.unionByName(safe.select(named(F.col("phrase")).alias("term"), F.lit(None).cast("string").alias("answer")).distinct())
+    done = wordwise.answered(docs, questions, table, ["subject", "text"], "_answers")
+    done = done.withColumn("_answers", F.filter(wordwise.without_overlaps(F.col("_answers")), lambda a: a["answer"].isNotNull()))
+    text = wordwise.put_back(F.col("text"), pieces, F.col("_answers"), lambda _, a: a["answer"])
+    count = [F.coalesce(F.size("_answers"), F.lit(0)).alias(count_col)] if count_col else []
+    return done.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], *count)
 
 
 def match_phrases(docs: DataFrame, known: DataFrame, least: int = 2) -> DataFrame:

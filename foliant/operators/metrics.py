@@ -9,6 +9,8 @@ from foliant.functions.unicode import AR, TASHKEEL, blanks, count
 
 #: A word of this confidence or more is left alone.
 SURE = 0.9
+#: What a reader should check carries this mark.
+VERIFY = "[تحقق]"
 # Words near which a term is likely.
 CONTEXT = ["القوة", "الطاقة", "الكتلة", "السرعة", "التسارع", "التفاعل", "المعادلة", "الدالة", "الخلية", "الجهاز", "النظام", "المادة", "العنصر"]
 
@@ -75,33 +77,86 @@ def word_confidence(word: Column, in_lexicon: Column, bare_in_lexicon: Column, s
 
 
 def rated_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """``word, confidence`` for distinct words without context, with one lexicon lookup of three spellings."""
-    own = words.select("word").distinct()
+    """``word, confidence`` for distinct words, with one lexicon lookup of three spellings; by ``near`` too if ``words`` says whether a term is."""
+    keys = [c for c in ("word", "near") if c in words.columns]
+    own = words.select(*keys).distinct()
     bare = F.regexp_replace("word", TASHKEEL, "")
     stem = F.when(bare.startswith("ال") & (F.length(bare) > 3), F.substring(bare, 3, 1 << 20))
-    keys = own.select("word", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("word").alias("term")), F.struct(F.lit(1).alias("k"), bare.alias("term")), F.struct(F.lit(2).alias("k"), stem.alias("term")))).alias("x"))
-    hits = keys.select("word", "x.k", "x.term").join(lexicon.select("term").distinct(), "term", "left_semi").groupBy("word").agg(F.collect_set("k").alias("hit"))
+    spelled = own.select("word").distinct().select("word", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("word").alias("term")), F.struct(F.lit(1).alias("k"), bare.alias("term")), F.struct(F.lit(2).alias("k"), stem.alias("term")))).alias("x"))
+    hits = spelled.select("word", "x.k", "x.term").join(lexicon.select("term").distinct(), "term", "left_semi").groupBy("word").agg(F.collect_set("k").alias("hit"))
     has = lambda k: F.coalesce(F.array_contains("hit", k), F.lit(False))
-    return own.join(hits, "word", "left").select("word", F.bround(word_confidence(F.col("word"), has(0), has(1), has(2), F.lit(False)), 4).alias("confidence"))
+    near = F.col("near") if "near" in keys else F.lit(False)
+    return own.join(hits, "word", "left").select(*keys, F.bround(word_confidence(F.col("word"), has(0), has(1), has(2), near), 4).alias("confidence"))
 
 
 def corrected_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """``word, corrected, confidence, kind``: the decision for each distinct word; only doubtful ones meet the lexicon."""
+    """``word, corrected, confidence, kind``: the decision for each distinct word (and ``near``); only doubtful ones meet the lexicon.
+
+    A doubtful word of fair confidence takes the term most like it; one that
+    finds none so, or of low confidence, a term that is half like it, with a mark.
+    """
     from foliant.operators.lexicon import candidates, spell_check
 
+    keys = [c for c in ("word", "near") if c in words.columns]
     rated = rated_words(words, lexicon).join(spell_check(words, lexicon).withColumnRenamed("term", "known"), "word", "left")
     doubtful = rated.where((F.col("confidence") < SURE) & F.col("known").isNull() & (F.length("word") >= 2))
-    near = candidates(doubtful.where("confidence >= 0.7"), lexicon, 1, 0.7).where("rank = 1").select("word", F.col("term").alias("near"), F.col("similarity").alias("near_s"))
-    far = candidates(doubtful.where("confidence < 0.7"), lexicon, 2, 0.3).where("rank = 1 AND similarity >= 0.5").select("word", F.col("term").alias("far"), F.col("similarity").alias("far_s"))
-    w, known = F.col("word"), F.col("known")
+    near = candidates(doubtful.where("confidence >= 0.7"), lexicon, 1, 0.7).where("rank = 1").select("word", F.col("term").alias("close"), F.col("similarity").alias("close_s"))
+    far = candidates(doubtful, lexicon, 2, 0.3).where("rank = 1 AND similarity >= 0.5").select("word", F.col("term").alias("far"), F.col("similarity").alias("far_s"))
+    w, known, fair = F.col("word"), F.col("known"), F.col("confidence") >= 0.7
     all_ = rated.join(near, "word", "left").join(far, "word", "left")
     kind = (
         F.when(F.length(w) < 2, "low").when(F.col("confidence") >= SURE, "exact").when(known == w, "lexicon").when(known.isNotNull(), "dictionary")
-        .when(F.col("near").isNotNull(), "confusion").otherwise("low_confidence")
+        .when(fair & F.col("close").isNotNull(), "confusion").otherwise("low_confidence")
     )
-    text = F.when(kind == "dictionary", known).when(kind == "confusion", F.col("near")).when(F.col("far").isNotNull() & (kind == "low_confidence"), F.concat("far", F.lit("[تحقق]"))).otherwise(w)
-    sure = F.when(kind == "low", 0.5).when(kind == "lexicon", 0.95).when(kind == "dictionary", 0.9).when(kind == "confusion", F.col("near_s")).otherwise(F.coalesce("far_s", "confidence"))
-    return all_.select("word", text.alias("corrected"), F.when(kind == "exact", F.col("confidence")).otherwise(sure).alias("confidence"), kind.alias("kind"))
+    text = F.when(kind == "dictionary", known).when(kind == "confusion", F.col("close")).when(F.col("far").isNotNull() & (kind == "low_confidence"), F.concat("far", F.lit(VERIFY))).otherwise(w)
+    sure = F.when(kind == "low", 0.5).when(kind == "lexicon", 0.95).when(kind == "dictionary", 0.9).when(kind == "confusion", F.col("close_s")).otherwise(F.coalesce("far_s", "confidence"))
+    return all_.select(*keys, text.alias("corrected"), F.when(kind == "exact", F.col("confidence")).otherwise(sure).alias("confidence"), kind.alias("kind"))
+
+
+def correct_by_confidence(docs: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with doubtful words corrected where they stand, and ``corrections_applied, low_confidence_seen``.
+
+    What becomes of a word depends on its letters and on whether a word that
+    speaks for a term stands within three words, so each distinct pair of these
+    is decided once.  Line ends and all other white space stay.  The two counts
+    hold doubtful words that stay as they are too.  A null text stays null.
+    """
+    from foliant.durable import written
+    from foliant.operators import wordwise
+
+    pieces = wordwise.blank_pieces(F.col(text_col))
+    letters = lambda p: F.regexp_replace(p, f"[^{AR}A-Za-z]", "")
+
+    def asked(x: Column) -> Column:
+        parts, told = x["p"], x["t"]
+        steps = [k for k in range(-6, 7, 2) if k]  # words and white space take turns
+        there = lambda i: sum((F.get(parts, i + k).isNotNull().cast("int") for k in steps), F.lit(0))
+        near = lambda i: F.greatest(*[F.coalesce(F.get(told, i + k), F.lit(False)) for k in steps]) & (there(i) > 1)
+        ask = lambda p, i: F.when((F.length(p) > 1) & (letters(p) != ""), F.concat(F.when(near(i), "+").otherwise("-"), letters(p)))
+        each = F.transform(parts, lambda p, i: F.struct(i.alias("pos"), F.lit(1).alias("n"), ask(p, i).alias("term")))
+        return F.filter(each, lambda q: q["term"].isNotNull())
+
+    questions = wordwise.bound(F.struct(pieces.alias("p"), F.transform(pieces, lambda p: p.rlike("|".join(CONTEXT))).alias("t")), asked)
+    words = docs.select(F.explode(questions).alias("q")).select(F.substring("q.term", 2, 1 << 30).alias("word"), F.col("q.term").startswith("+").alias("near")).distinct()
+    decided = corrected_words(words, lexicon).where("kind not in ('exact', 'lexicon')")
+    mark = F.col("corrected").endswith(VERIFY)
+    table = decided.select(
+        F.concat(F.when(F.col("near"), "+").otherwise("-"), F.col("word")).alias("term"), F.when(mark, F.replace("corrected", F.lit(VERIFY))).otherwise(F.col("corrected")).alias("fixed"),
+        F.when(mark, VERIFY).otherwise("").alias("mark"), F.col("kind"),
+    )
+
+    def change(p: Column, a: Column) -> Column:
+        at = F.instr(p, letters(p))
+        fixed = F.when(at > 0, F.concat(p.substr(F.lit(1), at - 1), a["fixed"], p.substr(at + F.length(letters(p)), F.length(p)))).otherwise(p)
+        return F.concat(fixed, a["mark"])
+
+    done = wordwise.answered(docs, questions, written(table), [text_col], "_decided")
+    text = wordwise.put_back(F.col(text_col), pieces, F.col("_decided"), change)
+    count = lambda kinds: F.coalesce(F.size(F.filter("_decided", lambda a: a["kind"].isin(*kinds))), F.lit(0))
+    return done.select(
+        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        count(("confusion", "low", "low_confidence")).alias("corrections_applied"), count(("low", "low_confidence")).alias("low_confidence_seen"),
+    )
 
 
 def confidence_summary(tokens: DataFrame, decided: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import classify
 from foliant.functions.unicode import blanks
-from foliant.operators import corpus, fixes, knowledge, layout, lexicon, memory, metrics, questions
+from foliant.operators import corpus, fixes, knowledge, layout, lexicon, memory, metrics, questions, wordwise
 from foliant.plans import fixtures, qa
 from foliant.sources import documents as sources
 
@@ -335,9 +335,47 @@ def qa_score(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", score.alias("quality_score"))
 
 
+def _stand_ins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A memory and phrases from the passages: words seen twice are written in capitals, phrases seen twice are protected."""
+    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(qa.SUBJECT).alias("subject"), "text")
+    tokens = texts.select("subject", F.explode(blanks(F.col("text"))).alias("original")).where(F.length("original") > 3)
+    seen = tokens.groupBy("subject", "original").agg(F.count("*").alias("frequency")).where("frequency > 1")
+    known = memory.phrases(texts, useful=lambda p: F.length(p) >= 6).where("frequency > 1")
+    return seen.select("subject", "original", F.upper("original").alias("corrected"), "frequency", F.lit("auto").alias("source")), known.select("subject", "phrase", "frequency")
+
+
 @query()
 def qa_pipeline(spark, sf_dir):
-    return qa.run(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    store, known = _stand_ins(spark, sf_dir)
+    return qa.run(table(spark, sf_dir, "documents").select("doc_id", "text"), {"Chapter": "Unit"}, True, _terms(spark), store, known)
+
+
+@query("""WITH x AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{2,}')) AS term FROM benchmark), low AS (SELECT lower(term) AS low, min(term) AS term FROM x GROUP BY 1),
+  p AS (SELECT doc_id, i, parts[i] AS part FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+') AS parts FROM documents))),
+  f AS (SELECT doc_id, i, part, CASE WHEN length(part) > 1 AND x.term IS NULL THEN low.term END AS new FROM p LEFT JOIN x ON x.term = part LEFT JOIN low ON low.low = lower(part) AND regexp_full_match(part, '[A-Za-z]+')),
+  t AS (SELECT doc_id, string_agg(coalesce(new, part), '' ORDER BY i) AS text, count(new) AS changed FROM f GROUP BY doc_id)
+  SELECT d.doc_id, coalesce(t.text, d.text) AS text, coalesce(changed, 0) AS changed FROM documents d LEFT JOIN t USING (doc_id)""")
+def spell_check_text(spark, sf_dir):
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("term")).distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wordwise.spell_check_text(docs, terms, count_col="changed").withColumn("changed", F.col("changed").cast("long"))
+
+
+@query()
+def confidence_correct(spark, sf_dir):
+    return metrics.correct_by_confidence(table(spark, sf_dir, "documents").select("doc_id", "text"), _terms(spark))
+
+
+@query()
+def memory_correct(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(qa.SUBJECT).alias("subject"))
+    return memory.corrected(docs, *_stand_ins(spark, sf_dir), count_col="changed")
+
+
+@query(LINES + """, e AS (SELECT *, s = '' OR regexp_matches(s, '^(#|---|\\[|\\*\\*|>|- )') AS x, lag(s) OVER d AS p, lag(s, 2) OVER d AS q FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY line_no))
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (x OR (p = s AND q = s) IS NOT TRUE), '') AS text FROM e GROUP BY doc_id""")
+def runs_in_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", layout.limited_runs(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 @query()

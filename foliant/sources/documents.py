@@ -66,10 +66,13 @@ def digital_pages(blocks: DataFrame) -> DataFrame:
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
-    """Pages whose whole content was not seen before, by document and page."""
-    first = pages.groupBy(F.sha2("text", 256).alias("_of")).agg(F.min(F.struct("doc_id", "page_no")).alias("_first"))
-    seen = pages.withColumn("_of", F.sha2("text", 256)).join(first, "_of")
-    return seen.where(F.struct("doc_id", "page_no") == F.col("_first")).select(*pages.columns)
+    """Pages whose whole content was not seen before, by document and page; one row of each content.
+
+    Null is a content of its own, apart from the empty text.  Of repeated rows one stays.
+    """
+    content = F.coalesce(F.sha2("text", 256), F.lit("none"))
+    first = pages.groupBy(content).agg(F.min_by(F.struct(*pages.columns), F.struct("doc_id", "page_no")).alias("page"))
+    return first.select("page.*")
 
 
 def safe_name(name):

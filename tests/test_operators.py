@@ -162,7 +162,7 @@ def sources_schema():
 
 
 def test_qa_runs_and_scores(spark):
-    out = qa.run(docs(spark, "ab\nab\nab\nend", None)).orderBy("doc_id").collect()
+    out = qa.run(docs(spark, "ab.\nab.\nab.\nend", None)).orderBy("doc_id").collect()
     assert out[0].duplicates_removed == 1 and 0 <= out[0].quality_score <= 100 and out[1].text == ""
     assert "quality_score" in qa.report(qa.run(docs(spark, "x"))).first().report
 
@@ -177,3 +177,5 @@ def test_text_folder_and_distinct_pages(spark, tmp_path):
     assert sources.text_folder(spark, str(tmp_path)).first().text == "good \ufffd bytes"
     pages = spark.createDataFrame([(2, 1, ""), (1, 2, ""), (1, 3, "x"), (3, 1, "x"), (3, 2, "y")], "doc_id long, page_no int, text string")
     assert sorted((r.doc_id, r.page_no) for r in sources.distinct_pages(pages).collect()) == [(1, 2), (1, 3), (3, 2)]
+    again = spark.createDataFrame([(1, 1, "a"), (1, 1, "a"), (2, 1, "a"), (3, 1, None), (4, 1, None), (4, 2, "b")], "doc_id long, page_no int, text string")
+    assert sorted(map(str, map(tuple, sources.distinct_pages(again).collect()))) == ["(1, 1, 'a')", "(3, 1, None)", "(4, 2, 'b')"]
