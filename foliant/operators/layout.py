@@ -1,4 +1,8 @@
-"""Rules over the order of lines, as windows over runs instead of a loop with state."""
+"""Rules over the order of lines, as array functions on the text of a row instead of a loop with state.
+
+A document's lines stay in its row, so the rules need no shuffle, and rows that
+repeat an id do not mix.
+"""
 
 from __future__ import annotations
 
@@ -30,11 +34,31 @@ def _so_far() -> WindowSpec:
     return _order().rowsBetween(Window.unboundedPreceding, 0)
 
 
+def _text_lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def _by_line(docs: DataFrame, each) -> DataFrame:
+    """``doc_id`` and the fields of the structs that ``each(lines, stripped lines)`` makes of a text."""
+    text = F.coalesce("text", F.lit(""))
+    both = F.struct(_text_lines(text).alias("l"), F.transform(_text_lines(text), strip).alias("s"))
+    return docs.select("doc_id", F.explode(bound(both, lambda x: each(x["l"], x["s"]))).alias("_x")).select("doc_id", "_x.*")
+
+
+def _segments(items: Column, starts, make) -> Column:
+    """``make(number, first, length)`` of the runs of ``items`` that begin where ``starts(i)`` holds; numbers from 1."""
+    size = F.size(items)
+    at = F.filter(F.transform(items, lambda _, i: F.when((i == 0) | starts(i), i)), lambda i: i.isNotNull())
+    return bound(at, lambda at: F.transform(at, lambda i, k: make(k + 1, i, F.coalesce(F.get(at, k + 1), size) - i)))
+
+
 def drop_repeated_lines(docs: DataFrame, short: int = 20) -> DataFrame:
     """Lines without later copies (white space aside) in their document; lines shorter than ``short`` stay."""
+    rows = lines(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()).select(F.struct("doc_id", "_row").alias("doc_id"), "text"))
     key = F.md5(F.regexp_replace("stripped", r"\s+", " "))
     nth = F.row_number().over(Window.partitionBy("doc_id", key).orderBy("line_no"))
-    return lines(docs).withColumn("nth", nth).where((F.col("nth") == 1) | (F.length("stripped") < short)).select("doc_id", "line_no", "text")
+    kept = rows.withColumn("nth", nth).where((F.col("nth") == 1) | (F.length("stripped") < short))
+    return kept.select("doc_id.doc_id", "line_no", "text")
 
 
 def _run(same: Column) -> Column:
@@ -42,107 +66,103 @@ def _run(same: Column) -> Column:
     return F.sum(F.when(same, 0).otherwise(1)).over(_so_far())
 
 
+def _kept_of_runs(rows: Column, s: Column, most: int, make) -> Column:
+    exempt = lambda i: (F.get(s, i) == "") | F.get(s, i).rlike(r"^(?:#|---|\[|\*\*|>|- )")
+
+    def again(i: Column) -> Column:
+        out = F.lit(True)
+        for k in range(1, most + 1):
+            out = out & F.coalesce(F.get(s, i) == F.get(s, i - k), F.lit(False))
+        return out
+
+    each = F.transform(rows, lambda x, i: F.when(exempt(i) | ~again(i), make(x, i)))
+    return F.filter(each, lambda x: x.isNotNull())
+
+
 def limit_runs(docs: DataFrame, most: int = 2) -> DataFrame:
-    """At most ``most`` equal lines in a row; blank and marked lines stay and end a run."""
-    rows = lines(docs)
-    exempt = (F.col("stripped") == "") | F.col("stripped").rlike(r"^(?:#|---|\[|\*\*|>|- )")
-    rows = rows.withColumn("exempt", exempt).withColumn("run", _run((F.lag("stripped").over(_order()) == F.col("stripped")) & ~F.col("exempt")))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("line_no"))
-    return rows.withColumn("nth", nth).where(F.col("exempt") | (F.col("nth") <= most)).select("doc_id", "line_no", "text")
+    """``doc_id, line_no, text``: at most ``most`` equal lines in a row; blank and marked lines stay and end a run."""
+    return _by_line(docs, lambda rows, s: _kept_of_runs(rows, s, most, lambda x, i: F.struct(i.alias("line_no"), x.alias("text"))))
+
+
+def limited_runs(text: Column, most: int = 2) -> Column:
+    """The text as :func:`limit_runs` leaves it."""
+    both = F.struct(_text_lines(text).alias("l"), F.transform(_text_lines(text), strip).alias("s"))
+    return bound(both, lambda x: F.array_join(_kept_of_runs(x["l"], x["s"], most, lambda line, _: line), "\n"))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """``doc_id, par_no, text``: broken lines joined up to a line that ends in a stop.
+    """``doc_id, par_no, line_no, text``: broken lines joined up to a line that ends in a stop.
 
     Blank lines, rules, headings, list items, notes and bracketed lines stand alone.
     """
-    s = F.col("stripped")
-    alone = (s == "") | s.rlike(r"^(?:---|📌|#|-|\*|\()") | F.contains(s, F.lit("تنويه"))
-    rows = lines(docs).withColumn("alone", alone)
-    ended = F.lag("stripped").over(_order()).rlike(ENDS)
-    rows = rows.withColumn("par_no", _run(~F.col("alone") & ~F.lag("alone").over(_order()) & ~ended))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "stripped"))), lambda x: x["stripped"]), " ")
-    return rows.groupBy("doc_id", "par_no").agg(F.min("line_no").alias("line_no"), text.alias("text"))
+    alone = lambda x: (x == "") | x.rlike(r"^(?:---|📌|#|-|\*|\()") | F.contains(x, F.lit("تنويه"))
 
+    def each(_, s: Column) -> Column:
+        starts = lambda i: alone(F.get(s, i)) | alone(F.get(s, i - 1)) | F.get(s, i - 1).rlike(ENDS)
+        make = lambda k, i, n: F.struct(k.cast("long").alias("par_no"), i.alias("line_no"), F.array_join(F.slice(s, i + 1, n), " ").alias("text"))
+        return _segments(s, starts, make)
 
-def merge_pairs(docs: DataFrame, short: int = 80) -> DataFrame:
-    """``doc_id, line_no, text``: a short unfinished line takes the next one, which then takes none.
+    return _by_line(docs, each)
 
-    Whether a line could take the next depends on the two alone; in a run of
-    such lines those at even places do.
-    """
-    s = F.col("stripped")
-    special = s.rlike(r"^(?:#|---|\[|\(|>|\*\*|- |س)") | s.rlike(r"^\d+[.\-)]")
-    following = F.lead("stripped").over(_order())
-    can = (s != "") & ~special & (F.length(s) < short) & ~s.rlike(ENDS) & F.coalesce((following != "") & ~following.rlike(r"^(?:#|---|\[|\(|>)"), F.lit(False))
-    rows = lines(docs).withColumn("can", can).withColumn("next_line", following)
-    # a run of lines that can take the next: it starts after each line that cannot
-    rows = rows.withColumn("run", F.sum(F.when(F.lag("can").over(_order()), 0).otherwise(1)).over(_so_far()))
-    place = F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("line_no")) - 1
-    rows = rows.withColumn("takes", F.col("can") & (place % 2 == 0)).withColumn("taken", F.coalesce(F.lag("takes").over(_order()), F.lit(False)))
-    return rows.where(~F.col("taken")).select(
-        "doc_id", "line_no", F.when(F.col("takes"), F.concat_ws(" ", "stripped", "next_line")).otherwise(F.col("stripped")).alias("text")
-    )
 
+def _taking(s: Column, short: int, use) -> Column:
+    """``use`` of marks by line: T takes the next line, S is taken, 0 stands alone.
 
-def tables(docs: DataFrame) -> DataFrame:
-    """``doc_id, table_no, n_rows, n_cols, markdown``: runs of two or more rows of cells."""
-    row = F.col("text")
-    cells = F.when(F.contains(row, F.lit("|")), F.split(row, r"\|")).when(F.contains(row, F.lit("\t")), F.split(row, "\t")).otherwise(F.split(row, r"\s{3,}"))
-    rows = lines(docs).withColumn("row", is_table_row(row))
-    rows = rows.withColumn("table_no", _run(F.col("row") & F.lag("row").over(_order()))).where("row")
-    rows = rows.withColumn("cells", F.filter(F.transform(cells, strip), lambda c: c != ""))
-    grouped = rows.groupBy("doc_id", "table_no").agg(
-        F.count("*").alias("n_rows"), F.max(F.size("cells")).alias("n_cols"),
-        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "cells"))), lambda x: x["cells"]).alias("grid"),
-    ).where("n_rows > 1")
-    line = lambda c: F.concat(F.lit("| "), F.array_join(c, " | "), F.lit(" |"))
-    padded = F.transform("grid", lambda r: line(F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.lit(0), F.col("n_cols") - F.size(r))))))
-    head = F.concat(F.slice(padded, 1, 1), F.array(line(F.array_repeat(F.lit("---"), F.col("n_cols")))))
-    body = F.slice(padded, F.lit(2), F.col("n_rows").cast("int"))
-    return grouped.select("doc_id", "table_no", "n_rows", "n_cols", F.array_join(F.concat(head, body), "\n").alias("markdown"))
+    Whether a line could take the next depends on the two alone; a string of
+    these flags is read from left to right, each that can taking the one after it.
+    """
+    special = lambda x: x.rlike(r"^(?:#|---|\[|\(|>|\*\*|- |س)") | x.rlike(r"^\d+[.\-)]")
+    joins = lambda x: F.coalesce((x != "") & ~x.rlike(r"^(?:#|---|\[|\(|>)"), F.lit(False))
+    can = lambda x, i: (x != "") & ~special(x) & (F.length(x) < short) & ~x.rlike(ENDS) & joins(F.get(s, i + 1))
+    flags = F.array_join(F.transform(s, lambda x, i: F.when(can(x, i), "1").otherwise("0")), "")
+    return bound(F.split(F.regexp_replace(flags, "1.", "TS"), ""), use)
 
 
-# The same rules on a whole text, as array functions: the lines of a document never leave their row.
+def _merged(s: Column, short: int, make) -> Column:
+    def use(m: Column) -> Column:
+        text = lambda x, i: F.when(F.get(m, i) == "T", F.concat_ws(" ", x, F.get(s, i + 1))).otherwise(x)
+        each = F.transform(s, lambda x, i: F.when(F.get(m, i) != "S", make(text(x, i), i)))
+        return F.filter(each, lambda x: x.isNotNull())
 
+    return _taking(s, short, use)
 
-def _text_lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)
 
+def merge_pairs(docs: DataFrame, short: int = 80) -> DataFrame:
+    """``doc_id, line_no, text``: a short unfinished line takes the next one, which then takes none; lines are stripped."""
+    return _by_line(docs, lambda _, s: _merged(s, short, lambda t, i: F.struct(i.alias("line_no"), t.alias("text"))))
 
-def merged_pairs(text: Column, short: int = 80) -> Column:
-    """:func:`merge_pairs` within the text: lines are stripped, and a short unfinished one takes the next.
 
-    The lines become a string of flags, in which each flag that can takes the one
-    after it, from left to right.
-    """
+def merged_pairs(text: Column, short: int = 80) -> Column:
+    """The text as :func:`merge_pairs` leaves it."""
+    return bound(F.transform(_text_lines(text), strip), lambda s: F.array_join(_merged(s, short, lambda t, _: t), "\n"))
 
-    def use(s: Column) -> Column:
-        special = lambda x: x.rlike(r"^(?:#|---|\[|\(|>|\*\*|- |س)") | x.rlike(r"^\d+[.\-)]")
-        joins = lambda x: F.coalesce((x != "") & ~x.rlike(r"^(?:#|---|\[|\(|>)"), F.lit(False))
-        can = lambda x, i: (x != "") & ~special(x) & (F.length(x) < short) & ~x.rlike(ENDS) & joins(F.get(s, i + 1))
-        flags = F.array_join(F.transform(s, lambda x, i: F.when(can(x, i), "1").otherwise("0")), "")
-        marks = F.split(F.regexp_replace(flags, "1.", "TS"), "")
 
-        def line(m: Column) -> Column:
-            each = F.transform(s, lambda x, i: F.when(F.get(m, i) == "T", F.concat_ws(" ", x, F.get(s, i + 1))).when(F.get(m, i) == "0", x))
-            return F.array_join(F.filter(each, lambda x: x.isNotNull()), "\n")
+def _cells(row: Column) -> Column:
+    parts = F.when(F.contains(row, F.lit("|")), F.split(row, r"\|")).when(F.contains(row, F.lit("\t")), F.split(row, "\t")).otherwise(F.split(row, r"\s{3,}"))
+    return F.filter(F.transform(parts, strip), lambda c: c != "")
 
-        return bound(marks, line)
 
-    return bound(F.transform(_text_lines(text), strip), use)
+def _rendered(grid: Column) -> Column:
+    """Lines of a Markdown table, its rows filled up to the widest."""
+    line = lambda c: F.concat(F.lit("| "), F.array_join(c, " | "), F.lit(" |"))
+    full = lambda w: F.transform(grid, lambda r: line(F.concat(r, F.array_repeat(F.lit(""), w - F.size(r)))))
+    rule = lambda w: F.array(line(F.array_repeat(F.lit("---"), w)))
+    return bound(F.array_max(F.transform(grid, F.size)), lambda w: F.concat(F.slice(full(w), 1, 1), rule(w), F.slice(full(w), F.lit(2), F.size(grid))))
 
 
-def limited_runs(text: Column) -> Column:
-    """:func:`limit_runs` within the text: of equal lines in a row two stay."""
+def tables(docs: DataFrame) -> DataFrame:
+    """``doc_id, table_no, n_rows, n_cols, markdown``: runs of two or more rows of cells."""
 
-    def use(x: Column) -> Column:
-        rows, s = x["l"], x["s"]
-        exempt = lambda i: (F.get(s, i) == "") | F.get(s, i).rlike(r"^(?:#|---|\[|\*\*|>|- )")
-        again = lambda i: F.coalesce((F.get(s, i) == F.get(s, i - 1)) & (F.get(s, i) == F.get(s, i - 2)), F.lit(False))
-        return F.array_join(F.filter(rows, lambda _, i: exempt(i) | ~again(i)), "\n")
+    def each(rows: Column, _) -> Column:
+        is_row = lambda i: is_table_row(F.get(rows, i))
+        run = lambda k, i, n: F.struct(k.cast("long").alias("table_no"), F.transform(F.slice(rows, i + 1, n), _cells).alias("grid"), is_row(i).alias("row"))
+        found = F.filter(_segments(rows, lambda i: ~(is_row(i) & is_row(i - 1)), run), lambda r: r["row"] & (F.size(r["grid"]) > 1))
+        show = lambda r: F.struct(
+            r["table_no"], F.size(r["grid"]).cast("long").alias("n_rows"), F.array_max(F.transform(r["grid"], F.size)).alias("n_cols"), F.array_join(_rendered(r["grid"]), "\n").alias("markdown")
+        )
+        return F.transform(found, show)
 
-    return bound(F.struct(_text_lines(text).alias("l"), F.transform(_text_lines(text), strip).alias("s")), use)
+    return _by_line(docs, each)
 
 
 #: Stands before rows of cells while they are gathered; Unicode keeps it out of texts, and it is removed from them.
@@ -154,19 +174,9 @@ def tables_in(text: Column) -> Column:
     own = F.replace(text, F.lit(_ROW_MARK), F.lit(""))
     marked = F.array_join(F.transform(_text_lines(own), lambda x: F.when(is_table_row(x), F.concat(F.lit(_ROW_MARK), x)).otherwise(x)), "\n")
 
-    def cells(row: Column) -> Column:
-        parts = F.when(F.contains(row, F.lit("|")), F.split(row, r"\|")).when(F.contains(row, F.lit("\t")), F.split(row, "\t")).otherwise(F.split(row, r"\s{3,}"))
-        return F.filter(F.transform(parts, strip), lambda c: c != "")
-
     def table(run: Column) -> Column:
-        def shown(grid: Column) -> Column:
-            width = F.array_max(F.transform(grid, F.size))
-            line = lambda c: F.concat(F.lit("| "), F.array_join(c, " | "), F.lit(" |"))
-            full = lambda w: F.transform(grid, lambda r: line(F.concat(r, F.array_repeat(F.lit(""), w - F.size(r)))))
-            rows = bound(width, lambda w: F.concat(F.slice(full(w), 1, 1), F.array(line(F.array_repeat(F.lit("---"), w))), F.slice(full(w), F.lit(2), F.size(grid)), F.array(F.lit(""))))
-            return F.when(F.size(grid) > 1, F.array_join(rows, "\n")).otherwise(F.array_join(F.get(grid, F.lit(0)), "\t"))
-
-        return bound(F.transform(F.split(F.replace(run, F.lit(_ROW_MARK), F.lit("")), "\n", -1), cells), shown)
+        shown = lambda grid: F.when(F.size(grid) > 1, F.concat(F.array_join(_rendered(grid), "\n"), F.lit("\n"))).otherwise(F.array_join(F.get(grid, F.lit(0)), "\t"))
+        return bound(F.transform(_text_lines(F.replace(run, F.lit(_ROW_MARK), F.lit(""))), _cells), shown)
 
     return each_match(marked, rf"{_ROW_MARK}[^\n]*+(?:\n{_ROW_MARK}[^\n]*+)*+", table)
 
