@@ -162,9 +162,14 @@ def mix(
 
 def keep_mixed(docs: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", targets: Targets | None = None) -> DataFrame:
     """The sampled rows of ``docs`` with their columns unchanged; rows that repeat an id stay or go by their cells."""
-    own = f"stay_{uuid.uuid4().hex}"  # a name that no column of the input has
-    stay = mix(docs, rate, id_col, text_col, targets=targets).where("sampled").select(F.col(id_col).alias(own)).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col(own)), "left_semi")
+    cell = ["source", "lang", "topic"]
+    names = {c: f"{c}_{uuid.uuid4().hex}" for c in [id_col, *cell]}  # names that no column of the input has
+    stay = mix(docs, rate, id_col, text_col, targets=targets).where("sampled").select(*[F.col(c).alias(n) for c, n in names.items()]).distinct()
+    own = {"source": F.coalesce(docs["source"].cast("string"), F.lit(NONE)), "lang": F.coalesce(docs["lang"].cast("string"), F.lit(NONE)), "topic": topic_of(docs[text_col])}
+    same = docs[id_col].eqNullSafe(F.col(names[id_col]))
+    for c in cell:
+        same = same & (own[c] == F.col(names[c]))
+    return docs.join(stay, same, "left_semi")
 
 
 def oracle(rate: float = RATE, seed: int = 17) -> str:

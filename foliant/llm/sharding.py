@@ -11,10 +11,8 @@ from foliant.llm._common import cut
 
 #: Small groups meet in so many bins by the hash of their text.
 BINS = 32768
-#: A group above this share of any total is dealt in pieces of about PIECE of it.
+#: A group above this share of any total is counted by itself, in parts of about PIECE of it.
 LARGE, PIECE = 1 / 1024, 1 / 4096
-#: A large group up to this share of a shard stays together.
-TOGETHER = 1 / 4
 
 
 def pack(vectors: np.ndarray, n_shards: int, weights: tuple[float, ...]) -> np.ndarray:
@@ -48,8 +46,8 @@ def shard(
     are near equal; tokens and rows are balanced along.  Equal texts form a
     group.  Groups below ``LARGE`` of every total meet in ``BINS`` bins by text
     hash; larger ones, of which there are at most ``3 / LARGE``, are units of
-    their own, and are split in pieces by id where they exceed ``TOGETHER`` of a
-    shard.  So the driver packs at most ``BINS + 3 / PIECE + 6 / LARGE`` vectors,
+    their own up to the size of a shard; one above it makes as many units as it
+    would fill shards, by the hash of the id.  So the driver packs at most ``BINS + 3 / PIECE + 6 / LARGE`` vectors,
     whatever the input.  ``slot`` runs from 0 without gaps in each shard: the
     bins of a shard follow one another and a window ranks the rows of a bin.
 
@@ -88,10 +86,11 @@ def shard(
     )
     sums = units.groupBy("bin").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r"))
     bins = sorted(tuple(x) for x in sums.collect())
-    whole = {}  # bins of a large group that stays together -> its first bin
+    whole = {}  # parts of a large group -> the first part of their unit
     for g, (_, at, n) in zip(large, pieces, strict=True):
-        if g.share <= TOGETHER / n_shards:
-            whole.update((at + k, at) for k in range(n))
+        units_of = int(np.ceil(g.share * n_shards))
+        for k in range(n):
+            whole[at + k] = at + -(-(k * units_of // n) * n // units_of)
     unit = [whole.get(x[0], x[0]) for x in bins]
     names = sorted(set(unit))
     where = {u: k for k, u in enumerate(names)}

@@ -346,3 +346,48 @@ def test_lines_match_all_pairs(spark, common, shipped):
         assert r.text == "\n".join(kept) and r.n_removed == len(r.removed)
 
 
+
+
+def packed(vectors, n, weights):
+    """Largest first, each where the dot product with what is left is highest."""
+    total = [max(sum(c), 1) for c in zip(*vectors)]
+    share = [[x / t for x, t in zip(v, total)] for v in vectors]
+    left = [[1 / n] * 3 for _ in range(n)]
+    out = [0] * len(vectors)
+    for i in sorted(range(len(vectors)), key=lambda i: -max(share[i])):
+        fit = [sum(r * w * x for r, w, x in zip(left[s], weights, share[i])) for s in range(n)]
+        out[i] = fit.index(max(fit))
+        left[out[i]] = [r - x for r, x in zip(left[out[i]], share[i])]
+    return out
+
+
+def test_packing():
+    from foliant.llm.sharding import pack
+
+    rng = random.Random(6)
+    for _ in range(30):
+        vectors = [[float(rng.randrange(1, 1000)) for _ in range(3)] for _ in range(rng.randint(1, 60))]
+        assert pack(np.array(vectors), 5, (4.0, 1.0, 1.0)).tolist() == packed(vectors, 5, (4.0, 1.0, 1.0))
+
+
+@pytest.mark.parametrize("copies", [30, 62, 300])
+def test_shards_hold_groups_together(spark, copies):
+    import zlib
+
+    texts = [f"text {k} " * (k % 7 + 1) for k in range(1000 - copies)] + ["the same ä"] * copies
+    rows = shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in rows} == {(k, len(t.encode()) + 1, zlib.crc32(t.encode()), "bytes", None) for k, t in enumerate(texts)}
+    where = {r.shard for r in rows if r.doc_id >= 1000 - copies}
+    assert len(where) <= max(1, -(-copies * 16 // 1000))  # a group up to the size of a shard is in one
+    for s in range(16):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
+def test_mixing_keeps_rows_by_id_and_cell(spark):
+    from foliant.llm import mixing
+
+    rows = [(k, f"some words of document {k}", lang, "s") for k in range(200) for lang in ("en", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"lang": {"en": 0.9, "fr": 0.1}}
+    want = sorted((r.doc_id, r.lang) for r in mixing.mix(docs, targets=targets).where("sampled").collect())
+    assert sorted((r.doc_id, r.lang) for r in mixing.keep_mixed(docs, targets=targets).collect()) == want and len({x for _, x in want}) > 0
