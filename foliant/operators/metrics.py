@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.unicode import AR, TASHKEEL, blanks, count
+from foliant.functions.unicode import AR, BEFORE, TASHKEEL, blanks, count
 
 #: A word of this confidence or more is left alone.
 SURE = 0.9
@@ -14,6 +14,11 @@ VERIFY = "[تحقق]"
 # Words near which a term is likely.
 CONTEXT = ["القوة", "الطاقة", "الكتلة", "السرعة", "التسارع", "التفاعل", "المعادلة", "الدالة", "الخلية", "الجهاز", "النظام", "المادة", "العنصر"]
 
+# What starts a question, what marks a choice, and what ends a page.
+QUESTIONS = rf"س\d+|{BEFORE}\d+\s*[.\-)]\s*(?:ما|اذكر|عدد|علل|فسر)"
+CHOICES = r"\([أبجدهوز]\)"
+PAGE_MARK = r"صفحة\s*\d+"
+
 
 def rate(distance: Column, n_read: Column, n_true: Column) -> Column:
     """Errors by true length; nothing true is an error of 1 unless nothing is read either."""
@@ -40,7 +45,7 @@ def page_metrics(pairs: DataFrame) -> DataFrame:
     cer, wer = character_error(o, r), word_error(o, r)
     kept = lambda p: F.size(F.array_intersect(F.regexp_extract_all(o, F.lit(p), F.lit(0)), F.regexp_extract_all(r, F.lit(p), F.lit(0))))
     total = lambda p: F.greatest(F.lit(1), F.size(F.array_distinct(F.regexp_extract_all(r, F.lit(p), F.lit(0)))))
-    q, c = r"س\d+|\d+[.\-)]\s*(?:اختر|علل|اذكر|احسب|عرف)", r"\([أبجدهوز]\)"
+    q, c = QUESTIONS, CHOICES
     return pairs.select(
         "doc_id", "page", F.bround(cer, 4).alias("cer"), F.bround(1 - cer, 4).alias("car"), F.bround(wer, 4).alias("wer"), F.bround(1 - wer, 4).alias("war"),
         kept(q).alias("q_preserved"), total(q).alias("q_total"), kept(c).alias("c_preserved"), total(c).alias("c_total"),
@@ -59,6 +64,83 @@ def document_metrics(pages: DataFrame) -> DataFrame:
     )
 
 
+def split_pages(docs: DataFrame, mark: str = PAGE_MARK) -> DataFrame:
+    """``doc_id, page, text``: the text between page marks, pages from 1; what precedes the first mark is page 1. A null text is one empty page."""
+    parts = F.split(F.coalesce("text", F.lit("")), mark, -1)
+    return docs.select("doc_id", F.posexplode(parts).alias("page", "text")).select("doc_id", (F.col("page") + 1).alias("page"), "text")
+
+
+def aligned_pages(read: DataFrame, true: DataFrame, mark: str = PAGE_MARK) -> DataFrame:
+    """``doc_id, page, ocr_text, reference_text``: pages of the same number side by side; null where one side lacks it.
+
+    Both sides hold each document once.  They meet as whole documents, and the
+    pages are paired inside the row.
+    """
+    side = lambda d, name: d.select("doc_id", F.split(F.coalesce("text", F.lit("")), mark, -1).alias(name))
+    both = side(read, "o").join(side(true, "r"), "doc_id", "full")
+    pages = F.arrays_zip(F.coalesce("o", F.array().cast("array<string>")).alias("o"), F.coalesce("r", F.array().cast("array<string>")).alias("r"))
+    return both.select("doc_id", F.posexplode(pages).alias("page", "p")).select("doc_id", (F.col("page") + 1).alias("page"), F.col("p.o").alias("ocr_text"), F.col("p.r").alias("reference_text"))
+
+
+def page_counts(pairs: DataFrame) -> DataFrame:
+    """Pages of :func:`aligned_pages` that both sides have, with their errors in whole characters and words.
+
+    ``doc_id, page`` and the columns of :func:`page_metrics`, then ``words_ref,
+    error_chars, error_words``.  A page that is read but not in the reference
+    has no characters to be wrong.
+    """
+    o, r = F.col("ocr_text"), F.col("reference_text")
+    both = pairs.where(o.isNotNull() & r.isNotNull())
+    metrics = [c for c in page_metrics(both).columns if c not in ("doc_id", "page")]
+    n_r, n_o, w_r, w_o = F.length(r), F.length(o), F.size(blanks(r)), F.size(blanks(o))
+    wrong = lambda rate_, n, read: F.when(n == 0, 0).when(read == 0, n).otherwise(F.round(rate_ * n)).cast("long")
+    raw = both.select("*", character_error(o, r).alias("_cer"), word_error(o, r).alias("_wer"))
+    counted = raw.select("doc_id", "page", "ocr_text", "reference_text", w_r.alias("words_ref"), wrong(F.col("_cer"), n_r, n_o).alias("error_chars"), wrong(F.col("_wer"), w_r, w_o).alias("error_words"))
+    return _with_metrics(counted, metrics)
+
+
+def _with_metrics(pages: DataFrame, names: list[str]) -> DataFrame:
+    own = page_metrics(pages.withColumn("page", F.struct("page", "words_ref", "error_chars", "error_words")))
+    return own.select("doc_id", "page.page", *names, "page.words_ref", "page.error_chars", "page.error_words")
+
+
+def measured_documents(read: DataFrame, true: DataFrame, mark: str = PAGE_MARK) -> DataFrame:
+    """A row for each document of either side: totals over the pages that both have, and the pages that one lacks.
+
+    ``doc_id, pages, missing_pages, total_chars, total_words, cer, car, wer, war,
+    q_preserved, q_total, q_pct, c_preserved, c_total, c_pct, overall``; totals
+    begin anew with each document, and a document without a page in common has
+    none, with error rates of 0.
+    """
+    pairs = aligned_pages(read, true, mark)
+    lacking = pairs.groupBy("doc_id").agg(F.count_if(F.col("ocr_text").isNull() | F.col("reference_text").isNull()).alias("missing_pages"))
+    total = page_counts(pairs).groupBy("doc_id").agg(
+        F.count("*").alias("pages"), F.sum("chars_ref").alias("total_chars"), F.sum("words_ref").alias("total_words"), F.sum("error_chars").alias("ec"), F.sum("error_words").alias("ew"),
+        *[F.sum(c).alias(c) for c in ("q_preserved", "q_total", "c_preserved", "c_total")],
+    )
+    rows = lacking.join(total, "doc_id", "left").fillna(0)
+    cer, wer = (F.col(e) / F.greatest(n, F.lit(1)) for e, n in (("ec", "total_chars"), ("ew", "total_words")))
+    pct = lambda c: F.bround(F.col(f"{c}_preserved") / F.greatest(f"{c}_total", F.lit(1)) * 100, 1).alias(f"{c}_pct")
+    return rows.select(
+        "doc_id", "pages", "missing_pages", "total_chars", "total_words", F.bround(cer, 4).alias("cer"), F.bround(1 - cer, 4).alias("car"), F.bround(wer, 4).alias("wer"), F.bround(1 - wer, 4).alias("war"),
+        "q_preserved", "q_total", pct("q"), "c_preserved", "c_total", pct("c"), F.bround((1 - cer) * 100, 1).alias("overall"),
+    )
+
+
+def quality_report(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """``doc_id, report``: totals of :func:`measured_documents` and the pages of :func:`page_counts` as Markdown tables."""
+    cell = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *c), F.lit(" |"))
+    names = ["car", "war", "cer", "wer", "total_chars", "total_words", "pages", "missing_pages", "overall"]
+    rows = [cell(F.lit(c), F.col(c).cast("string")) for c in names]
+    rows += [cell(F.lit(name), F.format_string("%d/%d (%s%%)", f"{k}_preserved", f"{k}_total", F.col(f"{k}_pct").cast("string"))) for name, k in (("questions", "q"), ("choices", "c"))]
+    kept = lambda k: F.format_string("%d/%d", f"{k}_preserved", f"{k}_total")
+    line = cell(F.col("page").cast("string"), F.col("car").cast("string"), F.col("war").cast("string"), kept("q"), kept("c"))
+    each = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", line.alias("t")))).alias("_pages"))
+    head = [F.lit("| metric | value |"), F.lit("| --- | --- |")]
+    tail = [F.lit(""), F.lit("| page | car | war | questions | choices |"), F.lit("|" + " --- |" * 5), F.transform("_pages", lambda x: x["t"])]
+    return documents.join(each, "doc_id", "left").select("doc_id", F.concat_ws("\n", *head, *rows, *tail).alias("report"))
+
+
 def word_confidence(word: Column, in_lexicon: Column, bare_in_lexicon: Column, stem_in_lexicon: Column, near_term: Column) -> Column:
     """Confidence that a recognised word is right, from its length, scripts, repeats, the lexicon and its context."""
     n = F.length(word)

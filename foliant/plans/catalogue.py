@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import classify
 from foliant.functions.unicode import blanks
-from foliant.operators import corpus, fixes, knowledge, layout, lexicon, memory, metrics, questions, wordwise
+from foliant.operators import corpus, fixes, knowledge, layout, learning, lexicon, memory, metrics, questions, wordwise
 from foliant.plans import fixtures, qa
 from foliant.sources import documents as sources
 
@@ -203,6 +203,43 @@ def promote(spark, sf_dir):
     return memory.promote(_memory(spark, sf_dir)).select("subject", "original", "source", "frequency")
 
 
+PROMOTED = LOG + """, c AS (SELECT subject, original, corrected, frequency, CASE WHEN source <> 'human' AND frequency >= 3 THEN 'auto_promoted' ELSE source END AS source FROM m)"""
+
+
+@query(PROMOTED + """, k AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY frequency DESC, original) AS rank FROM c),
+  a AS (SELECT *, row_number() OVER (ORDER BY frequency DESC, original, subject) AS rank FROM c)
+  SELECT subject AS scope, rank, subject, original, corrected, frequency, source FROM k WHERE rank <= 20 UNION ALL SELECT NULL, rank, subject, original, corrected, frequency, source FROM a WHERE rank <= 20""")
+def top_corrections(spark, sf_dir):
+    return learning.top_corrections(memory.promote(_memory(spark, sf_dir)))
+
+
+def _learnt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Corrections of the events; phrases, contexts and books of the passages under the subject ``general``."""
+    books = table(spark, sf_dir, "benchmark").select(F.lit("general").alias("subject"), F.col("item_id").alias("doc_id"), F.concat(F.lit("b"), F.col("item_id") % 7).alias("book_title"), "text")
+    known = memory.phrases(books, useful=lambda p: F.length(p) >= 6)
+    pairs = memory.context_pairs(books).select(F.lit("general").alias("subject"), "word", "neighbor")
+    return memory.promote(_memory(spark, sf_dir)), known, pairs, books.groupBy("subject", "book_title").agg(F.count("*").alias("documents"))
+
+
+@query(PROMOTED + f""", w AS (SELECT item_id, {BLANKS} AS w FROM benchmark), t AS (SELECT item_id, w[i] AS token, i FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+  g AS (SELECT DISTINCT array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT w.*, unnest([2, 3, 4]) AS n FROM w) WHERE len(w) >= n)),
+  x AS (SELECT DISTINCT a.token AS a, b.token AS b FROM t a JOIN t b ON a.item_id = b.item_id AND a.i <> b.i AND abs(a.i - b.i) <= 3 WHERE length(a.token) > 1 AND length(b.token) > 1),
+  s AS (SELECT subject, count(*) AS corrections, count(*) FILTER (source = 'auto') AS auto, count(*) FILTER (source = 'human') AS human, count(*) FILTER (source = 'auto_promoted') AS promoted,
+    count(*) FILTER (frequency >= 5) AS high_frequency, 0 AS phrases, 0 AS context_entries, 0 AS books, 0 AS documents FROM c GROUP BY subject
+    UNION ALL SELECT 'general', 0, 0, 0, 0, 0, (SELECT count(*) FROM g WHERE length(phrase) >= 6), (SELECT count(*) FROM x), count(DISTINCT item_id % 7), count(*) FROM benchmark),
+  r AS (SELECT subject, sum(corrections)::BIGINT AS corrections, sum(auto)::BIGINT AS auto, sum(human)::BIGINT AS human, sum(promoted)::BIGINT AS promoted, sum(high_frequency)::BIGINT AS high_frequency,
+    sum(phrases)::BIGINT AS phrases, sum(context_entries)::BIGINT AS context_entries, sum(books)::BIGINT AS books, sum(documents)::BIGINT AS documents FROM s GROUP BY ROLLUP (subject))
+  SELECT *, round_even(corrections / greatest(books, 1), 1) AS per_book, round_even(human / greatest(corrections, 1) * 100, 1) AS human_pct FROM r""")
+def learning_stats(spark, sf_dir):
+    return learning.totals(*_learnt(spark, sf_dir))
+
+
+@query()
+def learning_report(spark, sf_dir):
+    learnt = _learnt(spark, sf_dir)
+    return learning.report(learning.totals(*learnt), learning.top_corrections(learnt[0]))
+
+
 @query(f"""WITH a AS (SELECT doc_id, {BLANKS} AS a FROM documents), b AS (SELECT doc_id, list_transform(a, lambda x: replace(x, 'the', 'thé')) AS b, a FROM a),
   z AS (SELECT doc_id, a, b, unnest(range(1, len(a) + 1)) AS i FROM b) SELECT doc_id, i - 1 AS pos, a[i] AS original, b[i] AS edited FROM z WHERE a[i] <> b[i]""")
 def human_edits(spark, sf_dir):
@@ -254,6 +291,40 @@ def quality_rollup(spark, sf_dir):
     return metrics.document_metrics(pages).select("doc_id", "pages", "cer", "car")
 
 
+def _raw_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Passages as the pages of ten documents, with marks between; what is read lacks some letters, and every third document its last page."""
+    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 10).alias("doc_id"), F.struct("item_id", "text").alias("p"))
+    pages = items.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["text"]).alias("p"))
+    text = lambda p: F.array_join(F.transform(p, lambda x, i: F.concat(F.lit("صفحة "), i + 1, F.lit("\n"), x)), "\n")
+    less = F.when(F.col("doc_id") % 3 == 0, F.slice("p", F.lit(1), F.size("p") - 1)).otherwise(F.col("p"))
+    read = pages.select("doc_id", F.replace(F.replace(text(less), F.lit("th"), F.lit("t")), F.lit("e "), F.lit(" ")).alias("text"))
+    return read, pages.select("doc_id", text(F.col("p")).alias("text"))
+
+
+@query()
+def document_quality(spark, sf_dir):
+    return metrics.measured_documents(*_raw_documents(spark, sf_dir))
+
+
+@query()
+def page_quality(spark, sf_dir):
+    return metrics.page_counts(metrics.aligned_pages(*_raw_documents(spark, sf_dir)))
+
+
+@query()
+def quality_report(spark, sf_dir):
+    read, true = _raw_documents(spark, sf_dir)
+    return metrics.quality_report(metrics.measured_documents(read, true), metrics.page_counts(metrics.aligned_pages(read, true)))
+
+
+PAGES = """SELECT doc_id, i AS page, p[i] AS text FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), 'Chapter\\s*\\d+|\\n\\n') AS p FROM documents))"""
+
+
+@query(PAGES)
+def pages_of_documents(spark, sf_dir):
+    return metrics.split_pages(table(spark, sf_dir, "documents"), r"Chapter\s*\d+|\n\n").withColumn("page", F.col("page").cast("long"))
+
+
 TERMS = ["the", "and", "that", "Erin", "tion", "hand", "under"]
 TERM_VALUES = ", ".join(f"('{t}')" for t in TERMS)
 
