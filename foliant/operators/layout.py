@@ -95,14 +95,19 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
     Blank lines, rules, headings, list items, notes and bracketed lines stand alone.
     """
+    return _by_line(docs, lambda _, s: _paragraphs_of(s))
+
+
+def _paragraphs_of(s: Column) -> Column:
     alone = lambda x: (x == "") | x.rlike(r"^(?:---|📌|#|-|\*|\()") | F.contains(x, F.lit("تنويه"))
+    starts = lambda i: alone(F.get(s, i)) | alone(F.get(s, i - 1)) | F.get(s, i - 1).rlike(ENDS)
+    make = lambda k, i, n: F.struct(k.cast("long").alias("par_no"), i.alias("line_no"), F.array_join(F.slice(s, i + 1, n), " ").alias("text"))
+    return _segments(s, starts, make)
 
-    def each(_, s: Column) -> Column:
-        starts = lambda i: alone(F.get(s, i)) | alone(F.get(s, i - 1)) | F.get(s, i - 1).rlike(ENDS)
-        make = lambda k, i, n: F.struct(k.cast("long").alias("par_no"), i.alias("line_no"), F.array_join(F.slice(s, i + 1, n), " ").alias("text"))
-        return _segments(s, starts, make)
 
-    return _by_line(docs, each)
+def joined_paragraphs(text: Column) -> Column:
+    """The text with its broken lines joined, a line for each paragraph of :func:`paragraphs`."""
+    return bound(F.transform(_text_lines(text), strip), lambda s: F.array_join(F.transform(_paragraphs_of(s), lambda p: p["text"]), "\n"))
 
 
 def _taking(s: Column, short: int, use) -> Column:
@@ -181,6 +186,22 @@ def tables_in(text: Column) -> Column:
     return each_match(marked, rf"{_ROW_MARK}[^\n]*+(?:\n{_ROW_MARK}[^\n]*+)*+", table)
 
 
+#: A numbered question at the start of a line; a range of numbers is none.
+QUESTION = r"^\s*\d+ *[-–](?!\d)"
+
+
+def with_questions_in_order(text: Column) -> Column:
+    """The text with its numbered blocks by number, equal numbers in their order; what precedes the first comes first, each after an empty line.
+
+    A text without numbered blocks stays as it is.
+    """
+    blocks = F.filter(F.transform(F.split(text, f"(?m)(?={QUESTION})"), strip), lambda b: b != "")
+    number = lambda b: F.coalesce(F.when(b.rlike(QUESTION), F.regexp_extract(b, r"^(\d+)", 1).try_cast("long")), F.lit(-1).cast("long"))
+    shown = lambda b: F.when(number(b) >= 0, F.concat(number(b).cast("string"), F.lit(" - "), strip(F.regexp_replace(b, r"^\d+ *[-–]", "")))).otherwise(b)
+    parts = F.array_sort(F.transform(blocks, lambda b, i: F.struct(number(b).alias("n"), i.alias("i"), shown(b).alias("t"))))
+    return F.when(text.rlike(f"(?m){QUESTION}"), F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n")).otherwise(text)
+
+
 def questions_in_order(docs: DataFrame) -> DataFrame:
     """``doc_id, q_ord, q_num, text``: numbered blocks of a document by number; equal numbers keep their order.
 

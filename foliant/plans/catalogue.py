@@ -474,6 +474,31 @@ def ocr_lines(spark, sf_dir):
     return sources.scanned_pages(words).select("doc_id", "text")
 
 
+# Layout blocks are stood in for by lines: forty to a page, in two columns and out of order, the lowest in the foot of the page.
+@query(LINES + """, b AS (SELECT doc_id, line_no // 40 + 1 AS page_no, line_no % 40 AS k, CASE WHEN line_no % 40 % 3 = 0 THEN 0 ELSE 1 END AS c, 30 + (line_no % 40 * 37 % 40) * 20.0::DOUBLE AS y0, trim(line, ' ') AS t FROM l),
+  o AS (SELECT doc_id, page_no, t, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY c, round_even(y0 / 15, 0), k) AS pos, regexp_matches(t, '^\\d+ *[-–]([^0-9]|$)') AS q FROM b WHERE y0 + 12 <= 842 - 45 AND t <> ''),
+  g AS (SELECT *, sum(q::INT) OVER (PARTITION BY doc_id, page_no ORDER BY pos) AS grp FROM o),
+  s AS (SELECT doc_id, page_no, grp, bool_or(q) AS q, min(pos) AS pos, count(*) AS n, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS t FROM g GROUP BY ALL),
+  f AS (SELECT *, CASE WHEN q THEN coalesce(TRY_CAST(regexp_extract(t, '^(\\d+)', 1) AS BIGINT), -1) ELSE -1 END AS num FROM s),
+  p AS (SELECT doc_id, page_no, sum(n) AS n, string_agg(CASE WHEN num >= 0 THEN num || ' - ' || trim(regexp_replace(t, '^\\d+ *[-–]', ''), ' ' || chr(10)) ELSE t END, chr(10) || chr(10) ORDER BY num, pos) AS t FROM f GROUP BY ALL),
+  a AS (SELECT DISTINCT doc_id, page_no FROM b)
+  SELECT a.doc_id, a.page_no, coalesce(n, 0)::BIGINT AS n_blocks, '---' || chr(10) || chr(10) || '--- [ صفحة ' || a.page_no || ' ] ---' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+    || concat_ws(chr(10) || chr(10), CASE WHEN a.doc_id % 5 = 0 OR a.doc_id % 9 > 5 THEN '""" + sources.NOTICE + """' END, t) AS text FROM a LEFT JOIN p USING (doc_id, page_no)""")
+def digital_text(spark, sf_dir):
+    k = F.col("line_no") % 40
+    x0, y0 = F.when(k % 3 == 0, 320.0).otherwise(40.0), 30 + (k * 37 % 40) * F.lit(20.0)
+    blocks = corpus.lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", (F.floor(F.col("line_no") / 40) + 1).alias("page_no"), k.alias("block_idx"), x0.alias("x0"), y0.alias("y0"), (x0 + 200).alias("x1"), (y0 + 12).alias("y1"), "text",
+        F.lit(595.0).alias("page_w"), F.lit(842.0).alias("page_h"), (F.col("doc_id") % 5 == 0).cast("int").alias("n_images"), (F.col("doc_id") % 9).alias("n_drawings"),
+    )
+    return sources.digital_text(blocks).withColumn("n_blocks", F.col("n_blocks").cast("long"))
+
+
+@query()
+def first_clean(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", qa.first_clean(F.col("text")).alias("text"))
+
+
 @query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
 def job_history_topk(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "ts", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)

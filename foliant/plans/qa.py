@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from foliant.durable import written
 from foliant.functions import rewrite
 from foliant.functions.classify import warnings
+from foliant.functions.unicode import HIDDEN
 from foliant.operators import layout, memory, metrics, wordwise
 from foliant.operators.lexicon import apply_term_fixes
 from foliant.operators.metrics import quality_score
@@ -25,6 +26,12 @@ COUNTERS = [
 SUBJECT = "general"
 
 
+def first_clean(text: Column) -> Column:
+    """The first cleaning of a raw text: split words mended, broken lines joined, units and choices tidied, blanks squeezed. Null counts as empty."""
+    own = rewrite.apply(F.coalesce(text, F.lit("")), [(HIDDEN, ""), (r"\r\n?", "\n")])
+    return rewrite.squeeze(rewrite.units_and_choices(layout.joined_paragraphs(rewrite.join_split_words(own))))
+
+
 def join_sentences(text: Column) -> Column:
     """Rules of sentences with the joining of short lines between them."""
     return rewrite.apply(layout.merged_pairs(rewrite.apply(text, rewrite.SENTENCES)), rewrite.SENTENCE_ENDS)

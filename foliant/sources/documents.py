@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.unicode import AR, strip
+from foliant.operators.layout import with_questions_in_order
 from foliant.schema import CORRECTIONS, LEXICON
 
 
@@ -65,6 +66,44 @@ def digital_pages(blocks: DataFrame) -> DataFrame:
     return page.select("doc_id", "page_no", text.alias("text"), "visual")
 
 
+# What stands for pictures on a page, and how a page is announced.
+NOTICE = "⚠️ [تنويه: يحتوي هذا الجزء/السؤال على شكل رسم بياني أو خريطة أو صورة توضيحية 🖼️]"
+PAGE_HEAD = "---\n\n--- [ صفحة %d ] ---\n\n---\n\n"
+
+
+def digital_text(blocks: DataFrame, margin: float = 45, top: float = 40, row: float = 15, overlap: float = 30) -> DataFrame:
+    """``doc_id, page_no, n_blocks, text``: each page of layout blocks in reading order, under its page mark.
+
+    Blocks that end within ``margin`` of the foot go, and those that begin above
+    ``top`` and name a model paper.  The right column is read first: what begins
+    right of the middle less ``overlap``.  Within a column blocks go by rows of
+    ``row`` points, then as they came.  Line ends inside a block become blanks.
+    A page with pictures or more than five drawings begins with a notice, and
+    numbered questions are put in order.  A page whose blocks all go keeps its mark.
+    """
+    text = strip(F.regexp_replace(strip(F.coalesce("text", F.lit(""))), r"\n+", " "))
+    gone = (F.col("y1") > F.col("page_h") - margin) | ((F.col("y0") < top) & F.contains(F.coalesce("text", F.lit("")), F.lit("النموذج"))) | (text == "")
+    column = F.when(F.col("x0") > F.col("page_w") / 2 - overlap, 0).otherwise(1)
+    item = F.struct(column.alias("c"), F.bround(F.col("y0") / row).alias("r"), "block_idx", text.alias("t"))
+    page = blocks.groupBy("doc_id", "page_no").agg(
+        F.array_sort(F.collect_list(F.when(~F.coalesce(gone, F.lit(False)), item))).alias("b"), (F.coalesce(F.max("n_images"), F.lit(0)) > 0).alias("i"), (F.coalesce(F.max("n_drawings"), F.lit(0)) > 5).alias("d")
+    )
+    shown = F.concat(F.when(F.col("i") | F.col("d"), F.array(F.lit(NOTICE))).otherwise(F.array().cast("array<string>")), F.transform("b", lambda x: x["t"]))
+    whole = with_questions_in_order(F.array_join(shown, "\n\n"))
+    return page.select("doc_id", "page_no", F.size("b").alias("n_blocks"), F.concat(F.format_string(PAGE_HEAD, "page_no"), whole).alias("text"))
+
+
+def digital_documents(blocks: DataFrame) -> DataFrame:
+    """``doc_id, pages, text``: the pages of :func:`digital_text` by number, an empty line between."""
+    each = digital_text(blocks).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
+    return each.select("doc_id", F.size("p").alias("pages"), F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def page_count(text):
+    """Page marks in a text; the word for a page in prose counts nothing."""
+    return F.regexp_count(text, F.lit(r"\[ ?صفحة \d+ ?\]"))
+
+
 def distinct_pages(pages: DataFrame) -> DataFrame:
     """Pages whose whole content was not seen before, by document and page; one row of each content.
 
