@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.rewrite import knowledge_text
-from foliant.functions.unicode import blanks, strip, words
+from foliant.functions.unicode import TASHKEEL, blanks, strip, words
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,8 +24,9 @@ def line_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``id_col, line_no, line, words``: the cleaned line and its words, for lines that have any."""
     source = F.split(F.coalesce(text_col, F.lit("")), r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]")
     out = docs.select(id_col, F.posexplode(source).alias("line_no", "raw"))
-    line = knowledge_text(F.col("raw"))
-    return out.select(id_col, "line_no", line.alias("line"), words(line).alias("words")).where(F.size("words") > 0)
+    # the words come from one split of the raw line; the cleaned line is only computed where it is asked for
+    own = words(F.regexp_replace("raw", TASHKEEL, ""))
+    return out.select(id_col, "line_no", knowledge_text(F.col("raw")).alias("line"), own.alias("words")).where(F.size("words") > 0)
 
 
 def ngrams(items: Column, n: int) -> Column:

@@ -29,17 +29,28 @@ def word_counts(docs: DataFrame, least: int = 2) -> DataFrame:
     return line_words(docs).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= least)
 
 
+def _phrases(rows: DataFrame, *more) -> DataFrame:
+    sized = lambda n: F.transform(ngrams(F.col("words"), n), lambda p: F.struct(p.alias("phrase"), F.lit(n).alias("ngram_len")))
+    return rows.select(*more, F.explode(F.concat(*[sized(n) for n in PHRASES])).alias("g")).select(*more, "g.phrase", "g.ngram_len")
+
+
+def phrase_totals(docs: DataFrame) -> DataFrame:
+    """``phrase, ngram_len, frequency`` of all phrases."""
+    return _phrases(line_words(docs)).groupBy("phrase", "ngram_len").agg(F.count("*").alias("frequency"))
+
+
 def phrase_counts(docs: DataFrame, least: int = 2) -> DataFrame:
-    """``phrase, ngram_len, frequency, context_window``; the context is the first line by document and line."""
-    def sized(n: int) -> Column:
-        return F.transform(ngrams(F.col("words"), n), lambda p: F.struct(p.alias("phrase"), F.lit(n).alias("ngram_len")))
-
-    each = [sized(n) for n in PHRASES]
-    rows = line_words(docs).select("doc_id", "line_no", F.substring("line", 1, 120).alias("line"), F.explode(F.concat(*each)).alias("g"))
-    counted = rows.groupBy("g.phrase", "g.ngram_len").agg(
-        F.count("*").alias("frequency"), F.min_by("line", F.struct("doc_id", "line_no")).alias("context_window")
-    )
-    return counted.where(F.col("frequency") >= least)
+    """``phrase, ngram_len, frequency, context_window``; the context is the first line by document and line.
+
+    The place of a line is a number, so phrases are counted by hashing and carry
+    no text; the lines are fetched for the phrases that stay.
+    """
+    wide = "decimal(38,0)"
+    place = F.col("doc_id").cast(wide) * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line_no")
+    rows = line_words(docs)
+    counted = _phrases(rows.withColumn("place", place.cast(wide)), "place").groupBy("phrase", "ngram_len").agg(F.count("*").alias("frequency"), F.min("place").alias("place"))
+    first = rows.select(place.cast(wide).alias("place"), F.substring("line", 1, 120).alias("line")).groupBy("place").agg(F.min("line").alias("context_window"))
+    return counted.where(F.col("frequency") >= least).join(first, "place", "left").select("phrase", "ngram_len", "frequency", "context_window")
 
 
 def term_counts(docs: DataFrame, least: int = 2) -> DataFrame:
@@ -49,7 +60,7 @@ def term_counts(docs: DataFrame, least: int = 2) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """One row of totals before the frequency filter, with the most frequent word and phrase."""
-    words, phrases = word_counts(docs, 1), phrase_counts(docs, 1).select("phrase", "frequency")
+    words, phrases = word_counts(docs, 1), phrase_totals(docs).select("phrase", "frequency")
     by_word = words.agg(
         F.count("*").alias("total_unique_words"),
         F.count_if(is_term(F.col("word"))).alias("total_subject_terms"),

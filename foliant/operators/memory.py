@@ -53,14 +53,16 @@ def context_pairs(docs: DataFrame, reach: int = 3) -> DataFrame:
     """``word, neighbor, n``: how often two words of two letters or more stand within ``reach`` places.
 
     Neighbours come from array offsets inside a document, so no self join and
-    no window is needed; counts are partly aggregated before the shuffle.
+    no window is needed.  Each pair of places counts once, under the smaller word,
+    and is partly aggregated before the shuffle; both directions follow from it.
     """
     w = docs.select(blanks(F.coalesce("text", F.lit(""))).alias("w"))
-    n = F.size("w")
-    offsets = [k for k in range(-reach, reach + 1) if k]
-    pairs = F.flatten(F.transform("w", lambda x, i: F.array(*[F.struct(x.alias("word"), F.when((i + k >= 0) & (i + k < n), F.get("w", i + k)).alias("neighbor")) for k in offsets])))
-    rows = w.select(F.explode(pairs).alias("p")).select("p.word", "p.neighbor")
-    return rows.where("neighbor is not null and length(word) > 1 and length(neighbor) > 1").groupBy("word", "neighbor").agg(F.count("*").alias("n"))
+    ahead = F.transform("w", lambda x, i: F.transform(F.slice(F.col("w"), i + 2, reach), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))))
+    rows = w.select(F.explode(F.flatten(ahead)).alias("p")).select("p.a", "p.b").where("length(a) > 1 and length(b) > 1")
+    pairs = rows.groupBy("a", "b").agg(F.count("*").alias("n"))
+    side = lambda x, y, n: F.struct(F.col(x).alias("word"), F.col(y).alias("neighbor"), n.alias("n"))
+    both = F.when(F.col("a") == F.col("b"), F.array(side("a", "b", F.col("n") * 2))).otherwise(F.array(side("a", "b", F.col("n")), side("b", "a", F.col("n"))))
+    return pairs.select(F.explode(both).alias("d")).select("d.*")
 
 
 def top_neighbours(pairs: DataFrame, k: int = 5) -> DataFrame:
