@@ -25,9 +25,11 @@ INLINE = frozenset(
 TEXTUAL = frozenset("p li dt dd td th tr h1 h2 h3 h4 h5 h6 hgroup header blockquote pre caption figcaption figure address summary".split())
 #: Inside these nothing is main text.
 OUTSIDE = frozenset(
-    "head nav footer aside form script style noscript template button select option textarea iframe svg canvas "
+    "head nav footer aside script style noscript template button select option textarea iframe svg canvas "
     "object audio video map menu dialog title fieldset".split()
 )
+#: A named part or a form that holds more than this share of the content cluster is a wrapper and no part.
+WRAPPER = 0.5
 #: Words in class, id or role that name such a part.
 PARTS = frozenset(
     "ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent "
@@ -40,26 +42,41 @@ READERS = frozenset("comment comments commentlist respond disqus replies reply r
 #: Names of page headers; in an article they hold its heading.
 HEADERS = frozenset("header pageheader siteheader".split())
 _WORDS = re.compile(r"[a-z]+").findall
+_TAG_START = re.compile(r"<[a-zA-Z/!?]")
+
+
+def _names(value: str, of: frozenset) -> bool:
+    """Whether at least half of the words of one of the names in an attribute are among ``of``."""
+    for name in value.lower().split():
+        words = _WORDS(name)
+        if words and 2 * sum(w in of for w in words) >= len(words):
+            return True
+    return False
 
 
 class _Open:
-    """An open element: whether it is outside the main text, its region, its parent."""
+    """An open element: its parent, whether it is firmly outside the main text, or perhaps (``weak``), and in an article.
+
+    ``near`` is the nearest element, itself or around it, that is perhaps outside;
+    ``cluster`` the characters of content lines in it.
+    """
 
-    __slots__ = ("firm", "inside", "outside", "parent", "region", "tag")
+    __slots__ = ("article", "cluster", "firm", "head", "inside", "near", "parent", "region", "tag", "weak")
 
-    def __init__(self, tag, parent, outside, firm, inside, region):
-        self.tag, self.parent, self.outside, self.firm, self.inside, self.region = tag, parent, outside, firm, inside, region
+    def __init__(self, tag, parent, firm=False, weak=False, article=False, inside=False, region=None, head=False):
+        self.tag, self.parent, self.firm, self.weak, self.article, self.inside, self.region, self.head = tag, parent, firm, weak, article, inside, region, head
+        self.near, self.cluster = self if weak else parent and parent.near, 0
 
 
 class Lines(HTMLParser):
     """Lines of a page, one for each run of text between block tags.
 
-    A line is (text, text characters, tags, link characters, outside, element).
+    A line is (text, text characters, tags, link characters, element).
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Open("", None, False, False, False, None)
+        self.root = _Open("", None)
         self.stack, self.open = [self.root], Counter()
         self.lines: list[tuple] = []
         self.parts: list[str] = []
@@ -71,7 +88,7 @@ class Lines(HTMLParser):
             self.parts = []
             if text:
                 top = self.stack[-1]
-                self.lines.append((text, len(text), self.tags, self.linked, top.outside, top))
+                self.lines.append((text, len(text), self.tags, self.linked, top))
                 self.tags = self.linked = 0
 
     def _pop(self) -> None:
@@ -84,8 +101,7 @@ class Lines(HTMLParser):
             hidden = [v for k, v in attrs if k in ("class", "id", "role") and v]
             if not hidden or tag == "a":
                 return
-            words = set(_WORDS(" ".join(hidden).lower()))
-            if not words & PARTS:
+            if not any(_names(v, PARTS) for v in hidden):
                 return
         elif tag in VOID:
             if tag == "br":
@@ -102,21 +118,20 @@ class Lines(HTMLParser):
         if tag in ("li", "tr", "td", "th", "dt", "dd", "option") and self.stack[-1].tag == tag:
             self._pop()
         top = self.stack[-1]
-        names, hidden = set(), False
+        names, hidden = [], False
         for k, v in attrs:
             if k in ("class", "id", "role") and v:
-                names.update(_WORDS(v.lower()))
+                names.append(v)
             elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower():
                 hidden = True
         article = tag in ("article", "main") or ("role", "main") in attrs
-        firm = top.firm or tag in OUTSIDE or hidden or tag not in ("html", "body", "main") and bool(names & READERS)
-        named = tag not in ("html", "body", "article", "main") and (
-            bool(names & PARTS) or not top.inside and (tag == "header" or bool(names & HEADERS))
-        )
-        # an article is main text also in a wrapper whose name only mentions a sidebar or the like
-        outside = firm or named or top.outside and not article
-        own = _Open(tag, top, outside, firm, top.inside or article, top.region)
-        if article and not outside and not top.inside:
+        page = tag in ("html", "body", "main")
+        firm = top.firm or tag in OUTSIDE or hidden or not page and any(set(_WORDS(v.lower())) & READERS for v in names)
+        part = not page and tag not in ("article", "table") and any(_names(v, PARTS) for v in names)
+        titled = any(_names(v, HEADERS) for v in names)
+        head = not page and tag != "article" and not top.inside and (tag == "header" or titled)
+        own = _Open(tag, top, firm, part or head or tag == "form", article, top.inside or article, top.region, head and not part and not titled)
+        if article and not top.inside:
             own.region = own
         self.stack.append(own)
         self.open[tag] += 1
@@ -146,7 +161,7 @@ class Lines(HTMLParser):
             self._pop()
 
     def handle_data(self, data):
-        if self.stack[-1].outside and self.stack[-1].tag in ("script", "style"):
+        if self.stack[-1].tag in ("script", "style"):
             return
         self.parts.append(data)
         if self.links:
@@ -168,27 +183,77 @@ def content_lines(lines: list[tuple]) -> np.ndarray:
     return smoothed > min(LAMBDA * smoothed.std(), smoothed.max() / 2)
 
 
+def whole(html: str) -> str:
+    """The page without a comment or a tag that its end cuts off; both are markup, and finding their end would take long."""
+    open_at = html.rfind("<!--")
+    if open_at >= 0 and html.find("-->", open_at) < 0:
+        first = open_at
+        while (before := html.rfind("<!--", 0, first)) >= 0 and html.find("-->", before) < 0:
+            first = before
+        html = html[:first]
+    last = html.rfind(">") + 1
+    cut = _TAG_START.search(html, last)
+    return html[: cut.start()] if cut else html
+
+
+def _outside(lines: list[tuple], content: np.ndarray) -> list[bool]:
+    """For each line whether it is outside the main text.
+
+    A named part, a form or a page header stands outside, but for one that holds
+    most of the content cluster, and for a header beside paragraphs of it.  An
+    article is main text also in a part.
+    """
+    total, beside = 0, set()
+    for x, c in zip(lines, content, strict=True):
+        if c and not x[4].firm:
+            total += x[1]
+            at = x[4].near
+            while at is not None:
+                at.cluster += x[1]
+                at = at.parent and at.parent.near
+            if x[4].tag == "p":
+                beside.add(id(x[4].parent))
+    known: dict[int, bool] = {}
+
+    def out(at: _Open | None) -> bool:
+        path = []
+        while at is not None and id(at) not in known:
+            if at.firm or at.weak and not (at.cluster > WRAPPER * total or at.head and id(at.parent) in beside):
+                known[id(at)] = True
+            elif at.article:
+                known[id(at)] = False  # a firm part around it makes it firm
+            else:
+                path.append(id(at))
+                at = at.parent
+        answer = at is not None and known[id(at)]
+        known.update(dict.fromkeys(path, answer))
+        return answer
+
+    return [out(x[4]) for x in lines]
+
+
 def main_blocks(html: str) -> list[str]:
     """Blocks of the main text, in page order."""
     parser = Lines()
-    parser.feed(html)
+    parser.feed(whole(html))
     parser.close()
     parser.flush()
     lines = parser.lines
     if not lines:
         return []
     content = content_lines(lines)
-    inside = [k for k, x in enumerate(lines) if not x[4]]
+    outside = _outside(lines, content)
+    inside = [k for k, x in enumerate(outside) if not x]
     if not inside:
         return []
     chosen = [k for k in inside if content[k]] or inside
     # regions: all articles that hold content lines, or else the lowest element that holds all of them
-    keep = {id(lines[k][5].region) for k in chosen if lines[k][5].region is not None}
+    keep = {id(lines[k][4].region) for k in chosen if lines[k][4].region is not None}
     if keep:
-        return [x[0] for k, x in enumerate(lines) if not x[4] and x[5].region is not None and id(x[5].region) in keep and not _menu(x, content[k])]
+        return [x[0] for k, x in enumerate(lines) if not outside[k] and x[4].region is not None and id(x[4].region) in keep and not _menu(x, content[k])]
     shared: list[_Open] = []
     for k in chosen:
-        chain = _chain(lines[k][5])
+        chain = _chain(lines[k][4])
         shared = [a for a, b in zip(shared, chain, strict=False) if a is b] if shared else chain
     while len(shared) > 1 and (shared[-1].tag in TEXTUAL or shared[-1].tag in INLINE):
         shared.pop()
@@ -204,7 +269,7 @@ def main_blocks(html: str) -> list[str]:
         inner.update(dict.fromkeys(path, answer))
         return answer
 
-    return [x[0] for k, x in enumerate(lines) if not x[4] and within(x[5]) and not _menu(x, content[k])]
+    return [x[0] for k, x in enumerate(lines) if not outside[k] and within(x[4]) and not _menu(x, content[k])]
 
 
 def _chain(at: _Open | None) -> list[_Open]:
@@ -218,7 +283,7 @@ def _chain(at: _Open | None) -> list[_Open]:
 
 def _menu(line: tuple, content: bool) -> bool:
     """A line of links only, outside the content cluster, in a list."""
-    return not content and line[3] >= line[1] > 0 and line[5].tag == "li"
+    return not content and line[3] >= line[1] > 0 and line[4].tag == "li"
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

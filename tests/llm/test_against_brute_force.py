@@ -391,3 +391,49 @@ def test_mixing_keeps_rows_by_id_and_cell(spark):
     targets = {"lang": {"en": 0.9, "fr": 0.1}}
     want = sorted((r.doc_id, r.lang) for r in mixing.mix(docs, targets=targets).where("sampled").collect())
     assert sorted((r.doc_id, r.lang) for r in mixing.keep_mixed(docs, targets=targets).collect()) == want and len({x for _, x in want}) > 0
+
+
+PROSE = "word " * 59 + "word"
+SHAPES = [
+    ("<body><div class='post-share-wrapper'><h2>T</h2><p>{}</p></div></body>", ["T", PROSE]),
+    ("<body><form action=/><div><h1>H</h1><p>{}</p><p>short</p></div></form></body>", ["H", PROSE, "short"]),
+    ("<article><p>{}</p><div class='job-search-tips'><p>tips</p></div></article>", [PROSE, "tips"]),
+    ("<body><div><header><h1>T</h1></header><p>{}</p></div></body>", ["T", PROSE]),
+    ("<body><header><h1>Site</h1></header><div><p>{}</p></div></body>", [PROSE]),
+    ("<body><div class=page><header class=site-header>Site</header><p>{}</p></div></body>", [PROSE]),
+    ("<article><p>{}</p><table class='menu-table'><tr><td>a</td><td>b</td></tr></table></article>", [PROSE, "a b"]),
+    ("<article><p>{}</p></article><!-- x <p>never", [PROSE]),
+    ("<article><p>{}</p></article><!-- a --><!-- b <p>c</p> <!-- d", [PROSE]),
+    ("<p>{}</p>" + "<b x " * 20_000, [PROSE]),
+    ("<p>{} a < b", [PROSE + " a < b"]),
+    ("<article><p>{}</p></article><section class=comments><article><p>" + PROSE * 3 + "</p></article></section>", [PROSE]),
+    ("<body><form><input><button>Go</button> Search here</form><p>{}</p></body>", [PROSE]),
+    ("<body><div class='cookie-banner'><p>We use cookies.</p></div><main><p>{}</p><div class='ad-slot'>Buy</div></main></body>", [PROSE]),
+    ("<body><aside><p>" + PROSE * 2 + "</p></aside><p>{}</p></body>", [PROSE]),
+    ("", []), ("   ", []), ("<html></html>", []), ("plain &amp; simple", ["plain & simple"]),
+]
+
+
+@pytest.mark.parametrize("k", range(len(SHAPES)))
+def test_page_shapes(k):
+    html, want = SHAPES[k]
+    assert main_blocks(html.replace("{}", PROSE)) == want
+
+
+def test_smoothing_is_the_weighted_mean():
+    import math
+
+    from foliant.llm import html_extract
+
+    rng = random.Random(1)
+    for n in (1, 2, 3, 7, 40):
+        x = [rng.random() * 100 for _ in range(n)]
+        want = []
+        for i in range(n):
+            near = [(x[j], math.exp(-((i - j) ** 2) / (2 * html_extract.SIGMA**2))) for j in range(max(0, i - html_extract.RADIUS), min(n, i + html_extract.RADIUS + 1))]
+            want.append(sum(v * w for v, w in near) / sum(w for _, w in near))
+        assert html_extract.smooth(np.array(x)) == pytest.approx(want)
+        lines = [("t", v, 1, 0, None) for v in x]
+        mean = sum(want) / n
+        bar = min(html_extract.LAMBDA * math.sqrt(sum((w - mean) ** 2 for w in want) / n), max(want) / 2)
+        assert html_extract.content_lines(lines).tolist() == [w > bar for w in want]
