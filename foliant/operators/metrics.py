@@ -177,10 +177,12 @@ def corrected_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     A doubtful word of fair confidence takes the term most like it; one that
     finds none so, or of low confidence, a term that is half like it, with a mark.
     """
+    from foliant.durable import written
     from foliant.operators.lexicon import candidates, spell_check
 
     keys = [c for c in ("word", "near") if c in words.columns]
-    rated = rated_words(words, lexicon).join(spell_check(words, lexicon).withColumnRenamed("term", "known"), "word", "left")
+    # four branches read what the lexicon says of each word, so it is written once
+    rated = written(rated_words(words, lexicon).join(spell_check(words, lexicon).withColumnRenamed("term", "known"), "word", "left"))
     doubtful = rated.where((F.col("confidence") < SURE) & F.col("known").isNull() & (F.length("word") >= 2))
     near = candidates(doubtful.where("confidence >= 0.7"), lexicon, 1, 0.7).where("rank = 1").select("word", F.col("term").alias("close"), F.col("similarity").alias("close_s"))
     far = candidates(doubtful, lexicon, 2, 0.3).where("rank = 1 AND similarity >= 0.5").select("word", F.col("term").alias("far"), F.col("similarity").alias("far_s"))

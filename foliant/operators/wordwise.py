@@ -71,8 +71,9 @@ def answered(docs: DataFrame, questions: Column, table: DataFrame, depends: list
     key = f"_{uuid.uuid4().hex}"
     # rows without questions meet nothing and are dealt evenly
     digest = F.sha2(F.to_json(F.struct(*depends)), 256)
-    own = docs.withColumn(key, F.when(F.size(questions) > 0, digest).otherwise(F.concat(F.lit("-"), F.spark_partition_id())))
-    asked = own.select(F.col(key).alias("_key"), F.explode(questions).alias("_q")).select("_key", "_q.pos", "_q.n", "_q.term")
+    all_of = f"{key}q"
+    own = docs.withColumn(all_of, questions).withColumn(key, F.when(F.size(all_of) > 0, digest).otherwise(F.concat(F.lit("-"), F.spark_partition_id())))
+    asked = own.select(F.col(key).alias("_key"), F.explode(all_of).alias("_q")).select("_key", "_q.pos", "_q.n", "_q.term")
     if table.limit(SMALL + 1).count() <= SMALL:
         met = asked.join(F.broadcast(table), "term")
     else:
