@@ -62,3 +62,13 @@ def test_split_words_are_joined_to_the_right_word(spark):
     rows = ["في د ارسة له", "من مص ادر و", "مق ارنه"]
     got = [r.t for r in spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, x string").orderBy("k").select(rewrite.join_split_words(F.col("x")).alias("t")).collect()]
     assert got == ["في دراسة له", "من مصادر و", "مقارنة"]
+
+
+def test_laws_and_units(spark):
+    told = {
+        "F=m x a": "F = m × a", "F = m*a.": "F = m × a.", "E = m c 2": "E = mc²", "E=mc^2": "E = mc²", "V = I*R": "V = I × R", "P=F/A": "P = F ÷ A", "P = V x I": "P = V × I",
+        "KE = 1/2 m v 2": "KE = ½mv²", "KE=½mv²": "KE = ½mv²", "XF = m x a": "XF = m x a", "F = m x ab": "F = m x ab",
+        "5 km/h": "5 كم/س", "5 m/s": "5 م/ث", "5 m/s^2": "5 م/ث²", "5m/s²": "5 م/ث²", "3 N.m": "3 ن.م", "2J/kg": "2 ج/كجم", "5 m/sec": "5 m/sec",
+    }
+    rows = spark.createDataFrame(list(told.items()), "a string, b string").select("a", "b", rewrite.apply(F.col("a"), rewrite.UNITS + rewrite.FORMULAE).alias("c")).collect()
+    assert {r.a: r.c for r in rows} == told
