@@ -53,8 +53,8 @@ def weighted_distance(a: str, b: str, likeness: dict[tuple[str, str], float]) ->
     return row[-1]
 
 
-def candidates(found: DataFrame, lexicon: DataFrame, distance: int = 2, least: float = 0.3, top: int = 10) -> DataFrame:
-    """``word, term, similarity, rank``: lexicon terms most like each distinct word of ``found`` (word).
+def candidate_pairs(found: DataFrame, lexicon: DataFrame, distance: int = 2) -> DataFrame:
+    """``word, term, apart, similarity`` of distinct words of three letters or more and the terms whose length is at most ``distance`` apart.
 
     Words meet terms of near length by an equality join on the length band, so
     each word sees its band of the lexicon and no other part.
@@ -69,7 +69,13 @@ def candidates(found: DataFrame, lexicon: DataFrame, distance: int = 2, least: f
         return pd.Series([weighted_distance(x, y, likeness) for x, y in zip(a, b, strict=True)], dtype=float)
 
     pairs = words.select("word", band).join(terms, "len").withColumn("distance", distances("word", "term"))
-    pairs = pairs.withColumn("similarity", 1 - F.col("distance") / F.greatest(F.length("word"), F.length("term"))).where(F.col("similarity") >= least)
+    similarity = 1 - F.col("distance") / F.greatest(F.length("word"), F.length("term"))
+    return pairs.select("word", "term", F.abs(F.length("word") - F.col("len")).alias("apart"), similarity.alias("similarity"))
+
+
+def candidates(found: DataFrame, lexicon: DataFrame, distance: int = 2, least: float = 0.3, top: int = 10) -> DataFrame:
+    """``word, term, similarity, rank``: lexicon terms most like each distinct word of ``found`` (word)."""
+    pairs = candidate_pairs(found, lexicon, distance).where(F.col("similarity") >= least)
     rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("similarity"), "term"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= top).select("word", "term", "similarity", "rank")
 

@@ -178,16 +178,20 @@ def corrected_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     finds none so, or of low confidence, a term that is half like it, with a mark.
     """
     from foliant.durable import written
-    from foliant.operators.lexicon import candidates, spell_check
+    from foliant.operators.lexicon import candidate_pairs, spell_check
 
     keys = [c for c in ("word", "near") if c in words.columns]
     # four branches read what the lexicon says of each word, so it is written once
     rated = written(rated_words(words, lexicon).join(spell_check(words, lexicon).withColumnRenamed("term", "known"), "word", "left"))
     doubtful = rated.where((F.col("confidence") < SURE) & F.col("known").isNull() & (F.length("word") >= 2))
-    near = candidates(doubtful.where("confidence >= 0.7"), lexicon, 1, 0.7).where("rank = 1").select("word", F.col("term").alias("close"), F.col("similarity").alias("close_s"))
-    far = candidates(doubtful, lexicon, 2, 0.3).where("rank = 1 AND similarity >= 0.5").select("word", F.col("term").alias("far"), F.col("similarity").alias("far_s"))
+    tried = candidate_pairs(doubtful, lexicon, 2)
+    like = tried.groupBy("word").agg(
+        F.min(F.when((F.col("apart") <= 1) & (F.col("similarity") >= 0.7), F.struct((-F.col("similarity")).alias("s"), "term"))).alias("c"),
+        F.min(F.when(F.col("similarity") >= 0.5, F.struct((-F.col("similarity")).alias("s"), "term"))).alias("f"),
+    )
+    like = like.select("word", F.col("c.term").alias("close"), (-F.col("c.s")).alias("close_s"), F.col("f.term").alias("far"), (-F.col("f.s")).alias("far_s"))
     w, known, fair = F.col("word"), F.col("known"), F.col("confidence") >= 0.7
-    all_ = rated.join(near, "word", "left").join(far, "word", "left")
+    all_ = rated.join(like, "word", "left")
     kind = (
         F.when(F.length(w) < 2, "low").when(F.col("confidence") >= SURE, "exact").when(known == w, "lexicon").when(known.isNotNull(), "dictionary")
         .when(fair & F.col("close").isNotNull(), "confusion").otherwise("low_confidence")
@@ -216,12 +220,14 @@ def correct_by_confidence(docs: DataFrame, lexicon: DataFrame, text_col: str = "
         steps = [k for k in range(-6, 7, 2) if k]  # words and white space take turns
         there = lambda i: sum((F.get(parts, i + k).isNotNull().cast("int") for k in steps), F.lit(0))
         near = lambda i: F.greatest(*[F.coalesce(F.get(told, i + k), F.lit(False)) for k in steps]) & (there(i) > 1)
-        ask = lambda p, i: F.when((F.length(p) > 1) & (letters(p) != ""), F.concat(F.when(near(i), "+").otherwise("-"), letters(p)))
-        each = F.transform(parts, lambda p, i: F.struct(i.alias("pos"), F.lit(1).alias("n"), ask(p, i).alias("term")))
-        return F.filter(each, lambda q: q["term"].isNotNull())
+        ask = lambda sign: F.transform(parts, lambda p, i: F.struct(i.alias("pos"), F.lit(1).alias("n"), F.when(F.length(p) > 1, F.concat(sign(i), letters(p))).alias("term")))
+        # most texts have no word that speaks for a term, so its neighbours are looked for in the others alone
+        each = F.when(F.exists(told, lambda t: t), ask(lambda i: F.when(near(i), "+").otherwise("-"))).otherwise(ask(lambda i: F.lit("-")))
+        return F.filter(each, lambda q: F.length(q["term"]) > 1)
 
     questions = wordwise.bound(F.struct(pieces.alias("p"), F.transform(pieces, lambda p: p.rlike("|".join(CONTEXT))).alias("t")), asked)
     words = docs.select(F.explode(questions).alias("q")).select(F.substring("q.term", 2, 1 << 30).alias("word"), F.col("q.term").startswith("+").alias("near")).distinct()
+    words = written(words)  # several branches read the distinct words, and each would split all texts again
     decided = corrected_words(words, lexicon).where("kind not in ('exact', 'lexicon')")
     mark = F.col("corrected").endswith(VERIFY)
     table = decided.select(

@@ -126,6 +126,7 @@ def spell_check_text(docs: DataFrame, lexicon: DataFrame, text_col: str = "text"
     pieces = letter_pieces(F.col(text_col))
     questions = at_words(pieces, lambda p: F.when(p.rlike(f"^{LETTERS}{{2,}}$"), p))
     words = docs.select(F.explode(questions).alias("q")).select(F.col("q.term").alias("word")).distinct()
+    words = written(words)  # read twice, and each reader would split all texts again
     out = f"_{uuid.uuid4().hex}"
     done = answered(docs, questions, written(spelling(words, lexicon)), [text_col], out)
     kept = [F.col(c) if c != text_col else put_back(F.col(text_col), pieces, F.col(out), lambda _, a: a["answer"]).alias(text_col) for c in docs.columns]

@@ -12,13 +12,15 @@ from foliant.functions.unicode import blanks
 from foliant.operators import corpus, fixes, knowledge, layout, learning, lexicon, memory, metrics, questions, wordwise
 from foliant.plans import fixtures, qa
 from foliant.sources import documents as sources
+from foliant.sources.tables import evenly
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    stored = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return evenly(stored) if name == "documents" else stored
 
 
 def query(sql: str | None = None):
