@@ -50,10 +50,13 @@ def one_line(text: Column) -> Column:
 
 
 def golden_with(passages: DataFrame) -> DataFrame:
-    """Every case below the text of each of ``passages`` (item_id, text), which no fix may change."""
+    """Every case below the text of each of ``passages`` (item_id, text), which no fix may change; below an empty text a case stands alone.
+
+    (The rule for question marks takes blank lines above it away, so none is put there.)
+    """
     cases = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("id", "i", "e", "k"), case, strict=True)]) for case in CASES])
     each = passages.select("item_id", one_line(F.col("text")).alias("t"), F.explode(cases).alias("c"))
-    below = lambda c: F.concat_ws("\n", "t", c)
+    below = lambda c: F.concat_ws("\n", F.nullif("t", F.lit("")), c)
     return each.select(F.concat_ws("-", F.col("item_id").cast("string"), "c.id").alias("id"), below("c.i").alias("input_text"), below("c.e").alias("expected_output"), F.col("c.k").alias("error_class"))
 
 
