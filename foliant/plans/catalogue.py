@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.functions import classify
+from foliant.functions import classify, rewrite
 from foliant.functions.unicode import blanks
 from foliant.operators import corpus, fixes, knowledge, layout, learning, lexicon, memory, metrics, questions, wordwise
 from foliant.plans import fixtures, qa
@@ -264,18 +264,21 @@ def ensemble_vote(spark, sf_dir):
     return lexicon.vote(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("variant"), "text"))
 
 
-# error rates compare passages with themselves less some letters; DuckDB's levenshtein counts bytes, so only ASCII there
-READ = "regexp_replace(text, '[^ -~]', '', 'g')"
+# Error rates compare passages with themselves less some letters.  DuckDB's levenshtein counts bytes, so there
+# each letter beyond ASCII takes the place of an ASCII character that no passage holds, which changes no distance.
+PASSAGES = """WITH a AS (SELECT list_distinct(flatten(list(string_split(text, '')))) AS c FROM benchmark),
+  m AS (SELECT array_to_string(list_sort(list_filter(c, lambda x: unicode(x) > 127)), '') AS odd, array_to_string(list_filter(list_transform(range(1, 128), lambda i: chr(i::INT)), lambda x: NOT list_contains(c, x)), '') AS free FROM a),
+  p AS (SELECT item_id, translate(t, odd, left(free, length(odd))) AS t, translate(replace(replace(t, 'th', 't'), 'e ', ' '), odd, left(free, length(odd))) AS o FROM (SELECT item_id, coalesce(text, '') AS t FROM benchmark), m)"""
+CER = "CASE WHEN length(t) = 0 AND length(o) = 0 THEN 0 WHEN length(t) = 0 OR length(o) = 0 THEN 1 ELSE round_even(levenshtein(o, t) / length(t), 4) END"
 
 
-@query(f"""WITH p AS (SELECT item_id AS doc_id, {READ} AS t, replace(replace({READ}, 'th', 't'), 'e ', ' ') AS o FROM benchmark)
-  SELECT doc_id, CASE WHEN length(t) = 0 AND length(o) = 0 THEN 0 WHEN length(t) = 0 OR length(o) = 0 THEN 1 ELSE round_even(levenshtein(o, t) / length(t), 4) END AS cer, length(o) AS chars_ocr, length(t) AS chars_ref FROM p""")
+@query(PASSAGES + f" SELECT item_id AS doc_id, {CER} AS cer, length(o) AS chars_ocr, length(t) AS chars_ref FROM p")
 def cer_by_doc(spark, sf_dir):
     return _page_pairs(spark, sf_dir).select("doc_id", "cer", F.col("chars_ocr").cast("long").alias("chars_ocr"), F.col("chars_ref").cast("long").alias("chars_ref"))
 
 
 def _page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.regexp_replace("text", "[^ -~]", "")
+    t = F.coalesce("text", F.lit(""))
     o = F.replace(F.replace(t, F.lit("th"), F.lit("t")), F.lit("e "), F.lit(" "))
     return metrics.page_metrics(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(1).alias("page"), o.alias("ocr_text"), t.alias("reference_text")))
 
@@ -285,8 +288,7 @@ def wer_by_doc(spark, sf_dir):
     return _page_pairs(spark, sf_dir).select("doc_id", "wer", "war")
 
 
-@query(f"""WITH p AS (SELECT item_id % 10 AS doc_id, {READ} AS t, replace(replace({READ}, 'th', 't'), 'e ', ' ') AS o FROM benchmark),
-  e AS (SELECT doc_id, floor(CASE WHEN length(t) = 0 AND length(o) = 0 THEN 0 WHEN length(t) = 0 OR length(o) = 0 THEN 1 ELSE round_even(levenshtein(o, t) / length(t), 4) END * length(t)) AS x, length(t) AS n FROM p)
+@query(PASSAGES + f""", e AS (SELECT item_id % 10 AS doc_id, floor({CER} * length(t)) AS x, length(t) AS n FROM p)
   SELECT doc_id, count(*) AS pages, round_even(sum(x) / greatest(sum(n), 1), 4) AS cer, round_even(1 - sum(x) / greatest(sum(n), 1), 4) AS car FROM e GROUP BY doc_id""")
 def quality_rollup(spark, sf_dir):
     pages = _page_pairs(spark, sf_dir).withColumn("doc_id", F.col("doc_id") % 10)
@@ -346,13 +348,13 @@ def spellcheck_hits(spark, sf_dir):
     return lexicon.spell_check(_words(spark, sf_dir), _terms(spark)).where("found").select("word", "term", "step")
 
 
-@query(WORDS + f""", x(term) AS (VALUES {TERM_VALUES}), d AS (SELECT DISTINCT unnest(words) AS word FROM w), p AS (SELECT word, term, levenshtein(word, term) AS k, greatest(length(word), length(term)) AS n
-  FROM d JOIN x ON abs(length(word) - length(term)) <= 1 WHERE length(word) >= 3 AND regexp_full_match(word, '[ -~]+')),
+# (a letter beyond ASCII, several bytes to levenshtein, is in no term, so any sign that is in none may stand for it)
+@query(WORDS + f""", x(term) AS (VALUES {TERM_VALUES}), d AS (SELECT DISTINCT unnest(words) AS word FROM w), p AS (SELECT word, term, levenshtein(regexp_replace(word, '[^\\x00-\\x7F]', '~', 'g'), term) AS k, greatest(length(word), length(term)) AS n
+  FROM d JOIN x ON abs(length(word) - length(term)) <= 1 WHERE length(word) >= 3),
   r AS (SELECT word, term, round_even(1 - k / n, 6) AS similarity, row_number() OVER (PARTITION BY word ORDER BY k / n, term) AS rank FROM p WHERE k <= 1 AND 1 - k / n >= 0.7)
   SELECT * FROM r WHERE rank <= 10""")
 def fuzzy_candidates(spark, sf_dir):
-    words = _words(spark, sf_dir).where(F.col("word").rlike("^[ -~]+$"))
-    found = lexicon.plain_candidates(words, _terms(spark))
+    found = lexicon.plain_candidates(_words(spark, sf_dir), _terms(spark))
     return found.select("word", "term", F.bround("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -399,6 +401,17 @@ def verify_warnings(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(t, F.lit("\n\n\n")).cast("long").alias("blank_runs"), F.regexp_count(t, F.lit("-+>")).cast("long").alias("broken_arrows"))
 
 
+# What a reviewer is told of is set below each text: gaps, marks, an arrow and a long word, as many and as long as the id says.
+@query("""WITH t AS (SELECT doc_id, coalesce(text, '') || repeat(chr(10) || chr(10) || chr(10) || '.', doc_id % 9) || repeat('[تحقق]', doc_id % 2) || repeat('[غير واضح]', doc_id % 3) || repeat(' -->', doc_id % 4) || ' ' || repeat('ا', doc_id % 50) AS t FROM documents),
+  n AS (SELECT doc_id, len(regexp_extract_all(t, chr(10) || chr(10) || chr(10))) AS gaps, len(regexp_extract_all(t, '-+>')) AS arrows FROM t)
+  SELECT doc_id, array_to_string(list_filter([CASE WHEN gaps > 5 THEN 'blank_lines:' || gaps END, CASE WHEN doc_id % 3 > 0 THEN 'unclear:' || doc_id % 3 END, CASE WHEN doc_id % 2 > 0 THEN 'verify:1' END,
+    CASE WHEN arrows > 0 THEN 'broken_arrows:' || arrows END, CASE WHEN doc_id % 50 > 40 THEN 'long_word:' || doc_id % 50 END], lambda x: x IS NOT NULL), ',') AS warnings FROM n""")
+def review_warnings(spark, sf_dir):
+    some = lambda x, k: F.call_function("repeat", F.lit(x), (F.col("doc_id") % k).cast("int"))
+    t = F.concat(F.coalesce("text", F.lit("")), some("\n\n\n.", 9), some("[تحقق]", 2), some("[غير واضح]", 3), some(" -->", 4), F.lit(" "), some("ا", 50))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(classify.warnings(t), ",").alias("warnings"))
+
+
 @query("""SELECT doc_id, greatest(0.0, round_even(100 - least(0.5 * b, 15) - least(0.3 * d, 10) - least(1.0 * l, 20) - least(0.1 * s, 5), 1))::DOUBLE AS quality_score FROM (SELECT doc_id,
   len(regexp_extract_all(text, '\\|'))::DOUBLE AS b, (len(string_split(text, chr(10))) - len(list_distinct(string_split(text, chr(10)))))::DOUBLE AS d, len(regexp_extract_all(text, '\\$'))::DOUBLE AS l, len(regexp_extract_all(text, '  +'))::DOUBLE AS s FROM documents)""")
 def qa_score(spark, sf_dir):
@@ -463,6 +476,16 @@ def question_reorder(spark, sf_dir):
     return d.select("doc_id").join(layout.questions_in_order(d).groupBy("doc_id").agg(F.count("q_num").alias("numbered")), "doc_id", "left").fillna(0)
 
 
+# Lines are stood in for as questions, numbered backwards by twos, so that equal numbers must keep their order.
+@query(LINES + """, q AS (SELECT doc_id, line_no, (max(line_no) OVER (PARTITION BY doc_id) - line_no) // 2 AS q_num, line FROM l)
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY q_num, line_no) AS q_ord, q_num, regexp_replace(q_num || ' - ' || line, '[\\s\\p{Z}]+$', '') AS text FROM q""")
+def questions_ordered(spark, sf_dir):
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    asked = F.transform(lines, lambda x, k: F.concat(F.floor((F.size(lines) - 1 - k) / 2).cast("string"), F.lit(" - "), x))
+    papers = table(spark, sf_dir, "documents").select("doc_id", F.array_join(asked, "\n").alias("text"))
+    return layout.questions_in_order(papers).withColumn("q_ord", F.col("q_ord").cast("long"))
+
+
 # Recognised words are stood in for by the words of documents, a line for each line, confidence from the place.
 OCR = LINES + """, o AS (SELECT doc_id, line_no AS line_num, i AS word_idx, w[i] AS text, (i * 7 % 100) - 2 AS conf FROM (SELECT doc_id, line_no, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, line_no, list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '') AS w FROM l))),
   g AS (SELECT doc_id, line_num, string_agg(text, ' ' ORDER BY word_idx) AS line FROM o WHERE conf >= 0 GROUP BY doc_id, line_num)"""
@@ -542,6 +565,19 @@ def golden_composition(spark, sf_dir):
     return fixes.composition(fixtures.golden_with(table(spark, sf_dir, "benchmark")))
 
 
+# Stages of rewriting on cases below the words of each passage, in which only names of Greek letters may change.
+_GREEK = " ".join(f"WHEN '{w}' THEN '{sign}'" for name, (small, large) in rewrite.GREEK.items() for w, sign in ((name, small), (name.capitalize(), large)))
+_CASES = ", ".join(f"('{rule.__name__}', {k}, '{made}')" for rule, cases in fixtures.REWRITES for k, (_, made) in enumerate(cases))
+
+
+@query(f"""WITH k(rule, case_no, made) AS (VALUES {_CASES}),
+  p AS (SELECT item_id, string_split(trim(regexp_replace(coalesce(text, ''), '\\P{{L}}+', ' ', 'g'), ' '), ' ') AS w FROM benchmark),
+  b AS (SELECT item_id, array_to_string(w, ' ') AS plain, array_to_string(list_transform(w, lambda x: CASE x {_GREEK} ELSE x END), ' ') AS greek FROM p)
+  SELECT item_id, rule, case_no::BIGINT AS case_no, CASE WHEN rule = 'math_to_unicode' THEN greek ELSE plain END || '.' || chr(10) || made AS text FROM b, k""")
+def rewrite_stages(spark, sf_dir):
+    return fixtures.rewritten_with(table(spark, sf_dir, "benchmark"))
+
+
 # Platform smoke: what Spark gives besides, over the other tables.
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem
   WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")

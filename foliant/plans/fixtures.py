@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions import rewrite
 from foliant.schema import GOLDEN
 
 LEXICON = ["بالإضافة", "بسيط", "قوانين", "الإشارة", "المدرسة", "منها", "القوة", "خلال", "الطاقة", "كتاب", "قلم"]
@@ -26,6 +27,32 @@ CASES = [
     ("e1", "1-2 كم", "1-2 كم", "E-12"), ("e2", "صفحة 1-2", "صفحة 1-2", "E-12"), ("l3", "حDور", "حضور", "Q-1"), ("n2", "وحدة Hz للتردد", "وحدة Hz للتردد", "LANG"),
     ("r3", "س5: احسب القوة", "س5: احسب القوة", "REG"), ("r4", "سرعة 20 م/ث", "سرعة 20 م/ث", "REG"),
 ]
+#: Stage of rewriting, and texts with what it makes of them, written by hand.
+REWRITES = [
+    (rewrite.join_split_words, [
+        ("ا لكتاب و الطالب", "الكتاب والطالب"), ("م ص ر", "مصر"), ("كتاب و قلم", "كتاب و قلم"), ("في د ارسة له", "في دراسة له"), ("مق ارنه", "مقارنة"), ("قلم • • حبر", "قلم حبر"),
+    ]),
+    (rewrite.units_and_choices, [("H 2 و 1 / 2 ( أ )", "H2 و ½ (أ)"), ("3 / 4 كوب", "¾ كوب"), ("11/2", "11/2")]),
+    (rewrite.squeeze, [("قلم  \t كتاب\n\n\n\nنهاية  ", "قلم كتاب\n\nنهاية"), ("قلم كتاب", "قلم كتاب")]),
+    (rewrite.math_to_unicode, [
+        ("H2O + CO2", "H₂O + CO₂"), ("a <-> b", "a  ⇌  b"), ("10^12", "10¹²"), ("alpha و Omega", "α و Ω"), ("2025/2026 و 6/3", "2025/2026 و 6 ÷ 3"), ("F=m x a", "F = m × a"),
+        ("5 km/h", "5 كم/س"), ("25 C", "25°C"), ("3*4", "3 × 4"), ("sqrt(9)", "√(9)"), ("2.5e6", "2.5×10⁶"), ("x2 + y2", "x² + y²"),
+    ]),
+    (rewrite.punctuation, [
+        ("قيمة 1.7 تقريبا .", "قيمة 1.7 تقريبا."), ("نعم،لا", "نعم، لا"), ("ماذا؟؟؟", "ماذا؟"), ("سطر أول\nسطر ثان", "سطر أول.\nسطر ثان"), ("( قلم )", "(قلم)"), ("كتاب,قلم", "كتاب، قلم"),
+    ]),
+    (rewrite.split_choices, [("سؤال (أ) نعم (ب) لا", "سؤال\n(أ) نعم\n(ب) لا"), ("أ) نعم ب) لا", "أ) نعم\nب) لا"), ("(ت) ليس اختيارا", "(ت) ليس اختيارا")]),
+    (rewrite.inspect_characters, [("2O5 و Fe2O3", "205 و Fe2O3"), ("كTاب", "كتاب"), ("م ص ر ي", "مصري"), ("1l5", "115"), ("قلم ،", "قلم،"), ("قل\u200bم", "قلم")]),
+    (rewrite.validate_sentences, [("كتاب كتاب جديد", "كتاب جديد"), ("انتهى.ثم", "انتهى. ثم"), ("5 %", "5%"), ("لماذا ؟نعم", "لماذا؟ نعم")]),
+    (rewrite.restore_layout, [
+        ("س1: ما", "### س1: ما"), ("--- [ صفحة 3 ] ---", "\n\n---\n📄 صفحة 3\n---\n"), ("الفصل الأول: الحركة", "# الفصل الأول: الحركة"), ("( ب )", "(ب)"),
+    ]),
+    (rewrite.validate_choices, [("سؤال (أ) نعم (ب) لا", "سؤال\n(أ) نعم\n(ب) لا"), ("أ - نعم ب - لا", "(أ) نعم\n(ب) لا"), ("أ ) نعم", "(أ) نعم")]),
+    (rewrite.validate_equations, [("H 2 و 3 x 5", "H₂ و 3×5"), ("25 ° C", "25°C"), ("5جم", "5 جم"), ("10 %", "10%"), ("5 – 3", "5 - 3")]),
+    (rewrite.validate_numbers, [("1O5 و CO2", "105[تحقق] و CO2"), ("O2 نقي", "O2 نقي"), ("1o5", "1o5")]),
+    (rewrite.cleanup_format, [("كتاب, قلم", "كتاب، قلم"), ("  سطر  \n  آخر", "سطر\nآخر"), ("كيف?نعم", "كيف؟ نعم"), ("أول;ثان", "أول؛ ثان")]),
+    (rewrite.plain_from_markdown, [("# عنوان\n- نقطة", "عنوان\n• نقطة"), ("> ⚠️ تنويه", "⚠️ تنويه"), ("نص\n---\nنص", "نص\n\nنص")]),
+]
 PAPER = """مقدمة الامتحان
 
 1 - ما عاصمة مصر؟
@@ -67,3 +94,16 @@ def papers_of(talks: DataFrame) -> DataFrame:
     asked = lambda x: F.concat(F.lit("\n"), (x["n"] + 1).cast("string"), F.lit(" - "), x["t"], F.lit("؟"), row(x["t"], 0, "أ", "ب"), row(x["t"], 2, "ج", "د"))
     turns = talks.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("n"), one_line(F.col("text")).alias("t")))).alias("q"))
     return turns.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("conv-"), F.col("conv_id")).alias("source_filename"), F.array_join(F.transform("q", asked), "\n").alias("raw_text"))
+
+
+def rewritten_with(passages: DataFrame) -> DataFrame:
+    """``item_id, rule, case_no, text``: each rewriting stage on its cases below the words of each passage and a stop.
+
+    Of these words a stage may change no more than the names of Greek letters.
+    A stage stands once in the plan, over the list of its cases.
+    """
+    each = passages.select("item_id", F.concat(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\P{L}+", " ")), F.lit(".\n")).alias("t"))
+    rows = lambda rule, cases: F.transform(
+        F.array(*[F.lit(given) for given, _ in cases]), lambda c, k: F.struct(F.lit(rule.__name__).alias("rule"), k.cast("long").alias("case_no"), rule(F.concat("t", c)).alias("text"))
+    )
+    return each.select("item_id", F.inline(F.flatten(F.array(*[rows(rule, cases) for rule, cases in REWRITES]))))

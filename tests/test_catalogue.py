@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 
 from foliant.operators import lexicon
-from foliant.plans import catalogue
+from foliant.plans import catalogue, fixtures
 
 
 def distance(a, b):
@@ -20,7 +20,7 @@ def distance(a, b):
 
 
 def test_word_errors_of_whole_texts(spark, tmp_path):
-    texts = ["no errors " * 40 + "then the thing here and there", "the first " * 5, "x" * 310 + " the"]
+    texts = ["no errors " * 40 + "then the thing here and there", "the first " * 5, "x" * 310 + " the", "thé ñandú the thé", "日本 the 語"]
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.doc_id: r.wer for r in catalogue.queries()["wer_by_doc"](spark, str(tmp_path)).collect()}
     for k, t in enumerate(texts):
@@ -73,3 +73,34 @@ def test_kinds_of_all_document_words(spark, tmp_path):
         found[kind].append(sure)
     got = {r.kind: (r.n, r.avg_confidence) for r in catalogue.queries()["confidence_by_kind"](spark, str(tmp_path)).collect()}
     assert got == {k: (len(v), pytest.approx(sum(v) / len(v), abs=1e-4)) for k, v in found.items()}
+
+
+def test_character_errors_count_code_points(spark, tmp_path):
+    texts = ["thé thé", "", None, "日本 the 語", "ß" * 40 + "the "]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in catalogue.queries()["cer_by_doc"](spark, str(tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        true = t or ""
+        read = true.replace("th", "t").replace("e ", " ")
+        assert (got[k].chars_ocr, got[k].chars_ref) == (len(read), len(true))
+        assert got[k].cer == pytest.approx(distance(read, true) / max(1, len(true)), abs=1e-4)
+
+
+def test_rewriting_stages_below_any_passage(spark, tmp_path):
+    passages = {0: "one  two 3 pi", 1: "", 2: None}
+    spark.createDataFrame(list(passages.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.item_id, r.rule, r.case_no): r.text for r in catalogue.queries()["rewrite_stages"](spark, str(tmp_path)).collect()}
+    above = {0: "one two pi.\n", 1: ".\n", 2: ".\n"}
+    want = {
+        (i, rule.__name__, k): (above[i].replace("pi", "π") if rule.__name__ == "math_to_unicode" else above[i]) + made
+        for i in passages for rule, cases in fixtures.REWRITES for k, (_, made) in enumerate(cases)
+    }
+    assert got == want
+
+
+def test_reviews_and_questions_of_null_texts(spark, tmp_path):
+    spark.createDataFrame([(0, None), (41, "a\nb\nc"), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    told = {r.doc_id: r.warnings for r in catalogue.queries()["review_warnings"](spark, str(tmp_path)).collect()}
+    assert told == {0: "", 41: "unclear:2,verify:1,broken_arrows:1,long_word:41", 2: "unclear:2,broken_arrows:2"}
+    asked = catalogue.queries()["questions_ordered"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.q_ord, r.q_num, r.text) for r in asked) == [(0, 1, 0, "0 -"), (2, 1, 0, "0 -"), (41, 1, 0, "0 - b"), (41, 2, 0, "0 - c"), (41, 3, 1, "1 - a")]
