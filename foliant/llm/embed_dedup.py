@@ -5,22 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm._common import components, cut
+from foliant.llm._common import components, cut, drop_cut
 
 #: Leading principal dimensions that make the grid.
 LEADING = 6
-#: The sorted sequence is cut in blocks of at least BLOCK rows and into BLOCKS blocks at most.
-BLOCK, BLOCKS = 2048, 2048
+#: The sorted sequence is cut in blocks of so many rows, whatever its length.
+BLOCK = 2048
+#: An interval of the sequence has so many parts on the next level.
+FAN = 8
 #: Inside a pair of blocks the recursion stops at intervals of so many rows.
 LEAF = 512
-#: Products in single precision are settled in double precision within this distance of the threshold.
-MARGIN = 1e-4
+#: Products in single precision are settled in double precision within this distance of the threshold, for vectors of
+#: up to some 800 components; for longer ones within what rounding of so many terms can make of it.
+MARGIN, ROUNDING = 1e-4, 2.0**-23
 
 
 def _raw(kind: pa.DataType, item: str):
@@ -136,6 +138,7 @@ def interval_pairs(low: np.ndarray, high: np.ndarray, a: tuple[int, int], b: tup
 
 def _join(item: str, dim: int, eps: float, threshold: float):
     """Links between the rows of two blocks: per row its number and a link to the first row of its cluster."""
+    margin = max(MARGIN, (dim + 4) * ROUNDING)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("block", "ascending"), ("pos", "ascending")])
@@ -149,8 +152,8 @@ def _join(item: str, dim: int, eps: float, threshold: float):
         count, label = np.zeros(len(u), dtype=np.int64), np.arange(len(u))
         for x, y in interval_pairs(at, at, first, second, eps, LEAF):
             c = single[x[0] : x[1]] @ single[y[0] : y[1]].T
-            i, j = np.nonzero(c >= threshold - MARGIN)
-            near = c[i, j] < threshold + MARGIN
+            i, j = np.nonzero(c >= threshold - margin)
+            near = c[i, j] < threshold + margin
             i, j = i + x[0], j + y[0]
             if x == y:
                 keep = i < j
@@ -178,7 +181,36 @@ def _join(item: str, dim: int, eps: float, threshold: float):
     return run
 
 
-def _linked(rows: DataFrame, item: str, dim: int, threshold: float) -> DataFrame:
+def close_blocks(ordered: DataFrame, dims: int, blocks: int, eps: float) -> DataFrame:
+    """``i, j`` (i <= j): pairs of blocks whose boxes are at most ``eps`` apart.
+
+    Blocks are the leaves of a tree of intervals of ``FAN`` parts.  From the
+    root down, pairs of close intervals are replaced by the pairs of their parts
+    that are close, so a distant pair is dropped with all below it and no list
+    of blocks passes the driver.
+    """
+    each, least = [f"l{d}" for d in range(dims)], [f"h{d}" for d in range(dims)]
+    levels = [cut(ordered.groupBy("block").agg(
+        *[F.min(F.col("at")[d]).alias(x) for d, x in enumerate(each)], *[F.max(F.col("at")[d]).alias(x) for d, x in enumerate(least)]
+    ))]
+    size = blocks
+    while size > 1:
+        size = -(-size // FAN)
+        up = levels[-1].groupBy(F.floor(F.col("block") / FAN).alias("block"))
+        levels.append(cut(up.agg(*[F.min(x).alias(x) for x in each], *[F.max(x).alias(x) for x in least])))
+    pairs = levels.pop().select(F.col("block").alias("i"), F.col("block").alias("j"))  # the root
+    gap = [F.greatest(F.lit(0.0), F.col(f"a.l{d}") - F.col(f"b.h{d}"), F.col(f"b.l{d}") - F.col(f"a.h{d}")) for d in range(dims)]
+    apart = sum((g * g for g in gap), F.lit(0.0))
+    parts = lambda x: F.explode(F.sequence(F.col(x) * FAN, F.col(x) * FAN + (FAN - 1)))
+    for boxes in reversed(levels):
+        finer = pairs.select(parts("i").alias("i"), "j").select("i", parts("j").alias("j")).where("i <= j")
+        near = finer.join(boxes.alias("a"), F.col("i") == F.col("a.block")).join(boxes.alias("b"), F.col("j") == F.col("b.block"))
+        coarse, pairs = pairs, cut(near.where((F.col("i") == F.col("j")) | (apart <= eps * eps * (1 + 1e-9) + 1e-12)).select("i", "j"))
+        drop_cut(coarse, boxes)
+    return pairs
+
+
+def _linked(rows: DataFrame, item: str, dim: int, threshold: float, block: int) -> DataFrame:
     """Classes of equal vectors of one dimension: ``vec, n_links, component_id``."""
     spark = rows.sparkSession
     eps = float(np.sqrt(2 - 2 * threshold))
@@ -200,20 +232,13 @@ def _linked(rows: DataFrame, item: str, dim: int, threshold: float) -> DataFrame
     for part, n in sizes:
         starts.append((part, total))
         total += n
-    size = max(BLOCK, -(-total // BLOCKS))
     begin = spark.createDataFrame(starts, "part int, start long")
     pos = F.col("start") + F.col("idx")
-    ordered = cut(ordered.join(F.broadcast(begin), "part").select(
-        pos.alias("pos"), F.floor(pos / size).cast("int").alias("block"), "vec", "n", "low", "at"
+    by_part, ordered = ordered, cut(ordered.join(F.broadcast(begin), "part").select(
+        pos.alias("pos"), F.floor(pos / block).alias("block"), "vec", "n", "low", "at"
     ))
-    dims = range(axes.shape[1] + 1)
-    boxes = ordered.groupBy("block").agg(
-        *[F.min(F.col("at")[d]).alias(f"l{d}") for d in dims], *[F.max(F.col("at")[d]).alias(f"h{d}") for d in dims]
-    ).orderBy("block").toPandas()
-    low, high = (boxes[[f"{x}{d}" for d in dims]].to_numpy() for x in "lh")
-    whole = (0, len(boxes))
-    found = [(x[0], y[0]) for x, y in interval_pairs(low, high, whole, whole, eps, 1)]
-    pairs = spark.createDataFrame(pd.DataFrame(found, columns=["i", "j"]).astype("int32"), "i int, j int")
+    drop_cut(by_part)
+    pairs = close_blocks(ordered, axes.shape[1] + 1, -(-total // block), eps)
     sides = pairs.select("i", "j", F.col("i").alias("block")).union(pairs.where("i != j").select("i", "j", F.col("j").alias("block")))
     links = cut(
         ordered.select("block", "pos", "n", "vec", "at").join(sides, "block")
@@ -229,14 +254,15 @@ def _linked(rows: DataFrame, item: str, dim: int, threshold: float) -> DataFrame
     )
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """One row per input row: ``id_col, n_links, component_id, kept``.
 
     Two vectors link when their cosine in double precision is ``threshold`` or
     more.  Unit vectors are sorted by their cells of width epsilon (the distance
     at the threshold) on the leading principal dimensions; the sequence is cut
-    in blocks, and pairs of blocks, then of intervals in them, are skipped where
-    their boxes are over epsilon apart.  All other pairs are compared, so the
+    in blocks of ``block`` rows, so that a task holds two of them whatever the
+    input, and pairs of intervals of blocks, then of blocks, then of intervals in
+    them, are skipped where their boxes are over epsilon apart.  All other pairs are compared, so the
     result is exact.  Equal vectors are compared once and counted as often as
     they occur.  A task returns a count and one link for each row, never pairs.
 
@@ -256,7 +282,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     out = None
     for (dim,) in rows.select("dim").distinct().orderBy("dim").collect():
         own = rows.where(F.col("dim") == dim).select("id", "vec")
-        got = own.join(_linked(own, item, dim, threshold), "vec").select("id", "n_links", "component_id")
+        got = own.join(_linked(own, item, dim, threshold, block), "vec").select("id", "n_links", "component_id")
         out = got if out is None else out.unionByName(got)
     v = F.col("vec")
     bad = v.isNull() | (F.size(v) == 0) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(v, lambda x: F.coalesce(x, F.lit(0)) != 0)

@@ -9,7 +9,7 @@ import regex
 
 from foliant.llm import bpe, minhash
 from foliant.llm._common import components
-from foliant.llm.embed_dedup import embedding_dedup
+from foliant.llm.embed_dedup import close_blocks, embedding_dedup
 from foliant.llm.html_extract import main_blocks
 from foliant.llm.line_dedup import dedup_lines
 from foliant.llm.pii import base_spans, find_personal_data
@@ -148,11 +148,13 @@ def test_samples_agree_as_often_as_texts_are_alike(shared, own, trials, bound):
     assert abs(n / trials - both / (both + 2 * own)) < bound
 
 
-def test_vectors_match_all_pairs(spark):
+@pytest.mark.parametrize("block,dim", [(2048, 16), (16, 16), (100, 1500)])  # one block, a tree of three levels, long vectors
+def test_vectors_match_all_pairs(spark, block, dim):
     rng = np.random.default_rng(2)
-    centres = rng.normal(size=(40, 16))
-    x = (centres[rng.integers(0, 40, 700)] + rng.normal(size=(700, 16)) * 0.28).astype(np.float32)
-    got = embedding_dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).toPandas().set_index("vec_id").sort_index()
+    centres = rng.normal(size=(40, dim))
+    x = (centres[rng.integers(0, 40, 700)] + rng.normal(size=(700, dim)) * (0.28 if dim < 100 else 0.229)).astype(np.float32)
+    made = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = embedding_dedup(made, block=block).toPandas().set_index("vec_id").sort_index()
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     link = u @ u.T >= 0.95
     np.fill_diagonal(link, False)
@@ -166,6 +168,17 @@ def test_vectors_match_all_pairs(spark):
     assert (got.component_id.to_numpy() == label).all()
 
 
+def test_close_blocks_are_all_pairs_within_reach(spark):
+    rng = np.random.default_rng(5)
+    at = np.sort(rng.uniform(0, 4, (900, 2)), axis=0)
+    rows = spark.createDataFrame([(k // 10, v.tolist()) for k, v in enumerate(at)], "block long, at array<double>")
+    got = sorted(tuple(r) for r in close_blocks(rows, 2, 90, 0.3).collect())
+    low, high = at.reshape(90, 10, 2).min(axis=1), at.reshape(90, 10, 2).max(axis=1)
+    gap = [[np.maximum(0, np.maximum(low[i] - high[j], low[j] - high[i])) for j in range(90)] for i in range(90)]
+    want = [(i, j) for i in range(90) for j in range(i, 90) if i == j or gap[i][j] @ gap[i][j] <= 0.09]
+    assert got == want and len(want) < 90 * 91 / 4
+
+
 def test_base_spans_are_the_patterns():
     patterns = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
