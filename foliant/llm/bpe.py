@@ -29,8 +29,10 @@ from foliant.llm._common import shared_dir
 
 #: A block of documents with one word list ends at so many characters.
 BLOCK_CHARS = 8_000_000
-#: Words are dealt by hash to so many buckets at most.
+#: Words are dealt by hash to so many buckets at most when blocks are written.
 BUCKETS = 1024
+#: Where the lists of a bucket hold more words than this on average, buckets are split before the shuffle; so a worker's memo stays small.
+BUCKET_WORDS = 1_000_000
 #: A worker's memo of pieces takes no more entries than this; it is emptied with the block.
 MEMO = 100_000
 #: A worker hands on so many ids or words at a time.
@@ -149,7 +151,7 @@ def _blocks(pattern: str, buckets: int, schema: pa.Schema):
             names.append(data)
         for bucket, (numbers, names) in sorted(dealt.items()):
             yield none | {
-                "block": block, "bucket": bucket, "codes": _pack(np.diff(np.array(numbers), prepend=0)),
+                "block": block, "bucket": bucket, "n": len(names), "codes": _pack(np.diff(np.array(numbers), prepend=0)),
                 "sizes": _pack([len(x) for x in names]), "words": _squeeze(b"".join(names)),
             }
 
@@ -185,6 +187,30 @@ def _blocks(pattern: str, buckets: int, schema: pa.Schema):
     return run
 
 
+def _split_buckets(buckets: int, parts: int, schema: pa.Schema):
+    """Word lists dealt on, each to ``parts`` finer buckets; the numbers of a list still rise, so their steps are packed anew."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                data, ends, numbers = _expand(x["words"]), np.cumsum(_unpack(x["sizes"])).tolist(), np.cumsum(_unpack(x["codes"])).tolist()
+                dealt: dict[int, tuple[list, list]] = {}
+                for begin, end, number in zip([0, *ends[:-1]], ends, numbers, strict=True):
+                    mine, names = dealt.setdefault(zlib.crc32(data[begin:end]) // buckets % parts, ([], []))
+                    mine.append(number)
+                    names.append(data[begin:end])
+                rows = [
+                    x | {
+                        "bucket": x["bucket"] + buckets * part, "codes": _pack(np.diff(np.array(mine), prepend=0)),
+                        "sizes": _pack([len(w) for w in names]), "words": _squeeze(b"".join(names)),
+                    }
+                    for part, (mine, names) in sorted(dealt.items())
+                ]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return run
+
+
 def _encode_words(ranks, pattern: str, schema: pa.Schema):
     """Ids of the words in lists sorted by bucket; a word that many blocks hold is encoded once."""
 
@@ -274,18 +300,22 @@ def _encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_c
     ranks = read_ranks(ranks_path)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ddl = T.StructType.fromDDL
-    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("ids", T.ArrayType(kind)), *ddl("lens binary, seq binary, bucket int, codes binary, sizes binary, words binary")])
+    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("ids", T.ArrayType(kind)), *ddl("lens binary, seq binary, bucket int, n int, codes binary, sizes binary, words binary")])
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    name = f"cut_{uuid.uuid4().hex}"
+    name, buckets = f"cut_{uuid.uuid4().hex}", min(n, BUCKETS)
     (
-        rows.mapInArrow(_blocks(pattern, min(n, BUCKETS), to_arrow_schema(schema)), schema)
+        rows.mapInArrow(_blocks(pattern, buckets, to_arrow_schema(schema)), schema)
         .write.bucketBy(n, "block").option("path", f"{shared_dir(spark)}/{name}").option("compression", "none").saveAsTable(name)
     )
     written = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and ``written`` knows them and their buckets
+    words = written.where("bucket is not null").select("block", "bucket", "codes", "sizes", "words")
+    parts = -(-(written.agg(F.sum("n")).first()[0] or 0) // (buckets * BUCKET_WORDS))
+    if parts > 1:
+        words = words.mapInArrow(_split_buckets(buckets, parts, to_arrow_schema(words.schema)), words.schema)
     lists = ddl("block string, codes binary, sizes binary, tokens binary")
     coded = (
-        written.where("bucket is not null").select("block", "bucket", "codes", "sizes", "words")
-        .repartition(n, "bucket").sortWithinPartitions("bucket")
+        words.repartition(n, "bucket").sortWithinPartitions("bucket")
         .mapInArrow(_encode_words(spark.sparkContext.broadcast(ranks), pattern, to_arrow_schema(lists)), lists)
     )
     out = T.StructType([T.StructField(id_col, kind), *ddl("ids binary, decoded binary" if both else "ids array<int>")])
@@ -301,7 +331,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     are, one row each; an empty table gives an empty result; other columns are
     ignored.  Blocks end at ``BLOCK_CHARS``, so a worker's memory is bounded but
     for one text that is longer by itself.  The input is read once, when this is
-    called; the bucketed table it is written to stays in the session's catalogue.
+    called, and written to the folder of ``spark.checkpoint.dir``; the catalogue
+    does not keep the table.
     """
     return _encoded(docs, ranks_path, pattern, id_col, text_col, False)
 

@@ -168,6 +168,22 @@ def test_vectors_match_all_pairs(spark, block, dim):
     assert (got.component_id.to_numpy() == label).all()
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 3])  # whole buckets, and buckets split before the shuffle
+def test_split_buckets_give_the_same_ids(spark, monkeypatch, limit):
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "BUCKET_WORDS", limit)
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 3_000)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdeé  \n.,1中") for _ in range(rng.randint(0, 300))) for _ in range(120)] + ["", None]
+    before = {t.name for t in spark.catalog.listTables()}
+    got = {r.doc_id: bytes(r.ids) for r in bpe.encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, public_tokenizers.PATTERN).collect()}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    assert got == {k: np.array(plain.encode_ordinary(t or ""), dtype="<u4").tobytes() for k, t in enumerate(texts)}
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_close_blocks_are_all_pairs_within_reach(spark):
     rng = np.random.default_rng(5)
     at = np.sort(rng.uniform(0, 4, (900, 2)), axis=0)
