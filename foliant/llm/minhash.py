@@ -30,11 +30,13 @@ PARTS = 64
 #: Triples (r, c, beta) of the sampling table.
 TRIPLES = 1 << 16
 #: Elements that are sampled at a time.
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 #: Share of the pairs right at the threshold that samples alone may exclude, a fortieth of what the bands miss.
 MISSED = 5e-5
 #: Leaders are tried while at least this share of a round's pairs links; what is left is compared across components.
 FRUITFUL = 0.05
+#: Bits of each of a document's two maps of its shingles, one for those of the highest level.
+BITS = 512
 #: Members of a bucket that a task compares with those outside its main component.
 SALTED = 512
 
@@ -75,8 +77,8 @@ class _Sampler:
         rng = np.random.default_rng(20240229)
         self.r, self.c = rng.gamma(2, 1, TRIPLES), rng.gamma(2, 1, TRIPLES)
         self.beta = rng.random(TRIPLES)
-        self.known: dict[float, int] = {}
-        self.table = np.zeros(0, dtype=np.uint64)
+        self.kinds = np.zeros(0)
+        self.table = np.zeros((0, TRIPLES), dtype=np.uint64)
 
     def _column(self, w: float) -> np.ndarray:
         t = np.floor(np.log(w) / self.r + self.beta)
@@ -86,36 +88,65 @@ class _Sampler:
         return order.astype(np.uint64) << np.uint64(32)
 
     def _rows(self, weights: np.ndarray) -> np.ndarray:
-        kinds, back = np.unique(weights, return_inverse=True)
-        if len(self.known) > 200:
-            self.known, self.table = {}, self.table[:0]
-        for w in kinds.tolist():
-            if w not in self.known:
-                self.known[w] = len(self.known)
-                self.table = np.concatenate([self.table, self._column(w)])
-        return (np.array([self.known[w] for w in kinds.tolist()], dtype=np.int64) * TRIPLES)[back]
+        """Place in the table of the first triple of each weight."""
+        at = np.searchsorted(self.kinds, weights)
+        if not len(self.kinds) or (self.kinds[np.minimum(at, len(self.kinds) - 1)] != weights).any():
+            kinds = np.unique(weights)
+            if len(self.kinds) > 200:
+                self.kinds, self.table = self.kinds[:0], self.table[:0]
+            new = np.setdiff1d(kinds, self.kinds)
+            both = np.concatenate([self.kinds, new])
+            order = np.argsort(both)
+            self.kinds, self.table = both[order], np.concatenate([self.table, [self._column(w) for w in new]])[order]
+            at = np.searchsorted(self.kinds, weights)
+        return at.astype(np.uint64) * np.uint64(TRIPLES)
 
     def __call__(self, hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Samples as 32-bit fingerprints, a row for each document; ``starts`` are its first elements."""
         base = self._rows(weights)
+        table = self.table.ravel()
         out = np.empty((len(starts), BANDS * ROWS), dtype=np.uint64)
-        low = np.uint64(0xFFFFFFFF)
+        x, y, keys = (np.empty_like(hashes) for _ in range(3))  # written over and over
         for k, step in enumerate(_STEP):
-            x = hashes * step
-            x ^= x >> np.uint64(29)
-            keys = self.table[base + (x >> np.uint64(48)).astype(np.int64)] | (x & low)
+            np.multiply(hashes, step, out=x)
+            np.right_shift(x, np.uint64(29), out=y)
+            np.bitwise_xor(x, y, out=x)
+            np.right_shift(x, np.uint64(48), out=y)
+            np.add(y, base, out=y)
+            np.take(table, y.view(np.int64), out=keys, mode="clip")
+            np.bitwise_and(x, np.uint64(0xFFFFFFFF), out=x)
+            np.bitwise_or(keys, x, out=keys)
             out[:, k] = np.minimum.reduceat(keys, starts)
         return (mix(out) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _maps(hashes: np.ndarray, rare: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Maps of the shingles of each document as 64-bit numbers, first that of the rare ones.
+
+    A bit tells whether an odd number of shingles has its hash, so each bit in
+    which two maps differ stands for a shingle of one document only.
+    """
+    of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(hashes)))
+    at = (of * 2 + ~rare) * BITS + (hashes >> np.uint64(40)).astype(np.int64) % BITS
+    odd = np.bincount(at, minlength=len(starts) * 2 * BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many documents of the partition have a shingle for each counter's hash, packed in ``PARTS`` rows."""
-    shingles, n = Shingler(), np.zeros(COUNTERS, dtype="<u4")
+    shingles, n = Shingler(), np.zeros(COUNTERS, dtype=np.int64)
+    held, size = [], 0
     for b in batches:
         for text in b.column(0):
             h, _ = shingles(text.as_py() or "")
-            np.add.at(n, (h % np.uint64(COUNTERS)).astype(np.int64), 1)
-    packed = [zlib.compress(np.ascontiguousarray(part.view(np.uint8).reshape(-1, 4).T), 1) for part in np.split(n, PARTS)]
+            held.append((h % np.uint64(COUNTERS)).astype(np.int32))
+            size += len(h)
+            if size >= COUNTERS:
+                n += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                held, size = [], 0
+    if held:
+        n += np.bincount(np.concatenate(held), minlength=COUNTERS)
+    packed = [zlib.compress(np.ascontiguousarray(part.view(np.uint8).reshape(-1, 4).T), 1) for part in np.split(n.astype("<u4"), PARTS)]
     yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
 
 
@@ -163,11 +194,14 @@ def _signatures(levels, kind: pa.DataType):
                 if held and (size >= CHUNK or k == b.num_rows - 1):
                     rows = pa.array([x[0] for x in held])
                     starts = np.cumsum([0, *(len(x[1]) for x in held[:-1])])
-                    sig = sample(np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]), starts)
-                    ends = pa.array(np.arange(len(held) + 1, dtype=np.int32) * (BANDS * ROWS))
+                    hashes = np.concatenate([x[1] for x in held])
+                    sig = sample(hashes, np.concatenate([x[2] for x in held]), starts)
+                    rare = levels.value[(hashes % np.uint64(COUNTERS)).astype(np.int64)] == LEVELS
+                    ends = np.arange(len(held) + 1, dtype=np.int32)
+                    lists = lambda values, n: pa.ListArray.from_arrays(pa.array(ends * np.int32(n)), pa.array(values))  # noqa: E731, B023
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(rows), b.column(1).take(rows), pa.ListArray.from_arrays(ends, pa.array(sig.ravel())), pa.array([x[3] for x in held])],
-                        names=["id", "key", "sig", "weight"],
+                        [b.column(0).take(rows), b.column(1).take(rows), lists(sig.ravel(), BANDS * ROWS), lists(_maps(hashes, rare, starts), BITS // 32), pa.array([x[3] for x in held])],
+                        names=["id", "key", "sig", "map", "weight"],
                     )
                     held, size = [], 0
 
@@ -188,8 +222,8 @@ def _similar(levels):
                     last, own = a, (h, weigh(h, n))
                 h, n = shingles(t.as_py())
                 w = weigh(h, n)
-                _, i, j = np.intersect1d(own[0], h, assume_unique=True, return_indices=True)
-                both = np.minimum(own[1][i], w[j]).sum()
+                at = np.minimum(np.searchsorted(own[0], h), len(own[0]) - 1)
+                both = np.where(own[0][at] == h, np.minimum(own[1][at], w), 0.0).sum()
                 likeness.append(both / (own[1].sum() + w.sum() - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(likeness, pa.float64())], names=["a", "b", "likeness"])
 
@@ -210,13 +244,15 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``a, b`` of a bucket that no link connects yet and that can be similar.
 
     Returns ``a, b``, their components ``ca, cb`` and ``same``, how many samples they share.
-    ``members`` has ``odd, bucket, node, sig, weight, likeness, component``, where
+    ``members`` has ``odd, bucket, node, sig, map, weight, likeness, component, buckets``, where
     ``likeness`` is the similarity with the bucket's first leader.  The members
     outside the main component of their bucket meet all that are in another
     component, settled ones too.  Only pairs that cannot reach the threshold are
     left out: 1 - similarity is a metric, so both are about as like the leader,
     the lighter one has at least ``threshold`` of the weight of the other, and
-    they share :func:`_least_shared` samples.
+    their maps differ (see :func:`_maps`) in so few bits that the shingles of only
+    one of them can weigh little enough, and they share :func:`_least_shared` samples.
+    A pair comes once, from the first of ``buckets`` that both are in.
     """
     parts = members.groupBy("odd", "bucket", "component").agg(F.count("*").alias("n"))
     mixed = cut(
@@ -224,6 +260,9 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
         .where("parts > 1").select("odd", "bucket", "main", F.ceil(F.col("n") / SALTED).cast("int").alias("salts"))
     )
     inside = cut(members.join(mixed, ["odd", "bucket"]))
+    bits = lambda k: F.bit_count(F.col("x.map")[k].bitwiseXOR(F.col("y.map")[k]))
+    rare, rest = (reduce(add, [bits(k) for k in range(i, i + BITS // 64)]) for i in (0, BITS // 64))
+    apart = rare * (1 + DAMPING) + rest  # the other shingles weigh 1 at least
     same = reduce(add, [(F.col("x.sig")[k] == F.col("y.sig")[k]).cast("int") for k in range(BANDS * ROWS)])
     x = inside.where("component != main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("x")
     y = inside.withColumn("salt", F.pmod(F.xxhash64("node", "bucket"), "salts").cast("int")).alias("y")
@@ -232,13 +271,15 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
         & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
         & (F.abs(F.col("x.likeness") - F.col("y.likeness")) <= 1 - threshold + 1e-6)
         & (F.least("x.weight", "y.weight") >= (threshold - 1e-6) * F.greatest("x.weight", "y.weight"))
+        & (apart * (1 + threshold) <= (1 - threshold) * (F.col("x.weight") + F.col("y.weight")) + 1e-6)
         & (same >= _least_shared(threshold))
+        & (F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket"))
     )
     turned = F.col("x.node") > F.col("y.node")
     end = lambda c, k: F.when(turned == k, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}"))
     return x.join(y, near).select(
         end("node", True).alias("a"), end("node", False).alias("b"), end("component", True).alias("ca"), end("component", False).alias("cb"), same.alias("same")
-    ).distinct()
+    )
 
 
 def _merged(comp: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -285,13 +326,13 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     )
     levels = spark.sparkContext.broadcast(shingle_levels(rows).astype(np.uint8))
     name = kind.simpleString()
-    signed = cut(rows.mapInArrow(_signatures(levels, to_arrow_type(kind)), f"id {name}, key string, sig array<int>, weight double"))
+    signed = cut(rows.mapInArrow(_signatures(levels, to_arrow_type(kind)), f"id {name}, key string, sig array<int>, map array<long>, weight double"))
     nodes = cut(signed.groupBy("key").agg(F.min("id").alias("node")))
     member = signed.select("id", "key").join(nodes, "key").select("id", "node").distinct()
-    sigs = cut(signed.join(nodes, "key").where("id = node").select("node", "sig", "weight").dropDuplicates(["node"]))
+    sigs = cut(signed.join(nodes, "key").where("id = node").select("node", "sig", "map", "weight").dropDuplicates(["node"]))
 
-    band = F.posexplode(F.array(*[F.xxhash64(F.lit(k), *[F.col("sig")[k * ROWS + r] for r in range(ROWS)]) for k in range(BANDS)]))
-    dealt = sigs.select("node", band.alias("band", "bucket")).select((F.col("band") % 2).alias("odd"), "bucket", "node")
+    buckets = F.array(*[F.xxhash64(F.lit(k), *[F.col("sig")[k * ROWS + r] for r in range(ROWS)]) for k in range(BANDS)])
+    dealt = sigs.select("node", F.posexplode(buckets).alias("band", "bucket")).select((F.col("band") % 2).alias("odd"), "bucket", "node")
     verify, linked = _similar(levels), F.col("likeness") >= threshold - 1e-9
     seen = edges = first = used = None
     turn = 0
@@ -351,7 +392,7 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     out = member
     if edges is not None:
         comp = cut(components(edges))
-        members = first.join(sigs, "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        members = first.join(sigs, "node").join(comp, "node", "left").withColumns({"component": F.coalesce("component", "node"), "buckets": buckets})
         pairs = cut(_across(members, threshold).join(seen, ["a", "b"], "left_anti"))
         release(spark)
         # one link joins two components, so first the pair of each component that shares most samples, then all pairs still apart

@@ -133,6 +133,40 @@ def test_all_pairs_of_a_bucket_in_a_large_group(spark):
     assert got == {k: find(k) for k in range(len(texts))}
 
 
+def test_few_pairs_of_a_large_group_are_compared_across(spark, monkeypatch):
+    """Near copies right below the threshold share samples with all others; only those that may be alike are pairs, each once."""
+    rng, held = random.Random(3), []
+    base, texts = [f"w{k}" for k in range(220)], []
+    for _ in range(300):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 7, 8, 9])):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    own = minhash._across
+
+    def across(members, threshold):
+        out = own(members, threshold)
+        held.extend((r.a, r.b) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(minhash, "_across", across)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert minhash.near_dedup(docs).count() == 300
+    assert len(held) == len(set(held)) < 600
+
+
+def test_maps_differ_in_no_more_than_the_texts_do():
+    rng = np.random.default_rng(4)
+    for own in (0, 5, 100, 3000):
+        common = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+        a, b = (np.sort(np.concatenate([common, rng.integers(0, 1 << 63, own, dtype=np.uint64)])) for _ in range(2))
+        rare = lambda x: x % np.uint64(2) == 0
+        m = minhash._maps(np.concatenate([a, b]), np.concatenate([rare(a), rare(b)]), np.array([0, len(a)])).reshape(2, 2, -1)
+        apart = [sum(int(x & 0xFFFFFFFFFFFFFFFF).bit_count() for x in (m[0] ^ m[1])[k].tolist()) for k in (0, 1)]
+        once = np.setxor1d(a, b)
+        assert apart[0] <= rare(once).sum() and apart[1] <= (~rare(once)).sum() and sum(apart) >= min(own, 300)
+
+
 @pytest.mark.parametrize(("shared", "own", "trials", "bound"), [(300, 50, 600, 0.01), (3000, 500, 150, 0.02), (20_000, 3_500, 60, 0.03)])
 def test_samples_agree_as_often_as_texts_are_alike(shared, own, trials, bound):
     """48 samples of each of ``trials`` independent pairs; the bounds are over four standard errors of the trials taken as whole."""
