@@ -339,7 +339,7 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     release(spark)
 
     def compared(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
         texts = marked(used, marks(ends, "node"), "node")  # those of no pair go before the shuffle
         return cut(
             pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")

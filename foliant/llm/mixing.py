@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 import warnings
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm._common import cut, drop_cut
@@ -48,9 +48,9 @@ def _goals(name: str, sums: dict[str, float], targets: Targets | None) -> dict[s
     return {k: v / total for k, v in raw.items()}
 
 
-def _looked_up(name: str, values: dict[str, float]) -> Column:
+def _looked_up(key: Column, values: dict[str, float]) -> Column:
     """The value of a language or topic as an expression over a literal map."""
-    return F.element_at(F.create_map(*[F.lit(x) for kv in sorted(values.items()) for x in kv]), F.col(name))
+    return F.element_at(F.create_map(*[F.lit(x) for kv in sorted(values.items()) for x in kv]), key)
 
 
 def rake(cells: DataFrame, rate: float = RATE, targets: Targets | None = None, strict: bool = False) -> DataFrame:
@@ -78,14 +78,14 @@ def rake(cells: DataFrame, rate: float = RATE, targets: Targets | None = None, s
         by[name] = {r[0]: r[1] for r in sums}
     goal = {name: _goals(name, sums, targets) for name, sums in by.items()}
     wanted = (targets or {}).get("source")
-    own = F.sum("w").over(Window.partitionBy("source"))
     if wanted is None:
-        raw = F.pow(own, F.lit(TEMPER["source"]))
+        raw = F.pow("own", F.lit(TEMPER["source"]))
     else:
-        raw = F.coalesce(_looked_up("source", wanted), F.lit(0.0)) if wanted else F.lit(0.0)
-    state = cut(cells.withColumns({"own": own, "raw": raw, "fs": F.lit(1.0)}))
-    sources = state.groupBy("source").agg(F.max("own").alias("own"), F.max("raw").alias("raw"))
-    total, norm, least = sources.agg(F.sum("own"), F.sum("raw"), F.min(F.when(F.col("raw") > 0, F.col("own") / F.col("raw")))).first()
+        raw = F.coalesce(_looked_up(F.col("source"), wanted), F.lit(0.0)) if wanted else F.lit(0.0)
+    # a row for each source with its cells, so that scaling by source takes no shuffle
+    own = cells.groupBy("source").agg(F.sum("w").alias("own"), F.sort_array(F.collect_list(F.struct("lang", "topic", "w"))).alias("cells"))
+    state = cut(own.withColumns({"raw": raw, "fs": F.lit(1.0)}))
+    total, norm, least = state.agg(F.sum("own"), F.sum("raw"), F.min(F.when(F.col("raw") > 0, F.col("own") / F.col("raw")))).first()
     if not norm:
         raise ValueError("no source of the data has a target")
     bound = min([least * norm / total, *(by[k][v] / total / g for k, goals in goal.items() for v, g in goals.items() if g > 0)])
@@ -93,20 +93,21 @@ def rake(cells: DataFrame, rate: float = RATE, targets: Targets | None = None, s
     share = {name: dict.fromkeys(goals, 1.0) for name, goals in goal.items()}
     share["lang"] = dict.fromkeys(goal["lang"], amount / total)
 
-    def factor() -> Column:
-        return F.col("fs") * _looked_up("lang", share["lang"]) * _looked_up("topic", share["topic"])
+    def given(lang: Column, topic: Column) -> Column:
+        return F.least(F.lit(1.0), F.col("fs") * _looked_up(lang, share["lang"]) * _looked_up(topic, share["topic"]))
 
-    given = lambda: F.col("w") * F.least(F.lit(1.0), factor())
     for _ in range(ROUNDS):
-        have = F.sum(given()).over(Window.partitionBy("source"))
-        ratio = F.when(have > 0, F.col("raw") / norm * amount / have).otherwise(0.0)
-        new = cut(state.withColumn("ratio", ratio).withColumn("fs", F.col("fs") * F.col("ratio")))
+        have = F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["w"] * given(c["lang"], c["topic"]))
+        ratio = F.when(F.col("have") > 0, F.col("raw") / norm * amount / F.col("have")).otherwise(0.0)
+        new = cut(state.withColumn("have", have).withColumn("ratio", ratio).withColumn("fs", F.col("fs") * F.col("ratio")).drop("have"))
         drop_cut(state)
-        moved, state = new.where("raw > 0").agg(F.max(F.abs(F.col("ratio") - 1))).first()[0] or 0.0, new.drop("ratio")
+        moved, state = 0.0, new.drop("ratio")
+        each = new.select("fs", F.when(F.col("raw") > 0, F.abs(F.col("ratio") - 1)).alias("moved"), F.inline("cells"))
         for name in ("lang", "topic"):
-            have = dict(state.groupBy(name).agg(F.sum(given())).collect())
+            sums = each.groupBy(name).agg(F.sum(F.col("w") * given(F.col("lang"), F.col("topic"))), F.max("moved")).collect()
+            have = {r[0]: r[1] for r in sums}
             scale = {v: goal[name][v] * amount / x if x > 0 else 0.0 for v, x in have.items()}
-            moved = max([moved, *(abs(x - 1) for v, x in scale.items() if goal[name][v] > 0)])
+            moved = max([moved, *(r[2] or 0.0 for r in sums), *(abs(x - 1) for v, x in scale.items() if goal[name][v] > 0)])
             share[name] = {v: f * scale.get(v, 1.0) for v, f in share[name].items()}
         if moved <= SETTLED:
             break
@@ -115,7 +116,7 @@ def rake(cells: DataFrame, rate: float = RATE, targets: Targets | None = None, s
         if strict:
             raise ValueError(said)
         warnings.warn(said, stacklevel=2)
-    return state.select("source", "lang", "topic", "w", F.least(F.lit(1.0), factor()).alias("p"))
+    return state.select("source", "fs", F.inline("cells")).select("source", "lang", "topic", "w", given(F.col("lang"), F.col("topic")).alias("p"))
 
 
 def mix(

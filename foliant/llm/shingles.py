@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import cache
 
 import numpy as np
 
@@ -27,6 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+@cache
 def _letters() -> np.ndarray:
     """Which code points are letters, digits or underscores."""
     out = np.zeros(0x110001, dtype=bool)
