@@ -31,14 +31,14 @@ PARTS = 64
 TRIPLES = 1 << 16
 #: Elements that are sampled at a time.
 CHUNK = 1 << 14
-#: Share of the pairs right at the threshold that samples alone may exclude, a fortieth of what the bands miss.
-MISSED = 5e-5
 #: Leaders are tried while at least this share of a round's pairs links; what is left is compared across components.
 FRUITFUL = 0.05
 #: Bits of each of a document's two maps of its shingles, one for those of the highest level.
 BITS = 512
-#: Members of a bucket that a task compares with those outside its main component.
+#: Members of a group that a task compares with those outside its main component.
 SALTED = 512
+#: Logarithm of the ratio between the weights of two classes of texts.
+STEP = math.log(1 / 0.9)
 
 _STEP = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
@@ -150,14 +150,19 @@ def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
     """Sums of the packed counters of each part; a task holds those of its parts only."""
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
             sums[part] = sums.get(part, 0) + np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
-    for part, n in sums.items():
+    return sums
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counters and their sums, a row for each."""
+    for part, n in _sums(batches).items():
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)) + part * len(n), pa.int32()), pa.array(n)], names=["k", "n"])
 
 
@@ -180,6 +185,22 @@ def shingle_levels(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return levels
 
 
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Eight times the binary logarithm of the sums, a byte for each counter, a row for each part; 0 stands for one document at most."""
+    for part, n in _sums(batches).items():
+        order = np.ceil(8 * np.log2(np.maximum(n, 1))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([order.tobytes()], pa.binary())], names=["part", "order"])
+
+
+def shingle_order(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """How frequent the shingles of each counter are among ``docs``, in ``PARTS`` rows of 8 kB whatever the input."""
+    order = np.zeros((PARTS, COUNTERS // PARTS), dtype=np.uint8)
+    packed = docs.select(F.col(text_col).alias("text")).mapInArrow(_counters, "part int, counts binary")
+    for part, own in packed.repartition(PARTS, "part").mapInArrow(_ordered, "part int, order binary").collect():
+        order[part] = np.frombuffer(own, dtype=np.uint8)
+    return order.ravel()
+
+
 def _signatures(levels, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, weigh, sample = Shingler(), _Weights(levels.value), _Sampler()
@@ -230,55 +251,91 @@ def _similar(levels):
     return run
 
 
-def _least_shared(threshold: float) -> int:
-    """The most samples that all but a share of ``MISSED`` of the pairs at ``threshold`` have in common at least."""
-    n, p, below = BANDS * ROWS, min(threshold, 1.0), 0.0
-    for k in range(n):
-        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
-        if below > MISSED:
-            return k
-    return n
+def _prefixes(levels, order, threshold: float):
+    """The shingles of which two similar texts share one, ``node, component, weight, token, reach``.
+
+    A text's shingles are ordered, those of few documents first.  From the first
+    shingle on that two texts share, ``rest`` of their weights is left, and the
+    smaller rest is the most that they can have in common.  So the other text
+    weighs ``reach`` at most, which must be ``threshold`` of the own weight at least.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, weigh = Shingler(), _Weights(levels.value)
+        for b in batches:
+            of, weights, tokens, reaches = [], [], [], []
+            for k, text in enumerate(b.column("text")):
+                h, n = shingles(text.as_py())
+                often = order.value[(h % np.uint64(COUNTERS)).astype(np.int64)]
+                by = np.lexsort((h, often))
+                w = weigh(h, n)[by]
+                whole, rest = w.sum(), np.cumsum(w[::-1])[::-1]
+                reach = rest * (1 + threshold) / threshold - whole * (1 - 1e-6)
+                used = (reach >= threshold * whole) & (often[by] > 0)  # what one document has is shared by none
+                of.append(np.full(used.sum(), k))
+                weights.append(np.full(used.sum(), whole))
+                tokens.append(h[by][used].view(np.int64))
+                reaches.append(reach[used])
+            if of:
+                rows = pa.array(np.concatenate(of).astype(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("node").take(rows), b.column("component").take(rows), *(pa.array(np.concatenate(x)) for x in (weights, tokens, reaches))],
+                    names=["node", "component", "weight", "token", "reach"],
+                )
+
+    return run
 
 
 def _across(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a, b`` of a bucket that no link connects yet and that can be similar.
-
-    Returns ``a, b``, their components ``ca, cb`` and ``same``, how many samples they share.
-    ``members`` has ``odd, bucket, node, sig, map, weight, likeness, component, buckets``, where
-    ``likeness`` is the similarity with the bucket's first leader.  The members
-    outside the main component of their bucket meet all that are in another
-    component, settled ones too.  Only pairs that cannot reach the threshold are
-    left out: 1 - similarity is a metric, so both are about as like the leader,
-    the lighter one has at least ``threshold`` of the weight of the other, and
-    their maps differ (see :func:`_maps`) in so few bits that the shingles of only
-    one of them can weigh little enough, and they share :func:`_least_shared` samples.
-    A pair comes once, from the first of ``buckets`` that both are in.
+    """Pairs ``a, b`` that no link connects yet and that can be similar, each once, and their components ``ca, cb``.
+
+    ``members`` are the rows of :func:`_prefixes`.  Two similar texts meet at the
+    first shingle that they share, each within the reach of the other.  Texts are
+    classed by weight, and a row goes only to the classes within its reach, so texts
+    that have too much of their own are not even grouped with one another, however
+    many share the rest.  In each group those outside its main component meet all
+    that are in another one.  Nothing is left out but what cannot reach the threshold.
     """
-    parts = members.groupBy("odd", "bucket", "component").agg(F.count("*").alias("n"))
-    mixed = cut(
-        parts.groupBy("odd", "bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("main"))
-        .where("parts > 1").select("odd", "bucket", "main", F.ceil(F.col("n") / SALTED).cast("int").alias("salts"))
+    class_of = lambda w: F.floor(F.log(w) / STEP).cast("int")
+    rows = members.withColumn("own", class_of(F.col("weight"))).withColumn(
+        "other", F.explode(F.sequence(class_of(F.col("weight") * (threshold - 1e-6)), class_of(F.col("reach"))))
     )
-    inside = cut(members.join(mixed, ["odd", "bucket"]))
-    bits = lambda k: F.bit_count(F.col("x.map")[k].bitwiseXOR(F.col("y.map")[k]))
-    rare, rest = (reduce(add, [bits(k) for k in range(i, i + BITS // 64)]) for i in (0, BITS // 64))
-    apart = rare * (1 + DAMPING) + rest  # the other shingles weigh 1 at least
-    same = reduce(add, [(F.col("x.sig")[k] == F.col("y.sig")[k]).cast("int") for k in range(BANDS * ROWS)])
+    key = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
+    rows = cut(rows.select(key.alias("key"), "node", "component", "weight", "reach", "own", "other"))
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = (
+        parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("main"))
+        .where("parts > 1").select("key", "main", F.ceil(F.col("n") / SALTED).cast("int").alias("salts"))
+    )
+    inside = cut(rows.join(mixed, "key"))
     x = inside.where("component != main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("x")
-    y = inside.withColumn("salt", F.pmod(F.xxhash64("node", "bucket"), "salts").cast("int")).alias("y")
+    y = inside.withColumn("salt", F.pmod(F.xxhash64("node", "key"), "salts").cast("int")).alias("y")
     near = (
-        (F.col("x.odd") == F.col("y.odd")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.salt") == F.col("y.salt"))
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
         & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        & (F.abs(F.col("x.likeness") - F.col("y.likeness")) <= 1 - threshold + 1e-6)
-        & (F.least("x.weight", "y.weight") >= (threshold - 1e-6) * F.greatest("x.weight", "y.weight"))
-        & (apart * (1 + threshold) <= (1 - threshold) * (F.col("x.weight") + F.col("y.weight")) + 1e-6)
-        & (same >= _least_shared(threshold))
-        & (F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket"))
+        & (F.col("x.weight") <= F.col("y.reach")) & (F.col("y.weight") <= F.col("x.reach"))
     )
     turned = F.col("x.node") > F.col("y.node")
     end = lambda c, k: F.when(turned == k, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}"))
-    return x.join(y, near).select(
-        end("node", True).alias("a"), end("node", False).alias("b"), end("component", True).alias("ca"), end("component", False).alias("cb"), same.alias("same")
+    pairs = cut(x.join(y, near).select(end("node", True).alias("a"), end("node", False).alias("b"), end("component", True).alias("ca"), end("component", False).alias("cb")).distinct())
+    drop_cut(rows, inside)
+    return pairs
+
+
+def _bounded(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """The ``pairs`` whose maps do not show that they are too far apart, with ``same``, how many samples they share.
+
+    The maps differ (see :func:`_maps`) in so few bits that the shingles of only one of them can weigh little enough.
+    """
+    of = lambda end: sigs.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("sig", "map", "weight")])
+    bits = lambda k: F.bit_count(F.col("map_a")[k].bitwiseXOR(F.col("map_b")[k]))
+    rare, rest = (reduce(add, [bits(k) for k in range(i, i + BITS // 64)]) for i in (0, BITS // 64))
+    apart = rare * (1 + DAMPING) + rest  # the other shingles weigh 1 at least
+    same = reduce(add, [(F.col("sig_a")[k] == F.col("sig_b")[k]).cast("int") for k in range(BANDS * ROWS)])
+    return (
+        pairs.join(of("a"), "a").join(of("b"), "b")
+        .where(apart * (1 + threshold) <= (1 - threshold) * (F.col("weight_a") + F.col("weight_b")) + 1e-6)
+        .select("a", "b", "ca", "cb", same.alias("same"))
     )
 
 
@@ -304,12 +361,12 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     (the smallest id in even bands, the largest in odd ones), never all against
     all; those not similar to it are dealt anew by one more sample and get
     leaders of their own, until no bucket holds two or a round finds few links.
-    That settles most members at a cost that follows their number.  Then each
-    component is compared with the others it meets in buckets, first by the pair
-    that shares most samples, and where that does not join them by all pairs.
-    So two documents that share a bucket of any band are in one class, are
-    compared, or are excluded by an exact bound or by their samples, which
-    excludes ``MISSED`` of the pairs at the threshold.
+    That settles most members at a cost that follows their number.  Then the
+    members of buckets that still hold several components are joined by the
+    prefixes of their shingles, rarest first, which misses no similar pair; components
+    are compared first by the pair that shares most samples, and where that does not
+    join them by all pairs.  So two documents that share a bucket of any band are in
+    one class, are compared, or are excluded by an exact bound.
 
     A null or empty text, or one without words, is like no other and stays.  So
     does a row with a null id: it takes no part, its ``class_id`` is null and its
@@ -377,7 +434,7 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
             release(spark)
         found = compared(pairs)
         if first is None:
-            first = cut(led.join(found, ["a", "b"]).select("odd", "bucket", "node", "likeness").union(lead.select("odd", "bucket", "leader", F.lit(1.0))))
+            first = cut(led.select("odd", "bucket", "node").union(lead.select("odd", "bucket", "leader")))
         seen = more(seen, pairs)
         n_pairs, n_linked = found.agg(F.count("*"), F.count_if(linked)).first()
         edges = more(edges, found.where(linked).select("a", "b"))
@@ -392,8 +449,14 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     out = member
     if edges is not None:
         comp = cut(components(edges))
-        members = first.join(sigs, "node").join(comp, "node", "left").withColumns({"component": F.coalesce("component", "node"), "buckets": buckets})
-        pairs = cut(_across(members, threshold).join(seen, ["a", "b"], "left_anti"))
+        members = cut(first.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        mixed = members.groupBy("odd", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+        inside = cut(members.join(mixed, ["odd", "bucket"]).select("node", "component").distinct())
+        texts = cut(marked(used, marks(inside, "node"), "node").join(inside, "node"))
+        order = spark.sparkContext.broadcast(shingle_order(texts))
+        posts = texts.mapInArrow(_prefixes(levels, order, threshold), f"node {name}, component {name}, weight double, token long, reach double")
+        pairs = cut(_bounded(_across(posts, threshold).join(seen, ["a", "b"], "left_anti"), sigs, threshold))
+        drop_cut(members, inside, texts)
         release(spark)
         # one link joins two components, so first the pair of each component that shares most samples, then all pairs still apart
         ends = pairs.select("a", "b", "same", F.explode(F.array("ca", "cb")).alias("component"))

@@ -155,6 +155,27 @@ def test_few_pairs_of_a_large_group_are_compared_across(spark, monkeypatch):
     assert len(held) == len(set(held)) < 600
 
 
+def test_texts_around_one_common_line_are_not_all_pairs(spark, monkeypatch):
+    """A line that fills most of many long texts brings them into common buckets; only those that are alike in the rest are pairs."""
+    rng, held = random.Random(5), []
+    new = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    owns = [new(270) for _ in range(120)]
+    owns += [own[:200] + new(70) for own in owns[:10]]
+    texts = [" ".join(["one line that is everywhere"] * 360 + own) for own in owns]
+    own = minhash._across
+
+    def across(members, threshold):
+        out = own(members, threshold)
+        held.extend((r.a, r.b) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(minhash, "_across", across)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_dedup(docs).collect()}
+    assert got == {k: k if k < 120 else k - 120 for k in range(130)}
+    assert len(held) == len(set(held)) <= 20
+
+
 def test_maps_differ_in_no_more_than_the_texts_do():
     rng = np.random.default_rng(4)
     for own in (0, 5, 100, 3000):
