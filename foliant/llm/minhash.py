@@ -293,11 +293,13 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
     first shingle that they share, each within the reach of the other.  Texts are
     classed by weight, and a row goes only to the classes within its reach, so texts
     that have too much of their own are not even grouped with one another, however
-    many share the rest.  In each group those outside its main component meet all
-    that are in another one.  Nothing is left out but what cannot reach the threshold.
+    many share the rest.  Shingles of one component only are left out.  In each group
+    those outside its main component meet all that are in another one.  Nothing is left out but what cannot reach the threshold.
     """
     class_of = lambda w: F.floor(F.log(w) / STEP).cast("int")
-    rows = members.withColumn("own", class_of(F.col("weight"))).withColumn(
+    members = cut(members)
+    shared = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
+    rows = members.join(shared, "token").withColumn("own", class_of(F.col("weight"))).withColumn(
         "other", F.explode(F.sequence(class_of(F.col("weight") * (threshold - 1e-6)), class_of(F.col("reach"))))
     )
     key = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
@@ -318,7 +320,7 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
     turned = F.col("x.node") > F.col("y.node")
     end = lambda c, k: F.when(turned == k, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}"))
     pairs = cut(x.join(y, near).select(end("node", True).alias("a"), end("node", False).alias("b"), end("component", True).alias("ca"), end("component", False).alias("cb")).distinct())
-    drop_cut(rows, inside)
+    drop_cut(members, rows, inside)
     return pairs
 
 
