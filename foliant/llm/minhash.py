@@ -11,7 +11,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm._common import components, cut, drop_cut, marked, marks, release
@@ -209,20 +209,17 @@ def _signatures(levels, kind: pa.DataType):
             for k, text in enumerate(b.column(2)):
                 h, n = shingles(text.as_py() or "")
                 if len(h):
-                    w = weigh(h, n)
-                    held.append((k, h, w, w.sum()))
+                    held.append((k, h, weigh(h, n)))
                     size += len(h)
                 if held and (size >= CHUNK or k == b.num_rows - 1):
                     rows = pa.array([x[0] for x in held])
                     starts = np.cumsum([0, *(len(x[1]) for x in held[:-1])])
                     hashes = np.concatenate([x[1] for x in held])
                     sig = sample(hashes, np.concatenate([x[2] for x in held]), starts)
-                    rare = levels.value[(hashes % np.uint64(COUNTERS)).astype(np.int64)] == LEVELS
-                    ends = np.arange(len(held) + 1, dtype=np.int32)
-                    lists = lambda values, n: pa.ListArray.from_arrays(pa.array(ends * np.int32(n)), pa.array(values))  # noqa: E731, B023
+                    ends = np.arange(len(held) + 1, dtype=np.int32) * np.int32(BANDS * ROWS)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(rows), b.column(1).take(rows), lists(sig.ravel(), BANDS * ROWS), lists(_maps(hashes, rare, starts), BITS // 32), pa.array([x[3] for x in held])],
-                        names=["id", "key", "sig", "map", "weight"],
+                        [b.column(0).take(rows), b.column(1).take(rows), pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel()))],
+                        names=["id", "key", "sig"],
                     )
                     held, size = [], 0
 
@@ -252,18 +249,19 @@ def _similar(levels):
 
 
 def _prefixes(levels, order, threshold: float):
-    """The shingles of which two similar texts share one, ``node, component, weight, token, reach``.
+    """The shingles of which two similar texts share one, ``node, component, weight, token, reach, map``.
 
     A text's shingles are ordered, those of few documents first.  From the first
     shingle on that two texts share, ``rest`` of their weights is left, and the
     smaller rest is the most that they can have in common.  So the other text
     weighs ``reach`` at most, which must be ``threshold`` of the own weight at least.
+    The first row of a text has its maps (see :func:`_maps`), the others none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, weigh = Shingler(), _Weights(levels.value)
         for b in batches:
-            of, weights, tokens, reaches = [], [], [], []
+            of, weights, tokens, reaches, maps = [], [], [], [], []
             for k, text in enumerate(b.column("text")):
                 h, n = shingles(text.as_py())
                 often = order.value[(h % np.uint64(COUNTERS)).astype(np.int64)]
@@ -272,6 +270,10 @@ def _prefixes(levels, order, threshold: float):
                 whole, rest = w.sum(), np.cumsum(w[::-1])[::-1]
                 reach = rest * (1 + threshold) / threshold - whole * (1 - 1e-6)
                 used = (reach >= threshold * whole) & (often[by] > 0)  # what one document has is shared by none
+                if not used.any():
+                    continue
+                rare = levels.value[(h % np.uint64(COUNTERS)).astype(np.int64)] == LEVELS
+                maps += [_maps(h, rare, np.array([0])), *[None] * (used.sum() - 1)]
                 of.append(np.full(used.sum(), k))
                 weights.append(np.full(used.sum(), whole))
                 tokens.append(h[by][used].view(np.int64))
@@ -279,13 +281,21 @@ def _prefixes(levels, order, threshold: float):
             if of:
                 rows = pa.array(np.concatenate(of).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("node").take(rows), b.column("component").take(rows), *(pa.array(np.concatenate(x)) for x in (weights, tokens, reaches))],
-                    names=["node", "component", "weight", "token", "reach"],
+                    [b.column("node").take(rows), b.column("component").take(rows), *(pa.array(np.concatenate(x)) for x in (weights, tokens, reaches)), pa.array(maps, pa.list_(pa.int64()))],
+                    names=["node", "component", "weight", "token", "reach", "map"],
                 )
 
     return run
 
 
+def _close(a: str, b: str, threshold: float) -> Column:
+    """Whether two texts can be similar by their maps, which differ (see :func:`_maps`) in so few bits that the shingles of only one of them can weigh little enough."""
+    bits = lambda k: F.bit_count(F.col(f"{a}.map")[k].bitwiseXOR(F.col(f"{b}.map")[k]))
+    rare, rest = (reduce(add, [bits(k) for k in range(i, i + BITS // 64)]) for i in (0, BITS // 64))
+    apart = rare * (1 + DAMPING) + rest  # the other shingles weigh 1 at least
+    return apart * (1 + threshold) <= (1 - threshold) * (F.col(f"{a}.weight") + F.col(f"{b}.weight")) + 1e-6
+
+
 def _across(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``a, b`` that no link connects yet and that can be similar, each once, and their components ``ca, cb``.
 
@@ -294,7 +304,9 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
     classed by weight, and a row goes only to the classes within its reach, so texts
     that have too much of their own are not even grouped with one another, however
     many share the rest.  Shingles of one component only are left out.  In each group
-    those outside its main component meet all that are in another one.  Nothing is left out but what cannot reach the threshold.
+    those outside its main component meet all that are in another one, and their maps
+    are looked at as they meet: near copies that have lost different parts of one text
+    share its beginning, but are no pair.  Nothing is left out but what cannot reach the threshold.
     """
     class_of = lambda w: F.floor(F.log(w) / STEP).cast("int")
     members = cut(members)
@@ -309,13 +321,13 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
         parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("main"))
         .where("parts > 1").select("key", "main", F.ceil(F.col("n") / SALTED).cast("int").alias("salts"))
     )
-    inside = cut(rows.join(mixed, "key"))
+    inside = cut(rows.join(mixed, "key").join(members.where("map is not null").select("node", "map"), "node"))
     x = inside.where("component != main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("x")
     y = inside.withColumn("salt", F.pmod(F.xxhash64("node", "key"), "salts").cast("int")).alias("y")
     near = (
         (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
         & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        & (F.col("x.weight") <= F.col("y.reach")) & (F.col("y.weight") <= F.col("x.reach"))
+        & (F.col("x.weight") <= F.col("y.reach")) & (F.col("y.weight") <= F.col("x.reach")) & _close("x", "y", threshold)
     )
     turned = F.col("x.node") > F.col("y.node")
     end = lambda c, k: F.when(turned == k, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}"))
@@ -324,21 +336,11 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
     return pairs
 
 
-def _bounded(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """The ``pairs`` whose maps do not show that they are too far apart, with ``same``, how many samples they share.
-
-    The maps differ (see :func:`_maps`) in so few bits that the shingles of only one of them can weigh little enough.
-    """
-    of = lambda end: sigs.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("sig", "map", "weight")])
-    bits = lambda k: F.bit_count(F.col("map_a")[k].bitwiseXOR(F.col("map_b")[k]))
-    rare, rest = (reduce(add, [bits(k) for k in range(i, i + BITS // 64)]) for i in (0, BITS // 64))
-    apart = rare * (1 + DAMPING) + rest  # the other shingles weigh 1 at least
+def _sampled(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The ``pairs`` with ``same``, how many samples the two share."""
+    of = lambda end: sigs.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"))
     same = reduce(add, [(F.col("sig_a")[k] == F.col("sig_b")[k]).cast("int") for k in range(BANDS * ROWS)])
-    return (
-        pairs.join(of("a"), "a").join(of("b"), "b")
-        .where(apart * (1 + threshold) <= (1 - threshold) * (F.col("weight_a") + F.col("weight_b")) + 1e-6)
-        .select("a", "b", "ca", "cb", same.alias("same"))
-    )
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ca", "cb", same.alias("same"))
 
 
 def _merged(comp: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -385,10 +387,10 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     )
     levels = spark.sparkContext.broadcast(shingle_levels(rows).astype(np.uint8))
     name = kind.simpleString()
-    signed = cut(rows.mapInArrow(_signatures(levels, to_arrow_type(kind)), f"id {name}, key string, sig array<int>, map array<long>, weight double"))
+    signed = cut(rows.mapInArrow(_signatures(levels, to_arrow_type(kind)), f"id {name}, key string, sig array<int>"))
     nodes = cut(signed.groupBy("key").agg(F.min("id").alias("node")))
     member = signed.select("id", "key").join(nodes, "key").select("id", "node").distinct()
-    sigs = cut(signed.join(nodes, "key").where("id = node").select("node", "sig", "map", "weight").dropDuplicates(["node"]))
+    sigs = cut(signed.join(nodes, "key").where("id = node").select("node", "sig").dropDuplicates(["node"]))
 
     buckets = F.array(*[F.xxhash64(F.lit(k), *[F.col("sig")[k * ROWS + r] for r in range(ROWS)]) for k in range(BANDS)])
     dealt = sigs.select("node", F.posexplode(buckets).alias("band", "bucket")).select((F.col("band") % 2).alias("odd"), "bucket", "node")
@@ -456,8 +458,8 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
         inside = cut(members.join(mixed, ["odd", "bucket"]).select("node", "component").distinct())
         texts = cut(marked(used, marks(inside, "node"), "node").join(inside, "node"))
         order = spark.sparkContext.broadcast(shingle_order(texts))
-        posts = texts.mapInArrow(_prefixes(levels, order, threshold), f"node {name}, component {name}, weight double, token long, reach double")
-        pairs = cut(_bounded(_across(posts, threshold).join(seen, ["a", "b"], "left_anti"), sigs, threshold))
+        posts = texts.mapInArrow(_prefixes(levels, order, threshold), f"node {name}, component {name}, weight double, token long, reach double, map array<long>")
+        pairs = cut(_sampled(_across(posts, threshold).join(seen, ["a", "b"], "left_anti"), sigs))
         drop_cut(members, inside, texts)
         release(spark)
         # one link joins two components, so first the pair of each component that shares most samples, then all pairs still apart

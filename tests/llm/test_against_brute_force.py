@@ -176,6 +176,42 @@ def test_texts_around_one_common_line_are_not_all_pairs(spark, monkeypatch):
     assert len(held) == len(set(held)) <= 20
 
 
+def test_copies_that_lost_different_parts_are_not_all_pairs(spark, monkeypatch):
+    """Half have lost 4 % of one text, half 20 % in five places: all share its shingles within reach, few can be alike."""
+    rng, held = random.Random(11), []
+    base, texts = [f"w{k}" for k in range(400)], []
+    for k in range(240):
+        gone = set()
+        for _ in range(1 if k % 2 else 5):
+            at = rng.randrange(385)
+            gone |= set(range(at, at + 16))
+        texts.append(" ".join(w for i, w in enumerate(base) if i not in gone))
+    own = minhash._across
+
+    def across(members, threshold):
+        out = own(members, threshold)
+        held.extend((r.a, r.b) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(minhash, "_across", across)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_dedup(docs).collect()}
+    weigh, shingles = minhash._Weights(minhash.shingle_levels(docs)), Shingler()
+    sets = [(h, weigh(h, n)) for h, n in map(shingles, texts)]
+    classes = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            (h, w), (g, v) = sets[a], sets[b]
+            _, p, q = np.intersect1d(h, g, assume_unique=True, return_indices=True)
+            both = np.minimum(w[p], v[q]).sum()
+            if both >= 0.8 * (w.sum() + v.sum() - both) - 1e-9 and classes[a] != classes[b]:
+                lo, hi = sorted((classes[a], classes[b]))
+                classes = [lo if c == hi else c for c in classes]
+    assert got == dict(enumerate(classes))
+    assert len(set(classes)) > 60
+    assert len(held) == len(set(held)) < 2500
+
+
 def test_maps_differ_in_no_more_than_the_texts_do():
     rng = np.random.default_rng(4)
     for own in (0, 5, 100, 3000):
