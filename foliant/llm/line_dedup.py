@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,9 @@ COMMON = 26
 #: A table of up to so many leading lines is broadcast, a longer one is shuffled.
 SHIPPED = 100_000
 
+#: 64-bit numbers in the map of a line's words that a candidate pair is tried by before its words are compared.
+MAP = 4
+
 _LOW = (1 << 31) - 1
 
 
@@ -95,6 +100,29 @@ def _may_match(a: str, b: str) -> Column:
     return (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & ((NUM + DEN) * apart <= (DEN - NUM) * (na + nb))
 
 
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _map(part: int) -> Column:
+    """Number ``part`` of ``MAP`` 64-bit numbers, whose bits tell whether an odd number of words falls there."""
+    own = F.filter("keys", lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(MAP - 1)) == part)
+    return F.aggregate(own, F.lit(0).cast("long"), lambda b, k: b.bitwiseXOR(_bit(k)))
+
+
+def _close(pairs: DataFrame, used: DataFrame) -> DataFrame:
+    """The pairs whose maps do not show that they are too far apart.
+
+    The 64 bits that travel with the keys tell nothing of lines of over a hundred words; these do, at a fraction of the words' size.
+    """
+    of = lambda end, name: used.select(F.col("r").alias(end), *[F.col(c).alias(f"{name}_{c}") for c in ("n", *[f"map{k}" for k in range(MAP)])])
+    apart = reduce(add, [F.bit_count(F.col(f"a_map{k}").bitwiseXOR(F.col(f"b_map{k}"))) for k in range(MAP)])
+    return (
+        pairs.join(of("r", "a"), "r").join(of("other", "b"), "other")
+        .where((NUM + DEN) * apart <= (DEN - NUM) * (F.col("a_n") + F.col("b_n"))).select("r", "other")
+    )
+
+
 def _matching(pairs: DataFrame, reps: DataFrame, lines: DataFrame, levels: list[int]) -> DataFrame:
     """``r``: the later lines of the candidate pairs (r, other) whose Jaccard similarity reaches the threshold."""
     involved = cut(pairs.select(F.explode(F.array("r", "other")).alias("r")).distinct().join(reps.select("r", "d", "h", "l"), "r"))
@@ -102,11 +130,14 @@ def _matching(pairs: DataFrame, reps: DataFrame, lines: DataFrame, levels: list[
     used = cut(
         near.alias("x").join(involved.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.l") == F.col("y.l")) & F.col("x.d").eqNullSafe(F.col("y.d")))
         .select("r", "line").dropDuplicates(["r"]).select("r", _keys(F.col("line"), levels).alias("keys"))
+        .select("r", "keys", F.size("keys").alias("n"), *[_map(k).alias(f"map{k}") for k in range(MAP)])
     )
-    both = pairs.join(used.withColumnRenamed("keys", "x"), "r").join(used.select(F.col("r").alias("other"), F.col("keys").alias("y")), "other")
+    close = cut(_close(pairs, used))
+    used = used.select("r", "keys")
+    both = close.join(used.withColumnRenamed("keys", "x"), "r").join(used.select(F.col("r").alias("other"), F.col("keys").alias("y")), "other")
     shared = F.size(F.array_intersect("x", "y"))
     found = cut(both.where((NUM + DEN) * shared >= NUM * (F.size("x") + F.size("y"))).select("r").distinct())
-    drop_cut(used, involved)
+    drop_cut(used, involved, close)
     return found
 
 
@@ -133,11 +164,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     levels = rarity(docs, text_col)
     lines = _lines(docs, id_col, text_col)
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
     sets = cut(
         lines.select("d", "h", "l", _keys(F.col("line"), levels).alias("keys")).select(
             "d", "h", "l", F.xxhash64("keys").alias("k"), F.hash("keys").alias("k2"), F.size("keys").alias("n"),
-            F.aggregate("keys", F.lit(0).cast("long"), lambda b, k: b.bitwiseXOR(bit(k))).alias("bits"), _signature(common).alias("signature"),
+            F.aggregate("keys", F.lit(0).cast("long"), lambda b, k: b.bitwiseXOR(_bit(k))).alias("bits"), _signature(common).alias("signature"),
         )
     )
     some = sets.where("n > 0")
@@ -164,11 +194,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(docs.sparkSession)
     done = _matching(crowd, reps, lines, levels)
     release(docs.sparkSession)
-    later = _prefix(reps.join(done, "r", "left_anti"))
+    # a removed line meets no earlier one again; its number is turned over, so that both sides of the join are the same rows and shuffled once
+    marked_done = reps.join(done.withColumn("gone", F.lit(True)), "r", "left").withColumn("r", F.when(F.col("gone"), F.bitwise_not("r")).otherwise(F.col("r")))
+    every = _prefix(marked_done)
+    other = F.greatest(F.col("b.r"), F.bitwise_not("b.r"))
     fits = (NUM + DEN) * F.least("a.m", "b.m") >= NUM * (F.col("a.n") + F.col("b.n"))
     pairs = cut(
-        later.alias("a").join(prefix.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("b.r") < F.col("a.r")) & fits & _may_match("a", "b"))
-        .select(F.col("a.r").alias("r"), F.col("b.r").alias("other")).distinct()
+        every.alias("a").join(every.alias("b"), (F.col("a.token") == F.col("b.token")) & (other < F.col("a.r")) & fits & _may_match("a", "b"))
+        .select(F.col("a.r").alias("r"), other.alias("other")).distinct()
     )
     release(docs.sparkSession)
     gone = done.union(_matching(pairs, reps, lines, levels))

@@ -7,7 +7,7 @@ import pytest
 import public_tokenizers
 import regex
 
-from foliant.llm import bpe, minhash
+from foliant.llm import bpe, line_dedup, minhash
 from foliant.llm._common import components
 from foliant.llm.embed_dedup import close_blocks, embedding_dedup
 from foliant.llm.html_extract import main_blocks
@@ -410,6 +410,31 @@ def test_long_instances_differ_past_200_characters(spark):
     assert _key("1" * 200 + "a") != _key("1" * 200 + "b")
 
 
+def test_words_of_long_lines_are_compared_only_where_maps_are_alike(spark, monkeypatch):
+    """Long lines that share a rare word or two are candidates; hardly one reaches the comparison, and near copies all do."""
+    rng, held = random.Random(13), []
+    lines = [[f"v{rng.randrange(20_000)}" for _ in range(200)] for _ in range(300)]
+    for k in [*range(60), *[70] * 40]:
+        copy = list(lines[k])
+        for _ in range(rng.randint(1, 30)):
+            copy[rng.randrange(200)] = f"v{rng.randrange(20_000)}"
+        lines.append(copy)
+    own = line_dedup._close
+
+    def close(pairs, used):
+        out = own(pairs, used)
+        held.append((pairs.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "_close", close)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id for r in dedup_lines(docs).collect() if r.n_removed}
+    sets = [set(w) for w in lines]
+    assert got == {b for b in range(len(sets)) if any(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a in range(b))}
+    assert len(got) > 60
+    assert sum(n for n, _ in held) > 5 * sum(n for _, n in held) > 0
+
+
 def test_shards_are_near_equal(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = shard(docs).toPandas()
