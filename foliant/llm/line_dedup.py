@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +20,11 @@ COMMON = 26
 #: A table of up to so many leading lines is broadcast, a longer one is shuffled.
 SHIPPED = 100_000
 
-#: 64-bit numbers in the map of a line's words that a candidate pair is tried by before its words are compared.
-MAP = 4
+#: Lines of more words have two more 64-bit maps, each of half of the words, since one map tells little of so many.
+LONG = 72
 
 _LOW = (1 << 31) - 1
+_MAPS = ("bits", "half0", "half1")
 
 
 def line_tokens(line: Column) -> Column:
@@ -35,11 +34,15 @@ def line_tokens(line: Column) -> Column:
     return F.split(F.when(odd, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low), " ")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``d, h, l, line``: document id, hash of the row, number and text of each line."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``d, h, text``: document id, hash of the row, text."""
     rows = docs.select(F.col(id_col).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("d", F.xxhash64("d", "text").alias("h"), F.split("text", "\n").alias("lines"))
-    return rows.select("d", "h", F.posexplode("lines").alias("l", "line"))
+    return rows.select("d", F.xxhash64("d", "text").alias("h"), "text")
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """``d, h, l, line``: number and text of each line of the rows."""
+    return rows.select("d", "h", F.posexplode(F.split("text", "\n")).alias("l", "line"))
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
@@ -60,9 +63,9 @@ def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
 def _keys(line: Column, levels: list[int]) -> Column:
     """Distinct words of a line as numbers, rarest first: six bits of level, then 57 of hash."""
     table = F.split(F.lit(",".join(str(x << 57) for x in levels)), ",").cast("array<long>")  # folded to a literal once
-    hashes = F.array_remove(F.array_distinct(F.transform(line_tokens(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    at = lambda h: F.get(table, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int"))
-    return F.sort_array(F.transform(hashes, lambda h: at(h).bitwiseOR(F.shiftrightunsigned(h, 7))))
+    at = lambda w: F.get(table, F.xxhash64(w).bitwiseAND(F.lit(COUNTERS - 1)).cast("int"))
+    words = F.array_remove(line_tokens(line), "")
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: at(w).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 7)))))
 
 
 def _signature(common: int) -> Column:
@@ -88,56 +91,59 @@ def _signature(common: int) -> Column:
 
 
 def _prefix(reps: DataFrame) -> DataFrame:
-    """A row for each key of a line: ``token, r, n, m, bits``."""
-    rows = reps.select("r", "n", "bits", F.explode("signature").alias("s"))
-    return rows.select(F.col("s").bitwiseAND(F.lit(_LOW)).cast("int").alias("token"), "r", "n", F.shiftright("s", 31).cast("int").alias("m"), "bits")
-
-
-def _may_match(a: str, b: str) -> Column:
-    """Length filter, and a bound from 64-bit maps of the words: each bit in which they differ stands for a word of one line only."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    return (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & ((NUM + DEN) * apart <= (DEN - NUM) * (na + nb))
+    """A row for each key of a line: ``token, r, n, m`` and the maps."""
+    rows = reps.select("r", "n", *_MAPS, F.explode("signature").alias("s"))
+    return rows.select(F.col("s").bitwiseAND(F.lit(_LOW)).cast("int").alias("token"), "r", "n", F.shiftright("s", 31).cast("int").alias("m"), *_MAPS)
 
 
 def _bit(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def _map(part: int) -> Column:
-    """Number ``part`` of ``MAP`` 64-bit numbers, whose bits tell whether an odd number of words falls there."""
-    own = F.filter("keys", lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(MAP - 1)) == part)
-    return F.aggregate(own, F.lit(0).cast("long"), lambda b, k: b.bitwiseXOR(_bit(k)))
+def _map(words: str | Column) -> Column:
+    """64 bits that tell whether an odd number of words falls there."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda b, k: b.bitwiseXOR(_bit(k)))
+
+
+def _half(part: int) -> Column:
+    """Map of the words of one half; 0 for a line of up to ``LONG`` words, which does without."""
+    return F.when(F.size("keys") > LONG, _map(F.filter("keys", lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)) == part))).otherwise(F.lit(0).cast("long"))
 
 
-def _close(pairs: DataFrame, used: DataFrame) -> DataFrame:
-    """The pairs whose maps do not show that they are too far apart.
+def _meet(a: DataFrame, b: DataFrame, earlier: Column) -> DataFrame:
+    """Lines ``a`` and earlier ones ``b`` that share a key: ``r, other``, and what :func:`_close` tells them apart by."""
+    ends = [F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("n", *_MAPS)]
+    return a.alias("a").join(b.alias("b"), (F.col("a.token") == F.col("b.token")) & earlier).select(F.col("a.r").alias("r"), F.greatest("b.r", F.bitwise_not("b.r")).alias("other"), *ends)
 
-    The 64 bits that travel with the keys tell nothing of lines of over a hundred words; these do, at a fraction of the words' size.
+
+def _close(met: DataFrame, long: int) -> DataFrame:
+    """The distinct pairs that neither length nor maps exclude.
+
+    Each bit in which two maps differ stands for a word of one line only.  Spark
+    moves the filter into the join, so pairs that it excludes are not made.
     """
-    of = lambda end, name: used.select(F.col("r").alias(end), *[F.col(c).alias(f"{name}_{c}") for c in ("n", *[f"map{k}" for k in range(MAP)])])
-    apart = reduce(add, [F.bit_count(F.col(f"a_map{k}").bitwiseXOR(F.col(f"b_map{k}"))) for k in range(MAP)])
+    apart = lambda c: F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")))
+    near = lambda bits: (NUM + DEN) * bits <= (DEN - NUM) * (F.col("a_n") + F.col("b_n"))
+    both = (F.col("a_n") > long) & (F.col("b_n") > long)
     return (
-        pairs.join(of("r", "a"), "r").join(of("other", "b"), "other")
-        .where((NUM + DEN) * apart <= (DEN - NUM) * (F.col("a_n") + F.col("b_n"))).select("r", "other")
+        met.where(DEN * F.least("a_n", "b_n") >= NUM * F.greatest("a_n", "b_n")).where(near(apart("bits")))
+        .where(~both | near(apart("half0") + apart("half1"))).select("r", "other").distinct()
     )
 
 
-def _matching(pairs: DataFrame, reps: DataFrame, lines: DataFrame, levels: list[int]) -> DataFrame:
+def _matching(pairs: DataFrame, reps: DataFrame, rows: DataFrame, levels: list[int]) -> DataFrame:
     """``r``: the later lines of the candidate pairs (r, other) whose Jaccard similarity reaches the threshold."""
     involved = cut(pairs.select(F.explode(F.array("r", "other")).alias("r")).distinct().join(reps.select("r", "d", "h", "l"), "r"))
-    near = marked(lines, marks(involved, "h", "l"), "h", "l")  # lines that are surely not involved go before the shuffle
+    near = _lines(marked(rows, marks(involved, "h"), "h"))  # rows that are surely not involved are not split,
+    near = marked(near, marks(involved, "h", "l"), "h", "l")  # and such lines go before the shuffle
     used = cut(
         near.alias("x").join(involved.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.l") == F.col("y.l")) & F.col("x.d").eqNullSafe(F.col("y.d")))
         .select("r", "line").dropDuplicates(["r"]).select("r", _keys(F.col("line"), levels).alias("keys"))
-        .select("r", "keys", F.size("keys").alias("n"), *[_map(k).alias(f"map{k}") for k in range(MAP)])
     )
-    close = cut(_close(pairs, used))
-    used = used.select("r", "keys")
-    both = close.join(used.withColumnRenamed("keys", "x"), "r").join(used.select(F.col("r").alias("other"), F.col("keys").alias("y")), "other")
+    both = pairs.join(used.withColumnRenamed("keys", "x"), "r").join(used.select(F.col("r").alias("other"), F.col("keys").alias("y")), "other")
     shared = F.size(F.array_intersect("x", "y"))
     found = cut(both.where((NUM + DEN) * shared >= NUM * (F.size("x") + F.size("y"))).select("r").distinct())
-    drop_cut(used, involved, close)
+    drop_cut(used, involved)
     return found
 
 
@@ -163,56 +169,49 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ignored.  Words are compared by 57 bits of their hash, sets by 96.
     """
     levels = rarity(docs, text_col)
-    lines = _lines(docs, id_col, text_col)
+    rows = _rows(docs, id_col, text_col)
     sets = cut(
-        lines.select("d", "h", "l", _keys(F.col("line"), levels).alias("keys")).select(
+        _lines(rows).select("d", "h", "l", _keys(F.col("line"), levels).alias("keys")).select(
             "d", "h", "l", F.xxhash64("keys").alias("k"), F.hash("keys").alias("k2"), F.size("keys").alias("n"),
-            F.aggregate("keys", F.lit(0).cast("long"), lambda b, k: b.bitwiseXOR(_bit(k))).alias("bits"), _signature(common).alias("signature"),
-        )
+            _map("keys").alias("bits"), _half(0).alias("half0"), _half(1).alias("half1"), _signature(common).alias("signature"),
+        ).withColumn("u", F.monotonically_increasing_id())
     )
     some = sets.where("n > 0")
-    reps = cut(
-        some.groupBy("k", "k2").agg(F.min(F.struct("d", "h", "l", "n", "bits", "signature")).alias("m")).select("k", "k2", "m.*")
+    first = cut(
+        some.groupBy("k", "k2").agg(F.min(F.struct("d", "h", "l", "u")).alias("m")).select("k", "k2", "m.*")
         .orderBy(F.col("d").asc_nulls_first(), "h", "l").withColumn("r", F.monotonically_increasing_id())
     )
-    first = reps.select("k", "k2", F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("l").alias("l0"))
-    again = cut(
-        some.select("k", "k2", "d", "h", "l").join(first, ["k", "k2"])
-        .where(~(F.col("d").eqNullSafe(F.col("d0")) & (F.col("h") == F.col("h0")) & (F.col("l") == F.col("l0")))).select("d", "h", "l")
-    )
-    drop_cut(sets)
+    with_first = some.join(first.select("k", "k2", "r", F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("l").alias("l0"), F.col("u").alias("u0")), ["k", "k2"])
+    same = F.col("d").eqNullSafe(F.col("d0")) & (F.col("h") == F.col("h0")) & (F.col("l") == F.col("l0"))
+    is_first = F.col("u") == F.col("u0")  # one row, even if a document is repeated
+    known = cut(with_first.where(is_first | ~same).select("d", "h", "l", F.when(is_first, F.col("r")).alias("r"), "n", *_MAPS, F.when(is_first, F.col("signature")).alias("signature")))
+    drop_cut(sets, first)
     release(docs.sparkSession)
+    again = known.where("r IS NULL").select("d", "h", "l")
+    reps = known.where("r IS NOT NULL")
 
     prefix = _prefix(reps)
     crowded = prefix.groupBy("token").agg(F.count("*").alias("c"), F.min("r").alias("r")).where(F.col("c") > CROWD)
-    leads = cut(crowded.join(reps.select("r", "n", "bits"), "r").select("token", "r", "n", "bits"))
+    leads = cut(crowded.join(reps.select("r", "n", *_MAPS), "r").select("token", "r", "n", *_MAPS))
     small = leads.count() <= shipped
-    crowd = cut(
-        prefix.alias("a").join((F.broadcast(leads) if small else leads).alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.r") > F.col("b.r")) & _may_match("a", "b"))
-        .select(F.col("a.r").alias("r"), F.col("b.r").alias("other")).distinct()
-    )
+    crowd = cut(_close(_meet(prefix, F.broadcast(leads) if small else leads, F.col("a.r") > F.col("b.r")), LONG))
     release(docs.sparkSession)
-    done = _matching(crowd, reps, lines, levels)
+    done = _matching(crowd, reps, rows, levels)
     release(docs.sparkSession)
     # a removed line meets no earlier one again; its number is turned over, so that both sides of the join are the same rows and shuffled once
     marked_done = reps.join(done.withColumn("gone", F.lit(True)), "r", "left").withColumn("r", F.when(F.col("gone"), F.bitwise_not("r")).otherwise(F.col("r")))
+    marked_done = marked_done.where("r IS NOT NULL")  # always so; the join would say it of one side only
     every = _prefix(marked_done)
-    other = F.greatest(F.col("b.r"), F.bitwise_not("b.r"))
     fits = (NUM + DEN) * F.least("a.m", "b.m") >= NUM * (F.col("a.n") + F.col("b.n"))
-    pairs = cut(
-        every.alias("a").join(every.alias("b"), (F.col("a.token") == F.col("b.token")) & (other < F.col("a.r")) & fits & _may_match("a", "b"))
-        .select(F.col("a.r").alias("r"), other.alias("other")).distinct()
-    )
+    pairs = cut(_close(_meet(every, every, (F.greatest("b.r", F.bitwise_not("b.r")) < F.col("a.r")) & fits), LONG))
     release(docs.sparkSession)
-    gone = done.union(_matching(pairs, reps, lines, levels))
+    gone = done.union(_matching(pairs, reps, rows, levels))
 
     dropped = again.union(reps.join(gone, "r", "left_semi").select("d", "h", "l"))
     by_row = cut(dropped.groupBy("d", "h").agg(F.sort_array(F.collect_set("l")).alias("removed")))
-    drop_cut(again, reps, leads, crowd, pairs)
+    drop_cut(known, leads, crowd, pairs)
     release(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("d", F.xxhash64("d", "text").alias("h"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"), "text").alias("x")
-    out = rows.join(by_row.alias("y"), (F.col("x.h") == F.col("y.h")) & F.col("x.d").eqNullSafe(F.col("y.d")), "left")
+    out = rows.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long")).alias("x").join(by_row.alias("y"), (F.col("x.h") == F.col("y.h")) & F.col("x.d").eqNullSafe(F.col("y.d")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(removed, i))
     return out.select(

@@ -435,6 +435,38 @@ def test_words_of_long_lines_are_compared_only_where_maps_are_alike(spark, monke
     assert sum(n for n, _ in held) > 5 * sum(n for _, n in held) > 0
 
 
+
+def test_pairs_that_maps_exclude_are_not_made(spark, monkeypatch):
+    """Long lines that share rare words but little else never leave the candidate join; near copies do."""
+    rng, made = random.Random(17), []
+    lines = [[f"v{rng.randrange(20_000)}" for _ in range(200)] for _ in range(300)]
+    for k in range(40):
+        copy = list(lines[k])
+        for _ in range(rng.randint(1, 30)):
+            copy[rng.randrange(200)] = f"v{rng.randrange(20_000)}"
+        lines.append(copy)
+    own = line_dedup.cut
+
+    def cut(df):
+        out = own(df)
+        if out.columns == ["r", "other"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", cut)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id for r in dedup_lines(docs).collect() if r.n_removed}
+    sets = [set(w) for w in lines]
+    assert got == {b for b in range(len(sets)) if any(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a in range(b))}
+    assert len(got) > 20 and len(made) == 2 and sum(made) < 100
+
+
+def test_repeated_rows_share_their_lines(spark):
+    """The first of equal lines may be in a row that occurs twice; it stays in both."""
+    rows = [(1, "a b c d e\nx"), (1, "a b c d e\nx"), (2, "y\nE d c b a"), (None, "p q r s t"), (None, "p q r s t"), (3, "p q r s t")]
+    got = {(r.doc_id, tuple(r.removed)) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, ()), (2, (1,)), (None, ()), (3, (0,))}
+
 def test_shards_are_near_equal(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = shard(docs).toPandas()
