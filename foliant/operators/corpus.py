@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from foliant.functions.rewrite import knowledge_text
 from foliant.functions.unicode import TASHKEEL, blanks, strip, words
 
+#: What ends a line of the knowledge base.
+LINE_ENDS = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]"
+
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, line_no, text, stripped``, a row for each line."""
@@ -22,7 +25,7 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def line_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, line_no, line, words``: the cleaned line and its words, for lines that have any."""
-    source = F.split(F.coalesce(text_col, F.lit("")), r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]")
+    source = F.split(F.coalesce(text_col, F.lit("")), LINE_ENDS)
     out = docs.select(id_col, F.posexplode(source).alias("line_no", "raw"))
     # the words come from one split of the raw line; the cleaned line is only computed where it is asked for
     own = words(F.regexp_replace("raw", TASHKEEL, ""))

@@ -1,14 +1,15 @@
-"""Knowledge base of words, phrases and terms: partial aggregation, then one shuffle each."""
+"""Knowledge base of words, phrases and terms: partial aggregation, then one shuffle each, of packed stretches for the phrases."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.operators.corpus import line_words, ngrams
+from foliant.operators import grams
+from foliant.operators.corpus import line_words
 
-#: Words in a phrase.
-PHRASES = (2, 3, 4)
+#: Characters of a line that are shown.
+SHOWN = 120
 # Parts that mark a word as a term.
 TERM_PARTS = ["فيزياء", "كيمياء", "تاريخ", "جغرافيا", "رياضيات", "درجة", "معادلة"]
 CATEGORY = "educational_term"
@@ -29,28 +30,9 @@ def word_counts(docs: DataFrame, least: int = 2) -> DataFrame:
     return line_words(docs).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= least)
 
 
-def _phrases(rows: DataFrame, *more) -> DataFrame:
-    sized = lambda n: F.transform(ngrams(F.col("words"), n), lambda p: F.struct(p.alias("phrase"), F.lit(n).alias("ngram_len")))
-    return rows.select(*more, F.explode(F.concat(*[sized(n) for n in PHRASES])).alias("g")).select(*more, "g.phrase", "g.ngram_len")
-
-
-def phrase_totals(docs: DataFrame) -> DataFrame:
-    """``phrase, ngram_len, frequency`` of all phrases."""
-    return _phrases(line_words(docs)).groupBy("phrase", "ngram_len").agg(F.count("*").alias("frequency"))
-
-
 def phrase_counts(docs: DataFrame, least: int = 2) -> DataFrame:
-    """``phrase, ngram_len, frequency, context_window``; the context is the first line by document and line.
-
-    The place of a line is a number, so phrases are counted by hashing and carry
-    no text; the lines are fetched for the phrases that stay.
-    """
-    wide = "decimal(38,0)"
-    place = F.col("doc_id").cast(wide) * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line_no")
-    rows = line_words(docs)
-    counted = _phrases(rows.withColumn("place", place.cast(wide)), "place").groupBy("phrase", "ngram_len").agg(F.count("*").alias("frequency"), F.min("place").alias("place"))
-    first = rows.select(place.cast(wide).alias("place"), F.substring("line", 1, 120).alias("line")).groupBy("place").agg(F.min("line").alias("context_window"))
-    return counted.where(F.col("frequency") >= least).join(first, "place", "left").select("phrase", "ngram_len", "frequency", "context_window")
+    """``phrase, ngram_len, frequency, context_window``; the context is the first line by document and line."""
+    return grams.of_lines(docs, least, SHOWN)
 
 
 def term_counts(docs: DataFrame, least: int = 2) -> DataFrame:
@@ -60,7 +42,7 @@ def term_counts(docs: DataFrame, least: int = 2) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """One row of totals before the frequency filter, with the most frequent word and phrase."""
-    words, phrases = word_counts(docs, 1), phrase_totals(docs).select("phrase", "frequency")
+    words, phrases = word_counts(docs, 1), grams.totals(docs)
     by_word = words.agg(
         F.count("*").alias("total_unique_words"),
         F.count_if(is_term(F.col("word"))).alias("total_subject_terms"),
@@ -69,8 +51,8 @@ def report(docs: DataFrame) -> DataFrame:
         F.min_by("word", F.struct(-F.col("frequency"), "word")).alias("max_word"),
     )
     by_phrase = phrases.agg(
-        F.count("*").alias("total_phrases"), F.max("frequency").alias("max_phrase_frequency"),
-        F.min_by("phrase", F.struct(-F.col("frequency"), "phrase")).alias("max_phrase"),
+        F.coalesce(F.sum("phrases"), F.lit(0)).alias("total_phrases"), F.max("most").alias("max_phrase_frequency"),
+        F.min_by("phrase", F.struct(-F.col("most"), "phrase")).alias("max_phrase"),
     )
     return by_word.withColumn("k", F.lit(1)).join(by_phrase.withColumn("k", F.lit(1)), "k").drop("k")
 
