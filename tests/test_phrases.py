@@ -69,3 +69,14 @@ def test_phrases_of_odd_lines(spark, monkeypatch):
 def test_phrases_shuffle_less_than_four_times_their_table(spark, tmp_path):
     size = large(spark, tmp_path)
     assert written(spark, catalogue.queries()["kb_phrase_freq"](spark, str(tmp_path))) < 4 * size
+
+
+def test_report_of_odd_lines_and_of_none(spark, tmp_path):
+    count, _ = brute(ODD)
+    most = max(count.values())
+    got = knowledge.report(spark.createDataFrame(ODD, "doc_id long, text string")).first()
+    assert (got.total_phrases, got.max_phrase_frequency, got.max_phrase) == (len(count), most, min(p for p, n in count.items() if n == most))
+    none = knowledge.report(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()
+    assert (none.total_phrases, none.max_phrase_frequency, none.max_phrase) == (0, None, None)
+    size = large(spark, tmp_path)
+    assert written(spark, catalogue.queries()["kb_report"](spark, str(tmp_path))) < 4 * size
