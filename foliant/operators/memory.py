@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.unicode import AR, SPACE, blanks
-from foliant.operators import wordwise
+from foliant.operators import grams, wordwise
 from foliant.operators.corpus import ngrams, tokens
 
 # First words of phrases too common to learn; subjects and their key words.
@@ -36,17 +36,10 @@ def is_useful(phrase: Column) -> Column:
     return ~(first.isin(STOP_START) & (n <= 2)) & (F.regexp_count(phrase, F.lit(f"[{AR}]")) >= 4) & (F.length(phrase) >= 6)
 
 
-def phrases(books: DataFrame, useful=is_useful, id_col: str = "doc_id") -> DataFrame:
-    """``subject, phrase, words, frequency, n_sources`` of 2- to 4-word phrases across lines.
-
-    Sources are counted by a first aggregation by source, so no row gathers the sources of a common phrase.
-    """
-    each = books.select("subject", F.col(id_col).alias("source"), blanks("text").alias("w"))
-    all_ = F.concat(*[ngrams(F.col("w"), n) for n in (2, 3, 4)])
-    rows = each.select("subject", "source", F.explode(all_).alias("phrase")).where(useful(F.col("phrase")))
-    each_source = rows.groupBy("subject", "phrase", "source").agg(F.count("*").alias("n"))
-    counted = each_source.groupBy("subject", "phrase").agg(F.sum("n").alias("frequency"), F.count("source").alias("n_sources"))
-    return counted.withColumn("words", F.split("phrase", " "))
+def phrases(books: DataFrame, useful=is_useful, id_col: str = "doc_id", least: int = 1) -> DataFrame:
+    """``subject, phrase, words, frequency, n_sources`` of 2- to 4-word phrases across lines that occur ``least`` times."""
+    counted = grams.of_texts(books, F.col("subject"), F.col(id_col), F.col("text"), least)
+    return counted.where(useful(F.col("phrase"))).withColumn("words", F.split("phrase", " "))
 
 
 def context_pairs(docs: DataFrame, reach: int = 3) -> DataFrame:

@@ -3,9 +3,11 @@
 import os
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
-from foliant.operators import grams, knowledge
+from pyspark.sql import functions as F
+
+from foliant.operators import grams, knowledge, memory
 from foliant.plans import catalogue
 
 ODD = [
@@ -80,3 +82,21 @@ def test_report_of_odd_lines_and_of_none(spark, tmp_path):
     assert (none.total_phrases, none.max_phrase_frequency, none.max_phrase) == (0, None, None)
     size = large(spark, tmp_path)
     assert written(spark, catalogue.queries()["kb_report"](spark, str(tmp_path))) < 4 * size
+
+
+def test_phrases_of_odd_texts_and_sources(spark, tmp_path):
+    rows = [("s" if k % 3 else None, name, text) for k, (name, text) in enumerate(ODD * 2)]
+    for kind, as_ in (("long", lambda x: x), ("string", lambda x: None if x is None else str(x))):
+        count, sources = Counter(), defaultdict(set)
+        for subject, name, text in rows:
+            w = re.findall("[^ \t\n\x0b\f\r\xa0  -     　]+", text or "")
+            for n in (2, 3, 4):
+                for i in range(len(w) - n + 1):
+                    key = (subject, " ".join(w[i : i + n]))
+                    count[key] += 1
+                    sources[key] |= {name} - {None}
+        got = memory.phrases(spark.createDataFrame([(s, as_(x), t) for s, x, t in rows], f"subject string, doc_id {kind}, text string"), useful=lambda p: F.lit(True)).collect()
+        assert {(r.subject, r.phrase): (r.frequency, r.n_sources) for r in got} == {k: (n, len(sources[k])) for k, n in count.items()} and len(got) == len(count)
+        assert all(r.words == r.phrase.split(" ") for r in got)
+    size = large(spark, tmp_path)
+    assert written(spark, catalogue.queries()["phrase_memory"](spark, str(tmp_path))) < 4 * size
