@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from foliant.functions.rewrite import each_match
 from foliant.functions.unicode import AR, TASHKEEL
 
+#: The article, which a word may have before a term.
+ARTICLE = "ال"
 # Letters that recognition takes for one another, by tier of likeness.
 HIGH, MEDIUM, LATIN, SAME = 0.85, 0.55, 0.65, 1.0
 HIGH_PAIRS = {
@@ -97,7 +99,7 @@ def spell_check(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     bare = F.regexp_replace("word", TASHKEEL, "")
     keys = F.array(
         F.struct(F.lit(1).alias("step"), F.col("word").alias("key")), F.struct(F.lit(2).alias("step"), bare.alias("key")),
-        F.struct(F.lit(3).alias("step"), F.when(bare.startswith("ال") & (F.length(bare) > 3), F.substring(bare, 3, 1 << 20)).alias("key")),
+        F.struct(F.lit(3).alias("step"), F.when(bare.startswith(ARTICLE) & (F.length(bare) > 3), F.substring(bare, 3, 1 << 20)).alias("key")),
         F.struct(F.lit(4).alias("step"), F.when(F.col("word").rlike("^[A-Za-z]+$"), F.lower("word")).alias("key")),
     )
     probes = own.select("word", F.explode(keys).alias("k")).select("word", "k.step", "k.key").where("key is not null")

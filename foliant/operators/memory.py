@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,7 +128,45 @@ def correct(docs: DataFrame, memory: DataFrame, known: DataFrame | None = None,
     return corrected(docs.select("doc_id", "subject", "text"), memory, known, least).select("doc_id", "text")
 
 
-def corrected(docs: DataFrame, memory: DataFrame, known: DataFrame | None = None, least: int = 2, count_col: str | None = None) -> DataFrame:
+def _corrector(table: list[tuple[str, str | None]], phrases: bool) -> Callable:
+    """:func:`corrected` of a text and its subject by a table of terms, which begin with their subject; no answer protects."""
+    by_subject: dict[str, tuple[dict, dict]] = {}
+    for term, answer in table:
+        for at in re.finditer("\n", term):
+            word = term[at.end() :]
+            answers, sizes = by_subject.setdefault(term[: at.start()], ({}, {}))
+            # of equal terms one without an answer counts, else the smallest
+            answers[word] = answer if word not in answers else None if None in (answer, answers[word]) else min(answer, answers[word])
+            parts = wordwise.words_of(word)
+            n = len(parts) // 2 + 1
+            if n == 1 or (phrases and n <= 4):
+                sizes.setdefault(parts[0], set()).add(n)
+    longest = {s: {w: sorted(n, reverse=True) for w, n in sizes.items()} for s, (_, sizes) in by_subject.items()}
+
+    def change(text: str, subject: str | None) -> tuple[str, int]:
+        if subject not in by_subject:
+            return text, 0
+        answers, sizes = by_subject[subject][0], longest[subject]
+        parts = wordwise.words_of(text)
+        last = len(parts) if parts[-1] else len(parts) - 2
+        end = count = 0
+        for i, w in enumerate(parts[::2]):
+            if w in sizes and w and 2 * i >= end:
+                for n in sizes[w]:
+                    to = 2 * (i + n) - 1
+                    term = w if n == 1 else "".join(parts[2 * i : to])
+                    if to <= last and term in answers:
+                        end = to
+                        if answers[term] is not None:
+                            parts[2 * i] = answers[term]
+                            count += 1
+                        break
+        return ("".join(parts) if count else text), count
+
+    return change
+
+
+def corrected(docs: DataFrame, memory: DataFrame, known: DataFrame | None = None, least: int = 2, count_col: str | None = None, keep: Callable | None = None) -> DataFrame:
     """``docs`` with trusted corrections applied word by word, white space as it was; ``count_col`` gets their number.
 
     Words of a phrase in ``known`` (subject, phrase, frequency) that occurs
@@ -132,7 +174,8 @@ def corrected(docs: DataFrame, memory: DataFrame, known: DataFrame | None = None
     leftmost count, the longest of those that begin at the same word, none in
     another.  White space inside a phrase is one blank.  A null text stays null,
     and a row without a subject has no corrections.  The memory is that of an
-    earlier epoch, so a document never corrects itself.
+    earlier epoch, so a document never corrects itself.  ``keep`` is applied to
+    documents that are read more than once.
     """
     pieces = wordwise.blank_pieces(F.col("text"))
     named = lambda term: F.concat_ws("\n", F.col("subject"), term)
@@ -148,7 +191,10 @@ def corrected(docs: DataFrame, memory: DataFrame, known: DataFrame | None = None
         questions = F.concat(questions, wordwise.bound(pieces, phrases_of))
         safe = known.where((F.col("frequency") >= least) & F.contains("phrase", F.lit(" ")))
         table = table.unionByName(safe.select(named(F.col("phrase")).alias("term"), F.lit(None).cast("string").alias("answer")).distinct())
-    done = wordwise.answered(docs, questions, table, ["subject", "text"], "_answers")
+    if (rows := wordwise.held(table)) is not None:
+        terms, protects, n = [tuple(r) for r in rows], known is not None, count_col or f"_{uuid.uuid4().hex}"
+        return wordwise.rewritten(docs, lambda: _corrector(terms, protects), [n], also=("subject",)).select(*docs.columns, *([n] if count_col else []))
+    done = wordwise.answered(keep(docs) if keep else docs, questions, table, ["subject", "text"], "_answers")
     done = done.withColumn("_answers", F.filter(wordwise.without_overlaps(F.col("_answers")), lambda a: a["answer"].isNotNull()))
     text = wordwise.put_back(F.col("text"), pieces, F.col("_answers"), lambda _, a: a["answer"])
     count = [F.coalesce(F.size("_answers"), F.lit(0)).alias(count_col)] if count_col else []

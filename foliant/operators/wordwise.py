@@ -5,25 +5,84 @@ of its pieces by place; the questions alone are shuffled, the answers return by
 row and place, and the text is put together again with its separators.  Rows are
 told apart by a digest of what the answer depends on, so rows that repeat share
 their answers and no row number is needed.
+
+A table of few rows goes to every task instead, which rewrites its texts alone:
+nothing is shuffled, and a text is read once.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from foliant.functions.unicode import AR, TASHKEEL
 from foliant.operators.lexicon import spell_check
 
-#: A table of at most so many rows is broadcast; a larger one is joined by shuffling, after a map of its terms.
+#: A table of at most so many rows goes to every task; a larger one is joined by shuffling, after a map of its terms.
 SMALL = 50_000
+#: Decisions that a task remembers.
+KNOWN = 1 << 19
 #: Bits of that map, 512 kB.
 BITS = 1 << 22
 _ROW = 1 << 15
 
 LETTERS = f"[{AR}A-Za-z]"
+#: White space as Java's [\\s\\p{Z}], for a class in Python.
+WHITE = " \t\n\x0b\f\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACES, _RUNS = re.compile(f"([{WHITE}]+)"), re.compile(f"([{AR}A-Za-z]+)")
+
+
+def held(table: DataFrame) -> list[Row] | None:
+    """The rows of a table if it is small."""
+    rows = table.limit(SMALL + 1).collect()
+    return rows if len(rows) <= SMALL else None
+
+
+class Decided(dict):
+    """What becomes of a word, decided when it is first met; forgotten when there are many."""
+
+    def __init__(self, decide: Callable):
+        super().__init__()
+        self.decide = decide
+
+    def __missing__(self, word):
+        if len(self) >= KNOWN:
+            self.clear()
+        self[word] = out = self.decide(word)
+        return out
+
+
+def words_of(text: str) -> list[str]:
+    """Words at even places, the white space between them at odd ones; the first and the last word may be empty."""
+    return _SPACES.split(text)
+
+
+def rewritten(docs: DataFrame, make: Callable, counts: list[str], text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with texts and ``counts`` as ``make()`` says, a function of a text and the columns ``also`` that each task makes for its texts once.
+
+    A null text stays null, with counts of 0.
+    """
+    names = [f"n{k}" for k in range(len(counts))]
+    nothing = (None, *[0] * len(counts))
+
+    @F.arrow_udf(", ".join(["text string", *[f"{n} int" for n in names]]))
+    def change(texts: pa.Array, *more: pa.Array) -> pa.Array:
+        if "to" not in made:
+            made["to"] = make()
+        to = made["to"]
+        rows = [nothing if x[0] is None else to(*x) for x in zip(texts.to_pylist(), *[c.to_pylist() for c in more], strict=True)]
+        columns = list(zip(*rows, strict=True)) or [()] * (1 + len(names))
+        return pa.StructArray.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.int32()) for c in columns[1:]]], names=["text", *names])
+
+    made: dict[str, Callable] = {}
+    out = f"_{uuid.uuid4().hex}"
+    done = docs.withColumn(out, change.asNondeterministic()(F.col(text_col), *[F.col(c) for c in also]))
+    return done.select(*[F.col(f"{out}.text").alias(c) if c == text_col else F.col(c) for c in docs.columns], *[F.col(f"{out}.{n}").alias(c) for n, c in zip(names, counts, strict=True)])
 
 
 def blank_pieces(text: Column) -> Column:
@@ -114,15 +173,48 @@ def spelling(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return found.select(F.col("word").alias("term"), F.when(F.col("step") < 4, bare).otherwise(F.col("term")).alias("answer")).where("answer <> term")
 
 
-def spell_check_text(docs: DataFrame, lexicon: DataFrame, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def _speller(terms: list[str]) -> Callable:
+    """:func:`spelling` of one word, and of the words of a text."""
+    from foliant.operators.lexicon import ARTICLE
+
+    known, lower, marks = set(terms), {}, re.compile(TASHKEEL)
+    for t in sorted(known, reverse=True):
+        if re.search("^[A-Za-z]+$", t):
+            lower[t.lower()] = t  # the smallest stays
+
+    def spell(word: str) -> str:
+        if len(word) < 2 or word in known:
+            return word
+        bare = marks.sub("", word)
+        if bare in known or (bare.startswith(ARTICLE) and len(bare) > 3 and bare[2:] in known):
+            return bare
+        return lower.get(word.lower(), word) if word.isascii() else word
+
+    decided = Decided(spell)
+
+    def change(text: str) -> tuple[str, int]:
+        parts = _RUNS.split(text)
+        words = parts[1::2]
+        parts[1::2] = new = [decided[w] for w in words]
+        n = sum(map(str.__ne__, words, new))
+        return ("".join(parts) if n else text), n
+
+    return change
+
+
+def spell_check_text(docs: DataFrame, lexicon: DataFrame, text_col: str = "text", count_col: str | None = None, keep: Callable | None = None) -> DataFrame:
     """``docs`` with each word of its text written as in the lexicon, if that knows it; all else stays.
 
     Words are runs of Arabic and Latin letters of two or more.  Each distinct one
     is decided once.  A null text stays null; ``count_col`` gets the number of
-    words changed.
+    words changed.  ``keep`` is applied to documents that are read more than once.
     """
     from foliant.durable import written
 
+    if (rows := held(lexicon.select("term").where("term is not null").distinct())) is not None:
+        terms, n = [r.term for r in rows], count_col or f"_{uuid.uuid4().hex}"
+        return rewritten(docs, lambda: _speller(terms), [n], text_col).select(*docs.columns, *([n] if count_col else []))
+    docs = keep(docs) if keep else docs
     pieces = letter_pieces(F.col(text_col))
     questions = at_words(pieces, lambda p: F.when(p.rlike(f"^{LETTERS}{{2,}}$"), p))
     words = docs.select(F.explode(questions).alias("q")).select(F.col("q.term").alias("word")).distinct()

@@ -2,8 +2,8 @@
 
 Rewriting rules and rules on lines are expressions on the text of a row, so a
 document never leaves its row for them.  Three passes look words up in tables:
-spelling, confidence and the memory; for these the questions are shuffled, not
-the lines.
+spelling, confidence and the memory; small tables go to the texts, and for large
+ones the questions are shuffled, not the lines.
 """
 
 from __future__ import annotations
@@ -63,8 +63,9 @@ def run(
     warnings are those of the final text.  A null text counts as empty and is
     named in ``errors``.
 
-    The state of the documents is written before each pass that looks words up,
-    since such a pass reads it more than once; that work starts with this call.
+    The state of the documents is written before a pass that reads it more than
+    once: confidence, and the others that look words up if their table is large.
+    That work starts with this call.
     """
     text = F.coalesce("text", F.lit(""))
     subject = F.coalesce(F.col("subject"), F.lit(SUBJECT)) if "subject" in docs.columns else F.lit(SUBJECT)
@@ -82,8 +83,7 @@ def run(
 
     step("characters", rewrite.inspect_characters, "unicode_fixes")
     if lexicon is not None:
-        out = written(out)
-        fixed = wordwise.spell_check_text(out, lexicon, count_col="_n")
+        fixed = wordwise.spell_check_text(out, lexicon, count_col="_n", keep=written)
         out = fixed.withColumn("broken_words_fixed", F.col("broken_words_fixed") + (F.col("_n") > 0).cast("int")).drop("_n")
         applied.append("spelling")
     step("sentences", join_sentences, "spaces_fixed")
@@ -104,8 +104,7 @@ def run(
         out = done.withColumn("broken_words_fixed", F.col("broken_words_fixed") + F.col("corrections_applied")).withColumn("low_confidence_marks", F.col("low_confidence_seen")).drop("corrections_applied", "low_confidence_seen")
         applied.append("confidence")
     if corrections is not None:
-        out = written(out)
-        done = memory.corrected(out, corrections, phrases, count_col="_n")
+        done = memory.corrected(out, corrections, phrases, count_col="_n", keep=written)
         out = done.withColumn("broken_words_fixed", F.col("broken_words_fixed") + (F.col("_n") > 0).cast("int")).drop("_n")
         applied.append("memory")
     score = quality_score(*[F.col(c) for c in ("broken_words_fixed", "duplicates_removed", "low_confidence_marks", "spaces_fixed")])
