@@ -21,7 +21,9 @@ SUPERSCRIPT, SUBSCRIPT, DIGITS = "⁰¹²³⁴⁵⁶⁷⁸⁹", "₀₁₂₃₄
 
 def strip(text: Column) -> Column:
     """The text without white space of any kind at its ends."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    # most texts have none, and the rule would try each of their characters; the end may stand before a next line
+    at_end = lambda t: F.substring(t, 1, 1).rlike(SPACE) | F.substring(t, -1, 1).rlike(rf"{SPACE}|\x85")
+    return F.get(F.transform(F.array(text), lambda t: F.when(at_end(t), F.regexp_replace(t, rf"^{SPACE}+|{SPACE}+$", "")).otherwise(t)), F.lit(0))
 
 
 def words(text: Column) -> Column:

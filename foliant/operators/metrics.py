@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from itertools import repeat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,11 @@ VERIFY = "[تحقق]"
 # Words near which a term is likely.
 CONTEXT = ["القوة", "الطاقة", "الكتلة", "السرعة", "التسارع", "التفاعل", "المعادلة", "الدالة", "الخلية", "الجهاز", "النظام", "المادة", "العنصر"]
 
+_SPEAKS, _OTHER = re.compile("|".join(CONTEXT)), re.compile(f"[^{AR}A-Za-z]")
+
+# A word that begins so is not held unknown.
+PREFIXES = ("ال", "بال", "فال")
+
 # What starts a question, what marks a choice, and what ends a page.
 QUESTIONS = rf"س\d+|{BEFORE}\d+\s*[.\-)]\s*(?:ما|اذكر|عدد|علل|فسر)"
 CHOICES = r"\([أبجدهوز]\)"
@@ -141,12 +151,16 @@ def quality_report(documents: DataFrame, pages: DataFrame) -> DataFrame:
     return documents.join(each, "doc_id", "left").select("doc_id", F.concat_ws("\n", *head, *rows, *tail).alias("report"))
 
 
+def most_alike(word: Column) -> Column:
+    """How often the most frequent character of a word stands in it."""
+    return F.array_max(F.transform(F.array_distinct(F.split(word, "")), lambda c: F.length(word) - F.length(F.replace(word, c, F.lit("")))))
+
+
 def word_confidence(word: Column, in_lexicon: Column, bare_in_lexicon: Column, stem_in_lexicon: Column, near_term: Column) -> Column:
     """Confidence that a recognised word is right, from its length, scripts, repeats, the lexicon and its context."""
     n = F.length(word)
     arabic, latin = count(word, f"[{AR}]"), count(word, "[A-Za-z]")
-    letters = F.split(word, "(?!^)(?!$)")
-    most = F.coalesce(F.array_max(F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c)))), F.lit(0))
+    most = F.coalesce(most_alike(word), F.lit(0))
     share = arabic / (arabic + latin)
     score = (
         F.lit(1.0) - F.when(n <= 1, 0.5).when(n == 2, 0.2).otherwise(0.0)
@@ -201,6 +215,69 @@ def corrected_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return all_.select(*keys, text.alias("corrected"), F.when(kind == "exact", F.col("confidence")).otherwise(sure).alias("confidence"), kind.alias("kind"))
 
 
+def _signs(words: list[str], text: str) -> list[bool] | None:
+    """Whether a word that speaks for a term stands within three words of each; None if there is no such word."""
+    if text.isascii() or not (told := [k for k, w in enumerate(words) if _SPEAKS.search(w)]):
+        return None
+    # an empty word at an end is none
+    first, end = 0 if words[0] else 1, len(words) if words[-1] else len(words) - 1
+    close = {k + d for k in told for d in range(-3, 4) if d and first <= k + d < end}
+    return [k in close and min(k - first, 3) + min(end - 1 - k, 3) > 1 for k in range(len(words))]
+
+
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The letters of the words that may be decided, and whether a term is near; each once while a task remembers it."""
+    from foliant.operators import wordwise
+
+    seen: set[tuple[str, bool]] = set()
+    for batch in batches:
+        fresh: set[tuple[str, bool]] = set()
+        for text in batch.column(0).to_pylist():
+            if text is not None:
+                words = wordwise.words_of(text)[::2]
+                near = _signs(words, text)
+                fresh.update(zip(words, near or repeat(False), strict=False))
+        fresh -= seen
+        if len(seen) >= wordwise.KNOWN:
+            seen = set()
+        seen |= fresh
+        told = {(t, near) for w, near in fresh if len(w) > 1 and (t := _OTHER.sub("", w))}
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in told], pa.string()), pa.array([n for _, n in told], pa.bool_())], names=["word", "near"])
+
+
+def _by_confidence(answers: dict[str, tuple[str, str, str]]) -> Callable:
+    """A text with its doubtful words corrected, and the two counts, by what is decided for each word and sign."""
+    from foliant.operators import wordwise
+
+    def decide(key: tuple[str, bool]) -> tuple[str, int, int] | None:
+        word, near = key
+        letters = _OTHER.sub("", word) if len(word) > 1 else ""
+        answer = answers.get(("+" if near else "-") + letters) if letters else None
+        if answer is None:
+            return None
+        fixed, mark, kind = answer
+        at = word.find(letters)
+        new = word if at < 0 else word[:at] + fixed + word[at + len(letters) :]
+        return new + mark, int(kind in ("confusion", "low", "low_confidence")), int(kind in ("low", "low_confidence"))
+
+    far, close = (wordwise.Decided(lambda w, near=near: decide((w, near))) for near in (False, True))
+
+    def change(text: str) -> tuple[str, int, int]:
+        parts = wordwise.words_of(text)
+        words = parts[::2]
+        near = _signs(words, text)
+        found = [far[w] for w in words] if near is None else [(close if n else far)[w] for w, n in zip(words, near, strict=True)]
+        applied = low = 0
+        for k, x in enumerate(found):
+            if x is not None:
+                parts[2 * k] = x[0]
+                applied += x[1]
+                low += x[2]
+        return "".join(parts), applied, low
+
+    return change
+
+
 def correct_by_confidence(docs: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with doubtful words corrected where they stand, and ``corrections_applied, low_confidence_seen``.
 
@@ -226,7 +303,7 @@ def correct_by_confidence(docs: DataFrame, lexicon: DataFrame, text_col: str = "
         return F.filter(each, lambda q: F.length(q["term"]) > 1)
 
     questions = wordwise.bound(F.struct(pieces.alias("p"), F.transform(pieces, lambda p: p.rlike("|".join(CONTEXT))).alias("t")), asked)
-    words = docs.select(F.explode(questions).alias("q")).select(F.substring("q.term", 2, 1 << 30).alias("word"), F.col("q.term").startswith("+").alias("near")).distinct()
+    words = docs.select(F.col(text_col).alias("text")).mapInArrow(_distinct_words, "word string, near boolean").distinct()
     words = written(words)  # several branches read the distinct words, and each would split all texts again
     decided = corrected_words(words, lexicon).where("kind not in ('exact', 'lexicon')")
     mark = F.col("corrected").endswith(VERIFY)
@@ -240,7 +317,11 @@ def correct_by_confidence(docs: DataFrame, lexicon: DataFrame, text_col: str = "
         fixed = F.when(at > 0, F.concat(p.substr(F.lit(1), at - 1), a["fixed"], p.substr(at + F.length(letters(p)), F.length(p)))).otherwise(p)
         return F.concat(fixed, a["mark"])
 
-    done = wordwise.answered(docs, questions, written(table), [text_col], "_decided")
+    table = written(table)
+    if (rows := wordwise.held(table)) is not None:
+        answers = {r.term: (r.fixed, r.mark, r.kind) for r in rows}
+        return wordwise.rewritten(docs, lambda: _by_confidence(answers), ["corrections_applied", "low_confidence_seen"], text_col)
+    done = wordwise.answered(docs, questions, table, [text_col], "_decided")
     text = wordwise.put_back(F.col(text_col), pieces, F.col("_decided"), change)
     count = lambda kinds: F.coalesce(F.size(F.filter("_decided", lambda a: a["kind"].isin(*kinds))), F.lit(0))
     return done.select(
@@ -265,16 +346,55 @@ def neighbours(tokens: DataFrame, reach: int = 3) -> DataFrame:
 def word_issues(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``doc_id, pos, token, issues`` of tokens that have any."""
     t, n = F.col("token"), F.length("token")
-    letters = F.split(t, "(?!^)(?!$)")
-    most = F.array_max(F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda x: x == c))))
+    most = most_alike(t)
     known = tokens.join(lexicon.select(F.col("term").alias("token")).distinct().withColumn("known", F.lit(True)), "token", "left")
     issues = F.array_compact(F.array(
         F.when(t.rlike(f"[{AR}]") & t.rlike("[A-Za-z]"), "mixed_script"), F.when(most > n * 0.5, "repeated_char"),
-        F.when((n >= 3) & F.col("known").isNull() & ~t.rlike("^(?:ال|بال|فال)"), "unknown_word"),
+        F.when((n >= 3) & F.col("known").isNull() & ~t.rlike(f"^(?:{'|'.join(PREFIXES)})"), "unknown_word"),
     ))
     return known.where(n >= 2).select("doc_id", "pos", "token", issues.alias("issues")).where(F.size("issues") > 0)
 
 
+def _issue_counter(terms: list[str]) -> Callable:
+    """How many words of a text have two characters or more, how many of these repeat one too often, how many are unknown."""
+    from foliant.operators import wordwise
+
+    known = set(terms)
+
+    def issues(word: str) -> int:
+        n = len(word)
+        if n < 2:
+            return 0
+        return 1 + (max(map(word.count, set(word))) > n * 0.5) + 2 * (n >= 3 and word not in known and not word.startswith(PREFIXES))
+
+    decided = wordwise.Decided(issues)
+
+    def count(text: str) -> tuple[int, int, int]:
+        found = [decided[w] for w in wordwise.words_of(text)[::2]]
+        both = found.count(4)
+        return len(found) - found.count(0), found.count(2) + both, found.count(3) + both
+
+    return count
+
+
+def issue_counts(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``doc_id, repeated_char, unknown_word``: how many words of :func:`word_issues` have each, for documents with a word of two characters.
+
+    A small lexicon goes to the texts, and rows that repeat an id are added up; for a large one the words are shuffled.
+    """
+    from foliant.operators import wordwise
+    from foliant.operators.corpus import tokens
+
+    names = ["repeated_char", "unknown_word"]
+    if (rows := wordwise.held(lexicon.select("term").where("term is not null").distinct())) is not None:
+        terms = [r.term for r in rows]
+        each = wordwise.counted(docs.select("doc_id", "text"), lambda: _issue_counter(terms), ["_n", *names])
+        return each.groupBy("doc_id").agg(F.sum("_n").alias("_n"), *[F.sum(c).alias(c) for c in names]).where("_n > 0").select("doc_id", *names)
+    t = tokens(docs).where(F.length("token") >= 2)
+    found = word_issues(t, lexicon).groupBy("doc_id").agg(*[F.count_if(F.array_contains("issues", x)).alias(x) for x in names])
+    return t.select("doc_id").distinct().join(found, "doc_id", "left").fillna(0)
+
+
 def improvement(before: DataFrame, after: DataFrame) -> DataFrame:
     """Issues of documents before and after a change, from two outputs of :func:`word_issues`."""
     b = before.groupBy("doc_id").agg(F.count("*").alias("before"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from foliant.operators import memory, wordwise
+from foliant.operators import memory, metrics, wordwise
 from tests.test_phrases import written
 
 TEXTS = [
@@ -41,3 +41,15 @@ def test_memory_of_a_small_table_shuffles_no_texts(spark, docs):
     corrections = spark.createDataFrame([("a", w, w.upper(), 2, "auto") for w in words[::3]], "subject string, original string, corrected string, frequency long, source string")
     phrases = spark.createDataFrame([("a", "w1 w2", 2)], "subject string, phrase string, frequency long")
     assert written(spark, memory.corrected(many, corrections, phrases)) < 0.05
+
+
+def test_spelling_by_small_and_large_tables(spark, docs, monkeypatch):
+    lexicon = spark.createDataFrame([(t,) for t in ("the", "Sea", "sea", "SEA", "القلم", "قلم", "ee", None, "a b")], "term string")
+    out = both(monkeypatch, lambda: wordwise.spell_check_text(docs, lexicon, count_col="n").collect())
+    assert any("the the the  the" in x for x in out)
+
+
+def test_confidence_by_small_and_large_tables(spark, docs, monkeypatch):
+    lexicon = spark.createDataFrame([(t,) for t in ("the", "under", "hand", "القوة", "قلم", "aaa")], "term string")
+    out = both(monkeypatch, lambda: metrics.correct_by_confidence(docs, lexicon).collect())
+    assert any(metrics.VERIFY in x for x in out)
