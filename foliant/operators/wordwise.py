@@ -62,6 +62,24 @@ def words_of(text: str) -> list[str]:
     return _SPACES.split(text)
 
 
+def counted(docs: DataFrame, make: Callable, counts: list[str], text_col: str = "text") -> DataFrame:
+    """``docs`` with ``counts`` as ``make()`` says of their texts instead of these; 0 for a null text."""
+    made: dict[str, Callable] = {}
+    names = [f"n{k}" for k in range(len(counts))]
+
+    @F.arrow_udf(", ".join(f"{n} int" for n in names))
+    def count(texts: pa.Array) -> pa.Array:
+        if "of" not in made:
+            made["of"] = make()
+        rows = [(0,) * len(names) if x is None else made["of"](x) for x in texts.to_pylist()]
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], names=names)
+
+    out = f"_{uuid.uuid4().hex}"
+    done = docs.withColumn(out, count.asNondeterministic()(F.col(text_col)))
+    return done.select(*[c for c in docs.columns if c != text_col], *[F.col(f"{out}.{n}").alias(c) for n, c in zip(names, counts, strict=True)])
+
+
 def rewritten(docs: DataFrame, make: Callable, counts: list[str], text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with texts and ``counts`` as ``make()`` says, a function of a text and the columns ``also`` that each task makes for its texts once.
 

@@ -3,7 +3,8 @@
 import pytest
 
 from foliant.operators import memory, metrics, wordwise
-from tests.test_phrases import written
+from foliant.plans import catalogue
+from tests.test_phrases import large, written
 
 TEXTS = [
     None, "", " ", "the The THE  tHe\tand\nAND", " on the sea \n", "of the sea of the  sea of the sea shore shore", "a\xa0b the sea sea\x1fshore sea\x85shore sea  sea", "القوة teh the ee القَلَم قلم القلم قَلَم",
@@ -53,3 +54,20 @@ def test_confidence_by_small_and_large_tables(spark, docs, monkeypatch):
     lexicon = spark.createDataFrame([(t,) for t in ("the", "under", "hand", "القوة", "قلم", "aaa")], "term string")
     out = both(monkeypatch, lambda: metrics.correct_by_confidence(docs, lexicon).collect())
     assert any(metrics.VERIFY in x for x in out)
+
+
+def test_issues_by_small_and_large_tables(spark, docs, monkeypatch):
+    lexicon = spark.createDataFrame([(t,) for t in ("the", "sea", "القوة", None)], "term string")
+    out = both(monkeypatch, lambda: metrics.issue_counts(docs, lexicon).collect())
+    assert len(out) == len(TEXTS) - 3
+
+
+def test_issues_shuffle_less_than_twice_their_table(spark, tmp_path):
+    size = large(spark, tmp_path)  # once where its rows are dealt over the cores
+    assert written(spark, catalogue.queries()["ocr_error_counts"](spark, str(tmp_path))) < 2 * size
+
+
+def test_issues_of_characters_beyond_the_first_plane(spark):
+    rows = [(0, "𐒀𐒁𐒂 𐒀𐒀𐒁"), (1, "x"), (None, "aab")]
+    got = metrics.issue_counts(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("the",)], "term string")).collect()
+    assert sorted(map(tuple, got), key=str) == [(0, 1, 2), (None, 1, 1)]
