@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from foliant.functions.classify import is_table_row, line_class
-from foliant.functions.rewrite import each_match
+from foliant.functions.rewrite import each_match, only
 from foliant.functions.unicode import strip
 from foliant.operators.corpus import lines
 from foliant.operators.wordwise import bound
@@ -176,6 +176,11 @@ _ROW_MARK = "\ufffe"
 
 def tables_in(text: Column) -> Column:
     """The text with runs of two or more rows of cells as Markdown tables, an empty line after each; a single row's cells by tabs."""
+    some = lambda t: F.contains(t, F.lit("|")) | F.contains(t, F.lit("\t")) | F.contains(t, F.lit(_ROW_MARK)) | t.rlike(r"\s{3}")
+    return only(text, some, _with_tables)
+
+
+def _with_tables(text: Column) -> Column:
     own = F.replace(text, F.lit(_ROW_MARK), F.lit(""))
     marked = F.array_join(F.transform(_text_lines(own), lambda x: F.when(is_table_row(x), F.concat(F.lit(_ROW_MARK), x)).otherwise(x)), "\n")
 

@@ -219,10 +219,8 @@ def _signs(words: list[str], text: str) -> list[bool] | None:
     """Whether a word that speaks for a term stands within three words of each; None if there is no such word."""
     if text.isascii() or not (told := [k for k, w in enumerate(words) if _SPEAKS.search(w)]):
         return None
-    # an empty word at an end is none
-    first, end = 0 if words[0] else 1, len(words) if words[-1] else len(words) - 1
-    close = {k + d for k in told for d in range(-3, 4) if d and first <= k + d < end}
-    return [k in close and min(k - first, 3) + min(end - 1 - k, 3) > 1 for k in range(len(words))]
+    close = {k + d for k in told for d in range(-3, 4) if d}
+    return [k in close and min(k, 3) + min(len(words) - 1 - k, 3) > 1 for k in range(len(words))]
 
 
 def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +232,7 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         fresh: set[tuple[str, bool]] = set()
         for text in batch.column(0).to_pylist():
             if text is not None:
-                words = wordwise.words_of(text)[::2]
+                words = wordwise.only_words(text)
                 near = _signs(words, text)
                 fresh.update(zip(words, near or repeat(False), strict=False))
         fresh -= seen
@@ -263,16 +261,18 @@ def _by_confidence(answers: dict[str, tuple[str, str, str]]) -> Callable:
     far, close = (wordwise.Decided(lambda w, near=near: decide((w, near))) for near in (False, True))
 
     def change(text: str) -> tuple[str, int, int]:
-        parts = wordwise.words_of(text)
-        words = parts[::2]
+        words = wordwise.only_words(text)
         near = _signs(words, text)
         found = [far[w] for w in words] if near is None else [(close if n else far)[w] for w, n in zip(words, near, strict=True)]
-        applied = low = 0
+        doubtful = [x for x in found if x is not None]
+        applied, low = sum(x[1] for x in doubtful), sum(x[2] for x in doubtful)
+        if all(x is None or x[0] == w for w, x in zip(words, found, strict=True)):
+            return text, applied, low
+        parts = wordwise.words_of(text)
+        first = 0 if parts[0] else 2
         for k, x in enumerate(found):
             if x is not None:
-                parts[2 * k] = x[0]
-                applied += x[1]
-                low += x[2]
+                parts[2 * k + first] = x[0]
         return "".join(parts), applied, low
 
     return change
@@ -370,7 +370,7 @@ def _issue_counter(terms: list[str]) -> Callable:
     decided = wordwise.Decided(issues)
 
     def count(text: str) -> tuple[int, int, int]:
-        found = [decided[w] for w in wordwise.words_of(text)[::2]]
+        found = [decided[w] for w in wordwise.only_words(text)]
         both = found.count(4)
         return len(found) - found.count(0), found.count(2) + both, found.count(3) + both
 

@@ -37,11 +37,6 @@ def join_sentences(text: Column) -> Column:
     return rewrite.apply(layout.merged_pairs(rewrite.apply(text, rewrite.SENTENCES)), rewrite.SENTENCE_ENDS)
 
 
-def drop_repeats(text: Column) -> Column:
-    """Runs of equal lines cut, then words said twice."""
-    return rewrite.apply(layout.limited_runs(text), [rewrite.SAID_TWICE])
-
-
 def _changed(before: Column, after: Column) -> Column:
     return (before != after).cast("int")
 
@@ -96,7 +91,9 @@ def run(
     if fixes:
         step("terms", lambda t: apply_term_fixes(t, fixes), "broken_words_fixed")
     step("format", rewrite.cleanup_format, "punctuation_fixed")
-    step("repeats", drop_repeats, "duplicates_removed", lambda a, b: F.regexp_count(a, F.lit("\n")) - F.regexp_count(layout.limited_runs(a), F.lit("\n")))
+    ends = lambda t: F.regexp_count(t, F.lit("\n"))
+    step("repeats", layout.limited_runs, "duplicates_removed", lambda a, b: ends(a) - ends(b))
+    out = out.withColumn("text", rewrite.apply(F.col("text"), [rewrite.SAID_TWICE]))
     applied.append("verification")
     if lexicon is not None:
         out = written(out)

@@ -1,9 +1,11 @@
 """Texts rewritten by small tables: as by large ones, and without a shuffle."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from foliant.operators import memory, metrics, wordwise
-from foliant.plans import catalogue
+from foliant.functions import rewrite
+from foliant.operators import layout, memory, metrics, wordwise
+from foliant.plans import catalogue, fixtures, qa
 from tests.test_phrases import large, written
 
 TEXTS = [
@@ -71,3 +73,34 @@ def test_issues_of_characters_beyond_the_first_plane(spark):
     rows = [(0, "𐒀𐒁𐒂 𐒀𐒀𐒁"), (1, "x"), (None, "aab")]
     got = metrics.issue_counts(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("the",)], "term string")).collect()
     assert sorted(map(tuple, got), key=str) == [(0, 1, 2), (None, 1, 1)]
+
+
+def test_passes_with_small_tables_write_texts_once(spark, docs, monkeypatch):
+    calls = []
+    monkeypatch.setattr(qa, "written", lambda df: calls.append(1) or df)
+    store = spark.createDataFrame([("general", "sea", "SEA", 2, "auto")], "subject string, original string, corrected string, frequency long, source string")
+    known = spark.createDataFrame([("general", "of the", 2)], "subject string, phrase string, frequency long")
+    qa.run(docs.select("doc_id", "text"), {"Chapter": "Unit"}, True, spark.createDataFrame([("the",)], "term string"), store, known)
+    assert len(calls) == 1
+
+
+STEPS = [rewrite.inspect_characters, qa.join_sentences, rewrite.restore_layout, rewrite.validate_choices, rewrite.validate_equations, rewrite.validate_numbers, rewrite.cleanup_format, layout.tables_in]
+RULED = [
+    "1O5 a1O5 12O x1O 1l5 O2 5O", "a .b !c\t؟ d\n.e 3.5 .5 a.b", " x\u0085 y \u2028z\t\r\nq  \nr ", "\t", "a \u0085", "a\x1f \n b", "H 2 O 2 Fe  3", "3 x 5 3x5 2*4 7 % 20 ° C", "5−3 a–b", "م اء ع ل م كتابb Aكتاب", "كتاب كتاب  كتاب",
+    "(أ) ب (ب) ت  (ج) ث", "أ- x ب - y", "--- [ صفحة 3 ] ---", "س3: x", "الفصل الأول: y", "a\u200bb\n\n\n\nc\n\n\nd", "3 كم 4كجم 5 م/ث", "a,ب c;د e?ه", "a | b\nc | d\n\ne\tf\tg\n1   2   3\n4   5   6\ufffe", "a\u00a0.b\u2003!", "𐒀 𐒁 .x",
+]
+
+
+def test_quick_tests_before_rules_skip_nothing(spark, monkeypatch):
+    texts = [t for t in TEXTS if t is not None] + RULED + [t for _, cases in fixtures.REWRITES for t, _ in cases]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    run = lambda: rows.select("text", *[f(F.col("text")).alias(f"c{k}") for k, f in enumerate(STEPS)]).collect()
+    quick = run()
+    sentences = [r[:2] if len(r) > 2 else r for r in rewrite.SENTENCES + rewrite.SENTENCE_ENDS]
+    assert any(len(r) > 2 for r in rewrite.SENTENCES)
+    monkeypatch.setattr(rewrite, "SENTENCES", sentences[: len(rewrite.SENTENCES)])
+    monkeypatch.setattr(rewrite, "SENTENCE_ENDS", sentences[len(sentences) - len(rewrite.SENTENCE_ENDS) :])
+    for place in (rewrite, layout):
+        monkeypatch.setattr(place, "only", lambda text, needs, change: change(text))
+    slow = run()
+    assert quick == slow and sum(r[k + 1] != r.text for r in quick for k in range(len(STEPS))) > 40
